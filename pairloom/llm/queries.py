@@ -8,19 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm.common import table
 from pairloom.llm.exact_dedup import exact_groups
+from pairloom.llm.mixing import mixed_sizes
+from pairloom.llm.simhash import near_duplicates
 from pairloom.llm.token_counts import token_counts
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), most=4, words_of_shingle=4)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(table(spark, sf_dir, "documents")).drop("shards")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), limit=512)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
 }
 
