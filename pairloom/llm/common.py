@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: What the words of a text are, as a Java regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,14 +69,15 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def map_texts(docs: DataFrame, work, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def map_texts(docs: DataFrame, work, schema: str, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """Run work(texts) -> columns over every text; the id passes through unchanged.
 
-    schema names the id and then what work returns, a list of columns of the same length.
+    schema names the id and then what work returns, a list of columns of the same length. also:
+    columns that work gets besides the texts, as lists.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    df = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    df = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *also)
     out = spark.createDataFrame([], schema).schema
     id_name, arrow = out[0].name, None
 
@@ -86,10 +88,49 @@ def map_texts(docs: DataFrame, work, schema: str, id_col: str = "doc_id", text_c
         arrow = arrow or to_arrow_schema(out)
         for batch in batches:
             if batch.num_rows:
-                columns = work(texts_of(batch))
+                columns = work(texts_of(batch), *(batch.column(c).to_pylist() for c in also))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id").cast(arrow.field(id_name).type), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))],
                     schema=arrow,
                 )
 
     return df.mapInArrow(run, schema)
+
+
+def append_columns(docs: DataFrame, work, fields: str, text_col: str = "text") -> DataFrame:
+    """docs with the columns of `fields` appended, computed by work(texts); all other columns pass through."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    added = spark.createDataFrame([], fields).schema
+    clash = set(docs.columns) & set(added.names)
+    if clash:
+        raise ValueError(f"columns in the way: {sorted(clash)}")
+    schema = StructType([*docs.schema.fields, *added.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = list(to_arrow_schema(added))
+        for batch in batches:
+            if batch.num_rows:
+                columns = [pa.array(c, f.type) for c, f in zip(work(texts_of(batch, text_col)), arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *(f.name for f in arrow)])
+
+    return docs.mapInArrow(run, schema)
+
+
+def held_out(doc_id) -> "F.Column":
+    """Whether labels of this document may not be learned from; a null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, text, label of at most `rows` labelled documents that are not held out, by least hash of the id.
+
+    The sample is bounded, so its ids are broadcast to the documents; it is kept as a table.
+    """
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
+    known = known.groupBy("_id").agg(F.max("label").alias("label"))
+    picked = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    found = docs.select(F.col(id_col).alias("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    return staged(found.drop("_id"), "training")

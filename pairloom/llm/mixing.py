@@ -81,18 +81,18 @@ def _tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 
 
 def _units(docs: DataFrame, seed: int) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _place(F.col("doc_id"), seed).alias("place"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _place(F.col("doc_id"), seed).alias("__place"))
 
 
 def _block() -> Column:
-    return F.least(F.floor(F.col("place") * F.col("n_blocks")), F.col("n_blocks") - 1)
+    return F.least(F.floor(F.col("__place") * F.col("__blocks")), F.col("__blocks") - 1)
 
 
 def plan(units: DataFrame, shards: int = 16, blocks: int = 4096, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(sources, draws).
 
-    sources: source, source_size, target, n_blocks. draws: source, block and an array of
-    struct(lap, shard, upto); the documents of the block with place <= upto are taken.
+    sources: source, source_size, target, __blocks (how many it has). draws: source, block and an array of
+    struct(lap, shard, upto); the documents of the block with __place <= upto are taken.
     shards: a power of two.
     """
     if shards < 1 or shards & (shards - 1):
@@ -100,7 +100,7 @@ def plan(units: DataFrame, shards: int = 16, blocks: int = 4096, weights: tuple[
     sources = targets(units.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     total = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
     share = F.ceil(F.lit(blocks) * F.col("source_size") / F.greatest(total, F.lit(1)))
-    sources = staged(sources.select("source", "source_size", "target", F.greatest(F.lit(16).cast("long"), share).alias("n_blocks")), "sources")
+    sources = staged(sources.select("source", "source_size", "target", F.greatest(F.lit(16).cast("long"), share).alias("__blocks")), "sources")
     placed = units.join(_small(sources), units["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     laps = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(0)
     rest = F.when(F.col("laps") < cap, F.col("target") - F.col("laps") * F.col("source_size")).otherwise(0.0)
@@ -113,9 +113,9 @@ def plan(units: DataFrame, shards: int = 16, blocks: int = 4096, weights: tuple[
     # In the one block of a source where the last lap ends, a document is taken if its middle is not beyond the end.
     ends = sums.where("cut").select(F.col("source").alias("s"), F.col("block").alias("b"), "need")
     inside = placed.withColumn("block", _block()).join(_small(ends), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    upto_here = Window.partitionBy("s", "b").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    reached = inside.select("s", "b", "place", (F.sum("size").over(upto_here) - F.col("size") / 2 <= F.col("need")).alias("taken"))
-    upto = reached.groupBy("s", "b").agg(F.max(F.when(F.col("taken"), F.col("place"))).alias("upto"))
+    upto_here = Window.partitionBy("s", "b").orderBy("__place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    reached = inside.select("s", "b", "__place", (F.sum("size").over(upto_here) - F.col("size") / 2 <= F.col("need")).alias("taken"))
+    upto = reached.groupBy("s", "b").agg(F.max(F.when(F.col("taken"), F.col("__place"))).alias("upto"))
 
     # Every lap over every block that is taken, in the source's permuted order.
     whole = (F.col("need") > 0) & ~F.col("cut") & (F.col("words") > 0)
@@ -143,13 +143,13 @@ def plan(units: DataFrame, shards: int = 16, blocks: int = 4096, weights: tuple[
 
 
 def _planned(rows: DataFrame, sources: DataFrame, draws: DataFrame, source: str) -> DataFrame:
-    """rows (with place) and the draws that take each, __draws; also source_size and target."""
-    s = _small(sources.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "n_blocks"))
+    """rows (with __place) and the draws that take each, __draws; also source_size and target."""
+    s = _small(sources.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__blocks"))
     d = _small(draws.select(F.col("source").alias("__d"), F.col("block").alias("__b"), F.col("draws").alias("__draws")))
     rows = rows.join(s, F.col(source).eqNullSafe(F.col("__s")), "left").withColumn("__block", _block())
     rows = rows.join(d, F.col(source).eqNullSafe(F.col("__d")) & (F.col("__block") == F.col("__b")), "left")
-    held = F.filter(F.coalesce("__draws", F.array().cast("array<struct<lap:int,shard:int,upto:double>>")), lambda x: F.col("place") <= x["upto"])
-    return rows.withColumn("__draws", held).drop("__s", "__d", "__b", "__block", "n_blocks")
+    held = F.filter(F.coalesce("__draws", F.array().cast("array<struct<lap:int,shard:int,upto:double>>")), lambda x: F.col("__place") <= x["upto"])
+    return rows.withColumn("__draws", held).drop("__s", "__d", "__b", "__block", "__blocks", "__place")
 
 
 def mixed_sizes(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
@@ -172,13 +172,11 @@ def mixed_sizes(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is drawn, with mix_shard and mix_order.
 
-    docs has doc_id, source and text; all columns are returned. Sorting a shard by mix_order
-    shuffles it.
+    docs has doc_id, source and text; all columns are returned, but for earlier mix_shard and
+    mix_order, which are replaced. Sorting a shard by mix_order shuffles it.
     """
-    rows = docs.withColumn("place", _place(F.col("doc_id"), seed)) if "place" not in docs.columns else None
-    if rows is None:
-        raise ValueError("a column named place is in the way")
-    rows = _planned(rows, *plan(staged(_units(docs, seed), "units"), seed=seed, **options), "source")
+    docs = docs.drop("mix_shard", "mix_order")
+    rows = _planned(docs.withColumn("__place", _place(F.col("doc_id"), seed)), *plan(staged(_units(docs, seed), "units"), seed=seed, **options), "source")
     drawn = rows.withColumn("__d", F.explode("__draws"))
     return drawn.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("__d.shard").alias("mix_shard"), F.xxhash64(F.lit(seed + 1), "doc_id", F.col("__d.lap")).alias("mix_order"))
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairloom.llm.common import table
+from pairloom.llm import quality, toxicity
+from pairloom.llm.common import held_out, table
 from pairloom.llm.exact_dedup import exact_groups
 from pairloom.llm.mixing import mixed_sizes
+from pairloom.llm.packing import pack
 from pairloom.llm.simhash import near_duplicates
 from pairloom.llm.token_counts import token_counts
 
@@ -29,11 +32,30 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), limit=512)
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = quality.quality_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
 }
 
 SQL: dict[str, str] = {
