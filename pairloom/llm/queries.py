@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pairloom.llm import quality, toxicity
 from pairloom.llm.common import held_out, table
 from pairloom.llm.exact_dedup import exact_groups
+from pairloom.llm.gif import media, media_digests
 from pairloom.llm.mixing import mixed_sizes
 from pairloom.llm.packing import pack
 from pairloom.llm.simhash import near_duplicates
@@ -24,6 +25,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(media(table(spark, sf_dir, "documents")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(table(spark, sf_dir, "documents")).drop("shards")
 
@@ -51,6 +56,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_gif_media": op3_gif_media,
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
