@@ -13,7 +13,9 @@ from pairloom.llm.exact_dedup import exact_groups
 from pairloom.llm.gif import media, media_digests
 from pairloom.llm.mixing import mixed_sizes
 from pairloom.llm.packing import pack
+from pairloom.llm.phrases import phrase_dedup
 from pairloom.llm.simhash import near_duplicates
+from pairloom.llm.suffix_array import suffix_dedup
 from pairloom.llm.token_counts import token_counts
 
 
@@ -53,6 +55,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "spans")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_phrase_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -62,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_phrase_automata_dedup": op10_phrase_automata_dedup,
 }
 
 SQL: dict[str, str] = {
