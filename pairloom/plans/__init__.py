@@ -1 +1,3 @@
+"""Query catalogue. Importing the package registers every query."""
 
+from pairloom.plans import catalog, pair_queries  # noqa: F401

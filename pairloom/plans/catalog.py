@@ -15,3 +15,13 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its own name."""
+
+    def register(build):
+        QUERIES[build.__name__] = Query(build, sql)
+        return build
+
+    return register
