@@ -93,26 +93,34 @@ def complete(df: DataFrame, by: list[str], positions: int = POSITIONS) -> DataFr
     return df.join(whole, [*by, "person"], "left_semi")
 
 
-def across(df: DataFrame, ordered: bool = True) -> DataFrame:
-    """Rows of pairs of captures c1, c2: hand 0 as in c1 and hand 1 as in c2, of people complete in both.
+def across(df: DataFrame, ordered: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of pairs of captures c1, c2: hand 0 as in c1 and hand 1 as in c2, of people complete in both, within by.
 
     ordered: both directions and each capture with itself; otherwise c1 < c2.
     """
-    has = df.select("person", "capture").distinct()
-    both = has.select("person", F.col("capture").alias("c1")).join(has.select("person", F.col("capture").alias("c2")), "person")
+    key = ["person", *by]
+    has = df.select(*key, "capture").distinct()
+    both = has.select(*key, F.col("capture").alias("c1")).join(has.select(*key, F.col("capture").alias("c2")), key)
     both = both if ordered else both.where("c1 < c2")
     sides = []
     for hand, own in ((0, "c1"), (1, "c2")):
         rows = df.where(F.floor(F.col("position") / 5) == hand).withColumnRenamed("capture", own)
-        sides.append(both.join(rows, ["person", own]))
+        sides.append(both.join(rows, [*key, own]))
     return sides[0].unionByName(sides[1])
 
 
-def s_between(df: DataFrame, value: str = "value", least: int = 2) -> DataFrame:
-    """c1, c2, n, s of complete rows; null where fewer than `least` people have both captures."""
-    rows = across(df)
-    n = rows.groupBy("c1", "c2").agg(F.countDistinct("person").alias("n"))
-    return s_statistic(rows, ["c1", "c2"], value).join(n, ["c1", "c2"]).select("c1", "c2", "n", F.when(F.col("n") >= least, F.col("s")).alias("s"))
+def s_between(df: DataFrame, value: str = "value", least: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, c1, c2, n, s of complete rows; null where fewer than `least` people have both captures."""
+    rows, key = across(df, by=by), [*by, "c1", "c2"]
+    n = rows.groupBy(*key).agg(F.countDistinct("person").alias("n"))
+    return s_statistic(rows, key, value).join(n, key).select(*key, "n", F.when(F.col("n") >= least, F.col("s")).alias("s"))
+
+
+def crossed_and_auto(pairs: DataFrame, by: tuple[str, ...] = (), middle=F.median) -> DataFrame:
+    """by, crossed, auto, ratio of what s_between gives: the middle over different captures and over each with itself."""
+    same = F.col("c1") == F.col("c2")
+    crossed, auto = middle(F.when(~same, F.col("s"))), middle(F.when(same, F.col("s")))
+    return pairs.groupBy(*by).agg(crossed.alias("crossed"), auto.alias("auto"), (crossed / auto).alias("ratio"))
 
 
 def reliability(df: DataFrame, value: str = "value") -> DataFrame:

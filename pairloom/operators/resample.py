@@ -67,6 +67,27 @@ def bootstrap_between(df: DataFrame, c1: str, c2: str, n: int, seed: str = "boot
     return s.groupBy("iter").agg(auto.alias("auto"), crossed.alias("crossed"), (crossed / auto).alias("ratio"))
 
 
+def capture_null(df: DataFrame, n: int, captures: list[str] | None = None, seed: str = "captures", value: str = "value", middle=F.median) -> DataFrame:
+    """iter, crossed, auto, ratio when every capture's people are dealt anew at every position, once per iteration for all its pairs."""
+    df = df.where(F.col("capture").isin(captures)) if captures else df
+    scored = dependence.copula(df, ["capture", "position"], value).select("capture", "person", "position", "z")
+    dealt = shuffled_positions(iterations(scored, n), ["iter", "capture"], seed)
+    return dependence.crossed_and_auto(dependence.s_between(dealt, "z", by=("iter",)), ("iter",), middle)
+
+
+def joint_bootstrap(df: DataFrame, n: int, seed: str = "joint", value: str = "value", middle=F.median) -> DataFrame:
+    """iter, crossed, auto, ratio: one draw of people with replacement serves all captures and their pairs."""
+    people = df.select("person").distinct()
+    drawn = draws(people, n, seed).join(df, "person").drop("person").withColumnRenamed("draw", "person")
+    return dependence.crossed_and_auto(dependence.s_between(drawn, value, by=("iter",)), ("iter",), middle)
+
+
+def sensitivity(df: DataFrame, without: DataFrame, statistic, key: str = "person") -> DataFrame:
+    """The same statistic of all people and without some: rows of statistic(df), with state all or kept."""
+    kept = df.join(without.select(key).distinct(), key, "left_anti")
+    return statistic(df).withColumn("state", F.lit("all")).unionByName(statistic(kept).withColumn("state", F.lit("kept")))
+
+
 def interval(rows: DataFrame, value: str) -> DataFrame:
     """low, middle, high: the 2.5, 50 and 97.5 percentiles, and what they say of one half."""
     q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))

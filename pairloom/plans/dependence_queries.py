@@ -131,9 +131,8 @@ def s_cross_capture(spark, sf_dir):
 
 @query(f"WITH {PAIRED} SELECT round(median(homologous - cross_) FILTER (c1 <> c2), 9) AS crossed, round(median(homologous - cross_) FILTER (c1 = c2), 9) AS auto, round(median(homologous - cross_) FILTER (c1 <> c2) / median(homologous - cross_) FILTER (c1 = c2), 6) AS ratio FROM m")
 def capture_pair_median(spark, sf_dir):
-    s = dependence.s_between(whole(spark, sf_dir))
-    crossed, auto = F.median(F.when(F.col("c1") != F.col("c2"), F.col("s"))), F.median(F.when(F.col("c1") == F.col("c2"), F.col("s")))
-    return s.agg(F.round(crossed, 9).alias("crossed"), F.round(auto, 9).alias("auto"), F.round(crossed / auto, 6).alias("ratio"))
+    s = dependence.crossed_and_auto(dependence.s_between(whole(spark, sf_dir)))
+    return s.select(F.round("crossed", 9).alias("crossed"), F.round("auto", 9).alias("auto"), F.round("ratio", 6).alias("ratio"))
 
 
 @query(f"""WITH {OBS}, two AS (SELECT a.capture AS c1, b.capture AS c2, person, position, a.value AS va, b.value AS vb FROM whole a JOIN whole b USING (person, position) WHERE a.capture < b.capture),
@@ -283,6 +282,51 @@ def bootstrap_interval(spark, sf_dir):
     return i.select(*(F.round(c, 6).alias(c) for c in ("low", "middle", "high")), "reading")
 
 
+def between_sql(rows: str) -> str:
+    """A subquery: iter, c1, c2, s of a table (iter, capture, person, position, v)."""
+    both = f"(SELECT DISTINCT a.iter, a.person, a.capture AS c1, b.capture AS c2 FROM {rows} a JOIN {rows} b ON a.iter = b.iter AND a.person = b.person)"
+    w = f"(SELECT b.iter, b.c1, b.c2, b.person, position, v FROM {both} b JOIN {rows} w ON w.iter = b.iter AND w.person = b.person AND w.capture = CASE WHEN position < 5 THEN b.c1 ELSE b.c2 END)"
+    return f"(SELECT iter, c1, c2, homologous - cross_ AS s FROM {means_sql(z_sql(w, 'iter, c1, c2, position', 'v'), ['iter', 'c1', 'c2'])})"
+
+
+def _summary_sql(middle: str) -> str:
+    crossed, auto = f"{middle}(s) FILTER (c1 <> c2)", f"{middle}(s) FILTER (c1 = c2)"
+    return f"SELECT CAST(iter AS INTEGER) AS iter, round({crossed}, 9) AS crossed, round({auto}, 9) AS auto, round({crossed} / {auto}, 6) AS ratio"
+
+
+def _rounded(rows):
+    return rows.select("iter", F.round("crossed", 9).alias("crossed"), F.round("auto", 9).alias("auto"), F.round("ratio", 6).alias("ratio"))
+
+
+def _captures_sql(where: str, n: int) -> str:
+    return f"""{OBS}, z AS {z_sql(f'(SELECT * FROM whole WHERE {where})', 'capture, position')}, d AS MATERIALIZED (SELECT iter, capture, position, z AS v,
+        row_number() OVER (PARTITION BY iter, capture, position ORDER BY md5('captures:' || iter || ':' || capture || ':' || position || ':' || person), person) AS person
+        FROM z, (SELECT unnest(range({n})) AS iter)), s AS MATERIALIZED {between_sql('d')}"""
+
+
+@query(f"WITH {_captures_sql("capture IN ('AF', 'RF')", 10)} {_summary_sql('avg')} FROM s GROUP BY iter")
+def two_capture_null(spark, sf_dir):
+    return _rounded(resample.capture_null(whole(spark, sf_dir), 10, ["AF", "RF"], middle=F.avg))
+
+
+@query(f"WITH {_captures_sql('true', 4)} {_summary_sql('median')} FROM s GROUP BY iter")
+def all_captures_null(spark, sf_dir):
+    return _rounded(resample.capture_null(whole(spark, sf_dir), 4))
+
+
+@query(f"""WITH {OBS}, b AS (SELECT DISTINCT person FROM whole), k AS (SELECT person, row_number() OVER (ORDER BY person) - 1 AS k FROM b),
+    p AS (SELECT iter, k AS draw, CAST('0x' || substring(md5('joint:' || iter || ':' || k), 1, 8) AS BIGINT) % (SELECT count(*) FROM b) AS pick FROM k, (SELECT unnest(range(4)) AS iter)),
+    d AS MATERIALIZED (SELECT iter, draw AS person, capture, position, value AS v FROM p JOIN k ON k.k = p.pick JOIN whole USING (person)), s AS MATERIALIZED {between_sql('d')} {_summary_sql('median')} FROM s GROUP BY iter""")
+def joint_bootstrap(spark, sf_dir):
+    return _rounded(resample.joint_bootstrap(whole(spark, sf_dir), 4))
+
+
+@query(f"WITH {OBS}, k AS (SELECT 'all' AS state, * FROM af UNION ALL SELECT 'kept', * FROM af WHERE person NOT IN (3, 7)), z AS {z_sql('k', 'state, position')} SELECT state, round(homologous - cross_, 9) AS s FROM {means_sql('z', ['state'])}")
+def sensitivity(spark, sf_dir):
+    out = resample.sensitivity(whole(spark, sf_dir, "AF"), spark.createDataFrame([(3,), (7,)], "person long"), lambda df: dependence.s_statistic(df, []))
+    return out.select("state", F.round("s", 9).alias("s"))
+
+
 SETS, LEVEL = 12, 0.1
 LOW, HIGH = binomial_interval(0.95, SETS, LEVEL)
 

@@ -108,6 +108,14 @@ def latest(log: DataFrame, key: tuple[str, ...] = ("a", "b"), order: str = "at")
     return last.select(*key, *(F.col(f"x.{c}").alias(c) for c in rest))
 
 
+def checked(log: DataFrame, pairs: int, verdict: str) -> DataFrame:
+    """log, if it has exactly this many different pairs and all verdicts are the same; otherwise an error."""
+    n, odd = log.agg(F.countDistinct("a", "b"), F.count_if(~F.col("verdict").eqNullSafe(verdict))).first()
+    if n != pairs or odd:
+        raise ValueError(f"{n} pairs instead of {pairs}, {odd} other verdicts")
+    return log
+
+
 def append_line(path: str, record: dict) -> None:
     """Add a record to a JSON-lines log, with the time in whole seconds."""
     import json

@@ -21,6 +21,15 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST")
 
 
+def read_first(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """The first of several CSV files that exists, as where a later step adds columns to an earlier step's table."""
+    for path in paths[:-1]:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+            return read_csv(spark, path, schema)
+    return read_csv(spark, paths[-1], schema)
+
+
 def numbered(index: DataFrame, order: list[Column]) -> DataFrame:
     """index with idx from 0 in the given order. The order of an index is its identity, so it is small enough to sort once."""
     return index.withColumn("idx", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)

@@ -16,6 +16,7 @@ def test_index_order_and_names(spark, tmp_path):
     assert [(r.finger_id, r.impression, r.idx) for r in got] == [("2", "1", 0), ("2", "2", 1), ("10", "1", 2), ("x", "0", 3)]
     with pytest.raises(Exception):
         indexes.read_index(spark, str(tmp_path / "none.csv")).collect()
+    assert indexes.read_first(spark, [str(tmp_path / "none.csv"), str(tmp_path / "i.csv")], indexes.INDEX).count() == 4
 
 
 def test_file_names(spark):
@@ -71,6 +72,9 @@ def test_groups_verdicts_and_errata(spark, tmp_path):
     assert all("gravado_em" in x for x in written)
     rows = "\n".join(json.dumps({"na": "p", "nb": n, "rot": "r", "veredito": v, "gravado_em": t}) for n, v, t in (("q", "x", "2026-01-01T00:00:01"), ("q", "y", "2026-01-01T00:00:03"), ("s", "z", "2026-01-01T00:00:02")))
     (tmp_path / "log" / "v.jsonl").write_text(rows + "\n")
+    with pytest.raises(ValueError, match="2 pairs instead of 5, 2 other"):
+        files.checked(files.read_verdicts(spark, log), 5, "y")
+    assert files.checked(files.read_verdicts(spark, log).where("verdict = 'y'"), 1, "y").count() == 1
     last = {(r.a, r.b): r.verdict for r in files.latest(files.read_verdicts(spark, log)).collect()}
     assert last == {("p", "q"): "y", ("p", "s"): "z"}
     q = stream.run_once(stream.last_verdicts(stream.verdict_stream(spark, str(tmp_path / "log"))), "last_verdicts", str(tmp_path / "cp"))
