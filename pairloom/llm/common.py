@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,18 +44,38 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+_PATHS: "weakref.WeakKeyDictionary[DataFrame, object]" = weakref.WeakKeyDictionary()
+
+
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
     Later stages depend on the files and not on the lineage behind them, so a lost executor
-    costs them nothing. The files go when the driver's JVM ends.
+    costs them nothing. The files go with discard(), or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairloom/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = jpath
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, and let Spark drop shuffle files that nothing needs.
+
+    Spark drops them when its driver finds their lineage collected. Python lets go of it with a delay of
+    about a second, and what the first collection finds can still hold other lineage, so there are two.
+    """
+    for t in tables:
+        path = _PATHS.pop(t)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.2)
+        spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

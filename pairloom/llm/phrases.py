@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pairloom.llm.repeats import GRAM, WINDOW, grams, keyed, merged, removable, with_spans, word_tokens
+from pairloom.llm.repeats import GRAM, WINDOW, grams, keyed, removable, runs_of, with_spans, word_tokens
 
 SHARD_PHRASES = 20_000
 
@@ -50,8 +50,8 @@ def occurrences(machine, text: str) -> list[int]:
     return [end - size + 1 for end, size in machine.iter(text)]
 
 
-def first_owners(pieces: list[bytes], low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
-    """For every window of every piece the least owner of a piece that has the same window."""
+def first_owners(pieces: list[bytes], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of every piece the least owner of a piece that has the same window, and windows per piece."""
     by_phrase: dict[bytes, list[int]] = {}
     for i, piece in enumerate(pieces):
         by_phrase.setdefault(naming_phrase(piece), []).append(i)
@@ -60,27 +60,31 @@ def first_owners(pieces: list[bytes], low: np.ndarray, high: np.ndarray) -> list
     for at in range(0, len(confirmed), SHARD_PHRASES):
         shard = confirmed[at : at + SHARD_PHRASES]
         machine = automaton(shard)
-        first: dict[str, int] = {}
-        seen: list[tuple[int, int, str]] = []
+        number: dict[str, int] = {}
+        first: list[int] = []
+        seen: list[tuple[int, int, int]] = []
         for i in (i for p in shard for i in by_phrase[p]):
-            text = f" {pieces[i].decode()} "
+            text, owner = f" {pieces[i].decode()} ", int(low[i])
             spaces = [k for k, c in enumerate(text) if c == " "]
             word_at = {k + 1: n for n, k in enumerate(spaces)}
             windows: set[int] = set()
             for begin in occurrences(machine, text):
                 n = word_at[begin]
                 windows.update(range(max(0, n + GRAM - WINDOW), min(n, len(out[i]) - 1) + 1))
-            for w in sorted(windows):
-                content = text[spaces[w] + 1 : spaces[w + WINDOW]]
-                first[content] = min(first.get(content, low[i]), low[i])
-                seen.append((i, w, content))
-        for i, w, content in seen:
-            out[i][w] = first[content]
-    return out
+            for w in windows:
+                k = number.setdefault(text[spaces[w] + 1 : spaces[w + WINDOW]], len(first))
+                if k == len(first):
+                    first.append(owner)
+                elif owner < first[k]:
+                    first[k] = owner
+                seen.append((i, w, k))
+        for i, w, k in seen:
+            out[i][w] = first[k]
+    return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
 
 
 def removed_word_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, spans: of every document the word spans to remove (they may overlap); null where there are none."""
+    """doc_id, text, starts, ends: of every document the runs of words to remove; null where there are none."""
     rows = keyed(docs, id_col, text_col)
     return with_spans(rows, removable(rows, word_tokens, first_owners))
 
@@ -91,8 +95,8 @@ def phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
-                words, runs = text.encode("utf-8", "replace").split(), merged(spans)
+            for doc, text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "starts", "ends"))):
+                words, runs = text.encode("utf-8", "replace").split(), runs_of(starts, ends)
                 kept, at = [], 0
                 for a, b in runs:
                     kept += words[at:a]

@@ -9,10 +9,11 @@ of every document, the smallest doc_id in which the same window starts.
    name that a task has in several documents leaves it once. A name of one document only is done with:
    its windows recur nowhere else.
 2. Slices. A run of windows whose name recurs is cut out with its tokens. Each map task sends each
-   distinct slice once, with the least and greatest doc_id it has it from, and keeps where it occurs.
+   distinct slice once, with the least and greatest doc_id it has it from, and notes where it occurs.
 3. Verdicts. All slices of a name meet in one bucket, where a verifier (a suffix array, or automata)
    compares them by content and tells for each slice from which doc_id its windows come first.
-4. Occurrences join the verdicts of their slices and become spans of their document.
+4. Verdicts go back to the task that sent the slice, by its number there, and become spans of the
+   documents it had it from. So a slice that very many documents share costs each task one row.
 
 So what is compared by content is only what may recur; the hash decides nothing but where. Texts are
 read whole. doc_id null counts as greater than all others. Rows that share a doc_id do not remove
@@ -21,15 +22,15 @@ each other's text. Steps 1, 2 and 4 end in tables in the shared folder.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import shuffle_partitions, small_batches, staged
+from pairloom.llm.common import discard, shuffle_partitions, small_batches, staged
 
 WINDOW, GRAM = 50, 16
 LAST_ID = (1 << 63) - 1
@@ -117,7 +118,9 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[t
 
 
 def _pack(names: np.ndarray, docs: np.ndarray) -> bytes:
-    """names of each doc, docs in order: number of docs, docs, names of each, 6 bytes of each name."""
+    """Pairs of names and docs, by doc: number of docs, docs, names of each, 6 bytes of each name."""
+    order = np.argsort(docs, kind="stable")
+    names, docs = names[order], docs[order]
     ids, counts = np.unique(docs, return_counts=True)
     return b"".join([np.int64(len(ids)).tobytes(), ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), np.ascontiguousarray(names.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : NAME_BITS // 8]).tobytes()])
 
@@ -132,36 +135,39 @@ def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _recurring(docs: DataFrame, tokens: Tokens, buckets: int) -> DataFrame:
-    """doc, names: of each document the names that another document has as well (packed longs)."""
+    """doc, names: of each document the names that another document has as well (packed longs).
+
+    A task sends its names to their buckets and is answered, bucket by bucket, which of them recur.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         names: list[np.ndarray] = []
         ids: list[int] = []
+        flush_id = TaskContext.get().partitionId() << 24
 
         def flush():
             lengths = np.fromiter(map(len, names), np.int64, len(names))
             n, d = np.concatenate(names), np.repeat(np.array(ids, np.int64), lengths)
+            names.clear()
+            ids.clear()
             order = np.argsort(n, kind="stable")
             n, d = n[order], d[order]
             first = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
             several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
-            sizes = np.diff(np.append(first, len(n)))
-            known = np.repeat(several, sizes)
-            out = []  # (bucket, doc, payload)
-            for doc, part in _by_doc(n[known], d[known]):
-                out.append((doc % buckets, doc, part.tobytes()))
+            known = np.repeat(several, np.diff(np.append(first, len(n))))
+            out = [(flush_id % buckets, None, _pack(n[known], d[known]))]
             ask, owner = n[first], np.where(several, SEVERAL, d[first])
             to = ask % buckets
-            order = np.lexsort((owner, to))
+            order = np.argsort(to, kind="stable")
             ask, owner, to = ask[order], owner[order], to[order]
             cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
             for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(to)).tolist()):
-                out.append((int(to[a]), None, _pack(ask[a:b], owner[a:b])))
-            names.clear()
-            ids.clear()
-            for at in range(0, len(out), 2000):
-                part = out[at : at + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.binary())], ["bucket", "doc", "payload"])
+                out.append((int(to[a]), _pack(ask[a:b], owner[a:b]), None))
+            for at in range(0, len(out), 500):
+                bucket, asked, told = zip(*out[at : at + 500])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array([flush_id] * len(bucket), pa.int64()), pa.array(asked, pa.binary()), pa.array(told, pa.binary())], ["bucket", "flush", "asked", "told"])
 
         total = 0
         for batch in batches:
@@ -173,128 +179,222 @@ def _recurring(docs: DataFrame, tokens: Tokens, buckets: int) -> DataFrame:
                     total += len(found)
                 if total >= NAMES:
                     yield from flush()
-                    total = 0
+                    flush_id, total = flush_id + 1, 0
         if names:
             yield from flush()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (docs_, payloads) in _groups(batches, ["doc", "payload"]):
-            known = [(d, p) for d, p in zip(docs_, payloads) if d is not None]
-            blocks = [_unpack(p) for d, p in zip(docs_, payloads) if d is None]
-            if blocks:
-                n, d = (np.concatenate(x) for x in zip(*blocks))
+        for _, (flushes, asked, told) in _groups(batches, ["flush", "asked", "told"]):
+            out = [(f, t) for f, t in zip(flushes, told) if t is not None]
+            asking = [(f, *_unpack(x)) for f, x in zip(flushes, asked) if x is not None]
+            if asking:
+                n, d = (np.concatenate([x[k] for x in asking]) for k in (1, 2))
+                f = np.repeat([x[0] for x in asking], [len(x[1]) for x in asking])
                 order = np.argsort(n, kind="stable")
-                n, d = n[order], d[order]
+                n, d, f = n[order], d[order], f[order]
                 first = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
                 low, high = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
-                told = np.repeat((low != high) | (low == SEVERAL), np.diff(np.append(first, len(n)))) & (d != SEVERAL)
-                known += [(doc, part.tobytes()) for doc, part in _by_doc(n[told], d[told])]
-            for at in range(0, len(known), 5000):
-                part = known[at : at + 5000]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.binary())], ["doc", "names"])
-
-    sent = docs.select("doc", "text").mapInArrow(send, "bucket long, doc long, payload binary")
-    told = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "doc long, names binary")
+                hit = np.repeat((low != high) | (low == SEVERAL), np.diff(np.append(first, len(n)))) & (d != SEVERAL)
+                out += [(flush, _pack(n[hit][k], d[hit][k])) for flush, k in _parts(f[hit])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "told"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (told,) in _groups(batches, ["told"]):
+            n, d = (np.concatenate(x) for x in zip(*map(_unpack, told)))
+            parts = [(doc, n[k].tobytes()) for doc, k in _parts(d)]
+            for at in range(0, len(parts), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in parts[at : at + 5000]], pa.int64()), pa.array([x[1] for x in parts[at : at + 5000]], pa.binary())], ["doc", "names"])
+
+    def by_bucket(df: DataFrame) -> DataFrame:
+        return df.repartition("bucket").sortWithinPartitions("bucket")
+
+    sent = docs.select("doc", "text").mapInArrow(send, "bucket long, flush long, asked binary, told binary")
+    answers = by_bucket(sent).mapInArrow(answer, "bucket long, told binary")  # bucket: now the flush that has asked
+    told = by_bucket(answers).mapInArrow(gather, "doc long, names binary")
     return told.groupBy("doc").agg(F.collect_list("names").alias("names"))
 
 
-def _by_doc(names: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    if not len(docs):
+def _parts(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, where it is) of each key, in order."""
+    if not len(keys):
         return
-    order = np.argsort(docs, kind="stable")
-    names, docs = names[order], docs[order]
-    cuts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
-    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(docs)).tolist()):
-        yield int(docs[a]), names[a:b]
+    order = np.argsort(keys, kind="stable")
+    cuts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(keys)).tolist()):
+        yield int(keys[order[a]]), order[a:b]
+
 
+SLICES = "kind int, flush long, bucket long, slices binary, doc long, mark long, at array<int>, nos array<int>"
 
-SLICES = "kind int, bucket long, doc long, most long, mark long, key binary, slice binary, at array<int>, keys array<binary>"
+
+def _pack_slices(nos: np.ndarray, low: np.ndarray, high: np.ndarray, texts: list[bytes]) -> bytes:
+    """Number of slices, their numbers, least and greatest docs, lengths, and the slices end to end; compressed."""
+    from zstandard import ZstdCompressor
+
+    lengths = np.fromiter(map(len, texts), "<i4", len(texts))
+    parts = [np.int64(len(texts)).tobytes(), nos.astype("<i4").tobytes(), low.astype("<i8").tobytes(), high.astype("<i8").tobytes(), lengths.tobytes(), *texts]
+    return ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def _unpack_slices(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    from zstandard import ZstdDecompressor
+
+    raw = ZstdDecompressor().decompress(block)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    nos, low, high, lengths = (np.frombuffer(raw, t, n, at) for t, at in (("<i4", 8), ("<i8", 8 + 4 * n), ("<i8", 8 + 12 * n), ("<i4", 8 + 20 * n)))
+    ends = (8 + 24 * n + np.cumsum(lengths, dtype=np.int64)).tolist()
+    return nos, low, high, [raw[a:b] for a, b in zip([8 + 24 * n, *ends[:-1]], ends)]
 
 
 def _slices(docs: DataFrame, recurring: DataFrame, tokens: Tokens, buckets: int) -> DataFrame:
-    """Two kinds of rows. 0: bucket, doc, most, key, slice, each distinct slice of a task with the least
-    and greatest doc that has it. 1: doc, mark, at, keys, the slices of a document and the windows they begin at."""
+    """Two kinds of rows. 0: flush, bucket, slices: the distinct slices that a task has gathered for a bucket when it
+    sends, each with a number and the least and greatest doc that has it. 1: flush, doc, mark, at, nos: the slices of a
+    document, by number, and the windows they begin at."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
+        from pyspark import TaskContext
 
-        held: dict[bytes, list] = {}
+        flush_id = TaskContext.get().partitionId() << 24
+        number: dict[bytes, int] = {}
+        low: list[int] = []
+        high: list[int] = []
+        to: list[int] = []
 
-        def flush():
-            rows = [(0, v[3], v[1], v[2], None, v[0], s, None, None) for s, v in held.items()]
-            held.clear()
-            yield from table(rows)
+        def rows(n: int, **columns) -> pa.RecordBatch:
+            kinds = [("kind", pa.int32()), ("flush", pa.int64()), ("bucket", pa.int64()), ("slices", pa.binary()), ("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.list_(pa.int32())), ("nos", pa.list_(pa.int32()))]
+            columns["flush"] = np.full(n, flush_id)
+            return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in kinds], [k for k, _ in kinds])
 
-        def table(rows):
-            for a in range(0, len(rows), 5000):
-                columns = list(zip(*rows[a : a + 5000]))
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary())]
-                names = ["kind", "bucket", "doc", "most", "mark", "key", "slice", "at", "keys"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+        def flush():
+            texts, where, lows, highs = list(number), np.array(to, np.int64), np.array(low, np.int64), np.array(high, np.int64)
+            order = np.argsort(where, kind="stable")
+            cuts = np.flatnonzero(np.append(True, where[order][1:] != where[order][:-1])) if len(order) else order
+            parts = [order[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)])]
+            for a in range(0, len(parts), 64):
+                some = parts[a : a + 64]
+                yield rows(len(some), kind=np.zeros(len(some)), bucket=[int(where[x[0]]) for x in some], slices=[_pack_slices(x, lows[x], highs[x], [texts[k] for k in x.tolist()]) for x in some])
+            for held in (number, low, high, to):
+                held.clear()
 
         size = 0
         for batch in batches:
-            rows = []
+            docs_, marks, ats, nos = [], [], [], []
             for doc, text, mark, known in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "mark", "names"))):
                 hashes, piece = tokens(text)
                 names, first, last = name_runs(hashes)
-                wanted = np.concatenate([np.frombuffer(x, "<i8") for x in known])
-                keep = np.flatnonzero(np.isin(names, wanted))
-                at, keys = first[keep].tolist(), []
-                for name, a, b in zip(names[keep].tolist(), at, (last[keep] + WINDOW).tolist()):
+                wanted = np.sort(np.frombuffer(b"".join(known), "<i8"))
+                keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, names), len(wanted) - 1)] == names)
+                own, at = [], first[keep]
+                for bucket, a, b in zip((names[keep] % buckets).tolist(), at.tolist(), (last[keep] + WINDOW).tolist()):
                     s = piece(a, b)
-                    if (v := held.get(s)) is None:
-                        v = held[s] = [xxh3_128_digest(s), doc, doc, name % buckets]
+                    if (n := number.get(s)) is None:
+                        n = number[s] = len(low)
+                        low.append(doc)
+                        high.append(doc)
+                        to.append(bucket)
                         size += len(s) + 200
-                    elif doc < v[1]:
-                        v[1] = doc
-                    elif doc > v[2]:
-                        v[2] = doc
-                    keys.append(v[0])
-                if keys:
-                    rows.append((1, None, doc, None, mark, None, None, at, keys))
-            yield from table(rows)
+                    elif doc < low[n]:
+                        low[n] = doc
+                    elif doc > high[n]:
+                        high[n] = doc
+                    own.append(n)
+                if own:
+                    docs_.append(doc)
+                    marks.append(mark)
+                    ats.append(at)
+                    nos.append(own)
+            if docs_:
+                yield rows(len(docs_), kind=np.ones(len(docs_)), doc=docs_, mark=marks, at=ats, nos=nos)
             if size >= SLICE_BYTES:
                 yield from flush()
-                size = 0
+                flush_id, size = flush_id + 1, 0
         yield from flush()
 
-    return docs.join(recurring, "doc").select("doc", "text", "mark", "names").mapInArrow(cut, SLICES)
+    return docs.join(recurring.hint("merge"), "doc").select("doc", "text", "mark", "names").mapInArrow(cut, SLICES)
 
 
-#: Verifier: distinct slices with the least and the greatest doc of each -> for each slice the least doc of each of its windows.
-Verifier = Callable[[list[bytes], np.ndarray, np.ndarray], list[np.ndarray]]
+#: Verifier: distinct slices with the least and the greatest doc of each -> the least doc of each window, all slices'
+#: windows end to end, and how many windows each slice has.
+Verifier = Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def _verdicts(slices: DataFrame, verify: Verifier) -> DataFrame:
-    """key, runs: for slices some of whose windows start earlier than in their last document, runs of windows and the doc they start in first."""
+    """flush, no, a, b, first (arrays): for slices of that flush some of whose windows start in an earlier document than
+    the last that has the slice, runs [a, b) of windows and the doc they start in first."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("first", pa.int64())]))
-        for _, (docs, mosts, keys, texts) in _groups(batches, ["doc", "most", "key", "slice"]):
-            least: dict[bytes, list] = {}
-            for doc, most, key, text in zip(docs, mosts, keys, texts):
-                if (v := least.get(text)) is None:
-                    least[text] = [doc, most, key]
-                else:
-                    v[0], v[1] = min(v[0], doc), max(v[1], most)
-            low, high = (np.array([v[i] for v in least.values()], np.int64) for i in (0, 1))
-            out = []
-            for v, first in zip(least.values(), verify(list(least), low, high)):
-                if first.min() < v[1]:
-                    cuts = np.flatnonzero(np.append(True, first[1:] != first[:-1])).tolist()
-                    out.append((v[2], [{"a": a, "b": b, "first": int(first[a])} for a, b in zip(cuts, [*cuts[1:], len(first)])]))
-            for at in range(0, len(out), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out[at : at + 5000]], pa.binary()), pa.array([r for _, r in out[at : at + 5000]], kind)], ["key", "runs"])
-
-    rows = slices.select("bucket", "doc", "most", "key", "slice").repartition("bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(judge, "key binary, runs array<struct<a:int,b:int,first:long>>")
-
-
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files that no table needs any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        for _, (flushes, blocks) in _groups(batches, ["flush", "slices"]):
+            number: dict[bytes, int] = {}
+            of, nos, docs, mosts = [], [], [], []
+            for block in blocks:
+                no, low, high, texts = _unpack_slices(block)
+                of.append(np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts)))
+                nos.append(no)
+                docs.append(low)
+                mosts.append(high)
+            flush = np.repeat(np.array(flushes), [len(x) for x in nos])
+            of, nos, docs, mosts = (np.concatenate(x) for x in (of, nos, docs, mosts))
+            least, most = np.full(len(number), LAST_ID), np.full(len(number), SEVERAL)
+            np.minimum.at(least, of, docs)
+            np.maximum.at(most, of, mosts)
+            first, n = verify(list(number), least, most)
+            begin = np.cumsum(n) - n
+            told = np.flatnonzero(np.minimum.reduceat(first, begin)[of] < mosts)
+            if not len(told):
+                continue
+            # Runs of every distinct slice, then a copy of them for each slice that is told of.
+            new = np.append(True, first[1:] != first[:-1])
+            new[begin] = True
+            start = np.flatnonzero(new)
+            end = np.append(start[1:], len(first))
+            owner = np.repeat(np.arange(len(n)), n)[start]
+            runs = np.bincount(owner, minlength=len(n))
+            at = np.cumsum(runs) - runs
+            order = told[np.argsort(flush[told], kind="stable")]
+            count = runs[of[order]]
+            pick = np.repeat(at[of[order]] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            columns = [np.repeat(nos[order], count), start[pick] - begin[owner[pick]], end[pick] - begin[owner[pick]], first[start[pick]]]
+            of_flush = np.repeat(flush[order], count)
+            cuts = np.flatnonzero(np.append(True, of_flush[1:] != of_flush[:-1]))
+            offsets = pa.array(np.append(cuts, len(of_flush)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c, t)) for c, t in zip(columns, [pa.int32(), pa.int32(), pa.int32(), pa.int64()])]
+            yield pa.RecordBatch.from_arrays([pa.array(of_flush[cuts]), *lists], ["flush", "no", "a", "b", "first"])
+
+    rows = slices.select("bucket", "flush", "slices").repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(judge, "flush long, no array<int>, a array<int>, b array<int>, first array<long>")
+
+
+def _spans(found: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """doc, mark, spans: what the verdicts on a flush say of its documents."""
+
+    def one(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and len(told):
+            no, a, b, first = (np.concatenate([np.asarray(x) for x in told[c]]) for c in ("no", "a", "b", "first"))
+            order = np.argsort(no, kind="stable")
+            no, a, b, first = no[order], a[order], b[order], first[order]
+            for doc, mark, at, nos in zip(rows["doc"], rows["mark"], rows["at"], rows["nos"]):
+                left, right = np.searchsorted(no, nos, "left"), np.searchsorted(no, nos, "right")
+                n = right - left
+                pick = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+                begin = np.repeat(np.asarray(at), n)
+                early = first[pick] < doc
+                if early.any():
+                    start, end = (begin + a[pick])[early], (begin + b[pick] + WINDOW - 1)[early]
+                    out.append((doc, mark, *_union(start, end)))
+        return pd.DataFrame(out, columns=["doc", "mark", "starts", "ends"])
+
+    both = found.groupBy("flush").cogroup(verdicts.groupBy("flush"))
+    return both.applyInPandas(one, "doc long, mark long, starts array<int>, ends array<int>")
+
+
+def _union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs covered by spans; touching ones are one run."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    new = np.append(True, start[1:] > end[:-1])
+    return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,35 +404,25 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def removable(docs: DataFrame, tokens: Tokens, verify: Verifier) -> DataFrame:
-    """doc, mark, spans: of each document the (start, end) tokens that windows of earlier documents cover. docs: from keyed()."""
+    """doc, mark, starts, ends: of each document the runs of tokens that windows of earlier documents cover. docs: from keyed()."""
     spark = docs.sparkSession
     small_batches(spark)
     buckets = 4 * shuffle_partitions(spark)
     recurring = staged(_recurring(docs, tokens, buckets), "recurring")
-    _release(spark)
+    discard(spark)
     slices = staged(_slices(docs.drop("doc_id"), recurring, tokens, buckets), "slices")
-    _release(spark)
-    verdicts = _verdicts(slices.where("kind = 0"), verify)
-    found = slices.where("kind = 1").select("doc", "mark", F.explode(F.arrays_zip("at", "keys")).alias("o")).select("doc", "mark", F.col("o.at").alias("at"), F.col("o.keys").alias("key"))
-    early = F.filter("runs", lambda r: r["first"] < F.col("doc"))
-    spans = F.transform(early, lambda r: F.struct((F.col("at") + r["a"]).alias("start"), (F.col("at") + r["b"] + WINDOW - 1).alias("end")))
-    hit = found.join(verdicts, "key").select("doc", "mark", spans.alias("spans")).where(F.size("spans") > 0)
-    out = staged(hit.groupBy("doc", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    _release(spark)
+    discard(spark, recurring)
+    found = slices.where("kind = 1").select("flush", "doc", "mark", "at", "nos")
+    out = staged(_spans(found, _verdicts(slices.where("kind = 0"), verify)).dropDuplicates(["doc", "mark"]), "spans")
+    del found
+    discard(spark, slices)
     return out
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs (from keyed()) with the spans of each, null where there are none."""
-    return docs.join(spans, ["doc", "mark"], "left").select("doc_id", "text", "spans")
-
-
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal runs covered by the spans; touching ones are one run."""
-    out: list[list[int]] = []
-    for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    """docs (from keyed()) with starts and ends of the spans of each, null where there are none."""
+    return docs.join(spans.hint("merge"), ["doc", "mark"], "left").select("doc_id", "text", "starts", "ends")
+
+
+def runs_of(starts: list[int] | None, ends: list[int] | None) -> list[tuple[int, int]]:
+    return list(zip(starts or (), ends or ()))

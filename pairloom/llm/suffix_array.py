@@ -22,19 +22,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pairloom.llm.repeats import WINDOW, byte_tokens, keyed, merged, removable, with_spans
+from pairloom.llm.repeats import WINDOW, byte_tokens, keyed, removable, runs_of, with_spans
 
 DEPTH = 56
 
 
 def _words(text: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place as one number, zeros beyond the end, for places up to DEPTH beyond it."""
+    """The eight bytes from each place as one number, zeros beyond the end, for places up to DEPTH beyond it; a view."""
     padded = np.concatenate([text, np.zeros(DEPTH + 16, np.uint8)])
-    n = len(text) + DEPTH + 8
-    out = np.zeros(n, np.uint64)
-    for i in range(8):
-        out |= padded[i : i + n].astype(np.uint64) << np.uint64(8 * (7 - i))
-    return out
+    return np.ndarray(len(text) + DEPTH + 8, ">u8", padded, strides=(1,))
+
+
+def _at(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return words[places].astype(np.uint64)
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
@@ -50,8 +50,10 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
 
 
 def _sort_directly(places: np.ndarray, words: np.ndarray) -> np.ndarray:
-    places = places[np.argsort(words[places], kind="stable")]
-    group = np.cumsum(np.append(True, words[places[1:]] != words[places[:-1]])) if len(places) else places
+    key = _at(words, places)
+    order = np.argsort(key, kind="stable")
+    places, key = places[order], key[order]
+    group = np.cumsum(np.append(True, key[1:] != key[:-1])) if len(places) else places
     for depth in range(8, DEPTH, 8):
         tied = np.zeros(len(places), bool)
         same = group[1:] == group[:-1]
@@ -60,7 +62,7 @@ def _sort_directly(places: np.ndarray, words: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(tied)
         if not len(at):
             break
-        key, own = words[places[at] + depth], group[at]
+        key, own = _at(words, places[at] + depth), group[at]
         order = np.lexsort((key, own))
         places[at] = places[at][order]
         key = key[order]
@@ -72,24 +74,32 @@ def _sort_directly(places: np.ndarray, words: np.ndarray) -> np.ndarray:
     return places
 
 
-def suffix_array(text: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
-    """Places of all suffixes of text (bytes) in order of their first DEPTH bytes."""
+def suffix_array(text: np.ndarray, words: np.ndarray | None = None, rising: np.ndarray | None = None, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Places of all suffixes of text (bytes) in order of their first DEPTH bytes.
+
+    rising: smaller_than_next(text), if it is known. wanted: whether each suffix is to be in the array; one that is not
+    rising can only be wanted with its successor.
+    """
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
     words = _words(text) if words is None else words
-    rising = smaller_than_next(text)
-    direct = _sort_directly(np.flatnonzero(rising), words)
+    rising = smaller_than_next(text) if rising is None else rising
+    wanted = np.ones(n, bool) if wanted is None else wanted
+    induced = wanted & ~rising
+    direct = _sort_directly(np.flatnonzero(rising & wanted), words)
     ends = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[text[-1]].append(np.array([n - 1]))
+    if induced[-1]:
+        waiting[text[-1]].append(np.array([n - 1]))
     out = []
     for c in range(256):
         parts, at = waiting[c], 0
         while at < len(parts):  # in this bucket, what stands before an induced suffix may be one as well
             before = parts[at] - 1
             before = before[before >= 0]
-            before = before[(text[before] == c) & ~rising[before]]
+            before = before[induced[before]]
+            before = before[text[before] == c]
             if len(before):
                 parts.append(before)
             at += 1
@@ -99,7 +109,8 @@ def suffix_array(text: np.ndarray, words: np.ndarray | None = None) -> np.ndarra
             continue
         out.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[(text[before] > c) & ~rising[before]]
+        before = before[induced[before]]
+        before = before[text[before] > c]
         if len(before):
             first = text[before]
             order = np.argsort(first, kind="stable")
@@ -107,7 +118,7 @@ def suffix_array(text: np.ndarray, words: np.ndarray | None = None) -> np.ndarra
             cuts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
             for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(first)).tolist()):
                 waiting[first[a]].append(before[a:b])
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def common_prefixes(order: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -115,7 +126,7 @@ def common_prefixes(order: np.ndarray, words: np.ndarray) -> np.ndarray:
     out = np.zeros(len(order), np.int64)
     live = np.arange(1, len(order))
     for depth in range(0, DEPTH, 8):
-        differ = words[order[live] + depth] ^ words[order[live - 1] + depth]
+        differ = _at(words, order[live] + depth) ^ _at(words, order[live - 1] + depth)
         apart = differ != 0
         rest = differ[apart]
         for byte in range(1, 8):
@@ -125,25 +136,32 @@ def common_prefixes(order: np.ndarray, words: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_owners(slices: list[bytes], low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
-    """For every window of every slice the least owner of a slice that has the same window."""
+def first_owners(slices: list[bytes], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of every slice the least owner of a slice that has the same window, and windows per slice."""
     lengths = np.fromiter(map(len, slices), np.int64, len(slices))
     text = np.frombuffer(b"".join(slices), np.uint8)
-    words = _words(text)
-    slice_of = np.repeat(np.arange(len(slices)), lengths)
+    words, rising = _words(text), smaller_than_next(text)
     begins = np.cumsum(lengths) - lengths
-    whole = np.arange(len(text)) - begins[slice_of] <= lengths[slice_of] - WINDOW
-    order = suffix_array(text, words)
+    windows = lengths - WINDOW + 1
+    slice_of = np.repeat(np.arange(len(slices)), lengths)
+    whole = np.arange(len(text)) - begins[slice_of] < windows[slice_of]
+    # Besides windows only what they are induced from is wanted: up to the next suffix that is sorted directly.
+    rises = np.flatnonzero(rising)
+    next_rise = np.append(rises, len(text))[np.searchsorted(rises, begins + windows - 1)]
+    ends = np.zeros(len(text) + 2, np.int64)
+    np.add.at(ends, begins, 1)
+    np.add.at(ends, next_rise + 1, -1)
+    order = suffix_array(text, words, rising, np.cumsum(ends)[: len(text)] > 0)
     order = order[whole[order]]
     first = np.flatnonzero(common_prefixes(order, words) < WINDOW)
     least = np.minimum.reduceat(low[slice_of[order]], first)
     out = np.zeros(len(text), np.int64)
     out[order] = np.repeat(least, np.diff(np.append(first, len(order))))
-    return [out[a : a + n - WINDOW + 1] for a, n in zip(begins.tolist(), lengths.tolist())]
+    return out[whole], windows
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, spans: of every document the byte spans to remove (they may overlap); null where there are none."""
+    """doc_id, text, starts, ends: of every document the runs of bytes to remove; null where there are none."""
     rows = keyed(docs, id_col, text_col)
     return with_spans(rows, removable(rows, byte_tokens, first_owners))
 
@@ -154,8 +172,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
-                raw, runs = text.encode("utf-8", "replace"), merged(spans)
+            for doc, text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "starts", "ends"))):
+                raw, runs = text.encode("utf-8", "replace"), runs_of(starts, ends)
                 kept, at = hashlib.sha256(), 0
                 for a, b in runs:
                     kept.update(raw[at:a])
