@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from pairloom.llm.repeats import GRAM, WINDOW, grams, keyed, removable, runs_of, with_spans, word_tokens
 
-SHARD_PHRASES = 20_000
+SHARD_PHRASES = 1_000
 
 
 def naming_phrase(piece: bytes) -> bytes:

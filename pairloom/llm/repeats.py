@@ -37,7 +37,7 @@ LAST_ID = (1 << 63) - 1
 #: Stands for "several documents" among doc_ids.
 SEVERAL = -(1 << 63)
 #: Names and slices that a map task gathers before it sends them.
-NAMES, SLICE_BYTES = 2_000_000, 64 << 20
+NAMES, SLICE_BYTES = 2_000_000, 32 << 20
 NAME_BITS = 48
 
 _rng = np.random.default_rng(11)
@@ -61,7 +61,7 @@ def word_tokens(text: str):
     from xxhash import xxh3_64_intdigest
 
     words = text.encode("utf-8", "replace").split()
-    if len(_WORDS) > 1_000_000:
+    if len(_WORDS) > 300_000:
         _WORDS.clear()
     for w in set(words).difference(_WORDS):
         _WORDS[w] = xxh3_64_intdigest(w)
