@@ -8,8 +8,9 @@ cap * size / weight.
 
 Blocks. A keyed hash gives each document a place in [0, 1) and cuts its source into blocks, about
 `blocks` in all whatever the size of the input. A source takes whole laps over its blocks, then the
-first blocks of one more lap, the last of them up to a place that brings the words near the target.
-Each (block, lap) taken is a draw, and the draws of a source are its exact quota.
+first blocks of one more lap, the last of them as far as its documents fit, and up to three
+documents more that fill what is then missing. Each (block, lap) taken, whole or in part, is a draw,
+and the draws of a source are its exact quota.
 
 Tree. The root holds every source's quota. A node deals its draws, in a random order, half to each
 child; the counts per source of such a half are a multivariate-hypergeometric draw. After log2(shards)
@@ -92,7 +93,7 @@ def plan(units: DataFrame, shards: int = 16, blocks: int = 4096, weights: tuple[
     """(sources, draws).
 
     sources: source, source_size, target, __blocks (how many it has). draws: source, block and an array of
-    struct(lap, shard, upto); the documents of the block with __place <= upto are taken.
+    struct(lap, shard, from, upto); the documents of the block with __place in that range are taken.
     shards: a power of two.
     """
     if shards < 1 or shards & (shards - 1):
@@ -110,35 +111,45 @@ def plan(units: DataFrame, shards: int = 16, blocks: int = 4096, weights: tuple[
     # need: words of the last lap that are still wanted when it comes to this block.
     sums = staged(sums.select("source", "block", "laps", "need", "words", ((F.col("need") > 0) & (F.col("need") < F.col("words"))).alias("cut")), "blocks")
 
-    # In the one block of a source where the last lap ends, a document is taken if its middle is not beyond the end.
-    ends = sums.where("cut").select(F.col("source").alias("s"), F.col("block").alias("b"), "need")
-    inside = placed.withColumn("block", _block()).join(_small(ends), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    upto_here = Window.partitionBy("s", "b").orderBy("__place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    reached = inside.select("s", "b", "__place", (F.sum("size").over(upto_here) - F.col("size") / 2 <= F.col("need")).alias("taken"))
-    upto = reached.groupBy("s", "b").agg(F.max(F.when(F.col("taken"), F.col("__place"))).alias("upto"))
-
-    # Every lap over every block that is taken, in the source's permuted order.
+    # In the one block of a source where the last lap ends, documents are taken in their order as long as they fit.
+    ends = sums.where("cut").select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("laps").alias("lap"), "need")
+    here = F.col("source").eqNullSafe(F.col("s"))
+    placed = placed.withColumn("block", _block()).select("doc_id", "source", "size", "__place", "block")
+    inside = placed.join(_small(ends), here & (F.col("block") == F.col("b")))
+    upto_here = Window.partitionBy("s", "b").orderBy("__place", "doc_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = inside.select("s", "b", "lap", "need", "size", "__place", (F.sum("size").over(upto_here) <= F.col("need")).alias("fits"))
+    fitting = F.when(F.col("fits"), F.col("size"))
+    edges = reached.groupBy("s", "b", "lap", "need").agg(F.max(F.when(F.col("fits"), F.col("__place"))).alias("upto"), (F.first("need") - F.coalesce(F.sum(fitting), F.lit(0))).alias("gap"))
+    edges = staged(edges, "edges")
+    # What is still missing is filled by single documents beyond that end: twice by the largest that fits, then by the
+    # one whose size comes nearest.
+    beyond = (F.col("block") > F.col("b")) | ((F.col("block") == F.col("b")) & (F.col("__place") > F.coalesce("upto", F.lit(-1.0))))
+    gaps = edges.withColumn("picks", F.array().cast("array<struct<off:double,at:double,block:long>>"))
+    for fits in (True, True, False):
+        off = F.col("gap") - F.col("size")
+        new = ~F.exists("picks", lambda x: x["at"] == F.col("__place"))
+        found = placed.where("size > 0").join(_small(gaps), here).where(beyond & new & (off >= 0 if fits else F.abs(off) < F.col("gap")))
+        found = found.groupBy("s").agg(F.min(F.struct(F.abs(off).cast("double").alias("off"), F.col("__place").alias("at"), "block")).alias("x"))
+        gaps = gaps.join(_small(found.withColumnRenamed("s", "t")), F.col("s").eqNullSafe(F.col("t")), "left").drop("t")
+        picked = F.when(F.col("x").isNull(), F.col("picks")).otherwise(F.array_append("picks", F.col("x")))
+        gaps = staged(gaps.withColumns({"picks": picked, "gap": F.when(F.col("x").isNull(), F.col("gap")).otherwise(F.col("x.off"))}).drop("x"), "gaps")
+    last = gaps.select("s", "lap", F.explode("picks").alias("x"))
+
+    # Every lap over every block that is taken, and what is taken of a block in part, in the source's permuted order.
     whole = (F.col("need") > 0) & ~F.col("cut") & (F.col("words") > 0)
-    taken = sums.join(upto, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").select(
-        "source",
-        "block",
-        F.explode(
-            F.concat(
-                F.transform(F.slice(F.array(*(F.lit(k) for k in range(cap))), F.lit(1), F.col("laps").cast("int")), lambda k: F.struct(k.alias("lap"), F.lit(1.0).alias("upto"))),
-                F.when(whole | F.col("upto").isNotNull(), F.array(F.struct(F.col("laps").cast("int").alias("lap"), F.coalesce("upto", F.lit(1.0)).alias("upto")))).otherwise(
-                    F.array().cast("array<struct<lap:int,upto:double>>")
-                ),
-            )
-        ).alias("d"),
-    )
-    taken = taken.select("source", "block", "d.lap", "d.upto", (F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "source", "block", "d.lap"), "block", "d.lap")) - 1).cast("long").alias("p"))
-    taken = staged(taken, "draws")
+    laps_of = F.slice(F.array(*(F.lit(k) for k in range(cap))), F.lit(1), F.col("laps").cast("int") + whole.cast("int"))
+    everywhere = (F.lit(0.0), F.lit(1.0))
+    taken = sums.select("source", "block", F.explode(laps_of).alias("lap"), *(c.alias(n) for c, n in zip(everywhere, ("from", "upto"))))
+    taken = taken.unionByName(edges.where("upto is not null").select(F.col("s").alias("source"), F.col("b").alias("block"), F.col("lap").cast("int").alias("lap"), F.lit(0.0).alias("from"), "upto"))
+    taken = taken.unionByName(last.select(F.col("s").alias("source"), F.col("x.block").alias("block"), F.col("lap").cast("int").alias("lap"), F.col("x.at").alias("from"), F.col("x.at").alias("upto")))
+    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "source", "block", "lap", "from"), "block", "lap", "from")
+    taken = staged(taken.withColumn("p", (F.row_number().over(order) - 1).cast("long")), "draws")
 
     leaves = _tree(taken.groupBy("source").agg(F.count(F.lit(1)).alias("quota")), shards.bit_length() - 1, seed)
     upper = F.sum("quota").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
     dealt = leaves.select(F.col("source").alias("s"), "shard", "quota", upper.alias("upper")).select("s", F.col("shard").cast("int").alias("shard"), F.explode(F.sequence(F.col("upper") - F.col("quota"), F.col("upper") - 1)).alias("q"))
     draws = taken.join(dealt, F.col("source").eqNullSafe(F.col("s")) & (F.col("p") == F.col("q")))
-    draws = draws.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("lap", "shard", "upto"))).alias("draws"))
+    draws = draws.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("lap", "shard", "from", "upto"))).alias("draws"))
     return sources, staged(draws, "plan")
 
 
@@ -148,7 +159,7 @@ def _planned(rows: DataFrame, sources: DataFrame, draws: DataFrame, source: str)
     d = _small(draws.select(F.col("source").alias("__d"), F.col("block").alias("__b"), F.col("draws").alias("__draws")))
     rows = rows.join(s, F.col(source).eqNullSafe(F.col("__s")), "left").withColumn("__block", _block())
     rows = rows.join(d, F.col(source).eqNullSafe(F.col("__d")) & (F.col("__block") == F.col("__b")), "left")
-    held = F.filter(F.coalesce("__draws", F.array().cast("array<struct<lap:int,shard:int,upto:double>>")), lambda x: F.col("__place") <= x["upto"])
+    held = F.filter(F.coalesce("__draws", F.array().cast("array<struct<lap:int,shard:int,from:double,upto:double>>")), lambda x: F.col("__place").between(x["from"], x["upto"]))
     return rows.withColumn("__draws", held).drop("__s", "__d", "__b", "__block", "__blocks", "__place")
 
 
