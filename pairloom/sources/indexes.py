@@ -95,7 +95,7 @@ CAPTURE_NAME = r"^(\d{8})_([A-Za-z0-9]+)_(?:[A-Za-z0-9]+_)*(\d{1,2})$"
 
 
 def capture_name(path: Column) -> Column:
-    """person, capture and position number (frgp) of a name like 00002301_R_500_slap_02; null for other names and positions outside 1 to 10."""
+    """person, capture and position number (frgp) of a name like 10000005_R_500_slap_02; null for other names and positions outside 1 to 10."""
     name = stem(path)
     frgp = F.regexp_extract(name, CAPTURE_NAME, 3)
     number = F.when(frgp != "", frgp).cast("int")

@@ -20,12 +20,12 @@ def test_index_order_and_names(spark, tmp_path):
 
 
 def test_file_names(spark):
-    paths = ["/x/FVC1/12_3.tif", "/x/odd.png", "/x/7__M_Left_ring_finger_CR.BMP", "/x/00002301_r_500_slap_02.png", "/x/00002301_R_500_slap_13.png"]
+    paths = ["/x/DB1/12_3.tif", "/x/odd.png", "/x/7__M_Left_ring_finger_CR.BMP", "/x/10000005_r_500_slap_02.png", "/x/10000005_R_500_slap_13.png"]
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     got = df.select(indexes.impression_name(F.col("path")).alias("a"), indexes.subject_name(F.col("path")).alias("b"), indexes.capture_name(F.col("path")).alias("c")).collect()
     assert tuple(got[0].a) == ("12", "3") and tuple(got[1].a) == ("odd", "0")
     assert tuple(got[2].b) == ("7", "M", "Left", "ring", "CR") and got[1].b is None
-    assert tuple(got[3].c) == ("00002301", "R", 2) and got[4].c is None
+    assert tuple(got[3].c) == ("10000005", "R", 2) and got[4].c is None
     places = spark.range(1, 11).withColumnRenamed("id", "frgp").select("frgp", indexes.frgp_position().alias("p"), indexes.frgp_hand().alias("h"), indexes.frgp_finger().alias("f")).collect()
     assert [r.p for r in places] == [5, 6, 7, 8, 9, 0, 1, 2, 3, 4]
     assert (places[0].h, places[0].f, places[9].h, places[9].f) == ("Right", "thumb", "Left", "little")
@@ -61,9 +61,9 @@ def test_groups_verdicts_and_errata(spark, tmp_path):
     groups = files.read_groups(spark, str(tmp_path / "g.json"))
     tags = spark.createDataFrame([(t,) for t in "abcdefg"], "tag string")
     assert sorted(r.tag for r in files.without_later_copies(tags, groups, ["tag"]).collect()) == ["a", "d", "f", "g"]
-    lines = ["segmented slap thumb for 00002420, device R were swapped", "00002361, Device V", "see 00002480_6E_500.png and 00002481_r_1.png", "nothing 123"]
+    lines = ["both thumbs of 10000001, device R are exchanged", "10000002, Device V", "see 10000003_6E_500.png and 10000004_r_1.png", "nothing 123"]
     got = files.errata(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
-    assert {(r.person, r.capture) for r in got} == {("00002420", "R"), ("00002361", "V"), ("00002480", "6E"), ("00002481", "R")}
+    assert {(r.person, r.capture) for r in got} == {("10000001", "R"), ("10000002", "V"), ("10000003", "6E"), ("10000004", "R")}
     log = str(tmp_path / "log" / "v.jsonl")
     (tmp_path / "log").mkdir()
     for verdict, at in (("same", 1), ("other", 2)):
