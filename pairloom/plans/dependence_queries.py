@@ -335,7 +335,7 @@ LOW, HIGH = binomial_interval(0.95, SETS, LEVEL)
     o AS (SELECT set_no, homologous - cross_ AS s FROM {means_sql('d', ['set_no'])}), zd AS {z_sql('(SELECT set_no, person, position, z AS v FROM d)', 'set_no, position', 'v')},
     n AS (SELECT set_no, homologous - cross_ AS s FROM {null_sql('zd', ['set_no'], 19, 'calibrate')}),
     p AS (SELECT set_no, (count_if(n.s >= o.s) + 1) / (count(*) + 1) AS p FROM o JOIN n USING (set_no) GROUP BY 1)
-    SELECT count(*) AS sets, count_if(p <= {LEVEL}) AS rejected, count_if(p <= {LEVEL}) BETWEEN {LOW} AND {HIGH} AS calibrated FROM p""")
+    SELECT count(*) AS sets, CAST(count_if(p <= {LEVEL}) AS BIGINT) AS rejected, count_if(p <= {LEVEL}) BETWEEN {LOW} AND {HIGH} AS calibrated FROM p""")
 def calibration(spark, sf_dir):
     p = resample.calibration(whole(spark, sf_dir, "AF"), SETS, 19, LEVEL)
     rejected = F.count_if(F.col("p") <= LEVEL)

@@ -28,7 +28,7 @@ def axial_mean(spark, sf_dir):
     return m.select("image", "n", F.round("direction", 6).alias("direction"), F.round("coherence", 9).alias("coherence"), F.round("curved", 9).alias("curved"))
 
 
-@query(f"""WITH {BLOCKS} SELECT image, count_if(dir >= 0 AND quality > 0) AS area, count_if(curved = 1) AS minutiae, count_if(curved = 1 AND quality * 7 >= 20) AS good,
+@query(f"""WITH {BLOCKS} SELECT image, CAST(count_if(dir >= 0 AND quality > 0) AS BIGINT) AS area, CAST(count_if(curved = 1) AS BIGINT) AS minutiae, CAST(count_if(curved = 1 AND quality * 7 >= 20) AS BIGINT) AS good,
     CASE WHEN count_if(dir >= 0 AND quality > 0) > 0 THEN round(count_if(curved = 1 AND quality * 7 >= 20) / count_if(dir >= 0 AND quality > 0), 9) END AS density FROM b GROUP BY 1""")
 def density(spark, sf_dir):
     b = blocks(spark, sf_dir)
@@ -37,7 +37,7 @@ def density(spark, sf_dir):
 
 
 @query(f"""WITH {BLOCKS}, p AS (SELECT image, r, c, (r * 31 + c * 17 + dir * 7 + k * 5) % 256 AS grey FROM v, (SELECT unnest(range(4)) AS k))
-    SELECT b.image, count_if(dir >= 0 AND quality > 0) AS n, round(avg(quality) FILTER (dir >= 0 AND quality > 0), 9) AS quality, round(coalesce(max(g.contrast), 0), 6) AS contrast
+    SELECT b.image, CAST(count_if(dir >= 0 AND quality > 0) AS BIGINT) AS n, round(avg(quality) FILTER (dir >= 0 AND quality > 0), 9) AS quality, round(coalesce(max(g.contrast), 0), 6) AS contrast
     FROM b LEFT JOIN (SELECT image, stddev_pop(grey) AS contrast FROM p GROUP BY 1) g ON g.image = b.image GROUP BY 1""")
 def contrast(spark, sf_dir):
     b = blocks(spark, sf_dir)

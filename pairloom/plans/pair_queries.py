@@ -76,7 +76,7 @@ def pair_class3_counts(spark, sf_dir):
     return classed(spark, sf_dir, [similarity]).groupBy("pair_class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {CLASSED} SELECT count(*) AS n, count_if(similarity >= 70) AS similar, count_if(closeness >= 35) AS close FROM p WHERE pair_class = 'artefact' AND least(source_i, source_j) = 0 AND greatest(source_i, source_j) = 1")
+@query(f"WITH {CLASSED} SELECT count(*) AS n, CAST(count_if(similarity >= 70) AS BIGINT) AS similar, CAST(count_if(closeness >= 35) AS BIGINT) AS close FROM p WHERE pair_class = 'artefact' AND least(source_i, source_j) = 0 AND greatest(source_i, source_j) = 1")
 def source_pair_artefacts(spark, sf_dir):
     e = pairs.of_sources(classed(spark, sf_dir).where("pair_class = 'artefact'"), 0, 1)
     return e.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("similarity >= 70")).alias("similar"), F.count_if(F.expr("closeness >= 35")).alias("close"))
@@ -126,8 +126,8 @@ def percentile_cont_by_class(spark, sf_dir):
     return s.select("pair_class", "n", *(F.round(c, 6).alias(c) for c in ("p50", "p90", "p99", "p99_9")), "top")
 
 
-@query(f"""WITH {CLASSED} SELECT pair_class, count(*) AS n, count_if(closeness >= 30) AS n_ge_30, round(count_if(closeness >= 30) / count(*), 9) AS share_ge_30,
-    count_if(closeness >= 40) AS n_ge_40, round(count_if(closeness >= 40) / count(*), 9) AS share_ge_40, round(avg(CASE WHEN closeness < 30 THEN 1.0 ELSE 0.0 END), 9) AS missed FROM p GROUP BY 1""")
+@query(f"""WITH {CLASSED} SELECT pair_class, count(*) AS n, CAST(count_if(closeness >= 30) AS BIGINT) AS n_ge_30, round(count_if(closeness >= 30) / count(*), 9) AS share_ge_30,
+    CAST(count_if(closeness >= 40) AS BIGINT) AS n_ge_40, round(count_if(closeness >= 40) / count(*), 9) AS share_ge_40, round(avg(CASE WHEN closeness < 30 THEN 1.0 ELSE 0.0 END), 9) AS missed FROM p GROUP BY 1""")
 def tail_counts(spark, sf_dir):
     s = tails.summary(classed(spark, sf_dir), ["pair_class"], "closeness", (30, 40))
     return s.select("pair_class", "n", "n_ge_30", F.round("share_ge_30", 9).alias("share_ge_30"), "n_ge_40", F.round("share_ge_40", 9).alias("share_ge_40"), F.round(1 - F.col("share_ge_30"), 9).alias("missed"))
@@ -252,7 +252,7 @@ def body_class_distribution(spark, sf_dir):
 
 
 @query(f"""WITH {BODIES.replace('AS (SELECT similarity, person_i', 'AS (SELECT similarity, closeness, person_i IN (3, 7) OR person_j IN (3, 7) AS out_, person_i')}
-    SELECT state, scorer, count(*) AS n, count_if(same) AS same_body, count_if(score >= 35) AS n_ge_35 FROM (
+    SELECT state, scorer, count(*) AS n, CAST(count_if(same) AS BIGINT) AS same_body, CAST(count_if(score >= 35) AS BIGINT) AS n_ge_35 FROM (
         SELECT s.state, t.scorer, same, CASE WHEN t.scorer = 'similarity' THEN similarity ELSE closeness END AS score FROM bc, (SELECT unnest(['all', 'kept']) AS state) s, (SELECT unnest(['similarity', 'closeness']) AS scorer) t
         WHERE s.state = 'all' OR NOT out_) GROUP BY 1, 2""")
 def before_after_exclusion(spark, sf_dir):
