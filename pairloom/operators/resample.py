@@ -31,6 +31,21 @@ def permutation_null(df: DataFrame, n: int, seed: str = "null", by: tuple[str, .
     return dependence.class_means(dependence.information(dependence.correlations(dealt, [*by, "iter"])), [*by, "iter"])
 
 
+def information_null(df: DataFrame, n: int, seed: str = "null", value: str = "value") -> DataFrame:
+    """iter, tc, oinfo under independent permutations; each iteration's matrix is one small group."""
+    scored = dependence.copula(df, ["position"], value).select("person", "position", "z")
+    dealt = shuffled_positions(iterations(scored, n), ["iter"], seed)
+    return dependence.matrix_information(dependence.correlations(dealt, ["iter"]), ["iter"]).select("iter", "tc", "oinfo")
+
+
+def pointwise_agreement(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, rho: rank correlation over people of the pointwise total correlation of two copula tables (z)."""
+    from pairloom.operators.tails import spearman
+
+    first, second = (dependence.pointwise_total_correlation(x, by).withColumnRenamed("tc", n) for x, n in ((a, "ta"), (b, "tb")))
+    return spearman(first.join(second, [*by, "person"]), by, "ta", "tb")
+
+
 def empirical_p(null: DataFrame, observed: DataFrame, by: list[str], statistic: str, two_sided: bool = False) -> DataFrame:
     """by, observed, n, p: (null values at least as great + 1) / (n + 1)."""
     size = (lambda c: F.abs(c)) if two_sided else (lambda c: c)

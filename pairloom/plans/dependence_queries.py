@@ -246,6 +246,23 @@ def perm_null_s(spark, sf_dir):
     return null.select("iter", F.round("s", 9).alias("s"))
 
 
+@query()
+def perm_null_information(spark, sf_dir):
+    null = resample.information_null(whole(spark, sf_dir, "AF"), ITER)
+    return null.select("iter", F.round("tc", 9).alias("tc"), F.round("oinfo", 9).alias("oinfo"))
+
+
+@query()
+def pointwise_agreement(spark, sf_dir):
+    """Rank agreement between the value's and the quality's pointwise total correlation, observed and permuted."""
+    df = whole(spark, sf_dir, "AF")
+    tables = [dependence.copula(df, ["position"], v).select("person", "position", "z") for v in ("value", "quality")]
+    seen = [t.withColumn("iter", F.lit(-1)) for t in tables]
+    dealt = [resample.shuffled_positions(resample.iterations(t, 5), ["iter"], s) for t, s in zip(tables, ("a", "b"))]
+    both = [o.unionByName(d.select(o.columns)) for o, d in zip(seen, (d.withColumn("person", F.col("person").cast("long")) for d in dealt))]
+    return resample.pointwise_agreement(*both, ["iter"]).select("iter", "n", F.round("rho", 9).alias("rho"))
+
+
 @query(f"""WITH {OBS}, z AS {z_sql('whole', 'capture, position')}, o AS (SELECT capture, homologous - cross_ AS s FROM {means_sql('z', ['capture'])}),
     n AS (SELECT capture, homologous - cross_ AS s FROM {null_sql('z', ['capture'], ITER, 'null')})
     SELECT capture, round(o.s, 9) AS observed, count(*) AS n, round((count_if(n.s >= o.s) + 1) / (count(*) + 1), 9) AS p, (count_if(n.s >= o.s) + 1) / (count(*) + 1) < 0.01 AS significant FROM o JOIN n USING (capture) GROUP BY 1, o.s""")
