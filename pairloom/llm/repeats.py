@@ -8,7 +8,10 @@ of every document, the smallest doc_id in which the same window starts.
    name, about one for 18 tokens. Names travel in packed blocks, one for each map task and bucket; a
    name that a task has in several documents leaves it once. A name of one document only is done with:
    its windows recur nowhere else.
-2. Slices. A run of windows whose name recurs is cut out with its tokens. Each map task sends each
+   A name with very many distinct surroundings (a line that a third of all documents have, say) is
+   crowded, and the answer says so to every task that has it.
+2. Slices. A run of windows whose name recurs is cut out with its tokens; of a crowded name every
+   window is cut out for itself, and goes by its own content. Each map task sends each
    distinct slice once, with the least and greatest doc_id it has it from, and notes where it occurs.
 3. Verdicts. All slices of a name meet in one bucket, where a verifier (a suffix array, or automata)
    compares them by content and tells for each slice from which doc_id its windows come first.
@@ -38,7 +41,12 @@ LAST_ID = (1 << 63) - 1
 SEVERAL = -(1 << 63)
 #: Names and slices that a map task gathers before it sends them.
 NAMES, SLICE_BYTES = 2_000_000, 32 << 20
-NAME_BITS = 48
+#: Bits of a name, and the bit that marks a crowded one.
+NAME_BITS = 47
+CROWDED = 1 << NAME_BITS
+PACKED = (NAME_BITS + 1) // 8
+#: A name is crowded that has more distinct slices than this, and more than PER_TASK for each task that has it.
+SLICES_OF_NAME, PER_TASK = 2_000, 4
 
 _rng = np.random.default_rng(11)
 BYTE_HASHES = _rng.integers(0, 1 << 63, 256, np.uint64)
@@ -87,13 +95,16 @@ def grams(hashes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def name_runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first window, last window) of every run of windows with one name."""
+def name_runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, first window, last window, hash of the ends) of every run of windows with one name."""
     if len(hashes) < WINDOW:
-        return (np.zeros(0, np.int64),) * 3
-    least = _sliding_min(grams(hashes), WINDOW - GRAM + 1)
+        return (np.zeros(0, np.int64),) * 4
+    pieces = grams(hashes)
+    least = _sliding_min(pieces, WINDOW - GRAM + 1)
     first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    return (least[first] & np.uint64((1 << NAME_BITS) - 1)).view(np.int64), first, np.append(first[1:], len(least)) - 1
+    last = np.append(first[1:], len(least)) - 1
+    ends = (pieces[first] * MIX ^ pieces[last + WINDOW - GRAM]).view(np.int64)
+    return (least[first] & np.uint64(CROWDED - 1)).view(np.int64), first, last, ends
 
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, list[list]]]:
@@ -118,63 +129,65 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[t
 
 
 def _pack(names: np.ndarray, docs: np.ndarray) -> bytes:
-    """Pairs of names and docs, by doc: number of docs, docs, names of each, 6 bytes of each name."""
+    """Pairs of names and docs, by doc: number of docs, docs, names of each, PACKED bytes of each name."""
     order = np.argsort(docs, kind="stable")
     names, docs = names[order], docs[order]
     ids, counts = np.unique(docs, return_counts=True)
-    return b"".join([np.int64(len(ids)).tobytes(), ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), np.ascontiguousarray(names.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : NAME_BITS // 8]).tobytes()])
+    return b"".join([np.int64(len(ids)).tobytes(), ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), np.ascontiguousarray(names.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :PACKED]).tobytes()])
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(block, "<i8", 1)[0])
     ids, counts = np.frombuffer(block, "<i8", n, 8), np.frombuffer(block, "<u4", n, 8 + 8 * n)
-    six = np.frombuffer(block, np.uint8, offset=8 + 12 * n).reshape(-1, NAME_BITS // 8)
-    names = np.zeros((len(six), 8), np.uint8)
-    names[:, : NAME_BITS // 8] = six
+    packed = np.frombuffer(block, np.uint8, offset=8 + 12 * n).reshape(-1, PACKED)
+    names = np.zeros((len(packed), 8), np.uint8)
+    names[:, :PACKED] = packed
     return names.view("<i8").ravel(), np.repeat(ids, counts)
 
 
-def _recurring(docs: DataFrame, tokens: Tokens, buckets: int) -> DataFrame:
-    """doc, names: of each document the names that another document has as well (packed longs).
+def _recurring(docs: DataFrame, tokens: Tokens, buckets: int, crowd: int) -> DataFrame:
+    """doc, names: of each document the names that another document has as well (packed longs), crowded ones marked.
 
-    A task sends its names to their buckets and is answered, bucket by bucket, which of them recur.
+    A task sends its names to their buckets and is answered, bucket by bucket, which of them recur and
+    which are crowded.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         names: list[np.ndarray] = []
+        ends: list[np.ndarray] = []
         ids: list[int] = []
         flush_id = TaskContext.get().partitionId() << 24
 
         def flush():
             lengths = np.fromiter(map(len, names), np.int64, len(names))
-            n, d = np.concatenate(names), np.repeat(np.array(ids, np.int64), lengths)
-            names.clear()
-            ids.clear()
-            order = np.argsort(n, kind="stable")
-            n, d = n[order], d[order]
-            first = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
+            n, e, d = np.concatenate(names), np.concatenate(ends), np.repeat(np.array(ids, np.int64), lengths)
+            for held in (names, ends, ids):
+                held.clear()
+            order = np.lexsort((e, n))
+            n, e, d = n[order], e[order], d[order]
+            begins = np.append(True, n[1:] != n[:-1])
+            first = np.flatnonzero(begins)
             several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+            slices = np.add.reduceat(begins | np.append(True, e[1:] != e[:-1]), first, dtype=np.int64)
             known = np.repeat(several, np.diff(np.append(first, len(n))))
-            out = [(flush_id % buckets, None, _pack(n[known], d[known]))]
+            out = [(flush_id % buckets, None, None, _pack(n[known], d[known]))]
             ask, owner = n[first], np.where(several, SEVERAL, d[first])
-            to = ask % buckets
-            order = np.argsort(to, kind="stable")
-            ask, owner, to = ask[order], owner[order], to[order]
-            cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-            for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(to)).tolist()):
-                out.append((int(to[a]), _pack(ask[a:b], owner[a:b]), None))
+            for bucket, k in _parts(ask % buckets):
+                k = k[np.argsort(owner[k], kind="stable")]
+                out.append((bucket, _pack(ask[k], owner[k]), slices[k].astype("<u4").tobytes(), None))
             for at in range(0, len(out), 500):
-                bucket, asked, told = zip(*out[at : at + 500])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array([flush_id] * len(bucket), pa.int64()), pa.array(asked, pa.binary()), pa.array(told, pa.binary())], ["bucket", "flush", "asked", "told"])
+                bucket, *blocks = zip(*out[at : at + 500])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array([flush_id] * len(bucket), pa.int64()), *(pa.array(x, pa.binary()) for x in blocks)], ["bucket", "flush", "asked", "slices", "told"])
 
         total = 0
         for batch in batches:
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-                found = np.unique(name_runs(tokens(text)[0])[0])
+                found, _, _, end = name_runs(tokens(text)[0])
                 if len(found):
                     names.append(found)
+                    ends.append(end)
                     ids.append(doc)
                     total += len(found)
                 if total >= NAMES:
@@ -184,17 +197,22 @@ def _recurring(docs: DataFrame, tokens: Tokens, buckets: int) -> DataFrame:
             yield from flush()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (flushes, asked, told) in _groups(batches, ["flush", "asked", "told"]):
+        for _, (flushes, asked, slices, told) in _groups(batches, ["flush", "asked", "slices", "told"]):
             out = [(f, t) for f, t in zip(flushes, told) if t is not None]
-            asking = [(f, *_unpack(x)) for f, x in zip(flushes, asked) if x is not None]
+            asking = [(f, *_unpack(x), np.frombuffer(c, "<u4")) for f, x, c in zip(flushes, asked, slices) if x is not None]
             if asking:
-                n, d = (np.concatenate([x[k] for x in asking]) for k in (1, 2))
+                n, d, c = (np.concatenate([x[k] for x in asking]) for k in (1, 2, 3))
                 f = np.repeat([x[0] for x in asking], [len(x[1]) for x in asking])
                 order = np.argsort(n, kind="stable")
-                n, d, f = n[order], d[order], f[order]
+                n, d, c, f = n[order], d[order], c[order], f[order]
                 first = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
+                asks = np.diff(np.append(first, len(n)))
                 low, high = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
-                hit = np.repeat((low != high) | (low == SEVERAL), np.diff(np.append(first, len(n)))) & (d != SEVERAL)
+                recurs = (low != high) | (low == SEVERAL)
+                crowded = recurs & ((np.add.reduceat(c, first, dtype=np.int64) > np.maximum(crowd, PER_TASK * asks)) | (crowd == 0))
+                n = n + np.repeat(crowded, asks) * CROWDED
+                # A task knows that what several of its documents have recurs, but not that it is crowded.
+                hit = np.repeat(recurs, asks) & ((d != SEVERAL) | np.repeat(crowded, asks))
                 out += [(flush, _pack(n[hit][k], d[hit][k])) for flush, k in _parts(f[hit])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "told"])
@@ -202,6 +220,9 @@ def _recurring(docs: DataFrame, tokens: Tokens, buckets: int) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (told,) in _groups(batches, ["told"]):
             n, d = (np.concatenate(x) for x in zip(*map(_unpack, told)))
+            crowded = n[d == SEVERAL] - CROWDED
+            n, d = n[d != SEVERAL], d[d != SEVERAL]
+            n = n + np.isin(n, crowded) * CROWDED
             parts = [(doc, n[k].tobytes()) for doc, k in _parts(d)]
             for at in range(0, len(parts), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in parts[at : at + 5000]], pa.int64()), pa.array([x[1] for x in parts[at : at + 5000]], pa.binary())], ["doc", "names"])
@@ -209,7 +230,7 @@ def _recurring(docs: DataFrame, tokens: Tokens, buckets: int) -> DataFrame:
     def by_bucket(df: DataFrame) -> DataFrame:
         return df.repartition("bucket").sortWithinPartitions("bucket")
 
-    sent = docs.select("doc", "text").mapInArrow(send, "bucket long, flush long, asked binary, told binary")
+    sent = docs.select("doc", "text").mapInArrow(send, "bucket long, flush long, asked binary, slices binary, told binary")
     answers = by_bucket(sent).mapInArrow(answer, "bucket long, told binary")  # bucket: now the flush that has asked
     told = by_bucket(answers).mapInArrow(gather, "doc long, names binary")
     return told.groupBy("doc").agg(F.collect_list("names").alias("names"))
@@ -254,6 +275,7 @@ def _slices(docs: DataFrame, recurring: DataFrame, tokens: Tokens, buckets: int)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
+        from xxhash import xxh3_64_intdigest
 
         flush_id = TaskContext.get().partitionId() << 24
         number: dict[bytes, int] = {}
@@ -282,17 +304,30 @@ def _slices(docs: DataFrame, recurring: DataFrame, tokens: Tokens, buckets: int)
             docs_, marks, ats, nos = [], [], [], []
             for doc, text, mark, known in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "mark", "names"))):
                 hashes, piece = tokens(text)
-                names, first, last = name_runs(hashes)
-                wanted = np.sort(np.frombuffer(b"".join(known), "<i8"))
+                names, first, last, _ = name_runs(hashes)
+                wanted = np.frombuffer(b"".join(known), "<i8")
+                marks_ = wanted >= CROWDED
+                wanted = np.sort(wanted - marks_ * CROWDED)
                 keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, names), len(wanted) - 1)] == names)
-                own, at = [], first[keep]
-                for bucket, a, b in zip((names[keep] % buckets).tolist(), at.tolist(), (last[keep] + WINDOW).tolist()):
+                names, first, last = names[keep], first[keep], last[keep]
+                if marks_.any():
+                    # A crowded name's windows go each by its own content, so that they meet in many buckets.
+                    alone = np.isin(names, np.frombuffer(b"".join(known), "<i8")[marks_] - CROWDED)
+                    n = np.where(alone, last - first + 1, 1)
+                    begin = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    alone, names, last = np.repeat(alone, n), np.repeat(names, n), np.where(np.repeat(alone, n), begin, np.repeat(last, n))
+                    first = begin
+                    to_bucket = np.where(alone, -1, names % buckets)
+                else:
+                    to_bucket = names % buckets
+                own, at = [], first
+                for bucket, a, b in zip(to_bucket.tolist(), first.tolist(), (last + WINDOW).tolist()):
                     s = piece(a, b)
                     if (n := number.get(s)) is None:
                         n = number[s] = len(low)
                         low.append(doc)
                         high.append(doc)
-                        to.append(bucket)
+                        to.append(bucket if bucket >= 0 else xxh3_64_intdigest(s) % buckets)
                         size += len(s) + 200
                     elif doc < low[n]:
                         low[n] = doc
@@ -403,12 +438,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
 
-def removable(docs: DataFrame, tokens: Tokens, verify: Verifier) -> DataFrame:
+def removable(docs: DataFrame, tokens: Tokens, verify: Verifier, crowd: int = SLICES_OF_NAME) -> DataFrame:
     """doc, mark, starts, ends: of each document the runs of tokens that windows of earlier documents cover. docs: from keyed()."""
     spark = docs.sparkSession
     small_batches(spark)
     buckets = 4 * shuffle_partitions(spark)
-    recurring = staged(_recurring(docs, tokens, buckets), "recurring")
+    recurring = staged(_recurring(docs, tokens, buckets, crowd), "recurring")
     discard(spark)
     slices = staged(_slices(docs.drop("doc_id"), recurring, tokens, buckets), "slices")
     discard(spark, recurring)

@@ -61,12 +61,32 @@ def test_long_texts(make_docs, odd):
     assert rows[7].n_removed == rows[7].n_words == 60_000 and rows[6].n_removed == 0
 
 
-def test_flushes_do_not_matter(make_docs, prose, monkeypatch):
+def test_tasks_do_not_matter(make_docs, prose):
     rows = [tuple(r) for r in suffix_array.suffix_dedup(make_docs(prose)).collect()]
     wide = [tuple(r) for r in suffix_array.suffix_dedup(make_docs(prose).repartition(9)).collect()]
     assert sorted(rows) == sorted(wide)
 
 
+@pytest.mark.parametrize("tokens", ["bytes", "words"])
+@pytest.mark.parametrize("crowd", [0, 40])
+def test_crowded_names(make_docs, tokens, crowd):
+    """A passage in many different surroundings; crowd 0 makes every name crowded, 40 that passage's ends."""
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    line = " ".join(word() for _ in range(60))
+    rows = [(k, " ".join([*(word() for _ in range(60)), line, *(word() for _ in range(60))])) for k in range(120)]
+    docs = repeats.keyed(make_docs(rows).coalesce(2))
+    split, verify = (repeats.byte_tokens, suffix_array.first_owners) if tokens == "bytes" else (repeats.word_tokens, phrases.first_owners)
+    spans = {r.doc: list(zip(r.starts, r.ends)) for r in repeats.removable(docs, split, verify, crowd).collect()}
+    units = (lambda t: t.encode()) if tokens == "bytes" else (lambda t: t.split(" "))
+    for (k, t), gone in zip(rows, removed_by_hand(rows, units)):
+        got = np.zeros(len(units(t)), bool)
+        for a, b in spans.get(k, []):
+            got[a:b] = True
+        assert (got == gone).all()
+        assert k == 0 or gone.any()
+
+
 def test_empty(make_docs):
     empty = make_docs([(1, "a")]).limit(0)
     assert suffix_array.suffix_dedup(empty).count() == 0 and phrases.phrase_dedup(empty).count() == 0
@@ -95,7 +115,7 @@ def test_names_depend_on_the_window_alone():
     names = []
     for _ in range(2):
         own = np.concatenate([rng.integers(0, 1 << 63, rng.integers(5, 90), np.uint64), shared, rng.integers(0, 1 << 63, 30, np.uint64)])
-        name, first, last = repeats.name_runs(own)
+        name, first, last, _ = repeats.name_runs(own)
         at = len(own) - 30 - 80
         each = np.repeat(name, last - first + 1)
         names.append(each[at : at + 31].tolist())
