@@ -86,4 +86,26 @@ SQL: dict[str, str] = {
                sha256(t) AS text_sha256
         FROM d
     """,
+    "op9_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        w AS (SELECT doc_id, p, raw[p + 1 : p + 50] AS k FROM d, unnest(range(0, n - 49)) AS t(p)),
+        f AS (SELECT k, min(doc_id) AS first FROM w GROUP BY k),
+        h AS (SELECT doc_id, p FROM w JOIN f USING (k) WHERE first < doc_id),
+        i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM h)),
+        s AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, island),
+        g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM s),
+        k AS (SELECT g.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(hex(raw[since + 1 : a]), '' ORDER BY a) AS head FROM g JOIN d USING (doc_id) GROUP BY g.doc_id)
+        SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(head, '') || hex(raw[coalesce(last, 0) + 1 : n]))) AS kept_sha256
+        FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+    """,
+    "op10_phrase_automata_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        w AS (SELECT doc_id, p, array_to_string(words[p : p + 49], ' ') AS k FROM d, unnest(range(1, len(words) - 48)) AS t(p)),
+        f AS (SELECT k, min(doc_id) AS first FROM w GROUP BY k),
+        g AS (SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, unnest(range(p, p + 50)) AS q FROM w JOIN f USING (k) WHERE first < doc_id) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+    """,
 }
