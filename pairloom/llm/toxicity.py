@@ -211,12 +211,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
             keep = [s for s in parts if y[s : s + SEGMENT].any()][:8]
             clean = [s for s in parts if not y[s : s + SEGMENT].any()]
             keep += [clean[zlib.crc32(text.encode("utf-8", "replace")) % len(clean)]] if clean else []
-            out.append([np.column_stack([f[s : s + SEGMENT], y[s : s + SEGMENT]]).ravel().tolist() for s in keep])
+            out.append([np.column_stack([f[s : s + SEGMENT], y[s : s + SEGMENT]]).astype("<i4").tobytes() for s in keep])
         return [out]
 
-    got = map_texts(picked, segments, "doc_id long, s array<array<int>>", also=("label",)).collect()
-    chains = [np.array(s).reshape(-1, PER_WORD + 1) for r in sorted(got, key=lambda r: (r["doc_id"], r["s"])) for s in r["s"] if s]
-    features = np.zeros((SEGMENT, len(chains), PER_WORD), np.int64)
+    got = map_texts(picked, segments, "doc_id long, s array<binary>", also=("label",)).collect()
+    chains = [np.frombuffer(s, "<i4").reshape(-1, PER_WORD + 1) for r in sorted(got, key=lambda r: (r["doc_id"], r["s"])) for s in r["s"] if s]
+    features = np.zeros((SEGMENT, len(chains), PER_WORD), np.int32)
     y, mask = np.zeros(features.shape[:2]), np.zeros(features.shape[:2], bool)
     for k, c in enumerate(chains):
         features[: len(c), k], y[: len(c), k], mask[: len(c), k] = c[:, :-1], c[:, -1], True
