@@ -164,13 +164,13 @@ def o_information(r: np.ndarray) -> float:
 
 
 def matrix_information(rhos: DataFrame, by: list[str]) -> DataFrame:
-    """by, k, tc, oinfo, logdet, inverse (rows of the inverse matrix) of each group's correlation matrix, at most 45 rows."""
+    """by, k, tc, oinfo, logdet, inverse (rows of the inverse matrix, or of its pseudo-inverse with fewer people than positions) of each group's correlation matrix, at most 45 rows."""
     kinds = dict(rhos.dtypes)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         r = _matrix(pdf)
         row = {b: [pdf[b].iloc[0]] for b in by}
-        return pd.DataFrame(row | {"k": [len(r)], "tc": [total_correlation(r)], "oinfo": [o_information(r)], "logdet": [log_determinant(r)], "inverse": [np.linalg.inv(r).tolist()]})
+        return pd.DataFrame(row | {"k": [len(r)], "tc": [total_correlation(r)], "oinfo": [o_information(r)], "logdet": [log_determinant(r)], "inverse": [np.linalg.pinv(r, hermitian=True).tolist()]})
 
     schema = ", ".join([*(f"`{b}` {kinds[b]}" for b in by), "k int, tc double, oinfo double, logdet double, inverse array<array<double>>"])
     return rhos.groupBy(*by).applyInPandas(one, schema)
