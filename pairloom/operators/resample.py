@@ -31,11 +31,12 @@ def permutation_null(df: DataFrame, n: int, seed: str = "null", by: tuple[str, .
     return dependence.class_means(dependence.information(dependence.correlations(dealt, [*by, "iter"])), [*by, "iter"])
 
 
-def information_null(df: DataFrame, n: int, seed: str = "null", value: str = "value") -> DataFrame:
-    """iter, tc, oinfo under independent permutations; each iteration's matrix is one small group."""
-    scored = dependence.copula(df, ["position"], value).select("person", "position", "z")
-    dealt = shuffled_positions(iterations(scored, n), ["iter"], seed)
-    return dependence.matrix_information(dependence.correlations(dealt, ["iter"]), ["iter"]).select("iter", "tc", "oinfo")
+def information_null(df: DataFrame, n: int, seed: str = "null", value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
+    """by, iter, tc, oinfo under independent permutations; each iteration's matrix is one small group."""
+    scored = dependence.copula(df, [*by, "position"], value).select(*by, "person", "position", "z")
+    key = [*by, "iter"]
+    dealt = shuffled_positions(iterations(scored, n), key, seed)
+    return dependence.matrix_information(dependence.correlations(dealt, key), key).select(*key, "tc", "oinfo")
 
 
 def pointwise_agreement(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
@@ -55,9 +56,9 @@ def empirical_p(null: DataFrame, observed: DataFrame, by: list[str], statistic:
     return both.groupBy(*by, "observed").agg(F.count(F.lit(1)).alias("n"), ((hits + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
 
 
-def s_of(df: DataFrame, blind: bool = True, seed: str = "blind", value: str = "value") -> DataFrame:
+def s_of(df: DataFrame, blind: bool = True, seed: str = "blind", value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
     """class_means of df; unless unblinded, of data whose people were dealt anew at every position."""
-    return dependence.s_statistic(shuffled_positions(df, [], seed) if blind else df, [], value)
+    return dependence.s_statistic(shuffled_positions(df, [*by], seed) if blind else df, [*by], value)
 
 
 def draws(people: DataFrame, n: int, seed: str) -> DataFrame:
@@ -143,27 +144,28 @@ def injected(z: DataFrame, by: list[str], rho: str, seed: str) -> DataFrame:
     return mixed.withColumn("z", F.sqrt(rho) * F.col("_f") + F.sqrt(1 - F.col(rho)) * F.col("z")).drop("_u", "_f")
 
 
-def power(df: DataFrame, rhos: list[float], repeats: int, null: int, level: float, value: str = "value") -> DataFrame:
-    """rho, reps, detected (share of repeats with p <= level), mean_p."""
-    z = dependence.copula(df, ["position"], value).select("person", "position", "z")
-    dealt = shuffled_positions(iterations(z, repeats, "rep"), ["rep"], "base")
+def power(df: DataFrame, rhos: list[float], repeats: int, null: int, level: float, value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
+    """by, rho, reps, detected (share of repeats with p <= level), mean_p."""
+    z = dependence.copula(df, [*by, "position"], value).select(*by, "person", "position", "z")
+    dealt = shuffled_positions(iterations(z, repeats, "rep"), [*by, "rep"], "base")
     data = dealt.withColumn("effect", F.explode(F.array(*(F.lit(float(r)) for r in rhos))))
-    data = injected(data, ["rep"], "effect", "factor")
-    key = ["effect", "rep"]
+    data = injected(data, [*by, "rep"], "effect", "factor")
+    key = [*by, "effect", "rep"]
     observed = dependence.s_statistic(data, key, "z")
     p = empirical_p(permutation_null(data, null, "power", tuple(key), "z"), observed, key, "s")
-    return p.groupBy(F.col("effect").alias("rho")).agg(F.count(F.lit(1)).alias("reps"), F.avg((F.col("p") <= level).cast("double")).alias("detected"), F.avg("p").alias("mean_p"))
+    return p.groupBy(*by, F.col("effect").alias("rho")).agg(F.count(F.lit(1)).alias("reps"), F.avg((F.col("p") <= level).cast("double")).alias("detected"), F.avg("p").alias("mean_p"))
 
 
-def first_detected(curve: DataFrame, least: float = 0.8) -> DataFrame:
+def first_detected(curve: DataFrame, least: float = 0.8, by: tuple[str, ...] = ()) -> DataFrame:
     """The least rho with enough power, as text, or that it is beyond all."""
     found = F.min(F.when(F.col("detected") >= least, F.col("rho")))
-    return curve.agg(F.coalesce(found.cast("string"), F.concat(F.lit("> "), F.max("rho").cast("string"))).alias("rho"))
+    return curve.groupBy(*by).agg(F.coalesce(found.cast("string"), F.concat(F.lit("> "), F.max("rho").cast("string"))).alias("rho"))
 
 
-def calibration(df: DataFrame, sets: int, null: int, level: float, value: str = "value") -> DataFrame:
-    """set_no, p of data without any dependence: people dealt anew at every position."""
-    z = dependence.copula(df, ["position"], value).select("person", "position", "z")
-    data = shuffled_positions(iterations(z, sets, "set_no"), ["set_no"], "set")
-    observed = dependence.class_means(dependence.information(dependence.correlations(data, ["set_no"])), ["set_no"])
-    return empirical_p(permutation_null(data, null, "calibrate", ("set_no",), "z"), observed, ["set_no"], "s")
+def calibration(df: DataFrame, sets: int, null: int, level: float, value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
+    """by, set_no, p of data without any dependence: people dealt anew at every position."""
+    z = dependence.copula(df, [*by, "position"], value).select(*by, "person", "position", "z")
+    key = [*by, "set_no"]
+    data = shuffled_positions(iterations(z, sets, "set_no"), key, "set")
+    observed = dependence.class_means(dependence.information(dependence.correlations(data, key)), key)
+    return empirical_p(permutation_null(data, null, "calibrate", tuple(key), "z"), observed, key, "s")

@@ -206,15 +206,19 @@ def spline_basis(spark, sf_dir):
 
 @query()
 def spline_residual_versions(spark, sf_dir):
-    """S of the raw values, of linear, spline, stratum, and spline with contrast residuals."""
-    df = adjust.spline_basis(whole(spark, sf_dir, "AF"), ["position"], "quality")
+    """S of the raw values, of linear, spline, stratum, and spline with contrast residuals, by capture; null where a position's residuals are all equal."""
+    by = ["capture", "position"]
+    df = adjust.spline_basis(whole(spark, sf_dir), by, "quality")
     versions = {"linear": ["quality"], "spline": ["quality", "b1", "b2"], "spline_contrast": ["quality", "b1", "b2", "contrast"]}
-    out = df.select(F.lit("raw").alias("version"), "person", "position", "value")
+    out = df.select(F.lit("raw").alias("version"), "capture", "person", "position", "value")
     for name, xs in versions.items():
-        out = out.unionByName(adjust.residuals(df, ["position"], "value", xs, "res").select(F.lit(name).alias("version"), "person", "position", F.col("res").alias("value")))
-    strata = adjust.stratum_residuals(df, ["position"], "value", "quality", name="res")
-    out = out.unionByName(strata.select(F.lit("strata").alias("version"), "person", "position", F.col("res").alias("value")))
-    return dependence.s_statistic(out, ["version"]).select("version", F.round("s", 6).alias("s"))
+        out = out.unionByName(adjust.residuals(df, by, "value", xs, "res").select(F.lit(name).alias("version"), "capture", "person", "position", F.col("res").alias("value")))
+    strata = adjust.stratum_residuals(df, by, "value", "quality", name="res")
+    out = out.unionByName(strata.select(F.lit("strata").alias("version"), "capture", "person", "position", F.col("res").alias("value")))
+    key = ["version", "capture"]
+    vary = out.groupBy(*key, "position").agg((F.min("value") < F.max("value")).alias("varies")).groupBy(*key).agg(F.bool_and("varies").alias("varies"))
+    s = dependence.s_statistic(out.join(vary.where("varies"), key, "left_semi"), key)
+    return vary.join(s, key, "left").select(*key, F.round("s", 6).alias("s"))
 
 
 @query(f"WITH {OBS} SELECT person % 2 AS sex, count(*) AS n, round(median(value), 6) AS median FROM whole GROUP BY 1")
@@ -248,19 +252,20 @@ def perm_null_s(spark, sf_dir):
 
 @query()
 def perm_null_information(spark, sf_dir):
-    null = resample.information_null(whole(spark, sf_dir, "AF"), ITER)
-    return null.select("iter", F.round("tc", 9).alias("tc"), F.round("oinfo", 9).alias("oinfo"))
+    null = resample.information_null(whole(spark, sf_dir), ITER, by=("capture",))
+    return null.select("capture", "iter", F.round("tc", 9).alias("tc"), F.round("oinfo", 9).alias("oinfo"))
 
 
 @query()
 def pointwise_agreement(spark, sf_dir):
     """Rank agreement between the value's and the quality's pointwise total correlation, observed and permuted."""
-    df = whole(spark, sf_dir, "AF")
-    tables = [dependence.copula(df, ["position"], v).select("person", "position", "z") for v in ("value", "quality")]
+    df = whole(spark, sf_dir)
+    by = ["capture", "iter"]
+    tables = [dependence.copula(df, ["capture", "position"], v).select("capture", "person", "position", "z") for v in ("value", "quality")]
     seen = [t.withColumn("iter", F.lit(-1)) for t in tables]
-    dealt = [resample.shuffled_positions(resample.iterations(t, 5), ["iter"], s) for t, s in zip(tables, ("a", "b"))]
+    dealt = [resample.shuffled_positions(resample.iterations(t, 5), by, s) for t, s in zip(tables, ("a", "b"))]
     both = [o.unionByName(d.select(o.columns)) for o, d in zip(seen, (d.withColumn("person", F.col("person").cast("long")) for d in dealt))]
-    return resample.pointwise_agreement(*both, ["iter"]).select("iter", "n", F.round("rho", 9).alias("rho"))
+    return resample.pointwise_agreement(*both, by).select("capture", "iter", "n", F.round("rho", 9).alias("rho"))
 
 
 @query(f"""WITH {OBS}, z AS {z_sql('whole', 'capture, position')}, o AS (SELECT capture, homologous - cross_ AS s FROM {means_sql('z', ['capture'])}),
@@ -377,7 +382,7 @@ def power_curve(spark, sf_dir):
 
 @query()
 def power_threshold(spark, sf_dir):
-    return resample.first_detected(resample.power(whole(spark, sf_dir, "AF"), RHOS, REPS, 9, 0.1))
+    return resample.first_detected(resample.power(whole(spark, sf_dir), RHOS, REPS, 9, 0.1, by=("capture",)), by=("capture",))
 
 
 @query("SELECT doc_id, place FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS place FROM documents) WHERE place <= 100")
@@ -410,3 +415,88 @@ def label_perm_null(spark, sf_dir):
     edges = pairs.with_attributes(pairs.all_pairs(index, [similarity]), index, ["person"])
     null = resample.label_null(edges.where("person_i = person_j"), edges, index, 5, score="similarity")
     return null.select("iter", F.round("diff", 9).alias("diff"))
+
+
+# Over all captures: what the queries of capture 'AF' say, by capture. Their SQL is that of 'AF'; tests hold the rows of 'AF' against it.
+
+BY = ["capture", "position"]
+KEY = ["capture", "person", "position"]
+
+
+@query()
+def person_pivot_by_capture(spark, sf_dir):
+    wide = whole(spark, sf_dir).groupBy("capture", "person").pivot("position", list(range(10))).agg(F.first("value"))
+    return wide.select("capture", "person", *(F.round(str(k), 6).alias(f"p{k}") for k in range(10)))
+
+
+@query()
+def avg_ranks_by_capture(spark, sf_dir):
+    return dependence.average_ranks(whole(spark, sf_dir), BY, "area", "rank", buckets=16).select(*KEY, "rank")
+
+
+@query()
+def copula_by_capture(spark, sf_dir):
+    return dependence.copula(whole(spark, sf_dir), BY, buckets=16).select(*KEY, F.round("z", 9).alias("z"))
+
+
+@query()
+def mi_matrix_by_capture(spark, sf_dir):
+    rhos = dependence.information(dependence.correlations(dependence.copula(whole(spark, sf_dir), BY), ["capture"]))
+    return rhos.select("capture", "pa", "pb", F.round("rho", 9).alias("rho"), F.round("mi", 9).alias("mi"))
+
+
+@query()
+def delta_mi_by_capture(spark, sf_dir):
+    return dependence.s_statistic(whole(spark, sf_dir), ["capture"]).select("capture", F.round("delta_mi", 9).alias("delta_mi"))
+
+
+@query()
+def ols_residual_1cov_by_capture(spark, sf_dir):
+    return adjust.residuals_of_one(whole(spark, sf_dir), BY, "value", "quality").select(*KEY, F.round("residual", 4).alias("residual"))
+
+
+@query()
+def ols_residual_k_by_capture(spark, sf_dir):
+    return adjust.residuals(whole(spark, sf_dir), BY, "value", ["quality", "contrast"]).select(*KEY, F.round("residual", 4).alias("residual"))
+
+
+@query()
+def decile_residual_by_capture(spark, sf_dir):
+    return adjust.stratum_residuals(whole(spark, sf_dir), BY, "value", "quality").select(*KEY, "stratum", F.round("residual", 4).alias("residual"))
+
+
+@query()
+def spline_basis_by_capture(spark, sf_dir):
+    return adjust.spline_basis(whole(spark, sf_dir), BY, "quality").select(*KEY, F.round("b1", 6).alias("b1"), F.round("b2", 6).alias("b2"))
+
+
+@query()
+def perm_null_s_by_capture(spark, sf_dir):
+    null = resample.permutation_null(whole(spark, sf_dir), ITER, by=("capture",))
+    return null.select("capture", "iter", F.round("s", 9).alias("s"))
+
+
+@query()
+def blind_mode_by_capture(spark, sf_dir):
+    df = whole(spark, sf_dir)
+    seen, blind = (resample.s_of(df, blind=b, by=("capture",)).select("capture", F.lit(b).alias("blind"), F.round("s", 9).alias("s")) for b in (False, True))
+    return seen.unionByName(blind)
+
+
+@query()
+def sensitivity_by_capture(spark, sf_dir):
+    out = resample.sensitivity(whole(spark, sf_dir), spark.createDataFrame([(3,), (7,)], "person long"), lambda df: dependence.s_statistic(df, ["capture"]))
+    return out.select("capture", "state", F.round("s", 9).alias("s"))
+
+
+@query()
+def calibration_by_capture(spark, sf_dir):
+    p = resample.calibration(whole(spark, sf_dir), SETS, 19, LEVEL, by=("capture",))
+    rejected = F.count_if(F.col("p") <= LEVEL)
+    return p.groupBy("capture").agg(F.count(F.lit(1)).alias("sets"), rejected.alias("rejected"), rejected.between(LOW, HIGH).alias("calibrated"))
+
+
+@query()
+def power_curve_by_capture(spark, sf_dir):
+    p = resample.power(whole(spark, sf_dir), RHOS, REPS, 9, 0.1, by=("capture",))
+    return p.select("capture", "rho", "reps", F.round("detected", 9).alias("detected"), F.round("mean_p", 9).alias("mean_p"))
