@@ -230,6 +230,8 @@ def median_by_sex(spark, sf_dir):
 # Resampling
 
 ITER = 20
+#: The survey's smaller count (R4), by which p can be below 0.01; SQL would be too slow for it.
+FULL = 199
 
 
 def dealt_sql(z: str, by: str, seed: str) -> str:
@@ -252,7 +254,7 @@ def perm_null_s(spark, sf_dir):
 
 @query()
 def perm_null_information(spark, sf_dir):
-    null = resample.information_null(whole(spark, sf_dir), ITER, by=("capture",))
+    null = resample.information_null(whole(spark, sf_dir), FULL, by=("capture",))
     return null.select("capture", "iter", F.round("tc", 9).alias("tc"), F.round("oinfo", 9).alias("oinfo"))
 
 
@@ -263,7 +265,7 @@ def pointwise_agreement(spark, sf_dir):
     by = ["capture", "iter"]
     tables = [dependence.copula(df, ["capture", "position"], v).select("capture", "person", "position", "z") for v in ("value", "quality")]
     seen = [t.withColumn("iter", F.lit(-1)) for t in tables]
-    dealt = [resample.shuffled_positions(resample.iterations(t, 5), by, s) for t, s in zip(tables, ("a", "b"))]
+    dealt = [resample.shuffled_positions(resample.iterations(t, FULL), by, s) for t, s in zip(tables, ("a", "b"))]
     both = [o.unionByName(d.select(o.columns)) for o, d in zip(seen, (d.withColumn("person", F.col("person").cast("long")) for d in dealt))]
     return resample.pointwise_agreement(*both, by).select("capture", "iter", "n", F.round("rho", 9).alias("rho"))
 
@@ -472,7 +474,7 @@ def spline_basis_by_capture(spark, sf_dir):
 
 @query()
 def perm_null_s_by_capture(spark, sf_dir):
-    null = resample.permutation_null(whole(spark, sf_dir), ITER, by=("capture",))
+    null = resample.permutation_null(whole(spark, sf_dir), FULL, by=("capture",))
     return null.select("capture", "iter", F.round("s", 9).alias("s"))
 
 
@@ -500,3 +502,29 @@ def calibration_by_capture(spark, sf_dir):
 def power_curve_by_capture(spark, sf_dir):
     p = resample.power(whole(spark, sf_dir), RHOS, REPS, 9, 0.1, by=("capture",))
     return p.select("capture", "rho", "reps", F.round("detected", 9).alias("detected"), F.round("mean_p", 9).alias("mean_p"))
+
+
+# As many draws as the survey has. The queries of the same names without _199 are those that SQL can follow.
+
+
+@query()
+def empirical_p_199(spark, sf_dir):
+    df = whole(spark, sf_dir)
+    p = resample.empirical_p(resample.permutation_null(df, FULL, by=("capture",)), dependence.s_statistic(df, ["capture"]), ["capture"], "s")
+    return p.select("capture", F.round("observed", 9).alias("observed"), "n", F.round("p", 9).alias("p"), (F.col("p") < 0.01).alias("significant"))
+
+
+@query()
+def bootstrap_ratio_199(spark, sf_dir):
+    return _rounded(resample.bootstrap_between(whole(spark, sf_dir), "AF", "RF", FULL))
+
+
+@query()
+def bootstrap_interval_199(spark, sf_dir):
+    i = resample.interval(resample.bootstrap_between(whole(spark, sf_dir), "AF", "RF", FULL), "ratio")
+    return i.select(*(F.round(c, 6).alias(c) for c in ("low", "middle", "high")), "reading")
+
+
+@query()
+def two_capture_null_199(spark, sf_dir):
+    return _rounded(resample.capture_null(whole(spark, sf_dir), FULL, ["AF", "RF"], middle=F.avg))

@@ -1,0 +1,23 @@
+"""Resampling queries with enough draws for p < 0.01."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from pairloom.plans import catalog
+
+
+def test_p_against_its_null(spark, sf_dir):
+    """p is counted by hand over 199 permutations, so it can reach 1 / 200."""
+    null = [(r.capture, r.s) for r in catalog.QUERIES["perm_null_s_by_capture"].build(spark, sf_dir).collect()]
+    got = catalog.QUERIES["empirical_p_199"].build(spark, sf_dir).collect()
+    assert got
+    for r in got:
+        values = [s for c, s in null if c == r.capture]
+        assert len(values) == r.n == 199
+        assert r.p == pytest.approx((sum(s >= r.observed for s in values) + 1) / 200, abs=0.011)
+
+
+@pytest.mark.parametrize("name", ["bootstrap_ratio_199", "two_capture_null_199", "perm_null_information"])
+def test_draws(spark, sf_dir, name):
+    rows = catalog.QUERIES[name].build(spark, sf_dir).agg(F.countDistinct("iter").alias("n")).first()
+    assert rows.n == 199
