@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -21,6 +20,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 500
 BATCH_BYTES = 8 << 20
 
+#: What a task of a shuffle is to read, about.
+PARTITION_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,10 +37,12 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only a session that names none (a local one, as in tests) gets a folder of its own.
+    Only a local session that names none, as in tests, gets a folder of its own.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="pairloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -46,16 +50,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 _PATHS: "weakref.WeakKeyDictionary[DataFrame, object]" = weakref.WeakKeyDictionary()
 
+#: Spark then deletes the shuffle files of a query when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
     Later stages depend on the files and not on the lineage behind them, so a lost executor
-    costs them nothing. The files go with discard(), or when the driver's JVM ends.
+    costs them nothing, and the shuffle files of the write go with its end. The table goes with
+    discard(), or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairloom/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path, compression=compression)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     out = spark.read.schema(df.schema).parquet(path)
@@ -63,19 +79,23 @@ def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more, and let Spark drop shuffle files that nothing needs.
-
-    Spark drops them when its driver finds their lineage collected. Python lets go of it with a delay of
-    about a second, and what the first collection finds can still hold other lineage, so there are two.
-    """
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
     for t in tables:
         path = _PATHS.pop(t)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    for _ in range(2):
-        gc.collect()
-        time.sleep(1.2)
-        spark.sparkContext._jvm.System.gc()
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df is made from, by Spark's statistics; a table without any counts as one partition's."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(x if x < 1 << 60 else PARTITION_BYTES for x in sizes)
+
+
+def partitions_for(size: int) -> int:
+    """How many partitions hold about PARTITION_BYTES each."""
+    return max(1, -(-size // PARTITION_BYTES))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -13,14 +13,17 @@ of every document, the smallest doc_id in which the same window starts.
 2. Slices. A run of windows whose name recurs is cut out with its tokens; of a crowded name every
    window is cut out for itself, and goes by its own content. Each map task sends each
    distinct slice once, with the least and greatest doc_id it has it from, and notes where it occurs.
-3. Verdicts. All slices of a name meet in one bucket, where a verifier (a suffix array, or automata)
-   compares them by content and tells for each slice from which doc_id its windows come first.
+3. Verdicts. All slices of a name meet in one bucket, where a verifier (a suffix array, or a table of
+   windows) compares them by content and tells for each slice from which doc_id its windows come first.
 4. Verdicts go back to the task that sent the slice, by its number there, and become spans of the
    documents it had it from. So a slice that very many documents share costs each task one row.
 
+Words take steps 1 and 2 by phrases and automata instead (`phrases`).
+
 So what is compared by content is only what may recur; the hash decides nothing but where. Texts are
 read whole. doc_id null counts as greater than all others. Rows that share a doc_id do not remove
-each other's text. Steps 1, 2 and 4 end in tables in the shared folder.
+each other's text. Steps 1, 2 and 4 end in tables in the shared folder. The number of buckets and of
+tasks follows the bytes of the input, so what one of them holds does not grow.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import discard, shuffle_partitions, small_batches, staged
+from pairloom.llm.common import discard, file_bytes, partitions_for, small_batches, staged
 
 WINDOW, GRAM = 50, 16
 LAST_ID = (1 << 63) - 1
@@ -45,8 +48,8 @@ NAMES, SLICE_BYTES = 2_000_000, 32 << 20
 NAME_BITS = 47
 CROWDED = 1 << NAME_BITS
 PACKED = (NAME_BITS + 1) // 8
-#: A name is crowded that has more distinct slices than this, and more than PER_TASK for each task that has it.
-SLICES_OF_NAME, PER_TASK = 2_000, 4
+#: A name is crowded of which the tasks together send more distinct slices than this, whatever the number of tasks.
+SLICES_OF_NAME = 2_000
 
 _rng = np.random.default_rng(11)
 BYTE_HASHES = _rng.integers(0, 1 << 63, 256, np.uint64)
@@ -145,8 +148,8 @@ def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return names.view("<i8").ravel(), np.repeat(ids, counts)
 
 
-def _recurring(docs: DataFrame, tokens: Tokens, buckets: int, crowd: int) -> DataFrame:
-    """doc, names: of each document the names that another document has as well (packed longs), crowded ones marked.
+def _recurring(docs: DataFrame, tokens: Tokens, tasks: int, buckets: int, crowd: int) -> DataFrame:
+    """key, names: of each document the names that another document has as well (packed longs), crowded ones marked.
 
     A task sends its names to their buckets and is answered, bucket by bucket, which of them recur and
     which are crowded.
@@ -183,7 +186,7 @@ def _recurring(docs: DataFrame, tokens: Tokens, buckets: int, crowd: int) -> Dat
 
         total = 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
+            for doc, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 found, _, _, end = name_runs(tokens(text)[0])
                 if len(found):
                     names.append(found)
@@ -209,7 +212,7 @@ def _recurring(docs: DataFrame, tokens: Tokens, buckets: int, crowd: int) -> Dat
                 asks = np.diff(np.append(first, len(n)))
                 low, high = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
                 recurs = (low != high) | (low == SEVERAL)
-                crowded = recurs & ((np.add.reduceat(c, first, dtype=np.int64) > np.maximum(crowd, PER_TASK * asks)) | (crowd == 0))
+                crowded = recurs & ((np.add.reduceat(c, first, dtype=np.int64) > crowd) | (crowd == 0))
                 n = n + np.repeat(crowded, asks) * CROWDED
                 # A task knows that what several of its documents have recurs, but not that it is crowded.
                 hit = np.repeat(recurs, asks) & ((d != SEVERAL) | np.repeat(crowded, asks))
@@ -225,15 +228,15 @@ def _recurring(docs: DataFrame, tokens: Tokens, buckets: int, crowd: int) -> Dat
             n = n + np.isin(n, crowded) * CROWDED
             parts = [(doc, n[k].tobytes()) for doc, k in _parts(d)]
             for at in range(0, len(parts), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in parts[at : at + 5000]], pa.int64()), pa.array([x[1] for x in parts[at : at + 5000]], pa.binary())], ["doc", "names"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in parts[at : at + 5000]], pa.int64()), pa.array([x[1] for x in parts[at : at + 5000]], pa.binary())], ["key", "names"])
 
     def by_bucket(df: DataFrame) -> DataFrame:
-        return df.repartition("bucket").sortWithinPartitions("bucket")
+        return df.repartition(tasks, "bucket").sortWithinPartitions("bucket")
 
-    sent = docs.select("doc", "text").mapInArrow(send, "bucket long, flush long, asked binary, slices binary, told binary")
+    sent = docs.select("key", "text").mapInArrow(send, "bucket long, flush long, asked binary, slices binary, told binary")
     answers = by_bucket(sent).mapInArrow(answer, "bucket long, told binary")  # bucket: now the flush that has asked
-    told = by_bucket(answers).mapInArrow(gather, "doc long, names binary")
-    return told.groupBy("doc").agg(F.collect_list("names").alias("names"))
+    told = by_bucket(answers).mapInArrow(gather, "key long, names binary")
+    return told.groupBy("key").agg(F.collect_list("names").alias("names"))
 
 
 def _parts(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -268,6 +271,67 @@ def _unpack_slices(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, li
     return nos, low, high, [raw[a:b] for a, b in zip([8 + 24 * n, *ends[:-1]], ends)]
 
 
+class Gathered:
+    """The distinct slices that a task gathers for their buckets, numbered, each with the least and the greatest doc that has it."""
+
+    def __init__(self, flush_id: int):
+        self.flush_id, self.size = flush_id, 0
+        self.number: dict[bytes, int] = {}
+        self.low: list[int] = []
+        self.high: list[int] = []
+        self.to: list[int] = []
+
+    def add(self, doc: int, bucket: int, piece: bytes) -> int:
+        if (n := self.number.get(piece)) is None:
+            n = self.number[piece] = len(self.low)
+            self.low.append(doc)
+            self.high.append(doc)
+            self.to.append(bucket)
+            self.size += len(piece) + 200
+        elif doc < self.low[n]:
+            self.low[n] = doc
+        elif doc > self.high[n]:
+            self.high[n] = doc
+        return n
+
+    def rows(self, n: int, **columns) -> pa.RecordBatch:
+        kinds = [("kind", pa.int32()), ("flush", pa.int64()), ("bucket", pa.int64()), ("slices", pa.binary()), ("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.list_(pa.int32())), ("nos", pa.list_(pa.int32()))]
+        columns["flush"] = np.full(n, self.flush_id)
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in kinds], [k for k, _ in kinds])
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        """The slices by bucket; then begins anew."""
+        texts, where, low, high = list(self.number), np.array(self.to, np.int64), np.array(self.low, np.int64), np.array(self.high, np.int64)
+        parts = list(_parts(where))
+        for a in range(0, len(parts), 64):
+            some = parts[a : a + 64]
+            yield self.rows(len(some), kind=np.zeros(len(some)), bucket=[x for x, _ in some], slices=[_pack_slices(k, low[k], high[k], [texts[i] for i in k.tolist()]) for _, k in some])
+        self.__init__(self.flush_id + 1)
+
+    def runs(self, doc: int, names: np.ndarray, first: np.ndarray, last: np.ndarray, alone: np.ndarray, piece, buckets: int) -> tuple[np.ndarray, list[int]]:
+        """Add the runs of windows of a document; where each slice begins, and its number. alone: window by window."""
+        from xxhash import xxh3_64_intdigest
+
+        to = names % buckets
+        if alone.any():
+            # A crowded name's windows go each by its own content, so that they meet in many buckets.
+            n = np.where(alone, last - first + 1, 1)
+            begin = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            each = np.repeat(alone, n)
+            to, last, first = np.where(each, -1, np.repeat(to, n)), np.where(each, begin, np.repeat(last, n)), begin
+        nos = []
+        for bucket, a, b in zip(to.tolist(), first.tolist(), (last + WINDOW).tolist()):
+            s = piece(a, b)
+            nos.append(self.add(doc, bucket if bucket >= 0 else xxh3_64_intdigest(s) % buckets, s))
+        return first, nos
+
+    def found(self, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """rows: (doc, mark, at, nos) of documents."""
+        if rows:
+            doc, mark, at, nos = zip(*rows)
+            yield self.rows(len(rows), kind=np.ones(len(rows)), doc=doc, mark=mark, at=at, nos=nos)
+
+
 def _slices(docs: DataFrame, recurring: DataFrame, tokens: Tokens, buckets: int) -> DataFrame:
     """Two kinds of rows. 0: flush, bucket, slices: the distinct slices that a task has gathered for a bucket when it
     sends, each with a number and the least and greatest doc that has it. 1: flush, doc, mark, at, nos: the slices of a
@@ -275,78 +339,26 @@ def _slices(docs: DataFrame, recurring: DataFrame, tokens: Tokens, buckets: int)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from xxhash import xxh3_64_intdigest
 
-        flush_id = TaskContext.get().partitionId() << 24
-        number: dict[bytes, int] = {}
-        low: list[int] = []
-        high: list[int] = []
-        to: list[int] = []
-
-        def rows(n: int, **columns) -> pa.RecordBatch:
-            kinds = [("kind", pa.int32()), ("flush", pa.int64()), ("bucket", pa.int64()), ("slices", pa.binary()), ("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.list_(pa.int32())), ("nos", pa.list_(pa.int32()))]
-            columns["flush"] = np.full(n, flush_id)
-            return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in kinds], [k for k, _ in kinds])
-
-        def flush():
-            texts, where, lows, highs = list(number), np.array(to, np.int64), np.array(low, np.int64), np.array(high, np.int64)
-            order = np.argsort(where, kind="stable")
-            cuts = np.flatnonzero(np.append(True, where[order][1:] != where[order][:-1])) if len(order) else order
-            parts = [order[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)])]
-            for a in range(0, len(parts), 64):
-                some = parts[a : a + 64]
-                yield rows(len(some), kind=np.zeros(len(some)), bucket=[int(where[x[0]]) for x in some], slices=[_pack_slices(x, lows[x], highs[x], [texts[k] for k in x.tolist()]) for x in some])
-            for held in (number, low, high, to):
-                held.clear()
-
-        size = 0
+        gathered = Gathered(TaskContext.get().partitionId() << 24)
         for batch in batches:
-            docs_, marks, ats, nos = [], [], [], []
+            rows = []
             for doc, text, mark, known in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "mark", "names"))):
                 hashes, piece = tokens(text)
                 names, first, last, _ = name_runs(hashes)
                 wanted = np.frombuffer(b"".join(known), "<i8")
-                marks_ = wanted >= CROWDED
-                wanted = np.sort(wanted - marks_ * CROWDED)
+                marks = wanted >= CROWDED
+                crowded, wanted = wanted[marks] - CROWDED, np.sort(wanted - marks * CROWDED)
                 keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, names), len(wanted) - 1)] == names)
-                names, first, last = names[keep], first[keep], last[keep]
-                if marks_.any():
-                    # A crowded name's windows go each by its own content, so that they meet in many buckets.
-                    alone = np.isin(names, np.frombuffer(b"".join(known), "<i8")[marks_] - CROWDED)
-                    n = np.where(alone, last - first + 1, 1)
-                    begin = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    alone, names, last = np.repeat(alone, n), np.repeat(names, n), np.where(np.repeat(alone, n), begin, np.repeat(last, n))
-                    first = begin
-                    to_bucket = np.where(alone, -1, names % buckets)
-                else:
-                    to_bucket = names % buckets
-                own, at = [], first
-                for bucket, a, b in zip(to_bucket.tolist(), first.tolist(), (last + WINDOW).tolist()):
-                    s = piece(a, b)
-                    if (n := number.get(s)) is None:
-                        n = number[s] = len(low)
-                        low.append(doc)
-                        high.append(doc)
-                        to.append(bucket if bucket >= 0 else xxh3_64_intdigest(s) % buckets)
-                        size += len(s) + 200
-                    elif doc < low[n]:
-                        low[n] = doc
-                    elif doc > high[n]:
-                        high[n] = doc
-                    own.append(n)
-                if own:
-                    docs_.append(doc)
-                    marks.append(mark)
-                    ats.append(at)
-                    nos.append(own)
-            if docs_:
-                yield rows(len(docs_), kind=np.ones(len(docs_)), doc=docs_, mark=marks, at=ats, nos=nos)
-            if size >= SLICE_BYTES:
-                yield from flush()
-                flush_id, size = flush_id + 1, 0
-        yield from flush()
-
-    return docs.join(recurring.hint("merge"), "doc").select("doc", "text", "mark", "names").mapInArrow(cut, SLICES)
+                if len(keep):
+                    names = names[keep]
+                    rows.append((doc, mark, *gathered.runs(doc, names, first[keep], last[keep], np.isin(names, crowded), piece, buckets)))
+            yield from gathered.found(rows)
+            if gathered.size >= SLICE_BYTES:
+                yield from gathered.flush()
+        yield from gathered.flush()
+
+    return docs.join(recurring.hint("merge"), "key").select("doc", "text", "mark", "names").mapInArrow(cut, SLICES)
 
 
 #: Verifier: distinct slices with the least and the greatest doc of each -> the least doc of each window, all slices'
@@ -354,7 +366,7 @@ def _slices(docs: DataFrame, recurring: DataFrame, tokens: Tokens, buckets: int)
 Verifier = Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def _verdicts(slices: DataFrame, verify: Verifier) -> DataFrame:
+def _verdicts(slices: DataFrame, verify: Verifier, tasks: int) -> DataFrame:
     """flush, no, a, b, first (arrays): for slices of that flush some of whose windows start in an earlier document than
     the last that has the slice, runs [a, b) of windows and the doc they start in first."""
 
@@ -396,7 +408,7 @@ def _verdicts(slices: DataFrame, verify: Verifier) -> DataFrame:
             lists = [pa.ListArray.from_arrays(offsets, pa.array(c, t)) for c, t in zip(columns, [pa.int32(), pa.int32(), pa.int32(), pa.int64()])]
             yield pa.RecordBatch.from_arrays([pa.array(of_flush[cuts]), *lists], ["flush", "no", "a", "b", "first"])
 
-    rows = slices.select("bucket", "flush", "slices").repartition("bucket").sortWithinPartitions("bucket")
+    rows = slices.select("bucket", "flush", "slices").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(judge, "flush long, no array<int>, a array<int>, b array<int>, first array<long>")
 
 
@@ -433,25 +445,36 @@ def _union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, doc (never null), text (never null) and mark, which tells texts of one id apart."""
+    """doc_id, doc (never null), text (never null), mark, which tells texts of one id apart, and key, by which rows meet
+    what is known of them: the id, or for rows without one a number of their text. (A clash of keys only adds names.)"""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    doc, mark = F.col(id_col).cast("long"), F.xxhash64(text)
+    key = F.coalesce(doc, F.lit(LAST_ID) - F.pmod(mark, F.lit(1 << 40)))
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(doc, F.lit(LAST_ID)).alias("doc"), text.alias("text"), mark.alias("mark"), key.alias("key"))
+
+
+def spread(docs: DataFrame) -> tuple[int, int]:
+    """How many tasks and how many buckets share the work, by the bytes that docs is read from (texts are about twice that)."""
+    tasks = partitions_for(2 * file_bytes(docs))
+    return tasks, 4 * tasks
+
+
+def judged(slices: DataFrame, verify: Verifier, tasks: int) -> DataFrame:
+    """doc, mark, starts, ends, from a table of slices, which then goes."""
+    found = slices.where("kind = 1").select("flush", "doc", "mark", "at", "nos")
+    out = staged(_spans(found, _verdicts(slices.where("kind = 0"), verify, tasks)).dropDuplicates(["doc", "mark"]), "spans")
+    discard(slices)
+    return out
 
 
 def removable(docs: DataFrame, tokens: Tokens, verify: Verifier, crowd: int = SLICES_OF_NAME) -> DataFrame:
     """doc, mark, starts, ends: of each document the runs of tokens that windows of earlier documents cover. docs: from keyed()."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    buckets = 4 * shuffle_partitions(spark)
-    recurring = staged(_recurring(docs, tokens, buckets, crowd), "recurring")
-    discard(spark)
+    small_batches(docs.sparkSession)
+    tasks, buckets = spread(docs)
+    recurring = staged(_recurring(docs, tokens, tasks, buckets, crowd), "recurring")
     slices = staged(_slices(docs.drop("doc_id"), recurring, tokens, buckets), "slices")
-    discard(spark, recurring)
-    found = slices.where("kind = 1").select("flush", "doc", "mark", "at", "nos")
-    out = staged(_spans(found, _verdicts(slices.where("kind = 0"), verify)).dropDuplicates(["doc", "mark"]), "spans")
-    del found
-    discard(spark, slices)
-    return out
+    discard(recurring)
+    return judged(slices, verify, tasks)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

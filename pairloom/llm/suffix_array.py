@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 
 from pairloom.llm.repeats import WINDOW, byte_tokens, keyed, removable, runs_of, with_spans
 
-DEPTH = 56
+#: Whole words of eight bytes that hold a window, and one byte more.
+DEPTH = 8 * (WINDOW // 8 + 1)
 
 
 def _words(text: np.ndarray) -> np.ndarray:
