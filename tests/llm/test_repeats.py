@@ -75,9 +75,12 @@ def test_crowded_names(make_docs, tokens, crowd):
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
     line = " ".join(word() for _ in range(60))
     rows = [(k, " ".join([*(word() for _ in range(60)), line, *(word() for _ in range(60))])) for k in range(120)]
-    docs = repeats.keyed(make_docs(rows).coalesce(2))
-    split, verify = (repeats.byte_tokens, suffix_array.first_owners) if tokens == "bytes" else (repeats.word_tokens, phrases.first_owners)
-    spans = {r.doc: list(zip(r.starts, r.ends)) for r in repeats.removable(docs, split, verify, crowd).collect()}
+    docs = make_docs(rows).coalesce(2)
+    if tokens == "bytes":
+        found = repeats.removable(repeats.keyed(docs), repeats.byte_tokens, suffix_array.first_owners, crowd).withColumnRenamed("doc", "doc_id")
+    else:
+        found = phrases.removed_word_spans(docs, crowd=crowd)
+    spans = {r.doc_id: list(zip(r.starts or (), r.ends or ())) for r in found.collect()}
     units = (lambda t: t.encode()) if tokens == "bytes" else (lambda t: t.split(" "))
     for (k, t), gone in zip(rows, removed_by_hand(rows, units)):
         got = np.zeros(len(units(t)), bool)
@@ -87,6 +90,16 @@ def test_crowded_names(make_docs, tokens, crowd):
         assert k == 0 or gone.any()
 
 
+def test_many_rows_without_an_id(make_docs, prose):
+    """They count as one document after all others: they lose what others have, and nothing to each other."""
+    rows = prose[:20] + [(None, t) for _, t in prose[:20]] + [(None, " ".join(f"only{k % 61}" for k in range(90)))] * 30
+    for run, units, n in ((suffix_array.suffix_dedup, lambda t: t.encode(), "n_bytes"), (phrases.phrase_dedup, lambda t: t.split(), "n_words")):
+        want = sorted((str(i), len(gone), int(gone.sum())) for (i, _), gone in zip(rows, removed_by_hand(rows, units)))
+        assert sorted((str(r.doc_id), r[n], r.n_removed) for r in run(make_docs(rows)).collect()) == want
+    keys = {r["key"] for r in repeats.keyed(make_docs(rows)).where("doc_id is null").collect()}
+    assert len(keys) == 21
+
+
 def test_empty(make_docs):
     empty = make_docs([(1, "a")]).limit(0)
     assert suffix_array.suffix_dedup(empty).count() == 0 and phrases.phrase_dedup(empty).count() == 0
@@ -122,7 +135,32 @@ def test_names_depend_on_the_window_alone():
     assert names[0] == names[1]
 
 
-def test_automaton_finds_whole_words():
-    machine = phrases.automaton([b"a b", b"b c"])
-    assert phrases.occurrences(machine, " a b c ") == [1, 3]
-    assert phrases.occurrences(machine, " xa bc ") == []
+def test_automata_find_whole_words():
+    phrase = lambda *w: b" ".join([*w, *[b"x"] * (repeats.GRAM - len(w))])
+    machine = phrases.Automata([phrase(b"a", b"b"), phrase(b"b", b"c")], most=1)
+    assert len(machine.machines) == 2
+    words = [b"x", b"a", b"b", *[b"x"] * 14, b"y", b"b", b"c", *[b"x"] * 20]
+    at, which = machine.occurrences(words)
+    assert sorted(zip(at, which)) == [(1, 0), (18, 1)]
+    assert machine.occurrences([b"xa", b"b", *[b"x"] * 14]) == ([], [])
+
+
+def test_words_are_found_by_the_automata_alone(make_docs, prose, monkeypatch):
+    """Without occurrences nothing is removed; with them what a plain search removes is."""
+    docs = make_docs(prose)
+    rows = keyed_shards(docs)
+    told = phrases._confirmed(rows, 2, 8, repeats.SLICES_OF_NAME).collect()
+    assert told
+    blocks = [phrases._unpack(r.block) for r in told]
+    found = {p for b in blocks for p in b[3]}
+    texts = [" ".join((t or "").split()) for _, t in prose]
+    for p in list(found)[:50]:
+        assert sum(f" {p.decode()} " in f" {t} " for t in texts) > 1 or sum(i is not None and f" {p.decode()} " in f" {' '.join(t.split())} " for i, t in prose) > 1
+    slices = phrases._located(rows, rows.sparkSession.createDataFrame([], "shard long, block binary"), 2, 8)
+    assert slices.where("kind = 1").count() == 0 and phrases._located(rows, rows.sparkSession.createDataFrame(told), 2, 8).where("kind = 1").count() > 0
+
+
+def keyed_shards(docs):
+    from pyspark.sql import functions as F
+
+    return repeats.keyed(docs.coalesce(1)).withColumn("shard", F.lit(0).cast("long"))
