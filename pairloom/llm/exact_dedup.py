@@ -18,27 +18,33 @@ their names, pass through `exact_keep` untouched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import shuffle_partitions, staged
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sha256(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("sha"))
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), digest(text).alias("sha"))
 
 
 def _salt(docs: DataFrame) -> Column:
     return F.spark_partition_id() % F.lit(shuffle_partitions(docs.sparkSession))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per input row.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 (the digest): one row per input row.
 
-    Of equal texts the row with the largest id stays.
+    Of equal texts the row with the largest id stays. digest: of a text; it may have clashes.
     """
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col, digest)
     salted = (
         keyed.withColumn("salt", _salt(docs))
         .groupBy("sha", "salt", "text")
