@@ -6,8 +6,9 @@ size. A target stops at `cap` times its source's size and the excess is shared a
 is min(cap * size, level * weight), and the level is found in one pass over the sources ordered by
 cap * size / weight.
 
-Blocks. A keyed hash gives each document a place in [0, 1) and cuts its source into blocks, about
-`blocks` in all whatever the size of the input. A source takes whole laps over its blocks, then the
+Blocks. A keyed hash of its id and text gives each document a place in [0, 1) and cuts its source into
+blocks, about `blocks` in all whatever the size of the input (a source has at least 16, or its equal
+share of `blocks` where there are very many sources, and one in any case). A source takes whole laps over its blocks, then the
 first blocks of one more lap, the last of them as far as its documents fit, and up to three
 documents more that fill what is then missing. Each (block, lap) taken, whole or in part, is a draw,
 and the draws of a source are its exact quota.
@@ -15,15 +16,16 @@ and the draws of a source are its exact quota.
 Tree. The root holds every source's quota. A node deals its draws, in a random order, half to each
 child; the counts per source of such a half are a multivariate-hypergeometric draw. After log2(shards)
 levels each leaf knows how many draws of each source it gets, and takes that many next ones of the
-source's permuted draws, so leaves are disjoint and together complete. Within a shard rows have a
-random order of their own.
+source's permuted draws, so leaves are disjoint and together complete. What the mix takes is what the leaves
+hand out. Within a shard rows have a random order of their own; `shuffled` brings them into it.
 
-Only sizes, sources and ids are shuffled, never texts. The plan (one row per block) does not grow
-with the input; it is broadcast if its counted rows are few, and joined by (source, block) if not.
+Planning shuffles sizes, sources and ids, never texts. The plan has at most about 2 * `blocks` rows
+and one for each source; it grows with the number of sources and not with their size. It is broadcast
+if its counted rows are few, and joined by (source, block) if not.
 
 Defined cases: null text has size 0; documents of size 0 are taken with their block but add no
-words; a null source is a source of its own, ordered last; null or repeated ids are placed by the
-same hash, so such rows are taken together; all choices hang on hashes of ids and the seed, so reruns
+words; a null source is a source of its own, ordered last; rows equal in id and text are taken
+together; all choices hang on hashes of ids and the seed, so reruns
 agree; an empty table gives an empty result; further columns pass through `mix` untouched.
 """
 
@@ -32,20 +34,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import staged, word_count
+from pairloom.llm.common import file_bytes, partitions_for, staged, word_count
 
 WEIGHTS = (5, 2, 1)
 #: Most rows of a table of the plan that are broadcast; a row has about 100 bytes.
 BROADCAST_ROWS = 50_000
-PLACES = 1 << 40
+PLACES = 1 << 53
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _place(doc_id: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(PLACES)) / F.lit(float(PLACES))
+def _place(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(PLACES)) / F.lit(float(PLACES))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -> DataFrame:
@@ -82,7 +84,7 @@ def _tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 
 
 def _units(docs: DataFrame, seed: int) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _place(F.col("doc_id"), seed).alias("__place"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _place(seed).alias("__place"))
 
 
 def _block() -> Column:
@@ -101,7 +103,8 @@ def plan(units: DataFrame, shards: int = 16, blocks: int = 4096, weights: tuple[
     sources = targets(units.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     total = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
     share = F.ceil(F.lit(blocks) * F.col("source_size") / F.greatest(total, F.lit(1)))
-    sources = staged(sources.select("source", "source_size", "target", F.greatest(F.lit(16).cast("long"), share).alias("__blocks")), "sources")
+    fewest = F.greatest(F.lit(1), F.least(F.lit(16), F.floor(F.lit(blocks) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))))).cast("long")
+    sources = staged(sources.select("source", "source_size", "target", F.greatest(fewest, share).alias("__blocks")), "sources")
     placed = units.join(_small(sources), units["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     laps = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(0)
     rest = F.when(F.col("laps") < cap, F.col("target") - F.col("laps") * F.col("source_size")).otherwise(0.0)
@@ -187,11 +190,16 @@ def mix(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     mix_order, which are replaced. Sorting a shard by mix_order shuffles it.
     """
     docs = docs.drop("mix_shard", "mix_order")
-    rows = _planned(docs.withColumn("__place", _place(F.col("doc_id"), seed)), *plan(staged(_units(docs, seed), "units"), seed=seed, **options), "source")
+    rows = _planned(docs.withColumn("__place", _place(seed)), *plan(staged(_units(docs, seed), "units"), seed=seed, **options), "source")
     drawn = rows.withColumn("__d", F.explode("__draws"))
     return drawn.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("__d.shard").alias("mix_shard"), F.xxhash64(F.lit(seed + 1), "doc_id", F.col("__d.lap")).alias("mix_order"))
 
 
-def shuffled(mixed: DataFrame) -> DataFrame:
-    """The mix in shard order, each shard in its own random order; a shard may span several tasks."""
-    return mixed.repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order")
+def shuffled(mixed: DataFrame, shards: int = 16, tasks: int | None = None) -> DataFrame:
+    """The mix in shard order, each shard in its own random order.
+
+    A shard is cut into even parts by mix_order, which is a hash, so that it may span several tasks.
+    """
+    parts = -(-(tasks or partitions_for(2 * file_bytes(mixed))) // shards)
+    part = F.least(F.floor((F.col("mix_order") / F.lit(float(1 << 63)) + 1) / 2 * parts), F.lit(parts - 1))
+    return mixed.repartition(shards * parts, "mix_shard", part).sortWithinPartitions("mix_shard", "mix_order")

@@ -32,7 +32,7 @@ def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed_sizes(table(spark, sf_dir, "documents")).drop("shards")
+    return mixed_sizes(table(spark, sf_dir, "documents"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
