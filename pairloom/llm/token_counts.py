@@ -12,7 +12,8 @@ Two deterministic transducers are composed:
   in it, which is all that the encoding of further bytes depends on.
 
 The count of a pretoken is the sum along its path. No text is cut off: a pretoken or a text of any
-length is read whole.
+length is read whole. What is kept between texts is bounded: states, pairs of tokens, and pretokens
+by their letters (pretokens over LONG letters are not kept); beyond a bound it is compiled anew.
 
 Defined cases: null counts as empty (0 tokens); the vocabulary's special strings inside a text are
 one token each, as is the library's default, and split the text there; repeated rows get equal
@@ -22,6 +23,7 @@ counts; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -35,6 +37,8 @@ LETTERS = {"letter", "final", "r", "v", "l", "e"}
 #: fresh states begin a pretoken; after_* have read an apostrophe and a letter that needs a second one.
 STATES = ["start", "letters", "numbers", "others", "quote", "after_r", "after_v", "after_l", "done", "space1", "blank1", "space2", "blank2"]
 HERE, BEFORE = 1, 2
+#: Letters of a pretoken that is worth keeping.
+LONG = 200
 #: White space of Unicode.
 BLANKS = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -156,13 +160,13 @@ def _byte_letters() -> dict[str, int]:
 class Merger:
     """Transducer over bytes whose weights sum to the number of BPE tokens of what was read."""
 
-    def __init__(self, merges: list[tuple[bytes, bytes]], most_states: int = 400_000):
+    def __init__(self, merges: list[tuple[bytes, bytes]], most_states: int = 400_000, most_pairs: int = 1_000_000):
         self.ranks = {pair: i for i, pair in enumerate(merges)}
         tokens = [bytes([b]) for b in range(256)] + [a + b for a, b in merges]
         self.tokens = set(tokens)
         self.begins = {t[:i] for t in self.tokens for i in range(1, len(t) + 1)}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.most_states = most_states
+        self.most_states, self.most_pairs = most_states, most_pairs
         self._reset()
 
     def _reset(self) -> None:
@@ -184,6 +188,8 @@ class Merger:
         if not a:
             return True
         if (known := self.pairs.get((a, b))) is None:
+            if len(self.pairs) >= self.most_pairs:
+                self.pairs.clear()
             known = self.pairs[a, b] = self._encode(a + b) == [a, b]
         return known
 
@@ -210,33 +216,45 @@ class Merger:
     def count(self, word: bytes) -> int:
         if len(self.states) > self.most_states:
             self._reset()
-        state, total, moves = 0, 0, self.moves
+        state, total, moves, most = 0, 0, self.moves, 2 * self.most_states
         for byte in word:
             state, delta = moves[state].get(byte) or self._compile(state, byte)
             total += delta
+            if len(moves) > most:  # within one long pretoken: go on from the state that is reached
+                here = self.states[state]
+                self._reset()
+                self.ids[here], moves, state = 1, self.moves, 1
+                self.states.append(here)
+                moves.append({})
         return total
 
 
 class TokenCounter:
     """Counts for one byte-level BPE vocabulary file."""
 
-    def __init__(self, path: str, most_words: int = 1_000_000):
+    def __init__(self, path: str, most_letters: int = 16_000_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = _byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.merger = Merger([(raw(a), raw(b)) for a, b in pairs])
-        self.specials = [t["content"] for t in spec.get("added_tokens", [])]
+        specials = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
+        self.specials = re.compile("|".join(map(re.escape, specials))) if specials else None
         self.splitter = Splitter()
         self.words: dict[str, int] = {}
-        self.most_words = most_words
+        self.letters, self.most_letters = 0, most_letters
 
     def _parts(self, text: str) -> list[str]:
-        parts = [text]
-        for special in self.specials:
-            parts = [x for part in parts for x in part.split(special)]
-        return parts
+        return self.specials.split(text) if self.specials else [text]
+
+    def _count(self, word: str) -> int:
+        if (n := self.words.get(word)) is None:
+            n = self.merger.count(word.encode("utf-8", "replace"))
+            if len(word) <= LONG:
+                self.words[word] = n
+                self.letters += len(word)
+        return n
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Number of tokens of each text."""
@@ -251,13 +269,12 @@ class TokenCounter:
         # A pretoken ends where the next one starts, or at the end of its part.
         part_of = np.searchsorted(ends, starts, "left")
         stops = np.minimum(np.append(starts[1:], len(joined)), ends[part_of]) if len(starts) else starts
-        words, merger = self.words, self.merger
-        if len(words) > self.most_words:
-            words.clear()
+        if self.letters > self.most_letters:
+            self.words.clear()
+            self.letters = 0
         found = [joined[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
-        for w in set(found).difference(words):
-            words[w] = merger.count(w.encode("utf-8", "replace"))
-        each = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
+        own = {w: self._count(w) for w in set(found)}
+        each = np.fromiter(map(own.__getitem__, found), np.int64, len(found))
         per_part = np.bincount(part_of, each, len(flat)).astype(np.int64)
         sizes = np.fromiter((len(p) for p in parts), np.int64, len(parts))
         first = np.cumsum(sizes) - sizes

@@ -23,6 +23,28 @@ def test_counts_like_the_library(library, prose, odd):
     assert [(t, g, w) for t, g, w in zip(texts, got, want) if g != w] == []
 
 
+def test_small_bounds_change_nothing(prose, odd):
+    """Compiling anew, in the middle of a pretoken too, gives the same counts."""
+    texts = [t or "" for _, t in prose[:30] + odd] + ["ab" * 2000, "x" * 5000 + "yz" * 700]
+    want = tc.counter(tc.vocabulary()).counts(texts)
+    small = tc.TokenCounter(tc.vocabulary(), most_letters=50)
+    small.merger.most_states, small.merger.most_pairs = 20, 10
+    assert (small.counts(texts) == want).all() and (small.counts(texts[::-1]) == want[::-1]).all()
+    assert len(small.merger.states) <= 60 and len(small.merger.pairs) <= 10
+    assert max(map(len, small.words)) <= tc.LONG
+
+
+def test_several_special_strings(tmp_path):
+    """The longest of those that begin at a place counts."""
+    import json
+
+    spec = json.load(open(tc.vocabulary(), encoding="utf-8"))
+    spec["added_tokens"] = [{"content": "<a"}, {"content": "<a>"}, {"content": "|"}]
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    assert tc.TokenCounter(str(path))._parts("x<a>y|<a") == ["x", "y", "", ""]
+
+
 def test_chunks_and_scan_agree():
     text = "it's  a test \n\n of 123 we'll 'r ''  x" * 40
     base = tc.Splitter(chunk=10_000)
@@ -43,7 +65,7 @@ def test_composition_is_associative():
 
 
 def test_states_are_dropped_and_compiled_anew(library):
-    small = tc.TokenCounter(tc.vocabulary(), most_words=10)
+    small = tc.TokenCounter(tc.vocabulary(), most_letters=10)
     small.merger.most_states = 50
     words = [f"word{k}ing" for k in range(300)]
     for k in range(0, 300, 20):
