@@ -7,8 +7,9 @@ vectors are broadcast; their size is fixed by `sample`, `terms` and `dims`. Ever
 projected, and its cosines with all labelled vectors are computed exactly, in blocks. The `k` nearest
 vote with their labels, weighted by similarity.
 
-Defined cases: null counts as empty; a text without terms gets the sample's mean label; ties of
-similarity are broken by the sample's order; repeated rows get equal scores; without any labels all
+Defined cases: null counts as empty; a text without terms gets the sample's mean label; similarities
+are rounded to 2^-20, and ties are broken by the sample's order; repeated rows get equal scores, in
+whatever batch they come, because products are always made for blocks of the same size; without any labels all
 scores are 0.5; an empty table gives an empty result. Labels, ids and other columns are no inputs
 of a score.
 """
@@ -26,6 +27,15 @@ from pyspark.sql import DataFrame
 from pairloom.llm.common import map_texts, training_sample
 
 
+#: Documents of one product, and what a similarity of 1 is rounded to.
+BLOCK, ONE = 256, 1 << 20
+
+
+def _whole_block(rows: np.ndarray) -> np.ndarray:
+    """rows, filled up with zeros to BLOCK: the order of a product's sums hangs on its size."""
+    return rows if len(rows) == BLOCK else np.concatenate([rows, np.zeros((BLOCK - len(rows), rows.shape[1]), rows.dtype)])
+
+
 def _shape(word: str) -> str:
     """Letters to x or X and digits to 0, each run once; other characters stay."""
     out = []
@@ -33,7 +43,7 @@ def _shape(word: str) -> str:
         s = ("X" if c.isupper() else "x") if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != s:
             out.append(s)
-    return "".join(out[:12])
+    return "".join(out)
 
 
 class Terms:
@@ -48,6 +58,12 @@ class Terms:
     def _id(self, term: str) -> int:
         return zlib.crc32(term.encode("utf-8", "replace")) % self.terms
 
+    def _word(self, w: str) -> tuple[int, int]:
+        ids = self._id("shape:" + _shape(w)), self._id("end:" + w[-2:])
+        if len(w) <= 100:  # a word can be a whole text
+            self.known[w] = ids
+        return ids
+
     def matrix(self, texts: list[str]) -> np.ndarray:
         """Square roots of relative frequencies, a row per text; rows have length 1, or 0 without words."""
         if len(self.known) > 500_000:
@@ -57,9 +73,8 @@ class Terms:
             words = text.split()
             if not words:
                 continue
-            for w in set(words).difference(self.known):
-                self.known[w] = (self._id("shape:" + _shape(w)), self._id("end:" + w[-2:]))
-            shapes, ends = zip(*map(self.known.__getitem__, words))
+            ids = {w: self.known.get(w) or self._word(w) for w in set(words)}
+            shapes, ends = zip(*map(ids.__getitem__, words))
             row = np.bincount(np.fromiter(shapes, np.int64, len(words)), minlength=self.terms) + np.bincount(np.fromiter(ends, np.int64, len(words)), minlength=self.terms)
             row[self.repeat] += 2 * sum(map(eq, words, words[1:]))
             out[i] = np.sqrt(row / row.sum())
@@ -83,22 +98,29 @@ class Model:
     k: int
 
     def project(self, rows: np.ndarray) -> np.ndarray:
-        v = (rows * self.weights) @ self.axes
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        """Unit vectors of rows of term counts."""
+        out = np.empty((len(rows), self.axes.shape[1]), np.float32)
+        for at in range(0, len(rows), BLOCK):
+            v = _whole_block(rows[at : at + BLOCK] * self.weights) @ self.axes
+            out[at : at + BLOCK] = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12))[: len(rows) - at]
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        mean = float(self.labels.mean()) if len(self.labels) else 0.5
-        if not len(self.labels):
+        n = len(self.labels)
+        mean = float(self.labels.mean()) if n else 0.5
+        if not n:
             return np.full(len(texts), mean)
-        rows = _terms(self.terms).matrix(texts)
-        out, k = np.empty(len(texts)), min(self.k, len(self.labels))
-        for at in range(0, len(texts), 256):
-            cosines = self.project(rows[at : at + 256]) @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** 8
+        vectors = self.project(_terms(self.terms).matrix(texts))
+        out, k, place = np.empty(len(texts)), min(self.k, n), np.arange(n)
+        for at in range(0, len(texts), BLOCK):
+            cosines = np.rint((_whole_block(vectors[at : at + BLOCK]) @ self.vectors.T).astype(np.float64) * ONE).astype(np.int64)[: len(texts) - at]
+            rank = cosines * n - place  # no two are equal
+            near = np.argpartition(-rank, k - 1, axis=1)[:, :k]
+            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(rank, near, 1), axis=1), 1)
+            weight = (np.maximum(np.take_along_axis(cosines, near, 1), 0) / ONE) ** 8
             total = weight.sum(1)
             vote = (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-300)
-            out[at : at + 256] = np.where(total > 0, vote, mean)
+            out[at : at + BLOCK] = np.where(total > 0, vote, mean)
         return np.clip(out, 0, 1)
 
 
