@@ -2,9 +2,10 @@
 
 Tokens are labelled from the documents' labels: in a toxic document of the training sample a token
 is labelled toxic if one of its features (the word, its first 3 to 7 letters) is far more frequent
-in toxic documents than in others. The field is then trained on segments of labelled tokens by the
-gradient of its exact likelihood (forward-backward), and a small logistic model turns the marginals
-of a document (their greatest values and how many are expected to be toxic) into a score.
+in toxic documents than in others. The field is then trained on every segment of every document of
+the sample by the gradient of its exact likelihood (forward-backward), and a small logistic model
+turns the marginals of a document (their greatest values and how many are expected to be toxic) into
+a score. The number of labelled documents (`sample`) is the only bound.
 
 A chain is a segment of up to `SEGMENT` tokens of one document; every token of a text is in one.
 The model has a fixed size (hashed features) and is broadcast.
@@ -96,25 +97,39 @@ class Crf:
         return p, w.sum((1, 2)).reshape(2, 2)
 
 
-def train_crf(features: np.ndarray, labels: np.ndarray, mask: np.ndarray, rounds: int = 60, ridge: float = 1e-4) -> Crf:
-    """Maximum likelihood by Adam over all segments. features: (place, segment, feature); labels, mask: (place, segment)."""
+def train_crf(features: np.ndarray, ids: np.ndarray, labels: np.ndarray, lengths: np.ndarray, rounds: int = 60, ridge: float = 1e-4, block: int = 2048) -> Crf:
+    """Maximum likelihood by Adam over all segments.
+
+    features: of every word, (word, feature). ids, labels: word and state of every token, for documents
+    of these lengths laid end to end.
+    """
     model = Crf(np.zeros(FEATURES), np.zeros((2, 2)))
     model.weights[word_features("")[0]] = -3.0
+    segment, place = _segments(lengths)
+    begins = np.flatnonzero(place == 0)
+    sizes = np.diff(np.append(begins, len(ids)))
+    order = np.argsort(sizes, kind="stable")
+    grids = []  # segments of about equal length side by side
+    for at in range(0, len(order), block):
+        own = order[at : at + block]
+        mask = np.arange(sizes[own[-1]])[:, None] < sizes[own]
+        token = np.where(mask, begins[own] + np.arange(len(mask))[:, None], 0)
+        grids.append((token, mask))
     seen = np.zeros((2, 2))
-    pairs = mask[1:]
-    for x in (0, 1):
-        for y in (0, 1):
-            seen[x, y] = ((labels[:-1] == x) & (labels[1:] == y) & pairs).sum()
-    on, flat, n = mask.ravel(), features.reshape(-1, features.shape[2]), max(1, mask.sum())
-    used = np.unique(flat[on])
-    columns = np.searchsorted(used, flat[on])
+    same = segment[1:] == segment[:-1]
+    np.add.at(seen, (labels[:-1][same], labels[1:][same]), 1)
+    used, columns = np.unique(features, return_inverse=True)
+    columns, n = columns.reshape(features.shape), max(1, len(ids))
     m, v = np.zeros(len(used) + 4), np.zeros(len(used) + 4)
     for t in range(1, rounds + 1):
-        emission = np.zeros(mask.size)
-        emission[on] = model.weights[used][columns].sum(1)
-        p, moves = model.expected(emission.reshape(mask.shape), mask)
-        error = (p - labels).ravel()[on]
-        grad = np.concatenate([np.bincount(columns.ravel(), np.repeat(error, columns.shape[1]), len(used)), (moves - seen).ravel()]) / n
+        emission = model.weights[used][columns].sum(1)[ids]
+        error, moves = -labels.astype(float), np.zeros((2, 2))
+        for token, mask in grids:
+            p, some = model.expected(emission[token], mask)
+            error[token[mask]] += p[mask]
+            moves += some
+        by_word = np.bincount(ids, error, len(features))
+        grad = np.concatenate([np.bincount(columns.ravel(), np.repeat(by_word, columns.shape[1]), len(used)), (moves - seen).ravel()]) / n
         grad[: len(used)] += ridge * model.weights[used] / len(used)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
@@ -184,8 +199,8 @@ def _presence(texts: list[str]) -> list[np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 6000, odds: float = 2.5, support: int = 4) -> Model:
     """Learn from at most `sample` labelled documents.
 
-    To the driver come: per feature how many toxic and other documents have it; the segments with
-    toxic tokens and one other per document; the evidence of each sampled document.
+    To the driver come: per feature how many toxic and other documents have it; the words of each
+    sampled document, every different one once, and their places; the evidence of each.
     """
     none = Model(None, np.zeros(4))
     picked = training_sample(docs, labels, label, sample)
@@ -202,25 +217,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     if not suspect.any():
         return none
 
-    def segments(texts: list[str], toxic: list[int]) -> list:
-        make, out = _Words(word_features), []
-        for text, is_toxic in zip(texts, toxic):
-            f = np.array(make(text.split()), np.int64).reshape(-1, PER_WORD)
-            y = suspect[f].any(1) & (is_toxic == 1)
-            parts = range(0, len(f), SEGMENT)
-            keep = [s for s in parts if y[s : s + SEGMENT].any()][:8]
-            clean = [s for s in parts if not y[s : s + SEGMENT].any()]
-            keep += [clean[zlib.crc32(text.encode("utf-8", "replace")) % len(clean)]] if clean else []
-            out.append([np.column_stack([f[s : s + SEGMENT], y[s : s + SEGMENT]]).astype("<i4").tobytes() for s in keep])
-        return [out]
-
-    got = map_texts(picked, segments, "doc_id long, s array<binary>", also=("label",)).collect()
-    chains = [np.frombuffer(s, "<i4").reshape(-1, PER_WORD + 1) for r in sorted(got, key=lambda r: (r["doc_id"], r["s"])) for s in r["s"] if s]
-    features = np.zeros((SEGMENT, len(chains), PER_WORD), np.int32)
-    y, mask = np.zeros(features.shape[:2]), np.zeros(features.shape[:2], bool)
-    for k, c in enumerate(chains):
-        features[: len(c), k], y[: len(c), k], mask[: len(c), k] = c[:, :-1], c[:, -1], True
-    model = Model(train_crf(features, y, mask), np.zeros(4))
+    def words_of(texts: list[str], y: list[int]) -> list:
+        different, places = [], []
+        for text in texts:
+            number: dict[str, int] = {}
+            at = [number.setdefault(w, len(number)) for w in text.split()]
+            different.append("\n".join(number).encode("utf-8", "replace"))
+            places.append(np.array(at, "<i4").tobytes())
+        return [y, different, places]
+
+    got = map_texts(picked, words_of, "doc_id long, y int, words binary, at binary", also=("label",)).collect()
+    number: dict[str, int] = {}
+    ids, toxic = [], []
+    for r in sorted(got, key=lambda r: (r["doc_id"], r["words"], r["at"])):
+        if r["at"]:
+            known = np.array([number.setdefault(w, len(number)) for w in bytes(r["words"]).decode().split("\n")], np.int32)
+            ids.append(known[np.frombuffer(r["at"], "<i4")])
+            toxic.append(r["y"])
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    features = np.array([word_features(w) for w in number], np.int32)
+    ids, labels_ = np.concatenate(ids), np.repeat(np.array(toxic) == 1, lengths)
+    labels_ = (suspect[features].any(1)[ids] & labels_).astype(np.int64)
+    model = Model(train_crf(features, ids, labels_, lengths), np.zeros(4))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def evidence(texts: list[str], y: list[int]) -> list:
