@@ -20,7 +20,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -35,25 +35,37 @@ from pairloom.llm.components import components
 SEED = 42
 
 
-def fingerprint(text: str, words_of_shingle: int = 4) -> int:
-    """64-bit SimHash over word shingles, repeats counted; 0 for a text without words."""
+def shingle_hashes(text: str, words_of_shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles of a text, repeats included, in parts; none for a text without words."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.append(0, ends[:-1] + 1)
     k = min(words_of_shingle, len(words))
-    total, n = np.zeros(64, np.int64), len(words) - k + 1
+    n = len(words) - k + 1
     for at in range(0, n, 1 << 17):
         a, b = begins[at : min(at + (1 << 17), n)].tolist(), ends[at + k - 1 : min(at + (1 << 17), n) + k - 1].tolist()
-        hashes = np.array([xxh64_intdigest(joined[x:y], SEED) for x, y in zip(a, b)], "<u8")
+        yield np.array([xxh64_intdigest(joined[x:y], SEED) for x, y in zip(a, b)], "<u8")
+
+
+def combined(parts: Iterable[np.ndarray]) -> int:
+    """The SimHash of hashes: a bit is set if it is set in more than half of them; 0 without any."""
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, words_of_shingle: int = 4) -> int:
+    """64-bit SimHash over word shingles, repeats counted; 0 for a text without words."""
+    return combined(shingle_hashes(text, words_of_shingle))
+
+
 def fingerprints(docs: DataFrame, words_of_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
     return map_texts(docs, lambda texts: [np.array([fingerprint(t, words_of_shingle) for t in texts], np.uint64).view(np.int64)], "doc_id long, fp long", id_col, text_col)
@@ -240,23 +252,17 @@ def links(classes: DataFrame, most: int = 4, code: Code | None = None, cell: int
     return stars.distinct()
 
 
-def near_duplicates(docs: DataFrame, most: int = 4, words_of_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", code: Code | None = None, cell: int = 20_000) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id: one row per document."""
-    prints = staged(fingerprints(docs, words_of_shingle, id_col, text_col), "fingerprints")
+def grouped(prints: DataFrame, most: int = 4, code: Code | None = None, cell: int = 20_000) -> DataFrame:
+    """prints (a table with an id, doc_id, and fp) with component_id, the smallest id of the component."""
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     found = components(links(classes, most, code, cell)).select(F.col("vertex").alias("fp"), "root")
     found = staged(found, "linked")
     least = found.join(classes, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(found.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    named = staged(named, "named")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
+    return prints.join(staged(named, "named"), "fp")
 
-def near_dedup_keep(docs: DataFrame, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all columns: of each component the document with the smallest id.
 
-    Rows that share an id are one document. Rows without an id stay.
-    """
-    groups = near_duplicates(docs, most, id_col=id_col, text_col=text_col)
-    gone = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    return docs.join(gone, id_col, "left_anti")
+def near_duplicates(docs: DataFrame, most: int = 4, words_of_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", code: Code | None = None, cell: int = 20_000) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id: one row per document."""
+    prints = staged(fingerprints(docs, words_of_shingle, id_col, text_col), "fingerprints")
+    return grouped(prints, most, code, cell).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

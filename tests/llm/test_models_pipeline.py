@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from pairloom.llm import quality, queries, simhash, toxicity
+from pairloom.llm import quality, queries, toxicity
 from pairloom.llm.common import held_out, table
+from tests.llm.test_shingles import kept_by_hand
 
 LARGER = "/root/testdata/sf0.01"
 
@@ -112,6 +113,49 @@ def test_votes_against_brute_force(spark, sf_dir):
     assert np.allclose(model.scores(texts), want, atol=1e-5)
 
 
+def test_scores_do_not_depend_on_the_batch(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    texts = [r.text or "" for r in docs.collect()] + ["", "Aa-1" * 10 + "!", "x9" * 40]
+    whole = model.scores(texts)
+    assert all(model.scores([t])[0] == s for t, s in zip(texts, whole))
+    assert (model.scores(texts[3:] + texts[:3]) == np.roll(whole, -3)).all()
+
+
+def test_shapes_are_whole():
+    assert quality._shape("a1" * 20) == "x0" * 20 and quality._shape("ABcd--") == "Xx-"
+
+
+def test_every_segment_trains(spark, monkeypatch):
+    """A document of twenty toxic segments trains with all of them, and with its clean ones."""
+    bad = [f"vile{k}" for k in range(20)]
+    long = " ".join(" ".join(["calm"] * (toxicity.SEGMENT - 1) + [b]) for b in bad) + " calm" * 3 * toxicity.SEGMENT
+    rows = [(k, " ".join(["calm"] * 30 + (bad if k % 2 else [])), k % 2) for k in range(60) if k % 2 == 0 or k < 41]
+    rows.append((1001, long, 1))
+    seen = {}
+    train = toxicity.train_crf
+    monkeypatch.setattr(toxicity, "train_crf", lambda f, ids, y, lengths: seen.update(y=y, lengths=lengths) or train(f, ids, y, lengths))
+    toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    ends = np.cumsum(seen["lengths"])
+    k = int(np.argmax(seen["lengths"]))
+    own = seen["y"][ends[k] - seen["lengths"][k] : ends[k]]
+    assert seen["lengths"][k] == 23 * toxicity.SEGMENT and own.sum() == 20
+    assert (np.flatnonzero(own) // toxicity.SEGMENT).tolist() == list(range(20))
+
+
+def test_training_against_the_whole_likelihood():
+    """The gradient over grids of segments moves the weights as one that is summed segment by segment."""
+    rng = np.random.default_rng(3)
+    features = np.array([toxicity.word_features(w) for w in ("aa", "bb", "cc", "dd")], np.int32)
+    lengths = np.array([5, 70, 1, 130])
+    ids = rng.integers(0, 4, lengths.sum())
+    y = (ids == 2).astype(np.int64)
+    a, b = (toxicity.train_crf(features, ids, y, lengths, rounds=5, block=n) for n in (1, 1000))
+    assert np.allclose(a.weights, b.weights) and np.allclose(a.trans, b.trans)
+    scores = a.weights[features].sum(1)
+    assert scores[2] == scores.max()
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     kinds, names = docs.dtypes, [n for n, _ in corpus_pipeline.STAGES]
@@ -128,17 +172,26 @@ def test_pipeline_stages(spark, sf_dir):
     for i, t in clean:
         last[t or ""] = max(i, last.get(t or "", i))
     assert sorted(i for i, _ in distinct) == sorted(last.values())
-    prints = [(i, simhash.fingerprint(t or "")) for i, t in distinct]
-    left = {i for i, _ in apart}
-    for i, p in prints:
-        assert i in left or any((p ^ q).bit_count() <= 4 and j < i for j, q in prints) or any((p ^ q).bit_count() <= 4 for j, q in prints if j != i)
-        if i in left:
-            assert not any((p ^ q).bit_count() <= 4 and j in left and j != i for j, q in prints)
+    assert sorted(i for i, _ in apart) == kept_by_hand(distinct)
     assert set(mixed) <= set(apart) and max(Counter(i for i, _ in mixed).values()) <= 3
     packed = corpus_pipeline.STAGES[-1][1](spark, tables[-1], sf_dir).toPandas()
     assert packed.length.sum() == sum(len((t or "").encode().split()) + 1 for _, t in mixed)
 
 
+def test_pipeline_stages_on_odd_documents(spark, sf_dir, make_docs, odd, prose):
+    """Nulls, empty and very long texts, repeated rows and clashing columns go through every stage."""
+    for docs in (make_docs(odd + prose[:20], clashes=True), make_docs(odd, clashes=True).limit(0)):
+        texts = {(r.text or "") for r in docs.collect()}
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before, docs = docs, stage(spark, docs, sf_dir).cache()
+            assert dict(docs.dtypes) == dict(before.dtypes), name
+            assert {(r.text or "") for r in docs.collect()} <= {(r.text or "") for r in before.collect()}, name
+            if name == "exact_dedup":
+                assert docs.count() == len({(r.text or "") for r in before.collect()}) <= len(texts)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+        assert packed.agg(F.sum("length")).first()[0] == (sum(len((r.text or "").encode().split()) + 1 for r in docs.collect()) or None)
+
+
 def test_pipeline_runs(spark, sf_dir):
     assert __spark_entry__.queries()["pipeline"](spark, sf_dir).count() > 0
 
