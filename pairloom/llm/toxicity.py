@@ -8,7 +8,8 @@ turns the marginals of a document (their greatest values and how many are expect
 a score. The number of labelled documents (`sample`) is the only bound.
 
 A chain is a segment of up to `SEGMENT` tokens of one document; every token of a text is in one.
-The model has a fixed size (hashed features) and is broadcast.
+One task trains, as the sample is bounded; the model has a fixed size (hashed features) and is
+broadcast.
 
 Defined cases: null counts as empty; a text without tokens gets the score of a document without any
 toxic evidence; repeated rows get equal results; without labels of both kinds all scores are 0; an
@@ -17,15 +18,18 @@ empty table gives an empty result. Labels, ids and other columns are no inputs o
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import append_columns, map_texts, training_sample
+from pairloom.llm.common import append_columns, map_texts, texts_of, training_sample
 
 SEGMENT = 64
 FEATURES = 1 << 16
@@ -56,11 +60,11 @@ class _Words:
 
 
 def _segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, place in it) of every token, for documents of these lengths laid end to end."""
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(lengths.sum()) - np.repeat(first, lengths)
+    """Where each segment begins and how many tokens it has, for documents of these lengths laid end to end."""
     counts = -(-lengths // SEGMENT)
-    return np.repeat(np.cumsum(counts) - counts, lengths) + place // SEGMENT, place % SEGMENT
+    number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    begins = np.repeat(np.cumsum(lengths) - lengths, counts) + number * SEGMENT
+    return begins, np.minimum(SEGMENT, np.repeat(lengths, counts) - number * SEGMENT)
 
 
 @dataclass
@@ -105,19 +109,16 @@ def train_crf(features: np.ndarray, ids: np.ndarray, labels: np.ndarray, lengths
     """
     model = Crf(np.zeros(FEATURES), np.zeros((2, 2)))
     model.weights[word_features("")[0]] = -3.0
-    segment, place = _segments(lengths)
-    begins = np.flatnonzero(place == 0)
-    sizes = np.diff(np.append(begins, len(ids)))
+    begins, sizes = _segments(lengths)
     order = np.argsort(sizes, kind="stable")
     grids = []  # segments of about equal length side by side
     for at in range(0, len(order), block):
         own = order[at : at + block]
         mask = np.arange(sizes[own[-1]])[:, None] < sizes[own]
-        token = np.where(mask, begins[own] + np.arange(len(mask))[:, None], 0)
-        grids.append((token, mask))
-    seen = np.zeros((2, 2))
-    same = segment[1:] == segment[:-1]
-    np.add.at(seen, (labels[:-1][same], labels[1:][same]), 1)
+        grids.append((np.where(mask, begins[own] + np.arange(len(mask))[:, None], 0).astype(np.int32), mask))
+    seen, same = np.zeros(4), np.ones(max(0, len(ids) - 1), bool)
+    same[begins[1:] - 1] = False
+    seen = np.bincount((2 * labels[:-1] + labels[1:])[same], minlength=4).reshape(2, 2)
     used, columns = np.unique(features, return_inverse=True)
     columns, n = columns.reshape(features.shape), max(1, len(ids))
     m, v = np.zeros(len(used) + 4), np.zeros(len(used) + 4)
@@ -154,12 +155,13 @@ class Model:
         self._emission = self._emission or _Words(lambda w: float(self.crf.weights[word_features(w)].sum()))
         words = [t.split() for t in texts]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        flat = self._emission([w for ws in words for w in ws])
-        segment, place = _segments(lengths)
-        grid = np.zeros((SEGMENT, int(segment[-1]) + 1 if len(segment) else 0))
-        mask = np.zeros(grid.shape, bool)
-        grid[place, segment], mask[place, segment] = flat, True
-        p = self.crf.marginals(grid, mask)[0][place, segment] if len(segment) else np.zeros(0)
+        flat = np.array(self._emission([w for ws in words for w in ws]))
+        begins, sizes = _segments(lengths)
+        p = np.zeros(len(flat))
+        if len(flat):
+            mask = np.arange(sizes.max())[:, None] < sizes
+            token = np.where(mask, begins + np.arange(len(mask))[:, None], 0)
+            p[token[mask]] = self.crf.marginals(flat[token], mask)[0][mask]
         return words, np.append(0, np.cumsum(lengths)), p
 
     @staticmethod
@@ -196,11 +198,38 @@ def _presence(texts: list[str]) -> list[np.ndarray]:
     return [np.unique(np.array(make(t.split()) or [[0]]).ravel()) for t in texts]
 
 
+def labelled_tokens(texts: list[str], toxic: list[int], suspect: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features of every different word, word of every token, its label, tokens of every text): all tokens of all texts.
+
+    A token of a toxic text is toxic if one of its features is suspect.
+    """
+    number: dict[str, int] = {}
+    ids = [np.array([number.setdefault(w, len(number)) for w in t.split()], np.int32) for t in texts]
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    features = np.array([word_features(w) for w in number], np.int32).reshape(-1, PER_WORD)
+    ids = np.concatenate([np.zeros(0, np.int32), *ids])
+    labels = suspect[features].any(1)[ids] & np.repeat(np.array(toxic) == 1, lengths)
+    return features, ids, labels.astype(np.int8), lengths
+
+
+def learn(texts: list[str], toxic: list[int], suspect: np.ndarray) -> Model:
+    model = Model(train_crf(*labelled_tokens(texts, toxic, suspect)), np.zeros(4))
+    x = []
+    for at in range(0, len(texts), 200):
+        _, ends, p = model.tags(texts[at : at + 200])
+        x += [Model.evidence(p[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+    x, t = np.array(x), np.array(toxic)
+    for _ in range(30):  # Newton steps of a ridge logistic regression
+        p = 1 / (1 + np.exp(-np.clip(x @ model.blend, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4)
+        model.blend = model.blend - np.linalg.solve(h, x.T @ (p - t) + 0.1 * model.blend)
+    return model
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 6000, odds: float = 2.5, support: int = 4) -> Model:
-    """Learn from at most `sample` labelled documents.
+    """Learn from at most `sample` labelled documents, whole ones.
 
-    To the driver come: per feature how many toxic and other documents have it; the words of each
-    sampled document, every different one once, and their places; the evidence of each.
+    To the driver come, for each feature, how many toxic and other documents have it, and the model.
     """
     none = Model(None, np.zeros(4))
     picked = training_sample(docs, labels, label, sample)
@@ -217,43 +246,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     if not suspect.any():
         return none
 
-    def words_of(texts: list[str], y: list[int]) -> list:
-        different, places = [], []
-        for text in texts:
-            number: dict[str, int] = {}
-            at = [number.setdefault(w, len(number)) for w in text.split()]
-            different.append("\n".join(number).encode("utf-8", "replace"))
-            places.append(np.array(at, "<i4").tobytes())
-        return [y, different, places]
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b.column("doc_id").to_pylist(), texts_of(b), b.column("label").to_pylist())]
+        rows.sort()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn([r[1] for r in rows], [r[2] for r in rows], suspect))], pa.binary())], ["model"])
 
-    got = map_texts(picked, words_of, "doc_id long, y int, words binary, at binary", also=("label",)).collect()
-    number: dict[str, int] = {}
-    ids, toxic = [], []
-    for r in sorted(got, key=lambda r: (r["doc_id"], r["words"], r["at"])):
-        if r["at"]:
-            known = np.array([number.setdefault(w, len(number)) for w in bytes(r["words"]).decode().split("\n")], np.int32)
-            ids.append(known[np.frombuffer(r["at"], "<i4")])
-            toxic.append(r["y"])
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    features = np.array([word_features(w) for w in number], np.int32)
-    ids, labels_ = np.concatenate(ids), np.repeat(np.array(toxic) == 1, lengths)
-    labels_ = (suspect[features].any(1)[ids] & labels_).astype(np.int64)
-    model = Model(train_crf(features, ids, labels_, lengths), np.zeros(4))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def evidence(texts: list[str], y: list[int]) -> list:
-        _, at, p = shared.value.tags(texts)
-        return [y, [Model.evidence(p[a:b]) for a, b in zip(at[:-1], at[1:])]]
-
-    got = sorted(map_texts(picked, evidence, "doc_id long, y int, e array<double>", also=("label",)).collect(), key=lambda r: (r["doc_id"], r["e"]))
-    x, t = np.array([r["e"] for r in got]), np.array([r["y"] for r in got])
-    blend = np.zeros(4)
-    for _ in range(30):  # Newton steps of a ridge logistic regression
-        p = 1 / (1 + np.exp(-np.clip(x @ blend, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4)
-        blend = blend - np.linalg.solve(h, x.T @ (p - t) + 0.1 * blend)
-    model.blend = blend
-    return model
+    (row,) = picked.select("doc_id", "text", "label").coalesce(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(bytes(row["model"]))
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:

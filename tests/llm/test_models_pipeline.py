@@ -126,21 +126,20 @@ def test_shapes_are_whole():
     assert quality._shape("a1" * 20) == "x0" * 20 and quality._shape("ABcd--") == "Xx-"
 
 
-def test_every_segment_trains(spark, monkeypatch):
+def test_every_segment_trains():
     """A document of twenty toxic segments trains with all of them, and with its clean ones."""
     bad = [f"vile{k}" for k in range(20)]
     long = " ".join(" ".join(["calm"] * (toxicity.SEGMENT - 1) + [b]) for b in bad) + " calm" * 3 * toxicity.SEGMENT
-    rows = [(k, " ".join(["calm"] * 30 + (bad if k % 2 else [])), k % 2) for k in range(60) if k % 2 == 0 or k < 41]
-    rows.append((1001, long, 1))
-    seen = {}
-    train = toxicity.train_crf
-    monkeypatch.setattr(toxicity, "train_crf", lambda f, ids, y, lengths: seen.update(y=y, lengths=lengths) or train(f, ids, y, lengths))
-    toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
-    ends = np.cumsum(seen["lengths"])
-    k = int(np.argmax(seen["lengths"]))
-    own = seen["y"][ends[k] - seen["lengths"][k] : ends[k]]
-    assert seen["lengths"][k] == 23 * toxicity.SEGMENT and own.sum() == 20
-    assert (np.flatnonzero(own) // toxicity.SEGMENT).tolist() == list(range(20))
+    suspect = np.zeros(toxicity.FEATURES, bool)
+    suspect[[toxicity.word_features(b)[1] for b in bad]] = True
+    features, ids, y, lengths = toxicity.labelled_tokens([long, "", bad[0], bad[0]], [1, 0, 0, 1], suspect)
+    assert lengths.tolist() == [23 * toxicity.SEGMENT, 0, 1, 1] and y.sum() == 21 and y[-2:].tolist() == [0, 1]
+    assert (np.flatnonzero(y[:-2]) // toxicity.SEGMENT).tolist() == list(range(20))
+    begins, sizes = toxicity._segments(lengths)
+    assert sizes.sum() == lengths.sum() and len(begins) == 25 and sizes.max() == toxicity.SEGMENT
+    covered = np.concatenate([np.arange(a, a + n) for a, n in zip(begins, sizes)])
+    assert covered.tolist() == list(range(lengths.sum()))
+    assert toxicity._segments(np.array([130, 0, 64]))[1].tolist() == [64, 64, 2, 64]
 
 
 def test_training_against_the_whole_likelihood():
