@@ -21,7 +21,7 @@ BATCH_ROWS = 500
 BATCH_BYTES = 8 << 20
 
 #: What a task of a shuffle is to read, about.
-PARTITION_BYTES = 8 << 20
+PARTITION_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
