@@ -1,14 +1,19 @@
 """Pair generation, pair classes and lookups on pair tables.
 
-An index has a whole-number `idx` and a feature column. Pairs are made tile by tile: items are cut
-into blocks by idx, every pair of blocks is a key, and blocks meet by an equi-join on that key. No
-side is broadcast and no row is compared outside its tile, so the work is spread over
-blocks * (blocks + 1) / 2 tasks and each holds two blocks, whatever the size of the index.
+An index has a whole-number `idx`, a feature column and attributes. Pairs are made tile by tile: items
+are cut into blocks by idx, every pair of blocks is a key, and blocks meet by an equi-join on that key.
+No side is broadcast and no row is compared outside its tile, so the work is spread over
+blocks * (blocks + 1) / 2 tasks and each holds two blocks, whatever the size of the index. Attributes
+travel in the blocks, so pairs need no joins to get them.
+
+Where only counts or the best pairs are wanted, a tile gives its own (`class_histogram`, `best_pairs`),
+so that what leaves it does not grow with the pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,46 +25,130 @@ from pairloom.operators.scorers import Scorer
 TILE_ROWS = 256
 
 
-def _blocks(index: DataFrame, features: str, rows: int) -> DataFrame:
+@dataclass(frozen=True)
+class PairClass:
+    """Classes of pairs by the attributes of both ends.
+
+    column: of the attributes as name_i and name_j. block: of {attribute: values} of two blocks, the number of each pair's class
+    in names.
+    """
+
+    attributes: tuple[str, ...]
+    names: tuple[str, ...]
+    column: Callable[[], Column]
+    block: Callable[[dict, dict], np.ndarray]
+
+
+def _equal(a: dict, b: dict, attribute: str) -> np.ndarray:
+    return a[attribute][:, None] == b[attribute][None, :]
+
+
+def _blocks(index: DataFrame, features: str, rows: int, attributes: tuple[str, ...] = ()) -> DataFrame:
     block = F.floor(F.col("idx") / rows).cast("int").alias("block")
-    return index.groupBy(block).agg(F.collect_list("idx").alias("ids"), F.flatten(F.collect_list(F.col(features).cast("array<double>"))).alias("x"))
+    # In structs, as a list of plain values leaves nulls out.
+    carried = [F.transform(F.collect_list(F.struct(F.col(c).alias("v"))), lambda x: x["v"]).alias(f"a_{c}") for c in attributes]
+    return index.groupBy(block).agg(F.collect_list("idx").alias("ids"), F.flatten(F.collect_list(F.col(features).cast("array<double>"))).alias("x"), *carried)
 
 
 def _meet(left: DataFrame, right: DataFrame, triangle: bool) -> DataFrame:
-    """Rows (ids, x, ids2, x2) for every pair of blocks; triangle: only block <= block2."""
+    """Rows of a block and another one, whose columns end in 2, for every pair of blocks; triangle: only block <= block2."""
+    other = [F.col(c).alias(f"{c}2") for c in right.columns if c != "block"]
+    own = [c for c in left.columns if c != "block"]
     top_left, top_right = (df.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0] for df in (left, right))
     if min(top_left, top_right) < 0:
-        return left.crossJoin(right.select(F.col("ids").alias("ids2"), F.col("x").alias("x2"))).where("false")
-    a = left.select("ids", "x", F.col("block").alias("p"), F.explode(F.sequence(F.col("block") if triangle else F.lit(0), F.lit(top_right))).alias("q"))
-    b = right.select(F.col("ids").alias("ids2"), F.col("x").alias("x2"), F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.col("block") if triangle else F.lit(top_left))).alias("p"))
-    return a.join(b, ["p", "q"])
+        return left.select(*own).crossJoin(right.select(*other)).where("false")
+    a = left.select(*own, F.col("block").alias("p"), F.explode(F.sequence(F.col("block") if triangle else F.lit(0), F.lit(top_right))).alias("q"))
+    b = right.select(*other, F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.col("block") if triangle else F.lit(top_left))).alias("p"))
+    return a.join(b, ["p", "q"]).drop("p", "q")
 
 
-def _tile_scores(tiles: DataFrame, scorers: list[Scorer], triangle: bool) -> DataFrame:
-    names = [s.name for s in scorers]
+def _per_tile(tiles: DataFrame, scorers: list[Scorer], triangle: bool, work, schema: str) -> DataFrame:
+    """work(tile, ids, ids2, keep, scores) -> record batch, for every tile. tile: a dict of its columns as Arrow arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, x, ids2, x2 = (np.asarray(batch.column(c)[k].values) for c in ("ids", "x", "ids2", "x2"))
+                tile = {c: batch.column(c)[k].values for c in batch.schema.names}
+                ids, x, ids2, x2 = (np.asarray(tile[c]) for c in ("ids", "x", "ids2", "x2"))
                 x, x2 = x.reshape(len(ids), -1), x2.reshape(len(ids2), -1)
                 keep = ids[:, None] < ids2[None, :] if triangle else np.ones((len(ids), len(ids2)), bool)
-                i, j = np.nonzero(keep)
-                columns = [pa.array(ids[i]), pa.array(ids2[j]), *(pa.array(s.block(x, x2)[keep].astype(np.int64)) for s in scorers)]
-                yield pa.RecordBatch.from_arrays(columns, ["i", "j", *names])
+                yield work(tile, ids, ids2, keep, [s.block(x, x2).astype(np.int64) for s in scorers])
 
-    return tiles.select("ids", "x", "ids2", "x2").mapInArrow(run, "i long, j long, " + ", ".join(f"`{n}` long" for n in names))
+    return tiles.mapInArrow(run, schema)
 
 
-def all_pairs(index: DataFrame, scorers: list[Scorer], features: str = "q", tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Every unordered pair once: i < j and a column for each (symmetric) scorer."""
-    blocks = _blocks(index, features, tile_rows)
-    return _tile_scores(_meet(blocks, blocks, True), scorers, True)
+def _tile_scores(tiles: DataFrame, scorers: list[Scorer], triangle: bool, attributes: tuple[str, ...], kinds: dict[str, str]) -> DataFrame:
+    names = ["i", "j", *(s.name for s in scorers), *(f"{c}_{end}" for c in attributes for end in "ij")]
 
+    def work(tile, ids, ids2, keep, scores) -> pa.RecordBatch:
+        i, j = np.nonzero(keep)
+        ends = [tile[f"a_{c}{two}"].take(pa.array(at)) for c in attributes for two, at in (("", i), ("2", j))]
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids2[j]), *(pa.array(s[keep]) for s in scores), *ends], names)
 
-def rectangle(probes: DataFrame, gallery: DataFrame, scorers: list[Scorer], features: str = "q", tile_rows: int = TILE_ROWS) -> DataFrame:
+    schema = ["i long", "j long", *(f"`{s.name}` long" for s in scorers), *(f"`{c}_{end}` {kinds[c]}" for c in attributes for end in "ij")]
+    return _per_tile(tiles, scorers, triangle, work, ", ".join(schema))
+
+
+def all_pairs(index: DataFrame, scorers: list[Scorer], features: str = "q", tile_rows: int = TILE_ROWS, attributes: tuple[str, ...] = ()) -> DataFrame:
+    """Every unordered pair once: i < j, a column for each (symmetric) scorer, and name_i and name_j of the attributes."""
+    blocks = _blocks(index, features, tile_rows, attributes)
+    return _tile_scores(_meet(blocks, blocks, True), scorers, True, attributes, dict(index.dtypes))
+
+
+def rectangle(probes: DataFrame, gallery: DataFrame, scorers: list[Scorer], features: str = "q", tile_rows: int = TILE_ROWS, attributes: tuple[str, ...] = ()) -> DataFrame:
     """Every probe (i) with every gallery item (j). The same table twice gives all directed pairs, the diagonal too."""
-    return _tile_scores(_meet(_blocks(probes, features, tile_rows), _blocks(gallery, features, tile_rows), False), scorers, False)
+    sides = [_blocks(df, features, tile_rows, attributes) for df in (probes, gallery)]
+    return _tile_scores(_meet(*sides, False), scorers, False, attributes, dict(probes.dtypes))
+
+
+def _classes(tile: dict, classes: PairClass) -> np.ndarray:
+    a, b = ({c: np.asarray(tile[f"a_{c}{two}"].to_numpy(zero_copy_only=False)) for c in classes.attributes} for two in ("", "2"))
+    return classes.block(a, b)
+
+
+def class_histogram(index: DataFrame, scorers: list[Scorer], classes: PairClass, features: str = "q", tile_rows: int = TILE_ROWS) -> DataFrame:
+    """pair_class, a column for each scorer, n: how many unordered pairs have these scores. Tiles count their own pairs."""
+    blocks = _blocks(index, features, tile_rows, classes.attributes)
+    names = [s.name for s in scorers]
+
+    def work(tile, ids, ids2, keep, scores) -> pa.RecordBatch:
+        rows = np.column_stack([_classes(tile, classes)[keep], *(s[keep] for s in scores)]).astype(np.int64)
+        low = rows.min(0) if len(rows) else np.zeros(rows.shape[1], np.int64)
+        span = (rows - low).max(0) + 1 if len(rows) else np.ones(rows.shape[1], np.int64)
+        if float(np.prod(span.astype(float))) < 2**62:  # as one number, which sorts much faster than rows
+            codes, counts = np.unique(np.ravel_multi_index((rows - low).T, span), return_counts=True)
+            found = np.column_stack(np.unravel_index(codes, span)) + low
+        else:
+            found, counts = np.unique(rows, axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(classes.names)[found[:, 0]], pa.string()), *(pa.array(c) for c in found[:, 1:].T), pa.array(counts)], ["pair_class", *names, "n"])
+
+    schema = "pair_class string, " + ", ".join(f"`{n}` long" for n in names) + ", n long"
+    return _per_tile(_meet(blocks, blocks, True), scorers, True, work, schema).groupBy("pair_class", *names).agg(F.sum("n").alias("n"))
+
+
+def best_pairs(index: DataFrame, scorers: list[Scorer], k: int, classes: PairClass, wanted: str, features: str = "q", tile_rows: int = TILE_ROWS) -> DataFrame:
+    """i, j and all scores of the pairs of the wanted class that are among the k best of their tile by any of the scorers.
+
+    The k best of all by any scorer are among them; ties go to the lesser i, then j.
+    """
+    blocks = _blocks(index, features, tile_rows, classes.attributes)
+    names, code = [s.name for s in scorers], classes.names.index(wanted)
+
+    def work(tile, ids, ids2, keep, scores) -> pa.RecordBatch:
+        i, j = np.nonzero(keep & (_classes(tile, classes) == code))
+        own = [s[i, j] for s in scores]
+        at = np.unique(np.concatenate([_best(s, ids[i], ids2[j], k) for s in own]))
+        return pa.RecordBatch.from_arrays([pa.array(ids[i[at]]), pa.array(ids2[j[at]]), *(pa.array(s[at]) for s in own)], ["i", "j", *names])
+
+    return _per_tile(_meet(blocks, blocks, True), scorers, True, work, "i long, j long, " + ", ".join(f"`{n}` long" for n in names))
+
+
+def _best(score: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> np.ndarray:
+    """Where the k best are; only what reaches the k-th score is sorted."""
+    at = np.arange(len(score))
+    if len(score) > k:
+        at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    return at[np.lexsort((j[at], i[at], -score[at]))[:k]]
 
 
 def all_pairs_native(index: DataFrame, scorers: list[Scorer], features: str = "q", tile_rows: int = 64) -> DataFrame:
@@ -93,6 +182,12 @@ def three_way_class(source: str = "source", item: str = "finger_id") -> Column:
     return F.when(same_item & same_source, "genuine").when(same_item, "artefact").otherwise("impostor")
 
 
+#: The classes above, for tiles.
+TWO_WAY = PairClass(("source", "finger_id"), ("impostor", "genuine"), two_way_class, lambda a, b: (_equal(a, b, "source") & _equal(a, b, "finger_id")).astype(int))
+THREE_WAY = PairClass(("source", "finger_id"), ("impostor", "artefact", "genuine"), three_way_class, lambda a, b: _equal(a, b, "finger_id") * (1 + _equal(a, b, "source")))
+SAME_PERSON = PairClass(("person",), ("different", "same"), lambda: F.when(F.col("person_i") == F.col("person_j"), "same").otherwise("different"), lambda a, b: _equal(a, b, "person").astype(int))
+
+
 def body_classes() -> Column:
     """The overlapping classes of a pair by person, hand and finger."""
     same, homologous = F.col("person_i") == F.col("person_j"), (F.col("finger_i") == F.col("finger_j")) & (F.col("hand_i") != F.col("hand_j"))

@@ -56,6 +56,34 @@ def empirical_p(null: DataFrame, observed: DataFrame, by: list[str], statistic:
     return both.groupBy(*by, "observed").agg(F.count(F.lit(1)).alias("n"), ((hits + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
 
 
+def bonferroni(p: DataFrame, tests: int | None = None, level: float = 0.05) -> DataFrame:
+    """p with flags: below one percent, and below the level shared by all tests (their number, or that of the rows)."""
+    n = F.lit(tests) if tests else F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    return p.withColumns({"at_one_percent": F.col("p") < 0.01, "of_all": F.col("p") < F.lit(level) / n})
+
+
+def five_tests(df: DataFrame, first: str, second: str, n: int, by: tuple[str, ...] = (), seeds: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """by, test, observed, n, p of five statistics against the same n independent permutations of two variables.
+
+    information and difference of either variable (total correlation; homologous pairs less all others) and agreement, the
+    rank correlation of their pointwise total correlations.
+    """
+    key, rows, points = [*by, "iter"], None, []
+    for name, value, seed in (("first", first, seeds[0]), ("second", second, seeds[1])):
+        z = dependence.copula(df, [*by, "position"], value).select(*by, F.col("person").cast("long").alias("person"), "position", "z")
+        dealt = shuffled_positions(iterations(z, n), key, seed).withColumn("person", F.col("person").cast("long"))
+        both = z.withColumn("iter", F.lit(-1)).unionByName(dealt)
+        rhos = dependence.correlations(both, key)
+        found = [dependence.matrix_information(rhos, key).select(*key, F.lit(f"information_{name}").alias("test"), F.col("tc").alias("x"))]
+        found.append(dependence.class_means(dependence.information(rhos), key).select(*key, F.lit(f"difference_{name}").alias("test"), F.col("delta_mi").alias("x")))
+        points.append(both)
+        for f in found:
+            rows = f if rows is None else rows.unionByName(f)
+    rows = rows.unionByName(pointwise_agreement(*points, key).select(*key, F.lit("agreement").alias("test"), F.col("rho").alias("x")))
+    seen = rows.where("iter < 0").select(*by, "test", "x")
+    return empirical_p(rows.where("iter >= 0"), seen, [*by, "test"], "x")
+
+
 def s_of(df: DataFrame, blind: bool = True, seed: str = "blind", value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
     """class_means of df; unless unblinded, of data whose people were dealt anew at every position."""
     return dependence.s_statistic(shuffled_positions(df, [*by], seed) if blind else df, [*by], value)

@@ -31,12 +31,20 @@ def discrete_percentiles(hist: DataFrame, by: list[str], percents=PERCENTS, scor
     return asked.where(F.col("upto") >= F.col("total") * F.col("percent") / 100).groupBy(*by, "percent").agg(F.min(score).alias("value"))
 
 
-def summary(edges: DataFrame, by: list[str], score: str = "score", thresholds=(40,), percents=(50, 90, 99, 99.9)) -> DataFrame:
-    """Count, mean, population deviation, greatest, interpolated percentiles, and count and share at or above thresholds."""
-    named = [F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.max(score).alias("top")]
-    named += [F.percentile(score, F.lit(p / 100)).alias("p" + f"{p:g}".replace(".", "_")) for p in percents]
+def summary(edges: DataFrame, by: list[str], score: str = "score", thresholds=(40,), percents=(50, 90, 99, 99.9), weight: str | None = None) -> DataFrame:
+    """Count, mean, population deviation, greatest, interpolated percentiles, and count and share at or above thresholds.
+
+    weight: how often each row counts, for histograms.
+    """
+    w, x = F.col(weight) if weight else F.lit(1), F.col(score).cast("double")
+    n = F.sum(w)
+    mean = F.sum(w * x) / n
+    named = [n.cast("long").alias("n"), mean.alias("mean"), F.max(score).alias("top")]
+    named.append((F.sqrt(F.greatest(F.sum(w * x * x) / n - mean * mean, F.lit(0.0))) if weight else F.stddev_pop(score)).alias("std"))
+    named += [F.percentile(score, F.lit(p / 100), w).alias("p" + f"{p:g}".replace(".", "_")) for p in percents]
     for t in thresholds:
-        named += [F.count_if(F.col(score) >= t).alias(f"n_ge_{t}"), F.avg((F.col(score) >= t).cast("double")).alias(f"share_ge_{t}")]
+        reach = F.sum(F.when(F.col(score) >= t, w).otherwise(0))
+        named += [reach.cast("long").alias(f"n_ge_{t}"), (reach / n).alias(f"share_ge_{t}")]
     return edges.groupBy(*by).agg(*named)
 
 
@@ -64,6 +72,24 @@ def overlap(a: DataFrame, b: DataFrame, rank_a: str, rank_b: str, sizes) -> Data
     return counts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(str(k)).alias("common")) for k in sizes))).alias("r")).select("r.k", "r.common")
 
 
+def either(a: DataFrame, b: DataFrame, rank_a: str, rank_b: str) -> DataFrame:
+    """i, j, both ranks (null beyond its table) and best, the lesser: the pairs of either ranked table."""
+    both = a.select("i", "j", rank_a).join(b.select("i", "j", rank_b), ["i", "j"], "full")
+    return both.withColumn("best", F.least(rank_a, rank_b))
+
+
+def at_least(edges: DataFrame, threshold, score: str = "score", ties=("i", "j")) -> DataFrame:
+    """All pairs that score at least the threshold, best first."""
+    return edges.where(F.col(score) >= threshold).orderBy(F.col(score).desc(), *ties)
+
+
+def binned(hist: DataFrame, by: list[str], score: str, low: float, high: float, bins: int) -> DataFrame:
+    """by, bin, n: a histogram in bins of equal width from low to high; what lies beyond is in the bins at the ends."""
+    place = F.floor((F.col(score) - low) / ((high - low) / bins))
+    place = F.greatest(F.lit(0), F.least(place, F.lit(bins - 1))).cast("int")
+    return hist.groupBy(*by, place.alias("bin")).agg(F.sum("n").alias("n"))
+
+
 def first_seen(queues: list[DataFrame], key: list[str], order: str) -> DataFrame:
     """Rows of several queues, one after the other, each key where it first comes. order: place in its queue."""
     rows = None
@@ -80,12 +106,13 @@ def mean_ranks(hist: DataFrame, by: list[str], score: str, name: str) -> DataFra
     return hist.select(*by, score, (F.sum("n").over(up) - (F.col("n") - 1) / 2).alias(name))
 
 
-def spearman(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """by, n, rho: rank correlation of two columns with ties at mean ranks, from their joint histogram."""
-    joint = rows.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("n"))
+def spearman(rows: DataFrame, by: list[str], a: str, b: str, weight: str | None = None) -> DataFrame:
+    """by, n, rho: rank correlation of two columns with ties at mean ranks, from their joint histogram. weight: how often rows count."""
+    joint = rows.groupBy(*by, a, b).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     for c, name in ((a, "ra"), (b, "rb")):
-        ranks = mean_ranks(joint.groupBy(*by, c).agg(F.sum("n").alias("n")), by, c, name)
-        joint = joint.join(ranks, [*by, c])
+        # Over the joint histogram, which is small, so that the rows are made once.
+        upto = F.sum("n").over(Window.partitionBy(*by).orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        joint = joint.withColumn(name, upto - (F.sum("n").over(Window.partitionBy(*by, c)) - 1) / 2)
     n, mean_a, mean_b = F.sum("n"), F.sum(F.col("n") * F.col("ra")) / F.sum("n"), F.sum(F.col("n") * F.col("rb")) / F.sum("n")
     cov = F.sum(F.col("n") * F.col("ra") * F.col("rb")) / n - mean_a * mean_b
     var_a, var_b = (F.sum(F.col("n") * F.col(r) * F.col(r)) / n - m * m for r, m in (("ra", mean_a), ("rb", mean_b)))
@@ -102,6 +129,31 @@ def mann_whitney(hist: DataFrame, first: Column, score: str = "score") -> DataFr
     return sums.select("n1", "n2", u.alias("u"), auc.alias("auc"), (2 * auc - 1).alias("delta"))
 
 
+def mann_whitney_z(hist: DataFrame, first: Column, score: str = "score") -> DataFrame:
+    """One row: n1, n2, u and its normal deviates, one-sided (the group is greater) and two-sided, corrected for ties and continuity."""
+    sizes = hist.groupBy(score).agg(F.sum("n").cast("double").alias("t")).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
+    both = mann_whitney(hist, first, score).crossJoin(F.broadcast(sizes))  # one row each
+    n, area = F.col("n1") + F.col("n2"), F.col("n1").cast("double") * F.col("n2")
+    sd = F.sqrt(area / 12 * (n + 1 - F.col("ties") / (n.cast("double") * (n - 1))))
+    z = lambda u: (u - area / 2 - 0.5) / sd
+    return both.select("n1", "n2", "u", z(F.col("u")).alias("z_greater"), z(F.greatest(F.col("u"), area - F.col("u"))).alias("z_two"))
+
+
+def mann_whitney_p(hist: DataFrame, first: Column, score: str = "score") -> DataFrame:
+    """One row: u, p_greater and p_two."""
+    from pairloom.functions.intervals import mann_whitney_p as p_value
+
+    sizes = hist.groupBy(score).agg(F.sum("n").cast("double").alias("t")).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
+    both = mann_whitney(hist, first, score).crossJoin(F.broadcast(sizes))
+
+    def run(batches):
+        for pdf in batches:
+            rows = list(zip(pdf["u"], pdf["n1"], pdf["n2"], pdf["ties"]))
+            yield pdf[["u"]].assign(p_greater=[p_value(float(u), int(a), int(b), t, "greater") for u, a, b, t in rows], p_two=[p_value(float(u), int(a), int(b), t) for u, a, b, t in rows])
+
+    return both.select(F.col("u").cast("double").alias("u"), "n1", "n2", "ties").mapInPandas(run, "u double, p_greater double, p_two double")
+
+
 def cohens_d(rows: DataFrame, first: Column, value: str) -> DataFrame:
     """One row: difference of means over the pooled sample deviation."""
     m1, m2, v1, v2, n1, n2 = (f(F.when(c, F.col(value))) for f in (F.avg, F.var_samp, F.count) for c in (first, ~first))

@@ -1,3 +1,3 @@
 """Query catalogue. Importing the package registers every query."""
 
-from pairloom.plans import catalog, dependence_queries, field_queries, pair_queries  # noqa: F401
+from pairloom.plans import catalog, dependence_queries, field_queries, pair_queries, source_queries  # noqa: F401

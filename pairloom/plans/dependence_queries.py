@@ -14,8 +14,7 @@ from pairloom.sources.analogues import observations, read
 OBS = """obs AS (SELECT l_suppkey AS person, l_returnflag || l_linestatus AS capture, CAST(day(l_shipdate) % 2 * 5 + month(l_shipdate) % 5 AS INTEGER) AS position,
     sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / count(*) / 100 AS value, sum(CAST(round(l_quantity * 100) AS BIGINT)) / count(*) / 100 AS quality,
     count(*) AS area, sum(CAST(round(l_discount * 100) AS BIGINT)) / count(*) / 100 AS contrast FROM lineitem GROUP BY 1, 2, 3),
-    whole AS (SELECT obs.* FROM obs JOIN (SELECT person, capture FROM obs GROUP BY 1, 2 HAVING count(*) = 10) USING (person, capture)),
-    af AS (SELECT * FROM whole WHERE capture = 'AF')"""
+    whole AS (SELECT obs.* FROM obs JOIN (SELECT person, capture FROM obs GROUP BY 1, 2 HAVING count(*) = 10) USING (person, capture))"""
 
 
 def z_sql(source: str, by: str, value: str = "value", name: str = "z") -> str:
@@ -42,15 +41,17 @@ def means_sql(z: str, by: list[str], value: str = "z") -> str:
         avg(mi) FILTER (kind <> 'homologous') AS others FROM (SELECT *, {MI} AS mi, {KIND} AS kind FROM {rho_sql(z, by, value)}) GROUP BY ALL)"""
 
 
-def whole(spark, sf_dir, capture: str | None = None):
-    df = dependence.complete(observations(spark, sf_dir), ["capture"])
-    return df.where(F.col("capture") == capture).drop("capture") if capture else df
+BY, KEY = ["capture", "position"], ["capture", "person", "position"]
 
 
-@query(f"WITH {OBS} SELECT person, {', '.join(f'round(max(value) FILTER (position = {k}), 6) AS p{k}' for k in range(10))} FROM af GROUP BY 1")
+def whole(spark, sf_dir):
+    return dependence.complete(observations(spark, sf_dir), ["capture"])
+
+
+@query(f"WITH {OBS} SELECT capture, person, {', '.join(f'round(max(value) FILTER (position = {k}), 6) AS p{k}' for k in range(10))} FROM whole GROUP BY 1, 2")
 def person_pivot(spark, sf_dir):
-    wide = whole(spark, sf_dir, "AF").groupBy("person").pivot("position", list(range(10))).agg(F.first("value"))
-    return wide.select("person", *(F.round(str(k), 6).alias(f"p{k}") for k in range(10)))
+    wide = whole(spark, sf_dir).groupBy("capture", "person").pivot("position", list(range(10))).agg(F.first("value"))
+    return wide.select("capture", "person", *(F.round(str(k), 6).alias(f"p{k}") for k in range(10)))
 
 
 EVENTS = "ev AS (SELECT user_id AS person, event_type || '/' || event_id % 2 AS position FROM events)"
@@ -62,55 +63,31 @@ def complete_cases(spark, sf_dir):
     return dependence.complete(ev, []).groupBy("person").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""SELECT DISTINCT item, device FROM (
-    SELECT regexp_extract(url, '/(\d+)(?:[?#]|$)', 1) AS item, upper(regexp_extract(url, '/([a-z]{2})/', 1)) AS device FROM pages
-    UNION ALL SELECT regexp_extract(url, '[?&]page=(\d+)', 1), 'PAGE' FROM pages) WHERE item <> '' AND device <> ''""")
-def errata_regex(spark, sf_dir):
-    url = read(spark, sf_dir, "pages").select("url")
-    first = url.select(F.regexp_extract("url", r"/(\d+)(?:[?#]|$)", 1).alias("item"), F.upper(F.regexp_extract("url", "/([a-z]{2})/", 1)).alias("device"))
-    second = url.select(F.regexp_extract("url", r"[?&]page=(\d+)", 1).alias("item"), F.lit("PAGE").alias("device"))
-    return first.unionByName(second).where("item <> '' and device <> ''").distinct()
-
-
-@query("SELECT e.user_id AS person, coalesce(s.s_name, '') AS name, count(*) AS n FROM events e LEFT JOIN supplier s ON s.s_suppkey = e.user_id GROUP BY 1, 2")
-def left_join_metadata(spark, sf_dir):
-    people = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("person"), F.col("s_name").alias("name"))
-    seen = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("person")).agg(F.count(F.lit(1)).alias("n"))
-    return seen.join(people, "person", "left").select("person", F.coalesce("name", F.lit("")).alias("name"), "n")
-
+RANK = "rank() OVER (PARTITION BY capture, position ORDER BY area) + (count(*) OVER (PARTITION BY capture, position, area) - 1) / 2"
 
-@query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role) = 1")
-def latest_verdict(spark, sf_dir):
-    # The greatest of a struct combines before the shuffle, which a row number does not.
-    last = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.struct("turn", "role")).alias("x"))
-    return last.select("conv_id", "x.turn", "x.role")
 
-
-RANK = "rank() OVER (PARTITION BY position ORDER BY area) + (count(*) OVER (PARTITION BY position, area) - 1) / 2"
-
-
-@query(f"WITH {OBS} SELECT person, position, {RANK} AS rank FROM af")
+@query(f"WITH {OBS} SELECT capture, person, position, {RANK} AS rank FROM whole")
 def avg_ranks(spark, sf_dir):
-    return dependence.average_ranks(whole(spark, sf_dir, "AF"), ["position"], "area", "rank", buckets=16).select("person", "position", "rank")
+    return dependence.average_ranks(whole(spark, sf_dir), BY, "area", "rank", buckets=16).select(*KEY, "rank")
 
 
-@query(f"WITH {OBS} SELECT person, position, round(z, 9) AS z FROM {z_sql('af', 'position')}")
-def copula(spark, sf_dir):
-    return dependence.copula(whole(spark, sf_dir, "AF"), ["position"], buckets=16).select("person", "position", F.round("z", 9).alias("z"))
+Z = f"{OBS}, z AS {z_sql('whole', 'capture, position')}"
 
 
-ZAF = f"{OBS}, z AS {z_sql('af', 'position')}"
+@query(f"WITH {Z} SELECT capture, person, position, round(z, 9) AS z FROM z")
+def copula(spark, sf_dir):
+    return dependence.copula(whole(spark, sf_dir), BY, buckets=16).select(*KEY, F.round("z", 9).alias("z"))
 
 
-@query(f"WITH {ZAF} SELECT pa, pb, round(rho, 9) AS rho, round({MI}, 9) AS mi FROM {rho_sql('z', [])}")
+@query(f"WITH {Z} SELECT capture, pa, pb, round(rho, 9) AS rho, round({MI}, 9) AS mi FROM {rho_sql('z', ['capture'])}")
 def mi_matrix(spark, sf_dir):
-    rhos = dependence.information(dependence.correlations(dependence.copula(whole(spark, sf_dir, "AF"), ["position"]), []))
-    return rhos.select("pa", "pb", F.round("rho", 9).alias("rho"), F.round("mi", 9).alias("mi"))
+    rhos = dependence.information(dependence.correlations(dependence.copula(whole(spark, sf_dir), BY), ["capture"]))
+    return rhos.select("capture", "pa", "pb", F.round("rho", 9).alias("rho"), F.round("mi", 9).alias("mi"))
 
 
-@query(f"WITH {ZAF} SELECT round(homologous - others, 9) AS delta_mi FROM {means_sql('z', [])}")
+@query(f"WITH {Z} SELECT capture, round(homologous - others, 9) AS delta_mi FROM {means_sql('z', ['capture'])}")
 def delta_mi(spark, sf_dir):
-    return dependence.s_statistic(whole(spark, sf_dir, "AF"), []).select(F.round("delta_mi", 9).alias("delta_mi"))
+    return dependence.s_statistic(whole(spark, sf_dir), ["capture"]).select("capture", F.round("delta_mi", 9).alias("delta_mi"))
 
 
 @query(f"WITH {OBS}, z AS {z_sql('whole', 'capture, position')} SELECT capture, round(homologous, 9) AS homologous, round(cross_, 9) AS crossed, round(same_hand, 9) AS same_hand, round(homologous - cross_, 9) AS s, round(same_hand - cross_, 9) AS hand_effect FROM {means_sql('z', ['capture'])}")
@@ -168,9 +145,9 @@ def pointwise_tc(spark, sf_dir):
     return dependence.pointwise_total_correlation(z, ["capture"]).select("capture", "person", F.round("tc", 9).alias("tc"))
 
 
-@query(f"WITH {OBS}, f AS (SELECT position, regr_slope(value, quality) AS b, regr_intercept(value, quality) AS a FROM af GROUP BY 1) SELECT person, position, round(value - a - b * quality, 4) AS residual FROM af JOIN f USING (position)")
+@query(f"WITH {OBS}, f AS (SELECT capture, position, regr_slope(value, quality) AS b, regr_intercept(value, quality) AS a FROM whole GROUP BY 1, 2) SELECT capture, person, position, round(value - a - b * quality, 4) AS residual FROM whole JOIN f USING (capture, position)")
 def ols_residual_1cov(spark, sf_dir):
-    return adjust.residuals_of_one(whole(spark, sf_dir, "AF"), ["position"], "value", "quality").select("person", "position", F.round("residual", 4).alias("residual"))
+    return adjust.residuals_of_one(whole(spark, sf_dir), BY, "value", "quality").select(*KEY, F.round("residual", 4).alias("residual"))
 
 
 @query(f"WITH {OBS} SELECT capture, position, count(*) AS n, round(regr_r2(value, quality), 9) AS r2 FROM whole GROUP BY 1, 2")
@@ -179,19 +156,19 @@ def r2_by_position(spark, sf_dir):
     return fit.select("capture", "position", "n", F.round("r2", 9).alias("r2"))
 
 
-@query(f"""WITH {OBS}, c AS (SELECT position, covar_pop(value, quality) AS y1, covar_pop(value, contrast) AS y2, var_pop(quality) AS s11, var_pop(contrast) AS s22, covar_pop(quality, contrast) AS s12,
-        avg(value) AS my, avg(quality) AS m1, avg(contrast) AS m2 FROM af GROUP BY 1),
+@query(f"""WITH {OBS}, c AS (SELECT capture, position, covar_pop(value, quality) AS y1, covar_pop(value, contrast) AS y2, var_pop(quality) AS s11, var_pop(contrast) AS s22, covar_pop(quality, contrast) AS s12,
+        avg(value) AS my, avg(quality) AS m1, avg(contrast) AS m2 FROM whole GROUP BY 1, 2),
     b AS (SELECT *, (y1 * s22 - y2 * s12) / (s11 * s22 - s12 * s12) AS b1, (y2 * s11 - y1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM c)
-    SELECT person, position, round(value - my - b1 * (quality - m1) - b2 * (contrast - m2), 4) AS residual FROM af JOIN b USING (position)""")
+    SELECT capture, person, position, round(value - my - b1 * (quality - m1) - b2 * (contrast - m2), 4) AS residual FROM whole JOIN b USING (capture, position)""")
 def ols_residual_k(spark, sf_dir):
-    return adjust.residuals(whole(spark, sf_dir, "AF"), ["position"], "value", ["quality", "contrast"]).select("person", "position", F.round("residual", 4).alias("residual"))
+    return adjust.residuals(whole(spark, sf_dir), BY, "value", ["quality", "contrast"]).select(*KEY, F.round("residual", 4).alias("residual"))
 
 
-@query(f"""WITH {OBS}, c AS (SELECT position, quantile_cont(quality, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM af GROUP BY 1),
-    s AS (SELECT af.*, CAST(len(list_filter(cuts, lambda x: quality >= x)) AS INTEGER) AS stratum FROM af JOIN c USING (position))
-    SELECT person, position, stratum, round(value - avg(value) OVER (PARTITION BY position, stratum), 4) AS residual FROM s""")
+@query(f"""WITH {OBS}, c AS (SELECT capture, position, quantile_cont(quality, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM whole GROUP BY 1, 2),
+    s AS (SELECT whole.*, CAST(len(list_filter(cuts, lambda x: quality >= x)) AS INTEGER) AS stratum FROM whole JOIN c USING (capture, position))
+    SELECT capture, person, position, stratum, round(value - avg(value) OVER (PARTITION BY capture, position, stratum), 4) AS residual FROM s""")
 def decile_residual(spark, sf_dir):
-    return adjust.stratum_residuals(whole(spark, sf_dir, "AF"), ["position"], "value", "quality").select("person", "position", "stratum", F.round("residual", 4).alias("residual"))
+    return adjust.stratum_residuals(whole(spark, sf_dir), BY, "value", "quality").select(*KEY, "stratum", F.round("residual", 4).alias("residual"))
 
 
 def _term(j: int) -> str:
@@ -199,9 +176,9 @@ def _term(j: int) -> str:
     return f"round(({cube(j)} - {cube(3)} * (t[4] - t[{j}]) / (t[4] - t[3]) + {cube(4)} * (t[3] - t[{j}]) / (t[4] - t[3])) / power(t[4] - t[1], 2), 6) AS b{j}"
 
 
-@query(f"WITH {OBS}, k AS (SELECT position, quantile_cont(quality, [0.05, 0.35, 0.65, 0.95]) AS t FROM af GROUP BY 1) SELECT person, position, {_term(1)}, {_term(2)} FROM af JOIN k USING (position)")
+@query(f"WITH {OBS}, k AS (SELECT capture, position, quantile_cont(quality, [0.05, 0.35, 0.65, 0.95]) AS t FROM whole GROUP BY 1, 2) SELECT capture, person, position, {_term(1)}, {_term(2)} FROM whole JOIN k USING (capture, position)")
 def spline_basis(spark, sf_dir):
-    return adjust.spline_basis(whole(spark, sf_dir, "AF"), ["position"], "quality").select("person", "position", F.round("b1", 6).alias("b1"), F.round("b2", 6).alias("b2"))
+    return adjust.spline_basis(whole(spark, sf_dir), BY, "quality").select(*KEY, F.round("b1", 6).alias("b1"), F.round("b2", 6).alias("b2"))
 
 
 @query()
@@ -229,9 +206,10 @@ def median_by_sex(spark, sf_dir):
 
 # Resampling
 
-ITER = 20
-#: The survey's smaller count (R4), by which p can be below 0.01; SQL would be too slow for it.
-FULL = 199
+#: The survey's count for fast tests (R4), by which p can be below 0.01.
+ITER = 199
+#: All ordered pairs of captures, and all pairs of items, are made anew for each of these.
+CAPTURE_ITER, LABEL_ITER = 99, 99
 
 
 def dealt_sql(z: str, by: str, seed: str) -> str:
@@ -246,15 +224,15 @@ def null_sql(z: str, by: list[str], n: int, seed: str) -> str:
     return means_sql(dealt_sql(rows, ", ".join([*by, "iter"]), seed), [*by, "iter"])
 
 
-@query(f"WITH {ZAF} SELECT CAST(iter AS INTEGER) AS iter, round(homologous - cross_, 9) AS s FROM {null_sql('z', [], ITER, 'null')}")
+@query(f"WITH {Z} SELECT capture, CAST(iter AS INTEGER) AS iter, round(homologous - cross_, 9) AS s FROM {null_sql('z', ['capture'], ITER, 'null')}")
 def perm_null_s(spark, sf_dir):
-    null = resample.permutation_null(whole(spark, sf_dir, "AF"), ITER)
-    return null.select("iter", F.round("s", 9).alias("s"))
+    null = resample.permutation_null(whole(spark, sf_dir), ITER, by=("capture",))
+    return null.select("capture", "iter", F.round("s", 9).alias("s"))
 
 
 @query()
 def perm_null_information(spark, sf_dir):
-    null = resample.information_null(whole(spark, sf_dir), FULL, by=("capture",))
+    null = resample.information_null(whole(spark, sf_dir), ITER, by=("capture",))
     return null.select("capture", "iter", F.round("tc", 9).alias("tc"), F.round("oinfo", 9).alias("oinfo"))
 
 
@@ -265,7 +243,7 @@ def pointwise_agreement(spark, sf_dir):
     by = ["capture", "iter"]
     tables = [dependence.copula(df, ["capture", "position"], v).select("capture", "person", "position", "z") for v in ("value", "quality")]
     seen = [t.withColumn("iter", F.lit(-1)) for t in tables]
-    dealt = [resample.shuffled_positions(resample.iterations(t, FULL), by, s) for t, s in zip(tables, ("a", "b"))]
+    dealt = [resample.shuffled_positions(resample.iterations(t, ITER), by, s) for t, s in zip(tables, ("a", "b"))]
     both = [o.unionByName(d.select(o.columns)) for o, d in zip(seen, (d.withColumn("person", F.col("person").cast("long")) for d in dealt))]
     return resample.pointwise_agreement(*both, by).select("capture", "iter", "n", F.round("rho", 9).alias("rho"))
 
@@ -279,10 +257,11 @@ def empirical_p(spark, sf_dir):
     return p.select("capture", F.round("observed", 9).alias("observed"), "n", F.round("p", 9).alias("p"), (F.col("p") < 0.01).alias("significant"))
 
 
-@query(f"WITH {ZAF} SELECT round(homologous - cross_, 9) AS s FROM {means_sql('z', [])} UNION ALL SELECT round(homologous - cross_, 9) FROM {means_sql(dealt_sql('z', '', 'blind'), [])}")
+@query(f"WITH {Z} SELECT capture, false AS blind, round(homologous - cross_, 9) AS s FROM {means_sql('z', ['capture'])} UNION ALL SELECT capture, true, round(homologous - cross_, 9) FROM {means_sql(dealt_sql('z', 'capture', 'blind'), ['capture'])}")
 def blind_mode(spark, sf_dir):
-    df = whole(spark, sf_dir, "AF")
-    return resample.s_of(df, blind=False).select(F.round("s", 9).alias("s")).unionByName(resample.s_of(df).select(F.round("s", 9).alias("s")))
+    df = whole(spark, sf_dir)
+    seen, blind = (resample.s_of(df, blind=b, by=("capture",)).select("capture", F.lit(b).alias("blind"), F.round("s", 9).alias("s")) for b in (False, True))
+    return seen.unionByName(blind)
 
 
 BOOT = f"""{OBS}, two AS (SELECT * FROM whole WHERE capture IN ('AF', 'RF')), b AS (SELECT person FROM two GROUP BY 1 HAVING count(DISTINCT capture) = 2), k AS (SELECT person, row_number() OVER (ORDER BY person) - 1 AS k FROM b),
@@ -328,63 +307,66 @@ def _captures_sql(where: str, n: int) -> str:
         FROM z, (SELECT unnest(range({n})) AS iter)), s AS MATERIALIZED {between_sql('d')}"""
 
 
-@query(f"WITH {_captures_sql("capture IN ('AF', 'RF')", 10)} {_summary_sql('avg')} FROM s GROUP BY iter")
+@query(f"WITH {_captures_sql("capture IN ('AF', 'RF')", ITER)} {_summary_sql('avg')} FROM s GROUP BY iter")
 def two_capture_null(spark, sf_dir):
-    return _rounded(resample.capture_null(whole(spark, sf_dir), 10, ["AF", "RF"], middle=F.avg))
+    return _rounded(resample.capture_null(whole(spark, sf_dir), ITER, ["AF", "RF"], middle=F.avg))
 
 
-@query(f"WITH {_captures_sql('true', 4)} {_summary_sql('median')} FROM s GROUP BY iter")
+@query(f"WITH {_captures_sql('true', CAPTURE_ITER)} {_summary_sql('median')} FROM s GROUP BY iter")
 def all_captures_null(spark, sf_dir):
-    return _rounded(resample.capture_null(whole(spark, sf_dir), 4))
+    return _rounded(resample.capture_null(whole(spark, sf_dir), CAPTURE_ITER))
 
 
 @query(f"""WITH {OBS}, b AS (SELECT DISTINCT person FROM whole), k AS (SELECT person, row_number() OVER (ORDER BY person) - 1 AS k FROM b),
-    p AS (SELECT iter, k AS draw, CAST('0x' || substring(md5('joint:' || iter || ':' || k), 1, 8) AS BIGINT) % (SELECT count(*) FROM b) AS pick FROM k, (SELECT unnest(range(4)) AS iter)),
+    p AS (SELECT iter, k AS draw, CAST('0x' || substring(md5('joint:' || iter || ':' || k), 1, 8) AS BIGINT) % (SELECT count(*) FROM b) AS pick FROM k, (SELECT unnest(range({CAPTURE_ITER})) AS iter)),
     d AS MATERIALIZED (SELECT iter, draw AS person, capture, position, value AS v FROM p JOIN k ON k.k = p.pick JOIN whole USING (person)), s AS MATERIALIZED {between_sql('d')} {_summary_sql('median')} FROM s GROUP BY iter""")
 def joint_bootstrap(spark, sf_dir):
-    return _rounded(resample.joint_bootstrap(whole(spark, sf_dir), 4))
+    return _rounded(resample.joint_bootstrap(whole(spark, sf_dir), CAPTURE_ITER))
 
 
-@query(f"WITH {OBS}, k AS (SELECT 'all' AS state, * FROM af UNION ALL SELECT 'kept', * FROM af WHERE person NOT IN (3, 7)), z AS {z_sql('k', 'state, position')} SELECT state, round(homologous - cross_, 9) AS s FROM {means_sql('z', ['state'])}")
+@query(f"WITH {OBS}, k AS (SELECT 'all' AS state, * FROM whole UNION ALL SELECT 'kept', * FROM whole WHERE person NOT IN (3, 7)), z AS {z_sql('k', 'state, capture, position')} SELECT state, capture, round(homologous - cross_, 9) AS s FROM {means_sql('z', ['state', 'capture'])}")
 def sensitivity(spark, sf_dir):
-    out = resample.sensitivity(whole(spark, sf_dir, "AF"), spark.createDataFrame([(3,), (7,)], "person long"), lambda df: dependence.s_statistic(df, []))
-    return out.select("state", F.round("s", 9).alias("s"))
+    out = resample.sensitivity(whole(spark, sf_dir), spark.createDataFrame([(3,), (7,)], "person long"), lambda df: dependence.s_statistic(df, ["capture"]))
+    return out.select("state", "capture", F.round("s", 9).alias("s"))
 
 
-SETS, LEVEL = 12, 0.1
+SETS, LEVEL = 20, 0.05
 LOW, HIGH = binomial_interval(0.95, SETS, LEVEL)
 
 
-@query(f"""WITH {ZAF}, d AS {dealt_sql(f'(SELECT person, position, z, set_no FROM z, (SELECT unnest(range({SETS})) AS set_no))', 'set_no', 'set')},
-    o AS (SELECT set_no, homologous - cross_ AS s FROM {means_sql('d', ['set_no'])}), zd AS {z_sql('(SELECT set_no, person, position, z AS v FROM d)', 'set_no, position', 'v')},
-    n AS (SELECT set_no, homologous - cross_ AS s FROM {null_sql('zd', ['set_no'], 19, 'calibrate')}),
-    p AS (SELECT set_no, (count_if(n.s >= o.s) + 1) / (count(*) + 1) AS p FROM o JOIN n USING (set_no) GROUP BY 1)
-    SELECT count(*) AS sets, CAST(count_if(p <= {LEVEL}) AS BIGINT) AS rejected, count_if(p <= {LEVEL}) BETWEEN {LOW} AND {HIGH} AS calibrated FROM p""")
+@query(f"""WITH {Z}, d AS {dealt_sql(f'(SELECT capture, person, position, z, set_no FROM z, (SELECT unnest(range({SETS})) AS set_no))', 'capture, set_no', 'set')},
+    o AS (SELECT capture, set_no, homologous - cross_ AS s FROM {means_sql('d', ['capture', 'set_no'])}), zd AS {z_sql('(SELECT capture, set_no, person, position, z AS v FROM d)', 'capture, set_no, position', 'v')},
+    n AS (SELECT capture, set_no, homologous - cross_ AS s FROM {null_sql('zd', ['capture', 'set_no'], ITER, 'calibrate')}),
+    p AS (SELECT capture, set_no, (count_if(n.s >= o.s) + 1) / (count(*) + 1) AS p FROM o JOIN n USING (capture, set_no) GROUP BY 1, 2)
+    SELECT capture, count(*) AS sets, CAST(count_if(p <= {LEVEL}) AS BIGINT) AS rejected, count_if(p <= {LEVEL}) BETWEEN {LOW} AND {HIGH} AS calibrated FROM p GROUP BY 1""")
 def calibration(spark, sf_dir):
-    p = resample.calibration(whole(spark, sf_dir, "AF"), SETS, 19, LEVEL)
+    p = resample.calibration(whole(spark, sf_dir), SETS, ITER, LEVEL, by=("capture",))
     rejected = F.count_if(F.col("p") <= LEVEL)
-    return p.agg(F.count(F.lit(1)).alias("sets"), rejected.alias("rejected"), rejected.between(LOW, HIGH).alias("calibrated"))
+    return p.groupBy("capture").agg(F.count(F.lit(1)).alias("sets"), rejected.alias("rejected"), rejected.between(LOW, HIGH).alias("calibrated"))
+
 
+RHOS, REPS, POWER_LEVEL = [0.0, 0.1, 0.3, 0.7], 5, 0.01
 
-RHOS, REPS = [0.0, 0.3, 0.7], 3
 
+POWER_SQL = f"""{Z}, g AS (SELECT capture, person, position, z, effect, rep FROM z, (SELECT unnest([{', '.join(map(str, RHOS))}]::DOUBLE[]) AS effect), (SELECT unnest(range({REPS})) AS rep)),
+    dealt AS (SELECT * EXCLUDE (person), row_number() OVER (PARTITION BY capture, effect, rep, position ORDER BY md5('base:' || capture || ':' || rep || ':' || position || ':' || person), person) AS person FROM g),
+    f AS (SELECT *, (CAST('0x' || substring(md5('factor:' || capture || ':' || rep || ':' || position % 5 || ':' || person), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE AS uf FROM dealt),
+    mixed AS (SELECT capture, effect, rep, person, position, sqrt(effect) * {normal_quantile_sql('uf')} + sqrt(1 - effect) * z AS v FROM f),
+    zd AS {z_sql('mixed', 'capture, effect, rep, position', 'v')}, o AS (SELECT capture, effect, rep, homologous - cross_ AS s FROM {means_sql('zd', ['capture', 'effect', 'rep'])}),
+    n AS (SELECT capture, effect, rep, homologous - cross_ AS s FROM {null_sql('zd', ['capture', 'effect', 'rep'], ITER, 'power')}),
+    p AS (SELECT capture, effect, rep, (count_if(n.s >= o.s) + 1) / (count(*) + 1) AS p FROM o JOIN n USING (capture, effect, rep) GROUP BY 1, 2, 3),
+    curve AS (SELECT capture, effect AS rho, count(*) AS reps, round(avg(CASE WHEN p <= {POWER_LEVEL} THEN 1.0 ELSE 0.0 END), 9) AS detected, round(avg(p), 9) AS mean_p FROM p GROUP BY 1, 2)"""
 
-@query(f"""WITH {ZAF}, g AS (SELECT person, position, z, effect, rep FROM z, (SELECT unnest([{', '.join(map(str, RHOS))}]::DOUBLE[]) AS effect), (SELECT unnest(range({REPS})) AS rep)),
-    dealt AS (SELECT * EXCLUDE (person), row_number() OVER (PARTITION BY effect, rep, position ORDER BY md5('base:' || rep || ':' || position || ':' || person), person) AS person FROM g),
-    f AS (SELECT *, (CAST('0x' || substring(md5('factor:' || rep || ':' || position % 5 || ':' || person), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE AS uf FROM dealt),
-    mixed AS (SELECT effect, rep, person, position, sqrt(effect) * {normal_quantile_sql('uf')} + sqrt(1 - effect) * z AS v FROM f),
-    zd AS {z_sql('mixed', 'effect, rep, position', 'v')}, o AS (SELECT effect, rep, homologous - cross_ AS s FROM {means_sql('zd', ['effect', 'rep'])}),
-    n AS (SELECT effect, rep, homologous - cross_ AS s FROM {null_sql('zd', ['effect', 'rep'], 9, 'power')}),
-    p AS (SELECT effect, rep, (count_if(n.s >= o.s) + 1) / (count(*) + 1) AS p FROM o JOIN n USING (effect, rep) GROUP BY 1, 2)
-    SELECT effect AS rho, count(*) AS reps, round(avg(CASE WHEN p <= 0.1 THEN 1.0 ELSE 0.0 END), 9) AS detected, round(avg(p), 9) AS mean_p FROM p GROUP BY 1""")
+
+@query(f"WITH {POWER_SQL} SELECT * FROM curve")
 def power_curve(spark, sf_dir):
-    p = resample.power(whole(spark, sf_dir, "AF"), RHOS, REPS, 9, 0.1)
-    return p.select("rho", "reps", F.round("detected", 9).alias("detected"), F.round("mean_p", 9).alias("mean_p"))
+    p = resample.power(whole(spark, sf_dir), RHOS, REPS, ITER, POWER_LEVEL, by=("capture",))
+    return p.select("capture", "rho", "reps", F.round("detected", 9).alias("detected"), F.round("mean_p", 9).alias("mean_p"))
 
 
-@query()
+@query(f"WITH {POWER_SQL} SELECT capture, coalesce(CAST(min(rho) FILTER (detected >= 0.8) AS VARCHAR), '> ' || CAST(max(rho) AS VARCHAR)) AS rho FROM curve GROUP BY 1")
 def power_threshold(spark, sf_dir):
-    return resample.first_detected(resample.power(whole(spark, sf_dir), RHOS, REPS, 9, 0.1, by=("capture",)), by=("capture",))
+    return resample.first_detected(resample.power(whole(spark, sf_dir), RHOS, REPS, ITER, POWER_LEVEL, by=("capture",)), by=("capture",))
 
 
 @query("SELECT doc_id, place FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS place FROM documents) WHERE place <= 100")
@@ -401,7 +383,7 @@ def _label_sql() -> str:
 
     return f"""WITH {ONE}, grand AS (SELECT sum(similarity) AS total, count(*) AS n FROM e), same AS (SELECT i, j FROM e WHERE person_i = person_j),
     named AS (SELECT idx, row_number() OVER (ORDER BY idx) AS place FROM idx),
-    m AS (SELECT iter, idx, row_number() OVER (PARTITION BY iter ORDER BY md5('label:' || iter || ':' || idx), idx) AS to_ FROM idx, (SELECT unnest(range(5)) AS iter)),
+    m AS (SELECT iter, idx, row_number() OVER (PARTITION BY iter ORDER BY md5('label:' || iter || ':' || idx), idx) AS to_ FROM idx, (SELECT unnest(range({LABEL_ITER})) AS iter)),
     map_ AS (SELECT m.iter, m.idx, n.idx AS new FROM m JOIN named n ON n.place = m.to_),
     sums AS (SELECT a.iter, sum(similarity) AS total FROM same JOIN map_ a ON a.idx = same.i JOIN map_ b ON b.idx = same.j AND b.iter = a.iter JOIN e ON e.i = least(a.new, b.new) AND e.j = greatest(a.new, b.new) GROUP BY 1)
     SELECT CAST(iter AS INTEGER) AS iter, round(sums.total / (SELECT count(*) FROM same) - (grand.total - sums.total) / (grand.n - (SELECT count(*) FROM same)), 9) AS diff FROM sums, grand"""
@@ -414,117 +396,6 @@ def label_perm_null(spark, sf_dir):
     from pairloom.sources.analogues import impressions
 
     index = impressions(spark, sf_dir)
-    edges = pairs.with_attributes(pairs.all_pairs(index, [similarity]), index, ["person"])
-    null = resample.label_null(edges.where("person_i = person_j"), edges, index, 5, score="similarity")
+    edges = pairs.all_pairs(index, [similarity], attributes=("person",))
+    null = resample.label_null(edges.where("person_i = person_j"), edges, index, LABEL_ITER, score="similarity")
     return null.select("iter", F.round("diff", 9).alias("diff"))
-
-
-# Over all captures: what the queries of capture 'AF' say, by capture. Their SQL is that of 'AF'; tests hold the rows of 'AF' against it.
-
-BY = ["capture", "position"]
-KEY = ["capture", "person", "position"]
-
-
-@query()
-def person_pivot_by_capture(spark, sf_dir):
-    wide = whole(spark, sf_dir).groupBy("capture", "person").pivot("position", list(range(10))).agg(F.first("value"))
-    return wide.select("capture", "person", *(F.round(str(k), 6).alias(f"p{k}") for k in range(10)))
-
-
-@query()
-def avg_ranks_by_capture(spark, sf_dir):
-    return dependence.average_ranks(whole(spark, sf_dir), BY, "area", "rank", buckets=16).select(*KEY, "rank")
-
-
-@query()
-def copula_by_capture(spark, sf_dir):
-    return dependence.copula(whole(spark, sf_dir), BY, buckets=16).select(*KEY, F.round("z", 9).alias("z"))
-
-
-@query()
-def mi_matrix_by_capture(spark, sf_dir):
-    rhos = dependence.information(dependence.correlations(dependence.copula(whole(spark, sf_dir), BY), ["capture"]))
-    return rhos.select("capture", "pa", "pb", F.round("rho", 9).alias("rho"), F.round("mi", 9).alias("mi"))
-
-
-@query()
-def delta_mi_by_capture(spark, sf_dir):
-    return dependence.s_statistic(whole(spark, sf_dir), ["capture"]).select("capture", F.round("delta_mi", 9).alias("delta_mi"))
-
-
-@query()
-def ols_residual_1cov_by_capture(spark, sf_dir):
-    return adjust.residuals_of_one(whole(spark, sf_dir), BY, "value", "quality").select(*KEY, F.round("residual", 4).alias("residual"))
-
-
-@query()
-def ols_residual_k_by_capture(spark, sf_dir):
-    return adjust.residuals(whole(spark, sf_dir), BY, "value", ["quality", "contrast"]).select(*KEY, F.round("residual", 4).alias("residual"))
-
-
-@query()
-def decile_residual_by_capture(spark, sf_dir):
-    return adjust.stratum_residuals(whole(spark, sf_dir), BY, "value", "quality").select(*KEY, "stratum", F.round("residual", 4).alias("residual"))
-
-
-@query()
-def spline_basis_by_capture(spark, sf_dir):
-    return adjust.spline_basis(whole(spark, sf_dir), BY, "quality").select(*KEY, F.round("b1", 6).alias("b1"), F.round("b2", 6).alias("b2"))
-
-
-@query()
-def perm_null_s_by_capture(spark, sf_dir):
-    null = resample.permutation_null(whole(spark, sf_dir), FULL, by=("capture",))
-    return null.select("capture", "iter", F.round("s", 9).alias("s"))
-
-
-@query()
-def blind_mode_by_capture(spark, sf_dir):
-    df = whole(spark, sf_dir)
-    seen, blind = (resample.s_of(df, blind=b, by=("capture",)).select("capture", F.lit(b).alias("blind"), F.round("s", 9).alias("s")) for b in (False, True))
-    return seen.unionByName(blind)
-
-
-@query()
-def sensitivity_by_capture(spark, sf_dir):
-    out = resample.sensitivity(whole(spark, sf_dir), spark.createDataFrame([(3,), (7,)], "person long"), lambda df: dependence.s_statistic(df, ["capture"]))
-    return out.select("capture", "state", F.round("s", 9).alias("s"))
-
-
-@query()
-def calibration_by_capture(spark, sf_dir):
-    p = resample.calibration(whole(spark, sf_dir), SETS, 19, LEVEL, by=("capture",))
-    rejected = F.count_if(F.col("p") <= LEVEL)
-    return p.groupBy("capture").agg(F.count(F.lit(1)).alias("sets"), rejected.alias("rejected"), rejected.between(LOW, HIGH).alias("calibrated"))
-
-
-@query()
-def power_curve_by_capture(spark, sf_dir):
-    p = resample.power(whole(spark, sf_dir), RHOS, REPS, 9, 0.1, by=("capture",))
-    return p.select("capture", "rho", "reps", F.round("detected", 9).alias("detected"), F.round("mean_p", 9).alias("mean_p"))
-
-
-# As many draws as the survey has. The queries of the same names without _199 are those that SQL can follow.
-
-
-@query()
-def empirical_p_199(spark, sf_dir):
-    df = whole(spark, sf_dir)
-    p = resample.empirical_p(resample.permutation_null(df, FULL, by=("capture",)), dependence.s_statistic(df, ["capture"]), ["capture"], "s")
-    return p.select("capture", F.round("observed", 9).alias("observed"), "n", F.round("p", 9).alias("p"), (F.col("p") < 0.01).alias("significant"))
-
-
-@query()
-def bootstrap_ratio_199(spark, sf_dir):
-    return _rounded(resample.bootstrap_between(whole(spark, sf_dir), "AF", "RF", FULL))
-
-
-@query()
-def bootstrap_interval_199(spark, sf_dir):
-    i = resample.interval(resample.bootstrap_between(whole(spark, sf_dir), "AF", "RF", FULL), "ratio")
-    return i.select(*(F.round(c, 6).alias(c) for c in ("low", "middle", "high")), "reading")
-
-
-@query()
-def two_capture_null_199(spark, sf_dir):
-    return _rounded(resample.capture_null(whole(spark, sf_dir), FULL, ["AF", "RF"], middle=F.avg))

@@ -30,34 +30,26 @@ CLASSED = f"{BOTH}, p AS (SELECT *, {THREE_WAY} AS pair_class FROM e)"
 
 
 def edges(spark, sf_dir, scorers=(similarity, closeness), columns=("source", "finger_id")) -> DataFrame:
-    index = impressions(spark, sf_dir)
-    return pairs.with_attributes(pairs.all_pairs(index, list(scorers)), index, list(columns))
+    return pairs.all_pairs(impressions(spark, sf_dir), list(scorers), attributes=tuple(columns))
 
 
 def classed(spark, sf_dir, scorers=(similarity, closeness)) -> DataFrame:
     return edges(spark, sf_dir, scorers).withColumn("pair_class", pairs.three_way_class())
 
 
-@query("SELECT vec_id AS idx, CAST(label AS BIGINT) AS finger_id, vec_id % 4 AS source FROM embeddings")
-def index_scan(spark, sf_dir):
-    return impressions(spark, sf_dir).select("idx", "finger_id", "source")
-
-
-@query(f"WITH {IDX} SELECT idx, row_number() OVER (PARTITION BY source ORDER BY finger_id, idx) AS place FROM idx")
-def index_sorted(spark, sf_dir):
-    order = Window.partitionBy("source").orderBy("finger_id", "idx")
-    return impressions(spark, sf_dir).select("idx", F.row_number().over(order).alias("place"))
+def counted(spark, sf_dir, scorers=(similarity,), classes=pairs.THREE_WAY) -> DataFrame:
+    """Histogram of the scores by class, made in the tiles."""
+    return pairs.class_histogram(impressions(spark, sf_dir), list(scorers), classes)
 
 
-@query(f"WITH {IDX} SELECT idx, person FROM idx WHERE person <= 20")
-def rect_subject_limit(spark, sf_dir):
-    return impressions(spark, sf_dir).where("person <= 20").select("idx", "person")
+def best(spark, sf_dir, k: int, scorers=(similarity, closeness)) -> DataFrame:
+    """Impostors among which the k best by each scorer are."""
+    return pairs.best_pairs(impressions(spark, sf_dir), list(scorers), k, pairs.THREE_WAY, "impostor")
 
 
 @query(f"WITH {ONE} SELECT {TWO_WAY} AS pair_class, similarity AS score, count(*) AS n FROM e GROUP BY 1, 2")
 def allvsall_hist(spark, sf_dir):
-    e = edges(spark, sf_dir, [similarity]).withColumn("pair_class", pairs.two_way_class())
-    return tails.histogram(e.withColumnRenamed("similarity", "score"), ["pair_class"])
+    return counted(spark, sf_dir, classes=pairs.TWO_WAY).withColumnRenamed("similarity", "score")
 
 
 @query(f"WITH {ONE} SELECT CAST(sum(similarity) AS BIGINT) AS total, count(*) AS n FROM e")
@@ -67,13 +59,13 @@ def allvsall_native(spark, sf_dir):
 
 @query(f"WITH {ONE}, h AS (SELECT similarity AS score, count(*) AS n FROM e WHERE {TWO_WAY} = 'impostor' GROUP BY 1) SELECT s.score, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, (SELECT max(score) + 1 FROM h))) AS score) s LEFT JOIN h ON h.score = s.score")
 def hist_zero_filled(spark, sf_dir):
-    e = edges(spark, sf_dir, [similarity]).where(pairs.two_way_class() == "impostor").withColumnRenamed("similarity", "score")
-    return tails.zero_filled(tails.histogram(e, []))
+    h = counted(spark, sf_dir, classes=pairs.TWO_WAY).where("pair_class = 'impostor'")
+    return tails.zero_filled(h.select(F.col("similarity").alias("score"), "n"))
 
 
 @query(f"WITH {ONE} SELECT {THREE_WAY} AS pair_class, count(*) AS n FROM e GROUP BY 1")
 def pair_class3_counts(spark, sf_dir):
-    return classed(spark, sf_dir, [similarity]).groupBy("pair_class").agg(F.count(F.lit(1)).alias("n"))
+    return counted(spark, sf_dir).groupBy("pair_class").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {CLASSED} SELECT count(*) AS n, CAST(count_if(similarity >= 70) AS BIGINT) AS similar, CAST(count_if(closeness >= 35) AS BIGINT) AS close FROM p WHERE pair_class = 'artefact' AND least(source_i, source_j) = 0 AND greatest(source_i, source_j) = 1")
@@ -82,12 +74,12 @@ def source_pair_artefacts(spark, sf_dir):
     return e.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("similarity >= 70")).alias("similar"), F.count_if(F.expr("closeness >= 35")).alias("close"))
 
 
-RECTANGLE = f"{IDX}, r AS (SELECT a.idx AS i, b.idx AS j, a.finger_id AS own, b.finger_id AS other, {S1} AS similarity FROM idx a JOIN idx b ON a.idx % 10 = 0 AND b.idx % 10 <> 0)"
+RECTANGLE = f"{IDX}, r AS (SELECT a.idx AS i, b.idx AS j, a.finger_id AS own, b.finger_id AS other, {S1} AS similarity FROM idx a JOIN idx b ON a.idx <> b.idx)"
 
 
 def _rectangle(spark, sf_dir):
     index = impressions(spark, sf_dir)
-    return pairs.with_attributes(pairs.rectangle(index.where("idx % 10 = 0"), index.where("idx % 10 <> 0"), [similarity]), index, ["finger_id"])
+    return pairs.rectangle(index, index, [similarity], attributes=("finger_id",)).where("i <> j")
 
 
 @query(f"WITH {RECTANGLE} SELECT i, count(*) AS n, min(similarity) AS low, max(similarity) AS high FROM r GROUP BY 1")
@@ -116,48 +108,47 @@ PERCENT_LIST = ", ".join(str(float(p)) for p in tails.PERCENTS)
 @query(f"""WITH {ONE}, p AS (SELECT {TWO_WAY} AS pair_class, similarity FROM e)
     SELECT pair_class, percent, quantile_disc(similarity, percent / 100) AS value FROM p, (SELECT unnest([{PERCENT_LIST}]::DOUBLE[]) AS percent) GROUP BY 1, 2""".replace("quantile_disc(similarity, percent / 100)", "list_sort(list(similarity))[CAST(ceil(count(*) * percent / 100 - 1e-9) AS BIGINT)]"))
 def percentile_disc_by_class(spark, sf_dir):
-    e = edges(spark, sf_dir, [similarity]).withColumn("pair_class", pairs.two_way_class()).withColumnRenamed("similarity", "score")
-    return tails.discrete_percentiles(tails.histogram(e, ["pair_class"]), ["pair_class"])
+    return tails.discrete_percentiles(counted(spark, sf_dir, classes=pairs.TWO_WAY).withColumnRenamed("similarity", "score"), ["pair_class"])
 
 
 @query(f"WITH {CLASSED} SELECT pair_class, count(*) AS n, round(quantile_cont(similarity, 0.5), 6) AS p50, round(quantile_cont(similarity, 0.9), 6) AS p90, round(quantile_cont(similarity, 0.99), 6) AS p99, round(quantile_cont(similarity, 0.999), 6) AS p99_9, max(similarity) AS top FROM p GROUP BY 1")
 def percentile_cont_by_class(spark, sf_dir):
-    s = tails.summary(classed(spark, sf_dir), ["pair_class"], "similarity", ())
+    s = tails.summary(counted(spark, sf_dir), ["pair_class"], "similarity", (), weight="n")
     return s.select("pair_class", "n", *(F.round(c, 6).alias(c) for c in ("p50", "p90", "p99", "p99_9")), "top")
 
 
 @query(f"""WITH {CLASSED} SELECT pair_class, count(*) AS n, CAST(count_if(closeness >= 30) AS BIGINT) AS n_ge_30, round(count_if(closeness >= 30) / count(*), 9) AS share_ge_30,
     CAST(count_if(closeness >= 40) AS BIGINT) AS n_ge_40, round(count_if(closeness >= 40) / count(*), 9) AS share_ge_40, round(avg(CASE WHEN closeness < 30 THEN 1.0 ELSE 0.0 END), 9) AS missed FROM p GROUP BY 1""")
 def tail_counts(spark, sf_dir):
-    s = tails.summary(classed(spark, sf_dir), ["pair_class"], "closeness", (30, 40))
+    s = tails.summary(counted(spark, sf_dir, [closeness]), ["pair_class"], "closeness", (30, 40), weight="n")
     return s.select("pair_class", "n", "n_ge_30", F.round("share_ge_30", 9).alias("share_ge_30"), "n_ge_40", F.round("share_ge_40", 9).alias("share_ge_40"), F.round(1 - F.col("share_ge_30"), 9).alias("missed"))
 
 
 @query(f"WITH {CLASSED} SELECT i, j, similarity AS score FROM p WHERE pair_class = 'impostor' ORDER BY score DESC, i, j LIMIT 100")
 def top_impostors(spark, sf_dir):
-    e = classed(spark, sf_dir).where("pair_class = 'impostor'").select("i", "j", F.col("similarity").alias("score"))
-    return tails.top(e, 100)
+    return tails.top(best(spark, sf_dir, 100, [similarity]).withColumnRenamed("similarity", "score"), 100)
 
 
 @query(f"""WITH {CLASSED}, m AS (SELECT * FROM p WHERE pair_class = 'impostor'), t AS (SELECT i, j, similarity, closeness FROM m ORDER BY similarity DESC, i, j LIMIT 20)
     SELECT t.i, t.j, t.similarity, t.closeness, round((SELECT count(*) FROM m WHERE m.closeness >= t.closeness) / (SELECT count(*) FROM m), 9) AS rate FROM t""")
 def fmr_of_top(spark, sf_dir):
-    e = classed(spark, sf_dir).where("pair_class = 'impostor'").select("i", "j", "similarity", "closeness")
-    rates = tails.match_rates(tails.histogram(e, [], "closeness"), "closeness").select("closeness", F.round("rate", 9).alias("rate"))
-    return tails.top(e, 20, "similarity").join(rates, "closeness").select("i", "j", "similarity", "closeness", "rate")
+    hist = counted(spark, sf_dir, [closeness]).where("pair_class = 'impostor'")
+    rates = tails.match_rates(hist, "closeness").select("closeness", F.round("rate", 9).alias("rate"))
+    return tails.top(best(spark, sf_dir, 20), 20, "similarity").join(rates, "closeness").select("i", "j", "similarity", "closeness", "rate")
 
 
 @query(f"WITH {CLASSED}, m AS (SELECT similarity AS score, count(*) AS n FROM p WHERE pair_class = 'impostor' GROUP BY 1) SELECT score, n, round(sum(n) OVER (ORDER BY score DESC) / sum(n) OVER (), 9) AS rate FROM m")
 def fmr_all(spark, sf_dir):
-    e = classed(spark, sf_dir, [similarity]).where("pair_class = 'impostor'").withColumnRenamed("similarity", "score")
-    return tails.match_rates(tails.histogram(e, [])).select("score", "n", F.round("rate", 9).alias("rate"))
+    hist = counted(spark, sf_dir).where("pair_class = 'impostor'").withColumnRenamed("similarity", "score")
+    return tails.match_rates(hist).select("score", "n", F.round("rate", 9).alias("rate"))
 
 
 RANKED = f"""{CLASSED}, r AS (SELECT i, j, similarity, closeness, row_number() OVER (ORDER BY similarity DESC, i, j) - 1 AS ra, row_number() OVER (ORDER BY closeness DESC, i, j) - 1 AS rb FROM p WHERE pair_class = 'impostor')"""
 
 
 def _ranked(spark, sf_dir, most):
-    e = classed(spark, sf_dir).where("pair_class = 'impostor'").select("i", "j", "similarity", "closeness")
+    """Both tables are cut from the same best pairs of the tiles; Spark makes those once (the exchange is reused)."""
+    e = best(spark, sf_dir, most)
     return tails.ranked(e, "similarity", "ra", most), tails.ranked(e, "closeness", "rb", most)
 
 
@@ -183,7 +174,7 @@ def review_queue(spark, sf_dir):
     rank() OVER (PARTITION BY pair_class ORDER BY closeness) + (count(*) OVER (PARTITION BY pair_class, closeness) - 1) / 2 AS b FROM p)
     SELECT pair_class, count(*) AS n, round(corr(a, b), 6) AS rho FROM r GROUP BY 1""")
 def spearman_scorers(spark, sf_dir):
-    return tails.spearman(classed(spark, sf_dir), ["pair_class"], "similarity", "closeness").select("pair_class", "n", F.round("rho", 6).alias("rho"))
+    return tails.spearman(counted(spark, sf_dir, [similarity, closeness]), ["pair_class"], "similarity", "closeness", "n").select("pair_class", "n", F.round("rho", 6).alias("rho"))
 
 
 FINGERS = f"""{BOTH}, f AS (SELECT least(key_i, key_j) AS key_a, greatest(key_i, key_j) AS key_b,
@@ -251,24 +242,12 @@ def body_class_distribution(spark, sf_dir):
     return s.select("body_class", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round("p50", 6).alias("p50"), "top")
 
 
-@query(f"""WITH {BODIES.replace('AS (SELECT similarity, person_i', 'AS (SELECT similarity, closeness, person_i IN (3, 7) OR person_j IN (3, 7) AS out_, person_i')}
-    SELECT state, scorer, count(*) AS n, CAST(count_if(same) AS BIGINT) AS same_body, CAST(count_if(score >= 35) AS BIGINT) AS n_ge_35 FROM (
-        SELECT s.state, t.scorer, same, CASE WHEN t.scorer = 'similarity' THEN similarity ELSE closeness END AS score FROM bc, (SELECT unnest(['all', 'kept']) AS state) s, (SELECT unnest(['similarity', 'closeness']) AS scorer) t
-        WHERE s.state = 'all' OR NOT out_) GROUP BY 1, 2""")
-def before_after_exclusion(spark, sf_dir):
-    e = edges(spark, sf_dir, columns=BODY)
-    gone = F.col("person_i").isin(3, 7) | F.col("person_j").isin(3, 7)
-    e = e.withColumn("state", F.explode(F.when(gone, F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("kept")))))
-    e = e.unpivot(["state", "person_i", "person_j"], ["similarity", "closeness"], "scorer", "score")
-    return e.groupBy("state", "scorer").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("person_i = person_j")).alias("same_body"), F.count_if(F.expr("score >= 35")).alias("n_ge_35"))
-
-
 @query(f"""WITH {BODIES}, r AS (SELECT same, rank() OVER (ORDER BY similarity) + (count(*) OVER (PARTITION BY similarity) - 1) / 2 AS r FROM bc),
     t AS (SELECT CAST(count_if(same) AS BIGINT) AS n1, CAST(count_if(NOT same) AS BIGINT) AS n2, sum(CASE WHEN same THEN r ELSE 0 END) AS r1 FROM r)
     SELECT n1, n2, r1 - n1 * (n1 + 1) / 2 AS u, round((r1 - n1 * (n1 + 1) / 2) / n1 / n2, 9) AS auc, round(2 * (r1 - n1 * (n1 + 1) / 2) / n1 / n2 - 1, 9) AS delta FROM t""")
 def mann_whitney_auc(spark, sf_dir):
-    e = edges(spark, sf_dir, [similarity], ("person",)).select((F.col("person_i") == F.col("person_j")).alias("same"), F.col("similarity").alias("score"))
-    return tails.mann_whitney(tails.histogram(e, ["same"]), F.col("same")).select("n1", "n2", "u", F.round("auc", 9).alias("auc"), F.round("delta", 9).alias("delta"))
+    hist = counted(spark, sf_dir, classes=pairs.SAME_PERSON).withColumnRenamed("similarity", "score")
+    return tails.mann_whitney(hist, F.col("pair_class") == "same").select("n1", "n2", "u", F.round("auc", 9).alias("auc"), F.round("delta", 9).alias("delta"))
 
 
 @query(f"""WITH {BODIES} SELECT CAST(count_if(same) AS BIGINT) AS n1, CAST(count_if(NOT same) AS BIGINT) AS n2, round((avg(similarity) FILTER (same) - avg(similarity) FILTER (NOT same)) /
@@ -291,21 +270,6 @@ def growth_of_maximum(spark, sf_dir):
     return g.select("k", "reps", F.round("mean_top", 6).alias("mean_top"), F.round("std_top", 6).alias("std_top"))
 
 
-@query("SELECT md5(coalesce(text, '')) AS content, count(*) AS n, min(doc_id) AS keep, list_sort(list(doc_id)) AS members FROM documents GROUP BY 1 HAVING count(*) > 1")
-def exact_duplicates(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("content"))
-    return docs.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep"), F.sort_array(F.collect_list("doc_id")).alias("members")).where("n > 1")
-
-
-@query("""WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) AS place FROM documents)
-    SELECT source, count(*) AS n FROM d WHERE place = 1 GROUP BY 1""")
-def anti_duplicates(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("content"))
-    first = docs.groupBy("content").agg(F.min("doc_id").alias("keep"))
-    later = docs.join(first, "content").where("doc_id <> keep").select("doc_id")
-    return docs.join(later, "doc_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT lang, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM documents GROUP BY 1")
 def class_frequency(spark, sf_dir):
     counts = read(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -315,9 +279,3 @@ def class_frequency(spark, sf_dir):
 @query("SELECT source, count(*) AS n FROM documents GROUP BY ROLLUP (source)")
 def source_counts_with_total(spark, sf_dir):
     return read(spark, sf_dir, "documents").rollup("source").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT event_type, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS place FROM events) WHERE place <= 5")
-def first_n_per_capture(spark, sf_dir):
-    events = read(spark, sf_dir, "events").select("event_type", "event_id")
-    return events.withColumn("place", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))).where("place <= 5")

@@ -2,57 +2,74 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A raw matrix is cut into ranges of so many scores, each read by a task of its own.
-RANGE = 1 << 20
+#: About so many bytes of a raw matrix are made or written at once.
+RANGE_BYTES = 4 << 20
+RECORDS = "org.apache.spark.input.FixedLengthBinaryInputFormat"
 
 
 def read_matrix(spark: SparkSession, path: str, rows: int, columns: int | None = None, kind: str = "<i4", missing: float | None = -1) -> DataFrame:
-    """(i, j, score) of a headerless little-endian matrix whose shape an index implies; missing scores are left out."""
+    """(i, j, score) of a headerless little-endian matrix whose shape an index implies; missing scores are left out.
+
+    The file is split between tasks at row boundaries, so it can be of any size.
+    """
     columns = columns or rows
     item = np.dtype(kind)
-    files = spark.read.format("binaryFile").load(path).select("content", "length")
+    length = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    if length != rows * columns * item.itemsize:
+        raise ValueError(f"{length} bytes are no {rows} x {columns} matrix of {item}")
+    size = {f"{RECORDS}.recordLength": str(columns * item.itemsize)}
+    records = spark.sparkContext.newAPIHadoopFile(path, RECORDS, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=size)
+    lines = spark.createDataFrame(records.map(lambda r: (int(r[0]), bytes(r[1]))), "i long, line binary")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content, length in zip(batch.column("content"), batch.column("length").to_pylist()):
-                if length != rows * columns * item.itemsize:
-                    raise ValueError(f"{length} bytes are no {rows} x {columns} matrix of {item}")
-                values = np.frombuffer(content.as_buffer(), item)
-                for at in range(0, len(values), RANGE):
-                    part = values[at : at + RANGE]
-                    keep = np.flatnonzero(part != missing) if missing is not None else np.arange(len(part))
-                    place = keep + at
-                    score = part[keep].astype(np.int64 if item.kind == "i" else np.float64)
-                    yield pa.RecordBatch.from_arrays([pa.array(place // columns), pa.array(place % columns), pa.array(score)], ["i", "j", "score"])
+            for i, line in zip(batch.column("i").to_pylist(), batch.column("line")):
+                values = np.frombuffer(line.as_buffer(), item)
+                keep = np.flatnonzero(values != missing) if missing is not None else np.arange(columns)
+                score = values[keep].astype(np.int64 if item.kind == "i" else np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), i)), pa.array(keep), pa.array(score)], ["i", "j", "score"])
 
-    return files.mapInArrow(unpack, f"i long, j long, score {'long' if item.kind == 'i' else 'double'}")
+    return lines.mapInArrow(unpack, f"i long, j long, score {'long' if item.kind == 'i' else 'double'}")
 
 
 def write_matrix(edges: DataFrame, path: str, rows: int, columns: int | None = None, kind: str = "<i4", missing: float = -1, symmetric: bool = False) -> None:
-    """A raw matrix in one local file, a row at a time, so that the driver holds one row."""
+    """A raw matrix in one file. Tasks make ranges of rows; the driver puts them end to end and holds one at a time."""
+    from pairloom.sources.scratch import _open
+
     columns = columns or rows
+    item, spark = np.dtype(kind), edges.sparkSession
+    each = max(1, RANGE_BYTES // (columns * item.itemsize))
     cells = edges.select("i", "j", "score")
     if symmetric:
         cells = cells.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "score"))
-    lines = cells.groupBy("i").agg(F.collect_list("j").alias("j"), F.collect_list("score").alias("score")).orderBy("i")
-    empty, at = np.full(columns, missing, kind), 0
-    with open(path, "wb") as f:
-        for line in lines.toLocalIterator():
-            for _ in range(at, line["i"]):
-                f.write(empty.tobytes())
-            row = empty.copy()
-            row[line["j"]] = line["score"]
-            f.write(row.tobytes())
-            at = line["i"] + 1
-        for _ in range(at, rows):
-            f.write(empty.tobytes())
+    ranges = spark.range(-(-rows // each)).select(F.col("id").alias("r"))
+    cells = cells.withColumn("r", F.floor(F.col("i") / each))
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[0]) * each
+        out = np.full((min(each, rows - first), columns), missing, item)
+        own = pdf[pdf["score"].notna()]
+        out[own["i"].to_numpy(np.int64) - first, own["j"].to_numpy(np.int64)] = own["score"]
+        return pd.DataFrame({"r": [key[0]], "data": [out.tobytes()]})
+
+    packed = ranges.join(cells, "r", "left").groupBy("r").applyInPandas(pack, "r long, data binary")
+    file_system, where = _open(spark, path)
+    out = file_system.create(where, True)
+    try:
+        for row in packed.orderBy("r").toLocalIterator():
+            out.write(row["data"])
+    finally:
+        out.close()
 
 
 def read_grid(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -116,29 +133,103 @@ def checked(log: DataFrame, pairs: int, verdict: str) -> DataFrame:
     return log
 
 
-def append_line(path: str, record: dict) -> None:
-    """Add a record to a JSON-lines log, with the time in whole seconds."""
-    import json
+def append_line(spark: SparkSession, path: str, record: dict) -> None:
+    """Add a record to a log, with the time in whole seconds. The log is a folder of JSON lines, one file for each record,
+    as shared stores mostly cannot append."""
     from datetime import datetime
 
-    with open(path, "a", encoding="utf-8") as f:
-        f.write(json.dumps(record | {"gravado_em": datetime.now().isoformat(timespec="seconds")}, ensure_ascii=False) + "\n")
+    from pairloom.sources.scratch import put
+
+    line = json.dumps(record | {"gravado_em": datetime.now().isoformat(timespec="seconds")}, ensure_ascii=False) + "\n"
+    put(spark, f"{path}/{uuid.uuid4().hex}.json", line.encode())
 
 
 def errata(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(person, capture) named in free text: an eight-digit person and a device on one line, or the start of a file name."""
-    text = F.col(column)
-    person, device = F.regexp_extract(text, r"\b(\d{8})\b", 1), F.upper(F.regexp_extract(text, r"\b[Dd]evice\s+([A-Za-z0-9]+)\b", 1))
-    spoken = lines.select(person.alias("person"), device.alias("capture")).where("person <> '' and capture <> ''")
-    names = F.explode(F.regexp_extract_all(text, F.lit(r"\b(\d{8}_[A-Za-z0-9]+)_"), F.lit(1)))
-    written = lines.select(names.alias("n")).select(F.substring_index("n", "_", 1).alias("person"), F.upper(F.substring_index("n", "_", -1)).alias("capture"))
-    return spoken.unionByName(written).distinct()
+    """(person, capture) named in free text. A line names them in words, an eight-digit person somewhere and a device after
+    that word, or by files, whose names begin with a person and a capture."""
+    words = lines.select(F.split(column, r"\s+").alias("spaced"), F.split(column, r"\W+").alias("words"))
+    person = F.try_element_at(F.filter("words", lambda w: w.rlike(r"^\d{8}$")), F.lit(1))
+    after = F.transform(F.filter(F.arrays_zip(F.slice("spaced", 1, F.size("spaced") - 1).alias("a"), F.slice("spaced", 2, F.size("spaced")).alias("b")), lambda x: x["a"].rlike(r"(^|\W)[Dd]evice$")), lambda x: F.regexp_extract(x["b"], r"^([A-Za-z0-9]+)(\W|$)", 1))
+    device = F.try_element_at(F.filter(after, lambda x: x != ""), F.lit(1))
+    spoken = words.select(person.alias("person"), F.upper(device).alias("capture")).dropna()
+    names = words.select(F.explode("words").alias("w")).select(F.split("w", "_").alias("part"))
+    written = names.where((F.size("part") > 2) & F.col("part")[0].rlike(r"^\d{8}$") & F.col("part")[1].rlike("^[A-Za-z0-9]+$"))
+    return spoken.unionByName(written.select(F.col("part")[0].alias("person"), F.upper(F.col("part")[1]).alias("capture"))).distinct()
 
 
 def read_errata(spark: SparkSession, path: str) -> DataFrame:
     return errata(spark.read.text(path))
 
 
+def without_errata(df: DataFrame, named: DataFrame, flag: str | None = None) -> DataFrame:
+    """df without the rows whose person and capture (any case) are among those named, and without those that flag marks already."""
+    df = df.where(F.coalesce(F.expr(f"try_cast(`{flag}` AS int)"), F.lit(0)) == 0) if flag else df
+    bad = named.select(F.col("person").alias("_p"), F.upper("capture").alias("_c")).distinct()
+    return df.join(bad, (F.col("person") == F.col("_p")) & (F.upper("capture") == F.col("_c")), "left_anti")
+
+
+def persons_in(log: DataFrame, columns: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """The persons, as whole numbers, in whose files' names (such as x/12__M_Left_thumb_finger) the columns' paths end."""
+    paths = log.select(F.explode(F.array(*columns)).alias("path"))
+    number = F.regexp_extract("path", r"/(\d+)__[^/]*$", 1)
+    return paths.select(F.when(number != "", number).cast("long").alias("person")).dropna().distinct()
+
+
+def without_persons(df: DataFrame, persons: DataFrame, columns: tuple[str, ...] = ("person",)) -> DataFrame:
+    """df without rows one of whose person columns is among persons."""
+    for c in columns:
+        df = df.join(persons.select(F.col("person").alias(c)).distinct(), c, "left_anti")
+    return df
+
+
+def read_excluded(spark: SparkSession, path: str, otherwise: list[int]) -> DataFrame:
+    """person, from a JSON list, or from a list in the program where there is no such file."""
+    from pairloom.sources.scratch import exists
+
+    if not exists(spark, path):
+        return spark.createDataFrame([(p,) for p in otherwise], "person long")
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<long>")).alias("person"))
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """(n, ax, ay, bx, by): marked correspondences of a JSON document {"a": [[x, y], ...], "b": [...]}, numbered from 1."""
+    point = "array<array<double>>"
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", f"a {point}, b {point}").alias("d"))
+    both = doc.select(F.posexplode(F.arrays_zip("d.a", "d.b")).alias("k", "p"))
+    return both.select((F.col("k") + 1).alias("n"), *(F.col("p")[side][k].alias(f"{side}{axis}") for side in "ab" for k, axis in enumerate("xy")))
+
+
+def read_pairs(spark: SparkSession, path: str, label: str = "rotulo") -> DataFrame:
+    """a, b, label of a CSV file of pairs of names; a file without the label column, a fixed value, has empty labels."""
+    df = spark.read.csv(path, header=True)
+    return df.select(F.col("a"), F.col("b"), F.coalesce(F.col(label), F.lit("")).alias("label") if label in df.columns else F.lit("").alias("label"))
+
+
+def cached(spark: SparkSession, path: str, build) -> DataFrame:
+    """The table at path, built and written first if no finished one is there."""
+    from pairloom.sources.scratch import exists
+
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def resumed(tasks: DataFrame, path: str, key: str, run, chunks: int = 8) -> DataFrame:
+    """run(tasks) by chunks of keys, each a finished table below path or done now; a chunk that was broken off is done anew.
+
+    run keeps the key. What is done is known by the marks that Spark's commit leaves, so no state file can be corrupt.
+    """
+    from pairloom.sources.scratch import exists
+
+    spark = tasks.sparkSession
+    chunk = F.pmod(F.xxhash64(key), F.lit(chunks))
+    paths = [f"{path}/chunk={k}" for k in range(chunks)]
+    for k, p in enumerate(paths):
+        if not exists(spark, f"{p}/_SUCCESS"):
+            run(tasks.where(chunk == k)).write.mode("overwrite").parquet(p)
+    return spark.read.option("basePath", path).parquet(*paths)
+
+
 def with_metadata(df: DataFrame, people: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """df with columns of people, empty text where a person is not among them."""
     joined = df.join(people.select(key, *columns), key, "left")
@@ -166,6 +257,11 @@ def write_document(path: str, **parts: DataFrame) -> None:
     document(**parts).coalesce(1).write.text(path)
 
 
+def write_rows(df: DataFrame, path: str, order: list) -> None:
+    """One sorted CSV file with a header."""
+    df.orderBy(*order).coalesce(1).write.csv(path, header=True, mode="overwrite")
+
+
 def write_features(df: DataFrame, path: str, order: list, columns: list[str] | None = None) -> None:
     """One sorted CSV file; doubles with six places, missing values as empty text."""
     kinds = dict(df.dtypes)
@@ -173,4 +269,3 @@ def write_features(df: DataFrame, path: str, order: list, columns: list[str] | N
     shown = df.orderBy(*order).select(*(F.format_string("%.6f", c).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns))
     shown = shown.select(*(F.when(F.col(c) != "null", F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns))
     shown.coalesce(1).write.csv(path, header=True, mode="overwrite", nullValue="", emptyValue="")
-

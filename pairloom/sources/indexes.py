@@ -1,4 +1,4 @@
-"""Indexes of impressions and subjects: CSV tables, directory scans and file names."""
+"""Indexes of impressions, subjects and captures: CSV tables, directory scans and file names."""
 
 from __future__ import annotations
 
@@ -10,9 +10,16 @@ SUBJECTS = "path string, image string, person string, sex string, hand string, f
 #: Order of hands and fingers in every wide table.
 HANDS = ("Left", "Right")
 FINGERS = ("thumb", "index", "middle", "ring", "little")
-#: Scan resolution by source.
-RESOLUTION = {"DB2": 569, "DB3": 512}
-OTHER_RESOLUTION = 500
+#: Sources whose scans have another resolution than the usual one, by their whole names.
+RESOLUTION = {"FVC2002_DB2_B": 569, "FVC2004_DB3_B": 512}
+USUAL_RESOLUTION = 500
+#: Where captures of each type lie below the images' root: folder, captures, folders below that.
+CAPTURES = (
+    ("roll", "baseline", "UV", "500/roll/png"),
+    ("slap", "baseline", "RS", "500/slap-segmented/png"),
+    ("roll", "challengers", "ABCDEFGH", "roll/png"),
+    ("plain", "auxiliary/flat", "KLMP", "500/plain/png"),
+)
 IMAGE_FILES = "*.{tif,tiff,bmp,png,jpg,jpeg,TIF,TIFF,BMP,PNG,JPG,JPEG}"
 
 
@@ -81,7 +88,8 @@ def impression_name(path: Column) -> Column:
     return F.struct(F.when(fits, F.substring_index(name, "_", 1)).otherwise(name).alias("finger_id"), F.when(fits, F.substring_index(name, "_", -1)).otherwise("0").alias("impression"))
 
 
-SUBJECT_NAME = r"^(\d+)__([MF])_(Left|Right)_(thumb|index|middle|ring|little)_finger(?:_(CR|Obl|Zcut))?$"
+#: Fixed value: what a subject's file is called. CR, Obl and Zcut name kinds of alteration.
+SUBJECT_NAME = rf"^(\d+)__([MF])_({'|'.join(HANDS)})_({'|'.join(FINGERS)})_finger(?:_(CR|Obl|Zcut))?$"
 
 
 def subject_name(path: Column) -> Column:
@@ -91,16 +99,15 @@ def subject_name(path: Column) -> Column:
     return F.when(name.rlike(SUBJECT_NAME), F.struct(*parts))
 
 
-CAPTURE_NAME = r"^(\d{8})_([A-Za-z0-9]+)_(?:[A-Za-z0-9]+_)*(\d{1,2})$"
-
-
 def capture_name(path: Column) -> Column:
-    """person, capture and position number (frgp) of a name like 10000005_R_500_slap_02; null for other names and positions outside 1 to 10."""
-    name = stem(path)
-    frgp = F.regexp_extract(name, CAPTURE_NAME, 3)
-    number = F.when(frgp != "", frgp).cast("int")
-    parts = F.struct(F.regexp_extract(name, CAPTURE_NAME, 1).alias("person"), F.upper(F.regexp_extract(name, CAPTURE_NAME, 2)).alias("capture"), number.alias("frgp"))
-    return F.when(number.between(1, 10), parts)
+    """person, capture and position number (frgp) of a name like 10000005_R_500_slap-segmented_02: an eight-digit person, a
+    device, perhaps a resolution, a kind and a number, which is 1 to 10; null for other names and numbers."""
+    part = F.split(stem(path), "_")
+    at = lambda k: F.try_element_at(part, F.lit(k))
+    last = F.when(at(-1).rlike(r"^\d{1,9}$"), at(-1)).cast("int")
+    fits = at(1).rlike(r"^\d{8}$") & at(2).rlike("^[A-Za-z0-9]+$") & at(-2).rlike("^[a-z-]+$")
+    fits &= (F.size(part) == 4) | ((F.size(part) == 5) & at(3).rlike(r"^\d+$"))
+    return F.when(fits & last.between(1, 10), F.struct(at(1).alias("person"), F.upper(at(2)).alias("capture"), last.alias("frgp")))
 
 
 def frgp_hand(frgp: str = "frgp") -> Column:
@@ -117,16 +124,36 @@ def frgp_position(frgp: str = "frgp") -> Column:
 
 
 def capture_type(capture: str = "capture") -> Column:
-    """Which capture codes are rolled, slap, plain, or by a challenger."""
-    c = F.col(capture)
-    return F.when(c.isin("U", "V"), "roll").when(c.isin("R", "S"), "slap").when(c.isin("K", "L", "M", "P"), "plain").when(c.between("A", "H"), "challenger")
+    """roll, slap or plain by the capture's letter; null for others."""
+    out = F
+    for kind, _, letters, _ in CAPTURES:
+        out = out.when(F.col(capture).isin(*letters), kind)
+    return out.otherwise(None)
 
 
-def resolution(source: str = "source") -> Column:
+def resolution(source: str = "source", known: dict[str, int] = RESOLUTION, usual: int = USUAL_RESOLUTION) -> Column:
+    """Pixels an inch of a source, by its whole name."""
     out = F
-    for name, dpi in RESOLUTION.items():
-        out = out.when(F.col(source).contains(name), dpi)
-    return out.otherwise(OTHER_RESOLUTION)
+    for name, dpi in known.items():
+        out = out.when(F.col(source) == name, dpi)
+    return out.otherwise(usual)
+
+
+def scan_captures(spark: SparkSession, root: str) -> DataFrame:
+    """path, capture and type of every image that lies in one of the capture folders below root."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(root).select("path")
+    found = [(kind, F.regexp_extract("path", f"/{top}/([{letters}])/{below}/[^/]+$", 1)) for kind, top, letters, below in CAPTURES]
+    matches = F.filter(F.array(*(F.struct(c.alias("capture"), F.lit(kind).alias("type")) for kind, c in found)), lambda x: x["capture"] != "")
+    return files.select("path", F.try_element_at(matches, F.lit(1)).alias("x")).where("x is not null").select("path", "x.capture", "x.type")
+
+
+def scan_subjects(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """path, type and the parts of subject_name of the images of several folders, {type: folder}; other names are skipped."""
+    out = None
+    for kind, folder in folders.items():
+        files = scan_images(spark, folder).select("path", F.lit(kind).alias("type"), subject_name(F.col("path")).alias("x"))
+        out = files if out is None else out.unionByName(files)
+    return out.where("x is not null").select("path", "type", "x.*")
 
 
 def scan_images(spark: SparkSession, root: str, source_prefix: str = "") -> DataFrame:
@@ -136,23 +163,11 @@ def scan_images(spark: SparkSession, root: str, source_prefix: str = "") -> Data
     return files.select("path", source.alias("source"), F.col("content").alias("bytes")).where(source.startswith(source_prefix))
 
 
-def first_per_capture(df: DataFrame, n: int, key: str = "capture", order: str = "path") -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_n") <= n).drop("_n")
+def first_per_capture(df: DataFrame, n: int, key: str = "capture", order: list[str] | str = "path") -> DataFrame:
+    """The first n rows of each key; Spark limits them per task before the shuffle."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*([order] if isinstance(order, str) else order)))).where(F.col("_n") <= n).drop("_n")
 
 
 def not_done(tasks: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """Tasks whose key has no finished output yet."""
     return tasks.join(done.select(*key).distinct(), key, "left_anti")
-
-
-def grey_image(content: bytes):
-    """Decode an image to a two-dimensional array of grey levels. Needs Pillow, which is optional."""
-    try:
-        from PIL import Image
-    except ImportError as e:
-        raise RuntimeError("decoding images needs Pillow") from e
-    import io
-
-    import numpy as np
-
-    return np.asarray(Image.open(io.BytesIO(content)).convert("L"))
