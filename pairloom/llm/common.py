@@ -34,6 +34,10 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: The folder of each local application whose session names none.
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
@@ -43,8 +47,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="pairloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        application = spark.sparkContext.applicationId
+        if application not in _FOLDERS:
+            _FOLDERS[application] = tempfile.mkdtemp(prefix="pairloom-")
+        where = _FOLDERS[application]
     return where.rstrip("/")
 
 
