@@ -120,19 +120,19 @@ def spearman(rows: DataFrame, by: list[str], a: str, b: str, weight: str | None
 
 
 def mann_whitney(hist: DataFrame, first: Column, score: str = "score") -> DataFrame:
-    """One row: sizes of the group `first` and the rest, U, AUC and Cliff's delta, from a histogram (score, n, group columns)."""
+    """One row: sizes of the group `first` and the rest, U, AUC, Cliff's delta, and ties (the sum of t^3 - t over equal scores),
+    from a histogram (score, n, group columns)."""
     both = hist.groupBy(score).agg(F.sum(F.when(first, F.col("n")).otherwise(0)).alias("n1"), F.sum("n").alias("n"))
-    ranks = both.join(mean_ranks(both.select(score, "n"), [], score, "r"), score)
-    sums = ranks.agg(F.sum("n1").alias("n1"), (F.sum("n") - F.sum("n1")).alias("n2"), F.sum(F.col("n1") * F.col("r")).alias("r1"))
+    upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(score).rowsBetween(Window.unboundedPreceding, 0))
+    sums = both.withColumn("r", upto - (F.col("n") - 1) / 2).agg(F.sum("n1").alias("n1"), (F.sum("n") - F.sum("n1")).alias("n2"), F.sum(F.col("n1") * F.col("r")).alias("r1"), F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties"))
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     auc = u / (F.col("n1") * F.col("n2"))
-    return sums.select("n1", "n2", u.alias("u"), auc.alias("auc"), (2 * auc - 1).alias("delta"))
+    return sums.select("n1", "n2", u.alias("u"), auc.alias("auc"), (2 * auc - 1).alias("delta"), "ties")
 
 
 def mann_whitney_z(hist: DataFrame, first: Column, score: str = "score") -> DataFrame:
     """One row: n1, n2, u and its normal deviates, one-sided (the group is greater) and two-sided, corrected for ties and continuity."""
-    sizes = hist.groupBy(score).agg(F.sum("n").cast("double").alias("t")).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
-    both = mann_whitney(hist, first, score).crossJoin(F.broadcast(sizes))  # one row each
+    both = mann_whitney(hist, first, score)
     n, area = F.col("n1") + F.col("n2"), F.col("n1").cast("double") * F.col("n2")
     sd = F.sqrt(area / 12 * (n + 1 - F.col("ties") / (n.cast("double") * (n - 1))))
     z = lambda u: (u - area / 2 - 0.5) / sd
@@ -143,8 +143,7 @@ def mann_whitney_p(hist: DataFrame, first: Column, score: str = "score") -> Data
     """One row: u, p_greater and p_two."""
     from pairloom.functions.intervals import mann_whitney_p as p_value
 
-    sizes = hist.groupBy(score).agg(F.sum("n").cast("double").alias("t")).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
-    both = mann_whitney(hist, first, score).crossJoin(F.broadcast(sizes))
+    both = mann_whitney(hist, first, score)
 
     def run(batches):
         for pdf in batches:

@@ -127,22 +127,43 @@ def tc_k3(spark, sf_dir):
     return dependence.total_correlation_of_three(rhos, ["capture"]).select("capture", F.round("tc", 9).alias("tc"))
 
 
-@query()
+def matrix_sql(rhos: str, by: str, k: int = 10, name: str = "") -> str:
+    """Tables of SQL, their names ending in name: inv (by, i, j, v), the inverse of each correlation matrix, and det (by, ld), the logarithm of its determinant.
+
+    Gauss and Jordan: each step takes one column out of the matrix beside the identity; the pivots multiply to the determinant.
+    """
+    side = f"(SELECT {by}, pa AS i, pb AS j, rho AS v FROM {rhos} UNION ALL SELECT {by}, pb, pa, rho FROM {rhos} UNION ALL SELECT {by}, d, d, 1.0 FROM (SELECT DISTINCT {by} FROM {rhos}), (SELECT unnest(range({k})) AS d))"
+    out = [f"g0{name} AS MATERIALIZED (SELECT {by}, i, j, v FROM {side} UNION ALL SELECT {by}, a, b + {k}, CASE WHEN a = b THEN 1.0 ELSE 0.0 END FROM (SELECT DISTINCT {by} FROM {rhos}), (SELECT unnest(range({k})) AS a), (SELECT unnest(range({k})) AS b))"]
+    for c in range(k):
+        out.append(f"r{c}{name} AS MATERIALIZED (SELECT {by}, g.j, g.v / p.v AS v FROM g{c}{name} g JOIN (SELECT {by}, v FROM g{c}{name} WHERE i = {c} AND j = {c}) p USING ({by}) WHERE g.i = {c})")
+        out.append(f"g{c + 1}{name} AS MATERIALIZED (SELECT {by}, g.i, g.j, CASE WHEN g.i = {c} THEN r.v ELSE g.v - f.v * r.v END AS v FROM g{c}{name} g JOIN r{c}{name} r USING ({by}, j) JOIN (SELECT {by}, i, v FROM g{c}{name} WHERE j = {c}) f USING ({by}, i))")
+    pivots = " UNION ALL ".join(f"SELECT {by}, v FROM g{c}{name} WHERE i = {c} AND j = {c}" for c in range(k))
+    return ", ".join([*out, f"inv{name} AS (SELECT {by}, i, j - {k} AS j, v FROM g{k}{name} WHERE j >= {k})", f"det{name} AS (SELECT {by}, sum(ln(v)) AS ld FROM ({pivots}) GROUP BY ALL)"])
+
+
+#: A determinant without one position is that of all times the place of the inverse on the diagonal.
+INFORMATION = "greatest(0, -0.5 * ld) AS tc, 4 * ld - 0.5 * (10 * ld + side) AS oinfo"
+MATRICES = f"{Z}, rho_ AS MATERIALIZED {rho_sql('z', ['capture'])}, {matrix_sql('rho_', 'capture')}, side AS (SELECT capture, sum(ln(v)) AS side FROM inv WHERE i = j GROUP BY 1)"
+
+
+@query(f"WITH {MATRICES} SELECT capture, 10 AS k, round(tc, 9) AS tc FROM (SELECT capture, {INFORMATION} FROM det JOIN side USING (capture))")
 def tc_k10(spark, sf_dir):
     rhos = dependence.correlations(dependence.copula(whole(spark, sf_dir), ["capture", "position"]), ["capture"])
     return dependence.matrix_information(rhos, ["capture"]).select("capture", "k", F.round("tc", 9).alias("tc"))
 
 
-@query()
+@query(f"WITH {MATRICES} SELECT capture, 10 AS k, round(oinfo, 9) AS oinfo FROM (SELECT capture, {INFORMATION} FROM det JOIN side USING (capture))")
 def oinfo(spark, sf_dir):
     rhos = dependence.correlations(dependence.copula(whole(spark, sf_dir), ["capture", "position"]), ["capture"])
     return dependence.matrix_information(rhos, ["capture"]).select("capture", "k", F.round("oinfo", 9).alias("oinfo"))
 
 
-@query()
+@query(f"""WITH {MATRICES}, form AS (SELECT a.capture, a.person, sum(a.z * v * b.z) AS q FROM z a JOIN z b USING (capture, person) JOIN inv ON inv.capture = a.capture AND i = a.position AND j = b.position GROUP BY 1, 2),
+    own AS (SELECT capture, person, sum(z * z) AS q0 FROM z GROUP BY 1, 2)
+    SELECT capture, person, round(-0.5 * ld - 0.5 * (q - q0), 6) AS tc FROM form JOIN own USING (capture, person) JOIN det USING (capture)""")
 def pointwise_tc(spark, sf_dir):
     z = dependence.copula(whole(spark, sf_dir), ["capture", "position"]).select("capture", "person", "position", "z")
-    return dependence.pointwise_total_correlation(z, ["capture"]).select("capture", "person", F.round("tc", 9).alias("tc"))
+    return dependence.pointwise_total_correlation(z, ["capture"]).select("capture", "person", F.round("tc", 6).alias("tc"))
 
 
 @query(f"WITH {OBS}, f AS (SELECT capture, position, regr_slope(value, quality) AS b, regr_intercept(value, quality) AS a FROM whole GROUP BY 1, 2) SELECT capture, person, position, round(value - a - b * quality, 4) AS residual FROM whole JOIN f USING (capture, position)")
@@ -230,13 +251,35 @@ def perm_null_s(spark, sf_dir):
     return null.select("capture", "iter", F.round("s", 9).alias("s"))
 
 
-@query()
+@query(f"""WITH {Z}, dealt AS MATERIALIZED {dealt_sql(f"(SELECT capture, person, position, z, iter FROM z, (SELECT unnest(range({ITER})) AS iter))", 'capture, iter', 'null')},
+    rho_ AS MATERIALIZED {rho_sql('dealt', ['capture', 'iter'])}, {matrix_sql('rho_', 'capture, iter')}, side AS (SELECT capture, iter, sum(ln(v)) AS side FROM inv WHERE i = j GROUP BY 1, 2)
+    SELECT capture, CAST(iter AS INTEGER) AS iter, round(tc, 9) AS tc, round(oinfo, 9) AS oinfo FROM (SELECT capture, iter, {INFORMATION} FROM det JOIN side USING (capture, iter))""")
 def perm_null_information(spark, sf_dir):
     null = resample.information_null(whole(spark, sf_dir), ITER, by=("capture",))
     return null.select("capture", "iter", F.round("tc", 9).alias("tc"), F.round("oinfo", 9).alias("oinfo"))
 
 
-@query()
+def _two_sql() -> str:
+    """both_N, det_N, point_N of two variables N, observed (iter -1) and dealt anew, and agreement: iter, n, rho."""
+    out, key = [OBS], "capture, iter"
+    for n, value, seed in ((1, "value", "a"), (2, "quality", "b")):
+        dealt = dealt_sql(f"(SELECT capture, person, position, z, iter FROM z{n}, (SELECT unnest(range({ITER})) AS iter))", key, seed)
+        out.append(f"z{n} AS MATERIALIZED (SELECT capture, person, position, z FROM {z_sql('whole', 'capture, position', value)})")
+        out.append(f"both{n} AS MATERIALIZED (SELECT capture, -1 AS iter, person, position, z FROM z{n} UNION ALL SELECT capture, iter, person, position, z FROM {dealt})")
+        out.append(f"rho{n} AS MATERIALIZED {rho_sql(f'both{n}', ['capture', 'iter'])}, {matrix_sql(f'rho{n}', key, name=f'_{n}')}")
+        out.append(f"""point{n} AS MATERIALIZED (SELECT capture, iter, person, -0.5 * ld - 0.5 * (q - q0) AS tc FROM
+            (SELECT a.capture, a.iter, a.person, sum(a.z * v * b.z) AS q FROM both{n} a JOIN both{n} b ON a.capture = b.capture AND a.iter = b.iter AND a.person = b.person
+                JOIN inv_{n} m ON m.capture = a.capture AND m.iter = a.iter AND m.i = a.position AND m.j = b.position GROUP BY 1, 2, 3)
+            JOIN (SELECT capture, iter, person, sum(z * z) AS q0 FROM both{n} GROUP BY 1, 2, 3) USING (capture, iter, person) JOIN det_{n} USING (capture, iter))""")
+    rank = lambda c: f"rank() OVER (PARTITION BY x.capture, x.iter ORDER BY {c}) AS r_{c[0]}"
+    out.append(f"agreement AS (SELECT capture, iter, count(*) AS n, corr(r_x, r_y) AS rho FROM (SELECT x.capture, x.iter, {rank('x.tc')}, {rank('y.tc')} FROM point1 x JOIN point2 y ON x.capture = y.capture AND x.iter = y.iter AND x.person = y.person) GROUP BY 1, 2)")
+    return ", ".join(out)
+
+
+TWO_VARIABLES = _two_sql()
+
+
+@query(f"WITH {TWO_VARIABLES} SELECT capture, CAST(iter AS INTEGER) AS iter, n, round(rho, 9) AS rho FROM agreement")
 def pointwise_agreement(spark, sf_dir):
     """Rank agreement between the value's and the quality's pointwise total correlation, observed and permuted."""
     df = whole(spark, sf_dir)
@@ -330,7 +373,7 @@ def sensitivity(spark, sf_dir):
     return out.select("state", "capture", F.round("s", 9).alias("s"))
 
 
-SETS, LEVEL = 20, 0.05
+SETS, LEVEL = 12, 0.05
 LOW, HIGH = binomial_interval(0.95, SETS, LEVEL)
 
 
@@ -345,7 +388,7 @@ def calibration(spark, sf_dir):
     return p.groupBy("capture").agg(F.count(F.lit(1)).alias("sets"), rejected.alias("rejected"), rejected.between(LOW, HIGH).alias("calibrated"))
 
 
-RHOS, REPS, POWER_LEVEL = [0.0, 0.1, 0.3, 0.7], 5, 0.01
+RHOS, REPS, POWER_LEVEL = [0.0, 0.3, 0.7], 3, 0.01
 
 
 POWER_SQL = f"""{Z}, g AS (SELECT capture, person, position, z, effect, rep FROM z, (SELECT unnest([{', '.join(map(str, RHOS))}]::DOUBLE[]) AS effect), (SELECT unnest(range({REPS})) AS rep)),

@@ -18,7 +18,7 @@ from pairloom.functions.intervals import clopper_pearson
 from pairloom.operators import cleaning, fields, pairs, resample, tails
 from pairloom.operators.scorers import closeness, external, one_sided, similarity
 from pairloom.plans.catalog import query
-from pairloom.plans.dependence_queries import ITER, OBS, null_sql, means_sql, whole, z_sql
+from pairloom.plans.dependence_queries import ITER, OBS, TWO_VARIABLES, means_sql, null_sql, whole, z_sql
 from pairloom.plans.pair_queries import BOTH, CLASSED, IDX, ONE, TWO_WAY, best, counted, edges
 from pairloom.sources import files, images, indexes
 from pairloom.sources.analogues import impressions, read
@@ -554,7 +554,14 @@ def bonferroni_flags(spark, sf_dir):
     return resample.bonferroni(p).select("capture", F.round("p", 9).alias("p"), "at_one_percent", "of_all")
 
 
-@query()
+FIVE = " UNION ALL ".join(
+    f"SELECT capture, iter, 'information_{w}' AS test, greatest(0, -0.5 * ld) AS x FROM det_{n} UNION ALL SELECT capture, iter, 'difference_{w}', homologous - others FROM {means_sql(f'both{n}', ['capture', 'iter'])}" for n, w in ((1, "first"), (2, "second"))
+)
+
+
+@query(f"""WITH {TWO_VARIABLES}, t AS MATERIALIZED ({FIVE} UNION ALL SELECT capture, iter, 'agreement', rho FROM agreement), o AS (SELECT * FROM t WHERE iter < 0),
+    p AS (SELECT capture, test, o.x AS observed, count(*) AS n, (count_if(t.x >= o.x) + 1) / (count(*) + 1) AS p FROM t JOIN o USING (capture, test) WHERE t.iter >= 0 GROUP BY 1, 2, 3)
+    SELECT capture, test, round(observed, 9) AS observed, n, round(p, 9) AS p, p < 0.01 AS at_one_percent, p < 0.05 / 5 AS of_all FROM p""")
 def five_tests(spark, sf_dir):
     """p of the information and the class difference of two variables and of their pointwise agreement, by capture, with flags."""
     p = resample.five_tests(whole(spark, sf_dir), "value", "quality", ITER, by=("capture",))

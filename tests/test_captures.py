@@ -1,31 +1,33 @@
-"""Queries over all captures: every capture has rows, and those of 'AF' are what the query of 'AF', held against SQL, gives."""
+"""Queries of observations have rows of every capture, and as many draws as the survey's fast tests."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from pairloom.plans import catalog
-from pairloom.plans.dependence_queries import whole
+from pairloom.plans.dependence_queries import ITER, whole
 
-SAME = ["person_pivot", "avg_ranks", "copula", "mi_matrix", "delta_mi", "ols_residual_1cov", "ols_residual_k", "decile_residual", "spline_basis", "sensitivity"]
-OTHERS = ["perm_null_s_by_capture", "blind_mode_by_capture", "spline_residual_versions", "perm_null_information"]
+BY_CAPTURE = "person_pivot avg_ranks copula mi_matrix delta_mi ols_residual_1cov ols_residual_k decile_residual spline_basis sensitivity perm_null_s blind_mode spline_residual_versions perm_null_information".split()
 
 
-@pytest.fixture(scope="module")
-def captures(spark, sf_dir):
+@pytest.mark.parametrize("name", BY_CAPTURE)
+def test_every_capture(spark, sf_dir, name):
     found = {r.capture for r in whole(spark, sf_dir).select("capture").distinct().collect()}
     assert len(found) > 1
-    return found
+    assert {r.capture for r in catalog.QUERIES[name].build(spark, sf_dir).select("capture").distinct().collect()} == found
 
 
-@pytest.mark.parametrize("name", SAME)
-def test_rows_of_one_capture(spark, sf_dir, captures, name):
-    rows = catalog.QUERIES[f"{name}_by_capture"].build(spark, sf_dir).cache()
-    one = catalog.QUERIES[name].build(spark, sf_dir)
-    assert {r.capture for r in rows.select("capture").distinct().collect()} == captures
-    flat = lambda df: sorted(tuple(round(v, 6) + 0.0 if isinstance(v, float) else v for v in r) for r in df.select(one.columns).collect())
-    assert flat(rows.where(F.col("capture") == "AF")) == flat(one)
+def test_p_against_its_null(spark, sf_dir):
+    """p is counted by hand over 199 permutations, so it can reach 1 / 200."""
+    null = [(r.capture, r.s) for r in catalog.QUERIES["perm_null_s"].build(spark, sf_dir).collect()]
+    got = catalog.QUERIES["empirical_p"].build(spark, sf_dir).collect()
+    assert got and ITER == 199
+    for r in got:
+        values = [s for c, s in null if c == r.capture]
+        assert len(values) == r.n == 199
+        assert r.p == pytest.approx((sum(s >= r.observed for s in values) + 1) / 200, abs=0.011)
 
 
-@pytest.mark.parametrize("name", OTHERS)
-def test_every_capture(spark, sf_dir, captures, name):
-    assert {r.capture for r in catalog.QUERIES[name].build(spark, sf_dir).collect()} == captures
+@pytest.mark.parametrize("name", ["bootstrap_ratio", "two_capture_null", "perm_null_information"])
+def test_draws(spark, sf_dir, name):
+    rows = catalog.QUERIES[name].build(spark, sf_dir).agg(F.countDistinct("iter").alias("n")).first()
+    assert rows.n == 199

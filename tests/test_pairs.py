@@ -51,6 +51,38 @@ def test_classes(index):
     assert len(blocks) == 12 * 11 // 2 and {r["count"] for r in blocks} == {64}
 
 
+@pytest.mark.parametrize("tile", [7, 1000])
+def test_tiles_carry_and_count(spark, index, tile):
+    """Attributes from the tiles are those of joins, nulls too; counts and best pairs of tiles are those of all pairs."""
+    named = index.withColumn("name", F.when(F.col("idx") % 5 != 0, F.col("key")))
+    columns = ["source", "finger_id", "name"]
+    joined = pairs.with_attributes(pairs.all_pairs(named, [similarity, closeness], tile_rows=tile), named, columns)
+    carried = pairs.all_pairs(named, [similarity, closeness], tile_rows=tile, attributes=tuple(columns))
+    assert sorted(carried.columns) == sorted(joined.columns) and carried.select(joined.columns).exceptAll(joined).count() == 0
+    for classes in (pairs.TWO_WAY, pairs.THREE_WAY):
+        e = joined.withColumn("pair_class", classes.column())
+        want = e.groupBy("pair_class", "similarity", "closeness").agg(F.count(F.lit(1)).alias("n"))
+        got = pairs.class_histogram(named, [similarity, closeness], classes, tile_rows=tile)
+        assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == want.count()
+    wanted = joined.where(pairs.three_way_class() == "impostor")
+    found = pairs.best_pairs(named, [similarity, closeness], 9, pairs.THREE_WAY, "impostor", tile_rows=tile)
+    for s in ("similarity", "closeness"):
+        assert tails.top(found, 9, s).select("i", "j", s).collect() == tails.top(wanted, 9, s).select("i", "j", s).collect()
+    empty = named.limit(0)
+    assert pairs.class_histogram(empty, [similarity], pairs.TWO_WAY).count() == 0 and pairs.all_pairs(empty, [similarity], attributes=("name",)).count() == 0
+
+
+def test_one_pass_over_the_pairs(spark, sf_dir):
+    """No query scores the pairs more than once."""
+    from pairloom.plans import catalog
+
+    for name in ("allvsall_hist", "spearman_scorers", "mann_whitney_auc", "top_impostors", "percentile_disc_by_class"):
+        df = catalog.QUERIES[name].build(spark, sf_dir)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("MapInArrow") == 1, name
+
+
 def test_directed(index):
     d = pairs.rectangle(index, index, [one_sided], tile_rows=40).withColumnRenamed("one_sided", "score")
     assert d.count() == 96 * 96

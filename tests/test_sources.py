@@ -1,12 +1,15 @@
 """Files in, files out."""
 
 import json
+import math
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.sources import files, indexes
+from pairloom.plans import catalog
+from pairloom.sources import files, images, indexes
 from pairloom.streaming import verdicts as stream
 
 
@@ -31,6 +34,132 @@ def test_file_names(spark):
     assert (places[0].h, places[0].f, places[9].h, places[9].f) == ("Right", "thumb", "Left", "little")
 
 
+def test_lookups_go_by_whole_names(spark):
+    sources = ["FVC2002_DB2_B", "FVC2004_DB3_B", "FVC2000_DB2_B", "FVC2004_DB2_B", "FVC2002_DB3_B", "x"]
+    df = spark.createDataFrame([(s,) for s in sources], "source string")
+    assert [r.d for r in df.select(indexes.resolution().alias("d")).collect()] == [569, 512, 500, 500, 500, 500]
+    assert [r.d for r in df.select(indexes.resolution(known={"x": 7}, usual=1).alias("d")).collect()] == [1, 1, 1, 1, 1, 7]
+    captures = spark.createDataFrame([(c,) for c in [*"UVRSABCDEFGHKLMPN", "B2", None]], "capture string")
+    got = [r.t for r in captures.select(indexes.capture_type().alias("t")).collect()]
+    assert got == ["roll"] * 2 + ["slap"] * 2 + ["roll"] * 8 + ["plain"] * 4 + [None] * 3
+
+
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [
+        ("10000005_R_500_slap-segmented_02.png", ("10000005", "R", 2)),
+        ("10000005_6e_roll_10.png", ("10000005", "6E", 10)),
+        ("10000005_U_500_roll_00.png", None),
+        ("10000005_U_500_roll_11.png", None),
+        ("10000005_U_x_roll_01.png", None),
+        ("1000005_U_500_roll_01.png", None),
+        ("10000005_U_01.png", None),
+        ("10000005_U_500_roll_extra_01.png", None),
+        ("10000005_U_500_Roll_01.png", None),
+        ("10000005_U_500_roll_99999999999999.png", None),
+        ("", None),
+    ],
+)
+def test_capture_names(spark, name, want):
+    got = spark.createDataFrame([(f"/a/b/{name}",)], "path string").select(indexes.capture_name(F.col("path")).alias("x")).first().x
+    assert (tuple(got) if got else None) == want
+
+
+def test_errata_lines(spark):
+    lines = {
+        "00002361, Device V, is void": {("00002361", "V")},
+        "segmented slap thumbs for 00002420, device r were swapped": {("00002420", "R")},
+        "see 00002480_6E_500_x and 00002481_s_1": {("00002480", "6E"), ("00002481", "S")},
+        "device R, person 00000001": {("00000001", "R")},
+        "00000002 devices R, and device, X": set(),
+        "123456789 device R": set(),
+        "00000003 Device  7b.": {("00000003", "7B")},
+        "x00000004_A_1 00000005_A": set(),
+        "": set(),
+    }
+    for line, want in lines.items():
+        got = files.errata(spark.createDataFrame([(line,)], "value string")).collect()
+        assert {(r.person, r.capture) for r in got} == want, line
+
+
+def test_matrix_of_many_rows_is_read_in_parts(spark, tmp_path):
+    m = np.arange(300 * 40, dtype="<i4").reshape(300, 40)
+    m.tofile(tmp_path / "m.i32")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = files.read_matrix(spark, str(tmp_path / "m.i32"), 300, 40).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == m.size and (got.score == m[got.i, got.j]).all()
+    before, files.RANGE_BYTES = files.RANGE_BYTES, 1000
+    try:
+        files.write_matrix(spark.createDataFrame(got.sample(frac=1, random_state=0)), str(tmp_path / "n.i32"), 300, 40)
+    finally:
+        files.RANGE_BYTES = before
+    assert (tmp_path / "n.i32").read_bytes() == m.tobytes()
+    files.write_matrix(spark.createDataFrame([(2, 1, 5)], "i long, j long, score long"), str(tmp_path / "e.i32"), 4, 3)
+    want = np.full((4, 3), -1, "<i4")
+    want[2, 1] = 5
+    assert (tmp_path / "e.i32").read_bytes() == want.tobytes()
+
+
+def test_images():
+    rng = np.random.default_rng(0)
+    for shape in ((5, 7), (8, 8), (1, 3)):
+        grey = rng.integers(0, 256, shape).astype(np.uint8)
+        assert (images.grey_image(images.to_bitmap(grey)) == grey).all()
+    colour = b"BM" + bytes(8) + struct.pack("<I", 54) + struct.pack("<IiiHHIIiiII", 40, 2, -1, 1, 24, 0, 8, 0, 0, 0, 0) + bytes([0, 0, 255, 255, 255, 255, 0, 0])
+    assert images.bitmap(colour).tolist() == [[76, 255]]  # red, then white; rows from the top
+    with pytest.raises(ValueError, match="bitmap"):
+        images.bitmap(colour[:28] + b"\x04" + colour[29:])
+    flat = np.full((20, 30), 77, np.uint8)
+    for kernel in ("bicubic", "lanczos"):
+        assert (images.resampled(flat, 13, 50, kernel) == 77).all()
+    ramp = np.tile(np.arange(40, 200, 4, dtype=np.uint8), (10, 1))
+    wide = images.enlarged(ramp).astype(int)
+    assert wide.shape == (30, 120) and np.abs(np.diff(wide[:, 9:-9], axis=1)).max() <= 2 and np.abs(wide[:, 1::3] - ramp.repeat(3, 0)).max() <= 1
+    assert images.at_resolution(ramp, 504).shape == ramp.shape and images.at_resolution(ramp, 1000).shape == (5, 20)
+    noise = rng.integers(0, 256, (9, 14)).astype(np.uint8)
+    sinc = lambda x: 1.0 if x == 0 else math.sin(math.pi * x) / (math.pi * x)
+
+    def by_hand(row, to):
+        """One line of pixels, each new one from its own loop over the old ones."""
+        step, out = len(row) / to, []
+        for k in range(to):
+            x = [(p + 0.5 - (k + 0.5) * step) / max(step, 1) for p in range(len(row))]
+            w = [sinc(v) * sinc(v / 3) if abs(v) < 3 else 0 for v in x]
+            out.append(sum(a * b for a, b in zip(w, row)) / sum(w))
+        return out
+
+    lines = np.array([by_hand(c, 4) for c in np.array([by_hand(r, 20) for r in noise.astype(float)]).T]).T
+    assert np.abs(images.resampled(noise, 20, 4) - np.clip(lines, 0, 255)).max() <= 0.5 + 1e-9
+    assert images.pixels_of_blocks(np.array([[True, False]]), (5, 10)).sum() == 5 * 8
+
+
+def test_exclusions(spark, tmp_path):
+    log = spark.createDataFrame([("x/12__M_Left_thumb_finger", "y/7__F_a"), ("none", "z/12__M_b")], "a string, b string")
+    assert {r.person for r in files.persons_in(log).collect()} == {12, 7}
+    pairs_ = spark.createDataFrame([(12, 1), (2, 7), (2, 3)], "person_i long, person_j long")
+    assert [tuple(r) for r in files.without_persons(pairs_, files.persons_in(log), ("person_i", "person_j")).select("person_i", "person_j").collect()] == [(2, 3)]
+    (tmp_path / "e.json").write_text("[4, 5]")
+    assert {r.person for r in files.read_excluded(spark, str(tmp_path / "e.json"), [1]).collect()} == {4, 5}
+    assert {r.person for r in files.read_excluded(spark, str(tmp_path / "none.json"), [1]).collect()} == {1}
+
+
+def test_p_of_mann_whitney(spark, sf_dir):
+    """Against the normal tail of the deviates, which are held against SQL."""
+    z, p = (catalog.QUERIES[n].build(spark, sf_dir).first() for n in ("mann_whitney_test", "mann_whitney_p_value"))
+    tail = lambda x: 0.5 * math.erfc(x / math.sqrt(2))
+    assert p.p_greater == pytest.approx(tail(z.z_greater), abs=1e-5) and p.p_two == pytest.approx(min(1, 2 * tail(z.z_two)), abs=1e-5)
+
+
+def test_exact_interval(spark, sf_dir):
+    for r in catalog.QUERIES["exact_share_interval"].build(spark, sf_dir).collect():
+        above = lambda share: sum(math.comb(r.n, i) * share**i * (1 - share) ** (r.n - i) for i in range(r.k, r.n + 1))
+        assert r.k == 0 or above(r.low) == pytest.approx(0.025, abs=1e-6)
+        assert r.k == r.n or 1 - above(r.high) + math.comb(r.n, r.k) * r.high**r.k * (1 - r.high) ** (r.n - r.k) == pytest.approx(0.025, abs=1e-6)
+
+
 def test_matrix_round_trip(spark, tmp_path):
     rng = np.random.default_rng(0)
     m = rng.integers(0, 99, (7, 7)).astype("<i4")
@@ -66,10 +195,10 @@ def test_groups_verdicts_and_errata(spark, tmp_path):
     assert {(r.person, r.capture) for r in got} == {("10000001", "R"), ("10000002", "V"), ("10000003", "6E"), ("10000004", "R")}
     log = str(tmp_path / "log" / "v.jsonl")
     (tmp_path / "log").mkdir()
-    for verdict, at in (("same", 1), ("other", 2)):
-        files.append_line(log, {"na": "p", "nb": "q", "rot": "", "veredito": verdict})
-    written = [json.loads(x) for x in open(log)]
-    assert all("gravado_em" in x for x in written)
+    for verdict in ("same", "other"):
+        files.append_line(spark, str(tmp_path / "appended"), {"na": "p", "nb": "q", "rot": "", "veredito": verdict})
+    written = files.read_verdicts(spark, str(tmp_path / "appended")).collect()
+    assert {r.verdict for r in written} == {"same", "other"} and all(r["at"] is not None for r in written)
     rows = "\n".join(json.dumps({"na": "p", "nb": n, "rot": "r", "veredito": v, "gravado_em": t}) for n, v, t in (("q", "x", "2026-01-01T00:00:01"), ("q", "y", "2026-01-01T00:00:03"), ("s", "z", "2026-01-01T00:00:02")))
     (tmp_path / "log" / "v.jsonl").write_text(rows + "\n")
     with pytest.raises(ValueError, match="2 pairs instead of 5, 2 other"):
