@@ -34,7 +34,7 @@ from pairloom.llm.common import discard, small_batches, staged
 from pairloom.llm.repeats import CROWDED, GRAM, SEVERAL, SLICE_BYTES, SLICES, SLICES_OF_NAME, WINDOW, Gathered, _groups, _parts, _sliding_min, grams, judged, keyed, runs_of, spread, with_spans, word_tokens
 
 #: Rows of a shard of documents, at most, and phrases of one automaton.
-SHARD_ROWS, SHARD_PHRASES = 2048, 20_000
+SHARD_ROWS, SHARD_PHRASES = 1024, 20_000
 #: No phrase begins here.
 NOWHERE = np.uint64((1 << 64) - 1)
 #: Values that the first and second letter of a word's code can have.
@@ -246,7 +246,7 @@ def _located(docs: DataFrame, confirmed: DataFrame, tasks: int, buckets: int) ->
     none = lambda kind: F.lit(None).cast(kind)
     told = confirmed.select("shard", F.lit(0).alias("kind"), "block", none("long").alias("doc"), none("long").alias("mark"), none("string").alias("text"))
     texts = docs.select("shard", F.lit(1).alias("kind"), none("binary").alias("block"), "doc", "mark", "text")
-    both = told.unionByName(texts).repartition(tasks, "shard").sortWithinPartitions("shard", "kind")
+    both = told.unionByName(texts).repartition(2 * tasks, "shard").sortWithinPartitions("shard", "kind")
     return both.drop("kind").mapInArrow(stream, SLICES)
 
 

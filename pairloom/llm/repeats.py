@@ -332,7 +332,7 @@ class Gathered:
             yield self.rows(len(rows), kind=np.ones(len(rows)), doc=doc, mark=mark, at=at, nos=nos)
 
 
-def _slices(docs: DataFrame, recurring: DataFrame, tokens: Tokens, buckets: int) -> DataFrame:
+def _slices(docs: DataFrame, recurring: DataFrame, tokens: Tokens, tasks: int, buckets: int) -> DataFrame:
     """Two kinds of rows. 0: flush, bucket, slices: the distinct slices that a task has gathered for a bucket when it
     sends, each with a number and the least and greatest doc that has it. 1: flush, doc, mark, at, nos: the slices of a
     document, by number, and the windows they begin at."""
@@ -358,7 +358,7 @@ def _slices(docs: DataFrame, recurring: DataFrame, tokens: Tokens, buckets: int)
                 yield from gathered.flush()
         yield from gathered.flush()
 
-    return docs.join(recurring.hint("merge"), "key").select("doc", "text", "mark", "names").mapInArrow(cut, SLICES)
+    return docs.repartition(2 * tasks, "key").join(recurring.hint("merge"), "key").select("doc", "text", "mark", "names").mapInArrow(cut, SLICES)
 
 
 #: Verifier: distinct slices with the least and the greatest doc of each -> the least doc of each window, all slices'
@@ -454,7 +454,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def spread(docs: DataFrame) -> tuple[int, int]:
-    """How many tasks and how many buckets share the work, by the bytes that docs is read from (texts are about twice that)."""
+    """How many tasks and how many buckets share the work, by the bytes that docs is read from (texts are about twice that).
+    Steps that deal out whole texts take twice as many tasks."""
     tasks = partitions_for(2 * file_bytes(docs))
     return tasks, 4 * tasks
 
@@ -472,14 +473,15 @@ def removable(docs: DataFrame, tokens: Tokens, verify: Verifier, crowd: int = SL
     small_batches(docs.sparkSession)
     tasks, buckets = spread(docs)
     recurring = staged(_recurring(docs, tokens, tasks, buckets, crowd), "recurring")
-    slices = staged(_slices(docs.drop("doc_id"), recurring, tokens, buckets), "slices")
+    slices = staged(_slices(docs.drop("doc_id"), recurring, tokens, tasks, buckets), "slices")
     discard(recurring)
     return judged(slices, verify, tasks)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs (from keyed()) with starts and ends of the spans of each, null where there are none."""
-    return docs.join(spans.hint("merge"), ["doc", "mark"], "left").select("doc_id", "text", "starts", "ends")
+    tasks, _ = spread(docs)
+    return docs.repartition(2 * tasks, "doc", "mark").join(spans.hint("merge"), ["doc", "mark"], "left").select("doc_id", "text", "starts", "ends")
 
 
 def runs_of(starts: list[int] | None, ends: list[int] | None) -> list[tuple[int, int]]:
