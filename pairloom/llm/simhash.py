@@ -8,9 +8,13 @@ fingerprint goes to all anchors within R + t in every block, and at each anchor
 are compared, over all 64 bits, with all that came. No link is lost, whichever code is taken; the
 code is taken by the number of distinct fingerprints, so that an anchor gets few of them.
 
+The codes take 1.3 million (Golay, 23 bits), 14 million (Hamming, 15 of 21 bits) and 1.9 thousand
+million (Hamming, 31 of 32 bits, 343 anchors a fingerprint) distinct fingerprints at 5000 comparisons
+each; beyond that the comparisons of one grow with the number of all, and no link is lost.
+
 At an anchor only a star of each linked set leaves (members to its least member), never all pairs.
-Anchors that hold more than `cell` fingerprints are cut into tiles, and each pair of tiles is a
-cell of its own. Equal fingerprints are one vertex throughout.
+Anchors that hold more than `cell` fingerprints, as where very many texts are nearly alike, are cut
+into tiles, and each pair of tiles is a cell of its own. Equal fingerprints are one vertex throughout.
 
 Defined cases: null and wordless texts have fingerprint 0 and link like any other; fewer than four
 words make one shingle; rows with a null doc_id take part in linking but are never the smallest id
@@ -148,24 +152,25 @@ class Code:
         return sum(len(self.patterns(bits, self.radius + t)[0]) / len(self.patterns(bits, self.radius + t)[1]) for _, _, bits in self.blocks)
 
 
-#: Generator polynomials of the binary Golay code (23, 12) and the Hamming code (15, 11).
-GOLAY, HAMMING = (23, 0b110001110101), (15, 0b10011)
+#: Generator polynomials of the binary Golay code (23, 12) and the Hamming codes (15, 11) and (31, 26).
+GOLAY, HAMMING, LONG_HAMMING = (23, 0b110001110101), (15, 0b10011), (31, 0b100101)
 THIRDS = ((0, 22), (22, 21), (43, 21))
 #: From few anchors and few replicas to many of both.
 CODES = (
     Code("golay", tuple((low, width, 23) for low, width in THIRDS), (GOLAY,), 3, 1 << 12),
     Code("hamming", tuple((low, width, width) for low, width in THIRDS), (HAMMING,), 1, 1 << 17),
-    Code("uncoded", tuple((low, width, width) for low, width in THIRDS), (), 0, 1 << 21),
-    Code("hamming-halves", ((0, 32, 32), (32, 32, 32)), (HAMMING, HAMMING), 2, 1 << 24),
+    Code("hamming-halves", ((0, 32, 32), (32, 32, 32)), (LONG_HAMMING,), 1, 1 << 27),
 )
 
 
+def most_fingerprints(code: Code, most: int = 4, comparisons: int = 5000) -> int:
+    """How many evenly spread fingerprints a code can take so that each is compared with about `comparisons` others."""
+    return int(comparisons * code.anchors / code.replicas(most))
+
+
 def code_for(n: int, most: int = 4, comparisons: int = 5000) -> Code:
-    """The first code by which a fingerprint is compared with about `comparisons` others or fewer."""
-    for code in CODES[:-1]:
-        if n * code.replicas(most) / code.anchors <= comparisons:
-            return code
-    return CODES[-1]
+    """The first code that can take n fingerprints, or the finest."""
+    return next((c for c in CODES if n <= most_fingerprints(c, most, comparisons)), CODES[-1])
 
 
 def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:

@@ -101,6 +101,34 @@ def test_codes_cover(code):
     assert all(len(homes[k]) == len(code.blocks) for k in range(400))
 
 
+def test_codes_are_taken_by_size():
+    """A true covering code at every size, and the bounds that the docstring gives."""
+    assert all(c.radius > 0 and c.parts for c in simhash.CODES)
+    sizes = [simhash.most_fingerprints(c) for c in simhash.CODES]
+    assert [simhash.code_for(n).name for n in (0, sizes[0], sizes[0] + 1, sizes[1], sizes[1] + 1, 10**12)] == ["golay"] * 2 + ["hamming"] * 2 + ["hamming-halves"] * 2
+    assert 1.2e6 < sizes[0] < 1.4e6 and 1.3e7 < sizes[1] < 1.6e7 and 1.8e9 < sizes[2] < 2.1e9 and round(simhash.CODES[2].replicas(4)) == 343
+
+
+@pytest.mark.parametrize("code", simhash.CODES, ids=lambda c: c.name)
+def test_links_by_every_code(spark, code):
+    """Clusters with up to six differing bits, some beyond the threshold, and single ones."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 62, 60, np.int64)
+    flips = [sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 7), replace=False)) for _ in range(180)]
+    fps = sorted({int(base[k % 60]) ^ f for k, f in enumerate(flips)})
+    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), code=code)
+    got = {r.vertex: r.root for r in components(edges).collect()}
+    label = {f: f for f in fps}
+    for _ in fps:
+        for a in fps:
+            for b in fps:
+                if (a ^ b).bit_count() <= 4:
+                    label[a] = label[b] = min(label[a], label[b])
+        if all(label[a] == label[b] for a in fps for b in fps if (a ^ b).bit_count() <= 4):
+            break
+    assert {f: got.get(f, f) for f in fps} == label
+
+
 def links_by_hand(rows):
     prints = [simhash.fingerprint(t or "") for _, t in rows]
     label = list(range(len(rows)))
