@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.columns import positive_cube
+from pairloom.operators.dependence import percentiles
 
 
 def least_squares(df: DataFrame, by: list[str], y: str, xs: list[str]) -> DataFrame:
@@ -55,7 +56,7 @@ def residuals_of_one(df: DataFrame, by: list[str], y: str, x: str, name: str = "
 
 def stratum_residuals(df: DataFrame, by: list[str], y: str, x: str, strata: int = 10, name: str = "residual") -> DataFrame:
     """y less its mean in its stratum of x; strata are cut at interpolated quantiles, a cut belongs to the stratum above it."""
-    cuts = df.groupBy(*by).agg(F.percentile(x, F.array(*(F.lit(k / strata) for k in range(1, strata)))).alias("_cuts"))
+    cuts = percentiles(df, by, x, [k / strata for k in range(1, strata)], "_cuts")
     df = df.join(cuts, by).withColumn("_s", F.size(F.filter("_cuts", lambda c: F.col(x) >= c)))
     means = df.groupBy(*by, "_s").agg(F.avg(y).alias("_m"))
     return df.join(means, [*by, "_s"]).withColumn(name, F.col(y) - F.col("_m")).withColumnRenamed("_s", "stratum").drop("_cuts", "_m")
@@ -64,8 +65,7 @@ def stratum_residuals(df: DataFrame, by: list[str], y: str, x: str, strata: int
 def spline_basis(df: DataFrame, by: list[str], x: str, percents=(5, 35, 65, 95)) -> DataFrame:
     """df with b1, b2, ...: the terms of a restricted cubic spline of x besides x itself, knots at percentiles of each group."""
     k = len(percents)
-    knots = df.groupBy(*by).agg(F.percentile(x, F.array(*(F.lit(p / 100) for p in percents))).alias("_t"))
-    df = df.join(knots, by)
+    df = df.join(percentiles(df, by, x, [p / 100 for p in percents], "_t"), by)
     t = [F.element_at("_t", i + 1) for i in range(k)]
     cube = lambda i: positive_cube(F.col(x) - t[i])
     for j in range(k - 2):

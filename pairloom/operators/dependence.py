@@ -29,15 +29,42 @@ def average_ranks(df: DataFrame, by: list[str], value: str, name: str = "rank",
         w = Window.partitionBy(*by)
         tied = (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
         return df.withColumns({name: F.rank().over(w.orderBy(value)) + tied, f"{name}_n": F.count(F.lit(1)).over(w)})
+    ranks = _counted(df, by, value, buckets).select(*by, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name), F.col("_all").alias(f"{name}_n"))
+    return df.join(ranks, [*by, value])
+
+
+def _counted(df: DataFrame, by: list[str], value: str, buckets: int) -> DataFrame:
+    """by, value, _n, _below, _all: how often each value occurs in its group, how many rows are below it, and the group's size.
+
+    Groups are cut by value into buckets; only sums of buckets meet in one task.
+    """
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    span = counts.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("_n").alias(f"{name}_n"))
+    span = counts.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("_n").alias("_all"))
     place = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")) * buckets), F.lit(buckets - 1))).otherwise(0)
     counts = counts.join(span, by).withColumn("_b", place)
-    below = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_s")).select(*by, "_b", F.coalesce(F.sum("_s").over(below), F.lit(0)).alias("_off"))
-    upto = F.sum("_n").over(Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.join(offsets, [*by, "_b"]).select(*by, value, (F.col("_off") + upto - (F.col("_n") - 1) / 2).alias(name), f"{name}_n")
-    return df.join(ranks, [*by, value])
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_s")).select(*by, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.join(offsets, [*by, "_b"]).select(*by, value, "_n", (F.col("_off") + inside).alias("_below"), "_all")
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], name: str = "cuts", buckets: int = 64) -> DataFrame:
+    """by, name: the interpolated percentiles of value at the shares, in order. No group's values meet in one task."""
+    counts = _counted(df.where(F.col(value).isNotNull()), by, value, buckets)
+    asked = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p")) for k, p in enumerate(shares))))
+    rows = counts.withColumn("_q", asked).withColumn("_at", (F.col("_all") - 1) * F.col("_q.p"))
+    low, high = F.floor("_at"), F.ceil("_at")
+    holds = lambda place: (place >= F.col("_below")) & (place < F.col("_below") + F.col("_n"))
+    rows = rows.where(holds(low) | holds(high))
+    found = rows.groupBy(*by, "_q.k").agg(F.max(F.when(holds(low), F.col(value))).alias("_a"), F.max(F.when(holds(high), F.col(value))).alias("_c"), F.first(F.col("_at") - low).alias("_f"))
+    cut = F.col("_a") + (F.col("_c") - F.col("_a")) * F.col("_f")
+    return found.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", cut.alias("v")))), lambda x: x["v"]).alias(name))
+
+
+def numbered(df: DataFrame, key: str, name: str, buckets: int = 64) -> DataFrame:
+    """df with its place from 0 in the order of a number that no two rows share."""
+    one = df.withColumn("_g", F.lit(0))
+    return one.join(_counted(one, ["_g"], key, buckets).select(key, F.col("_below").alias(name)), key).drop("_g")
 
 
 def copula(df: DataFrame, by: list[str], value: str = "value", buckets: int | None = None) -> DataFrame:

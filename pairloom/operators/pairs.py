@@ -224,8 +224,10 @@ def item_blocks(edges: DataFrame, key: str = "key") -> DataFrame:
     return edges.withColumns({"key_a": low, "key_b": high}).where("key_a <> key_b")
 
 
-def scored_pairs(items_a: DataFrame, items_b: DataFrame, edges: DataFrame) -> DataFrame:
-    """All pairs of two named, small sets with their scores, null where there is none."""
+def scored_pairs(items_a: DataFrame, items_b: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """All pairs of two named sets, of at most so many items each, with their scores, null where there is none."""
+    if max(items_a.count(), items_b.count()) > most:
+        raise ValueError(f"more than {most} items on one side; score them with rectangle()")
     pairs = items_a.select(F.col("idx").alias("a")).join(items_b.select(F.col("idx").alias("b")), F.lit(True))
     pairs = pairs.select(*(c.alias(n) for c, n in zip(unordered("a", "b"), ("i", "j"))))
     return pairs.join(edges, ["i", "j"], "left")

@@ -91,7 +91,7 @@ def s_of(df: DataFrame, blind: bool = True, seed: str = "blind", value: str = "v
 
 def draws(people: DataFrame, n: int, seed: str) -> DataFrame:
     """iter, draw, person: as many draws with replacement in each iteration as there are people."""
-    numbered = people.select("person", (F.row_number().over(Window.orderBy("person")) - 1).alias("k"))
+    numbered = dependence.numbered(people.select("person"), "person", "k")
     size = people.count()
     picks = iterations(numbered.select(F.col("k").alias("draw")), n)
     picks = picks.withColumn("k", hash_number(F.lit(seed), "iter", "draw") % F.lit(max(1, size)))
@@ -146,8 +146,7 @@ def reading(half: float = 0.5) -> Column:
 def relabelled(pairs: DataFrame, edges: DataFrame, items: DataFrame, n: int, seed: str, score: str) -> DataFrame:
     """iter, total of score over the pairs (i, j) after the items are relabelled at random."""
     order = Window.partitionBy("iter").orderBy(hash_order(F.lit(seed), "iter", "idx"), "idx")
-    place = F.row_number().over(Window.orderBy("idx"))
-    named = items.select("idx", place.alias("place"))
+    named = dependence.numbered(items.select("idx"), "idx", "place").withColumn("place", F.col("place") + 1)
     dealt = iterations(named, n).withColumn("to", F.row_number().over(order))
     mapping = dealt.join(named.select(F.col("place").alias("to"), F.col("idx").alias("new")), "to").select("iter", "idx", "new")
     moved = pairs.join(mapping.select("iter", F.col("idx").alias("i"), F.col("new").alias("a")), "i").join(mapping.select("iter", F.col("idx").alias("j"), F.col("new").alias("b")), ["iter", "j"])

@@ -164,14 +164,16 @@ def growth_of_maximum(edges: DataFrame, people: DataFrame, sizes: list[int], rep
 
     order(rep, person): the random key. A size that takes everybody has one sample.
     """
-    everybody = people.count()
-    asked = [(k, r) for k in sizes if k < everybody for r in range(repeats)] + [(everybody, 0)]
-    spark = edges.sparkSession
-    samples = spark.createDataFrame(asked, "k int, rep int")
-    places = people.join(F.broadcast(spark.createDataFrame([(r,) for r in range(repeats)], "rep int")), F.lit(True))
-    places = places.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(order(F.col("rep"), F.col("person")), "person")))
-    chosen = places.join(F.broadcast(samples), "rep").where("place <= k").select("k", "rep", "person")
+    everybody, spark = people.count(), edges.sparkSession
     # Only the best pair of two people can be the greatest.
     best = edges.where("person_i <> person_j").groupBy(F.least("person_i", "person_j").alias("a"), F.greatest("person_i", "person_j").alias("b")).agg(F.max(score).alias(score))
-    tops = best.join(chosen.withColumnRenamed("person", "a"), "a").join(chosen.withColumnRenamed("person", "b"), ["k", "rep", "b"]).groupBy("k", "rep").agg(F.max(score).alias("top"))
+    tops = best.agg(F.lit(everybody).cast("int").alias("k"), F.lit(0).alias("rep"), F.max(score).alias("top"))
+    smaller = [k for k in sizes if k < everybody]
+    if smaller:
+        # A sample's people are the first by a random order; Spark limits them in each task before they meet.
+        dealt = people.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+        dealt = dealt.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(order(F.col("rep"), F.col("person")), "person"))).where(F.col("place") <= max(smaller))
+        chosen = dealt.join(F.broadcast(spark.createDataFrame([(k,) for k in smaller], "k int")), F.col("place") <= F.col("k")).select("k", "rep", "person")
+        both = best.join(chosen.withColumnRenamed("person", "a"), "a").join(chosen.withColumnRenamed("person", "b"), ["k", "rep", "b"])
+        tops = tops.unionByName(both.groupBy("k", "rep").agg(F.max(score).alias("top")))
     return tops.groupBy("k").agg(F.count(F.lit(1)).alias("reps"), F.avg("top").alias("mean_top"), F.stddev_pop("top").alias("std_top"))

@@ -10,6 +10,8 @@ from pairloom.functions.normal import normal_quantile_sql
 from pairloom.operators import adjust, dependence, resample
 from pairloom.plans.catalog import query
 from pairloom.sources.analogues import observations, read
+from pairloom.sources.files import cached
+from pairloom.sources.scratch import scratch
 
 OBS = """obs AS (SELECT l_suppkey AS person, l_returnflag || l_linestatus AS capture, CAST(day(l_shipdate) % 2 * 5 + month(l_shipdate) % 5 AS INTEGER) AS position,
     sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / count(*) / 100 AS value, sum(CAST(round(l_quantity * 100) AS BIGINT)) / count(*) / 100 AS quality,
@@ -206,7 +208,8 @@ def spline_basis(spark, sf_dir):
 def spline_residual_versions(spark, sf_dir):
     """S of the raw values, of linear, spline, stratum, and spline with contrast residuals, by capture; null where a position's residuals are all equal."""
     by = ["capture", "position"]
-    df = adjust.spline_basis(whole(spark, sf_dir), by, "quality")
+    # Five fits read it, so it is written once.
+    df = cached(spark, scratch(spark), lambda: adjust.spline_basis(whole(spark, sf_dir), by, "quality"))
     versions = {"linear": ["quality"], "spline": ["quality", "b1", "b2"], "spline_contrast": ["quality", "b1", "b2", "contrast"]}
     out = df.select(F.lit("raw").alias("version"), "capture", "person", "position", "value")
     for name, xs in versions.items():
