@@ -64,6 +64,15 @@ def ranked(edges: DataFrame, score: str, name: str, most: int) -> DataFrame:
     return best.withColumn(name, F.row_number().over(Window.orderBy(F.col(score).desc(), "i", "j")) - 1)
 
 
+def places(rows: DataFrame, score: str, ties: list[str], name: str) -> DataFrame:
+    """rows with their place from 1, best first, ties in the given order. Only the different scores meet in one task."""
+    hist = rows.groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
+    better = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.join(hist.select(score, F.coalesce(better, F.lit(0)).alias("_better")), score)
+    own = F.row_number().over(Window.partitionBy(score).orderBy(*ties))
+    return rows.withColumn(name, F.col("_better") + own).drop("_better")
+
+
 def overlap(a: DataFrame, b: DataFrame, rank_a: str, rank_b: str, sizes) -> DataFrame:
     """(k, common): how many of the k best pairs are the same, for ranked tables."""
     both = a.select("i", "j", rank_a).join(b.select("i", "j", rank_b), ["i", "j"])

@@ -10,6 +10,8 @@ from pairloom.operators import pairs, tails
 from pairloom.operators.scorers import closeness, one_sided, similarity
 from pairloom.plans.catalog import query
 from pairloom.sources.analogues import impressions, read
+from pairloom.sources.files import cached
+from pairloom.sources.scratch import scratch
 
 IDX = """idx AS (
     SELECT vec_id AS idx, CAST(label AS BIGINT) AS finger_id, vec_id % 4 AS source, (vec_id % 4) || '/' || label AS key,
@@ -209,8 +211,9 @@ def spearman_finger_level(spark, sf_dir):
 @query(f"""WITH {FINGERS}, r AS (SELECT key_a, key_b, row_number() OVER (ORDER BY median_a DESC, key_a, key_b) + row_number() OVER (ORDER BY median_b DESC, key_a, key_b) AS rank_sum FROM f)
     SELECT key_a, key_b, rank_sum FROM r ORDER BY rank_sum, key_a, key_b LIMIT 10""")
 def finger_pair_rank_sum(spark, sf_dir):
-    by = lambda c: F.row_number().over(Window.orderBy(F.col(c).desc(), "key_a", "key_b"))
-    return _finger_blocks(spark, sf_dir).select("key_a", "key_b", (by("median_a") + by("median_b")).cast("long").alias("rank_sum")).orderBy("rank_sum", "key_a", "key_b").limit(10)
+    blocks = cached(spark, scratch(spark), lambda: _finger_blocks(spark, sf_dir).select("key_a", "key_b", "median_a", "median_b"))
+    ranked = tails.places(tails.places(blocks, "median_a", ["key_a", "key_b"], "ra"), "median_b", ["key_a", "key_b"], "rb")
+    return ranked.select("key_a", "key_b", (F.col("ra") + F.col("rb")).alias("rank_sum")).orderBy("rank_sum", "key_a", "key_b").limit(10)
 
 
 @query(f"""WITH {BOTH}, c AS (SELECT least(key_i, key_j) AS key_a, greatest(key_i, key_j) AS key_b, i, j, similarity * 54 + closeness * 59 AS both_scores FROM e WHERE key_i <> key_j)
