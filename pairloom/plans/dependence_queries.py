@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -204,7 +206,33 @@ def spline_basis(spark, sf_dir):
     return adjust.spline_basis(whole(spark, sf_dir), BY, "quality").select(*KEY, F.round("b1", 6).alias("b1"), F.round("b2", 6).alias("b2"))
 
 
-@query()
+def fit_sql(rows: str, name: str, xs: list[str], y: str = "value", by: str = "capture, position") -> str:
+    """Tables of SQL: res_name (by, person, value), what y is above its least-squares fit on xs. Gauss and Jordan on the covariances."""
+    k, every = len(xs), [*xs, y]
+    cells = " UNION ALL ".join(f"SELECT {by}, {i} AS i, {j} AS j, covar_pop({every[i]}, {every[j]}) AS v FROM {rows} GROUP BY ALL" for i in range(k) for j in range(k + 1))
+    out = [f"m0_{name} AS MATERIALIZED ({cells})"]
+    for c in range(k):
+        m = f"m{c}_{name}"
+        out.append(f"p{c}_{name} AS MATERIALIZED (SELECT {by}, g.j, g.v / p.v AS v FROM {m} g JOIN (SELECT {by}, v FROM {m} WHERE i = {c} AND j = {c}) p USING ({by}) WHERE g.i = {c})")
+        out.append(f"m{c + 1}_{name} AS MATERIALIZED (SELECT {by}, g.i, g.j, CASE WHEN g.i = {c} THEN r.v ELSE g.v - f.v * r.v END AS v FROM {m} g JOIN p{c}_{name} r USING ({by}, j) JOIN (SELECT {by}, i, v FROM {m} WHERE j = {c}) f USING ({by}, i))")
+    slopes = ", ".join(f"max(v) FILTER (i = {i}) AS s{i}" for i in range(k))
+    means = ", ".join(f"avg({c}) AS a{i}" for i, c in enumerate(every))
+    fitted = " - ".join([f"{y} - a{k}", *(f"s{i} * ({c} - a{i})" for i, c in enumerate(xs))])
+    out.append(f"res_{name} AS (SELECT {by}, person, {fitted} AS value FROM {rows} JOIN (SELECT {by}, {slopes} FROM m{k}_{name} WHERE j = {k} GROUP BY ALL) USING ({by}) JOIN (SELECT {by}, {means} FROM {rows} GROUP BY ALL) USING ({by}))")
+    return ", ".join(out)
+
+
+BASIS = "basis AS MATERIALIZED (SELECT capture, person, position, value, quality, contrast, {}, {} FROM whole JOIN (SELECT capture, position, quantile_cont(quality, [0.05, 0.35, 0.65, 0.95]) AS t FROM whole GROUP BY 1, 2) USING (capture, position))".format(*(re.sub(r"^round\((.*), 6\) AS", r"\1 AS", _term(j)) for j in (1, 2)))
+FITS = {"linear": ["quality"], "spline": ["quality", "b1", "b2"], "spline_contrast": ["quality", "b1", "b2", "contrast"]}
+VERSIONS = f"""{OBS}, {BASIS}, {', '.join(fit_sql('basis', n, xs) for n, xs in FITS.items())},
+    cuts AS (SELECT capture, position, quantile_cont(quality, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM whole GROUP BY 1, 2),
+    strata AS (SELECT capture, position, person, value, len(list_filter(cuts, lambda x: quality >= x)) AS stratum FROM whole JOIN cuts USING (capture, position)),
+    v AS MATERIALIZED (SELECT 'raw' AS version, capture, position, person, value FROM whole {' '.join(f"UNION ALL SELECT '{n}', capture, position, person, value FROM res_{n}" for n in FITS)}
+        UNION ALL SELECT 'strata', capture, position, person, value - avg(value) OVER (PARTITION BY capture, position, stratum) FROM strata),
+    vary AS (SELECT version, capture, bool_and(varies) AS varies FROM (SELECT version, capture, position, min(value) < max(value) AS varies FROM v GROUP BY 1, 2, 3) GROUP BY 1, 2), zv AS {z_sql('v', 'version, capture, position')}"""
+
+
+@query(f"WITH {VERSIONS} SELECT version, capture, CASE WHEN varies THEN round(homologous - cross_, 6) END AS s FROM vary JOIN {means_sql('zv', ['version', 'capture'])} USING (version, capture)")
 def spline_residual_versions(spark, sf_dir):
     """S of the raw values, of linear, spline, stratum, and spline with contrast residuals, by capture; null where a position's residuals are all equal."""
     by = ["capture", "position"]

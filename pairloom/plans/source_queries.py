@@ -525,21 +525,26 @@ def pairs_within(spark, sf_dir):
     return pairs.within(edges(spark, sf_dir, [similarity], ("person",)), people, "person").agg(F.count(F.lit(1)).alias("n"), F.sum("similarity").alias("total"))
 
 
-@query(f"""WITH {ONE}, s AS (SELECT similarity, person_i = person_j AS same FROM e), h AS (SELECT similarity, count(*) AS n, count_if(same) AS n1 FROM s GROUP BY 1),
+RANK_SUM = f"""{ONE}, s AS (SELECT similarity, person_i = person_j AS same FROM e), h AS (SELECT similarity, count(*) AS n, count_if(same) AS n1 FROM s GROUP BY 1),
     r AS (SELECT *, sum(n) OVER (ORDER BY similarity) - (n - 1) / 2 AS r FROM h), t AS (SELECT sum(n1) AS n1, sum(n) - sum(n1) AS n2, sum(n1 * r) AS r1, sum(CAST(n AS DOUBLE) * n * n - n) AS ties FROM r),
-    u AS (SELECT n1, n2, r1 - n1 * (n1 + 1) / 2 AS u, sqrt(CAST(n1 AS DOUBLE) * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM t)
-    SELECT round(u, 3) AS u, round((u - n1 * n2 / 2 - 0.5) / sd, 6) AS z_greater, round((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd, 6) AS z_two FROM u""")
+    u AS (SELECT n1, n2, r1 - n1 * (n1 + 1) / 2 AS u, sqrt(CAST(n1 AS DOUBLE) * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM t),
+    z AS (SELECT u, (u - n1 * n2 / 2 - 0.5) / sd AS z_greater, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd AS z_two FROM u)"""
+#: The upper normal tail by Simpson's rule.
+TAIL = "(0.5 - list_sum(list_transform(range(2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-power({0} * k / 2000, 2) / 2))) * {0} / 6000 / sqrt(2 * pi()))"
+
+
+@query(f"WITH {RANK_SUM} SELECT round(u, 3) AS u, round(z_greater, 6) AS z_greater, round(z_two, 6) AS z_two FROM z")
 def mann_whitney_test(spark, sf_dir):
     hist = counted(spark, sf_dir, classes=pairs.SAME_PERSON).withColumnRenamed("similarity", "score")
     t = tails.mann_whitney_z(hist, F.col("pair_class") == "same")
     return t.select(F.round("u", 3).alias("u"), F.round("z_greater", 6).alias("z_greater"), F.round("z_two", 6).alias("z_two"))
 
 
-@query()
+@query(f"WITH {RANK_SUM} SELECT round(u, 3) AS u, round({TAIL.format('z_greater')}, 6) AS p_greater, round(least(1, 2 * {TAIL.format('z_two')}), 6) AS p_two FROM z")
 def mann_whitney_p_value(spark, sf_dir):
-    """The p-values of mann_whitney_test: the normal tail has no SQL here; a test holds it against sums."""
     hist = counted(spark, sf_dir, classes=pairs.SAME_PERSON).withColumnRenamed("similarity", "score")
-    return tails.mann_whitney_p(hist, F.col("pair_class") == "same")
+    p = tails.mann_whitney_p(hist, F.col("pair_class") == "same")
+    return p.select(F.round("u", 3).alias("u"), F.round("p_greater", 6).alias("p_greater"), F.round("p_two", 6).alias("p_two"))
 
 
 @query(f"""WITH {OBS}, z AS {z_sql('whole', 'capture, position')}, o AS (SELECT capture, homologous - cross_ AS s FROM {means_sql('z', ['capture'])}),
@@ -568,9 +573,25 @@ def five_tests(spark, sf_dir):
     return resample.bonferroni(p, 5).select("capture", "test", F.round("observed", 9).alias("observed"), "n", F.round("p", 9).alias("p"), "at_one_percent", "of_all")
 
 
-@query()
+MASS = "exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({0}) + (n - i) * ln(1 - {0}))"
+
+
+def _bisected(name: str, above: str) -> str:
+    """A recursive table: the share at which a binomial tail is 0.025; above: whether the middle lies below it."""
+    middle = "((low + high) / 2)"
+    return f"""{name} AS (SELECT quality, k, n, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, 0 AS step FROM c
+        UNION ALL SELECT quality, k, n, CASE WHEN {above.format(middle)} THEN {middle} ELSE low END, CASE WHEN {above.format(middle)} THEN high ELSE {middle} END, step + 1 FROM {name} WHERE step < 45)"""
+
+
+def _tail_sum(first: str, last: str) -> str:
+    return f"list_sum(list_transform(range({first}, {last}), lambda i: {MASS}))"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT quality, CAST(count_if(toxic = 1) AS BIGINT) AS k, count(toxic) AS n FROM labels GROUP BY 1),
+    {_bisected('a', f"coalesce({_tail_sum('k', 'n + 1')}, 0) < 0.025")}, {_bisected('b', f"coalesce({_tail_sum('0::BIGINT', 'k + 1')}, 0) > 0.025")}
+    SELECT a.quality, a.k, a.n, round(CASE WHEN a.k = 0 THEN 0 ELSE (a.low + a.high) / 2 END, 6) AS low, round(CASE WHEN a.k = a.n THEN 1 ELSE (b.low + b.high) / 2 END, 6) AS high FROM a JOIN b ON a.quality IS NOT DISTINCT FROM b.quality AND a.step = 45 AND b.step = 45""")
 def exact_share_interval(spark, sf_dir):
     """The share of toxic labels by quality with its exact interval; the bounds come from the driver, one group at a time."""
     counts = read(spark, sf_dir, "labels").groupBy("quality").agg(F.sum("toxic").alias("k"), F.count("toxic").alias("n"))
-    rows = [(r.quality, r.k or 0, r.n, *clopper_pearson(r.k or 0, r.n)) for r in counts.collect()]
+    rows = [(r.quality, r.k or 0, r.n, *(round(x, 6) for x in clopper_pearson(r.k or 0, r.n))) for r in counts.collect()]
     return spark.createDataFrame(rows, "quality int, k long, n long, low double, high double")
