@@ -71,12 +71,32 @@ def singular_points(spark, sf_dir):
     return fields.singular_points(blocks(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+FAR = "sqrt(power({0}, 2) + power({1}, 2)) <= 2.5"
+#: Clusters and dipoles go point by point, so each is a recursion with a list as its state.
+CLASSES = f"""WITH RECURSIVE {SMOOTH}, enough AS (SELECT image, count_if(dir >= 0) >= 10 AS enough FROM b GROUP BY 1),
+    kinds AS (SELECT image, r + 0.5 AS r, c + 0.5 AS c, CASE WHEN abs(turns - 0.5) < 0.2 THEN 'core' WHEN abs(turns + 0.5) < 0.2 THEN 'delta' END AS kind FROM (SELECT image, r, c, {TURNS} AS turns FROM q)),
+    points AS (SELECT image, kind, CAST(r AS DOUBLE) AS r, CAST(c AS DOUBLE) AS c, row_number() OVER (PARTITION BY image, kind ORDER BY r, c) AS seq FROM kinds WHERE kind IS NOT NULL AND image IN (SELECT image FROM enough WHERE enough)),
+    grown AS (SELECT DISTINCT image, kind, CAST(0 AS BIGINT) AS step, CAST([] AS STRUCT(sr DOUBLE, sc DOUBLE, n BIGINT)[]) AS cl FROM points
+        UNION ALL SELECT image, kind, step, CASE WHEN coalesce(near, 0) = 0 THEN list_append(cl, {{'sr': r, 'sc': c, 'n': CAST(1 AS BIGINT)}})
+            ELSE list_transform(cl, lambda x, i: CASE WHEN i = near THEN {{'sr': x.sr + r, 'sc': x.sc + c, 'n': x.n + 1}} ELSE x END) END
+        FROM (SELECT g.image, g.kind, p.seq AS step, g.cl, p.r, p.c, list_position(list_transform(g.cl, lambda x: {FAR.format('p.r - x.sr / x.n', 'p.c - x.sc / x.n')}), true) AS near
+            FROM grown g JOIN points p ON p.image = g.image AND p.kind = g.kind AND p.seq = g.step + 1)),
+    centres AS (SELECT image, kind, list_transform(cl, lambda x: {{'r': x.sr / x.n, 'c': x.sc / x.n}}) AS m FROM grown QUALIFY step = max(step) OVER (PARTITION BY image, kind)),
+    sides AS (SELECT image, coalesce(max(m) FILTER (kind = 'core'), []) AS cores, coalesce(max(m) FILTER (kind = 'delta'), []) AS deltas FROM centres GROUP BY 1),
+    dipoles AS (SELECT image, cores, deltas AS left_, CAST([] AS STRUCT(r DOUBLE, c DOUBLE)[]) AS kept, CAST(0 AS BIGINT) AS step FROM sides
+        UNION ALL SELECT image, cores, CASE WHEN coalesce(near, 0) = 0 THEN left_ ELSE list_concat(left_[1 : near - 1], left_[near + 1 : len(left_)]) END, CASE WHEN coalesce(near, 0) = 0 THEN list_append(kept, core) ELSE kept END, step
+        FROM (SELECT image, cores, left_, kept, step + 1 AS step, cores[step + 1] AS core, list_position(list_transform(left_, lambda x: {FAR.format('cores[step + 1].r - x.r', 'cores[step + 1].c - x.c')}), true) AS near FROM dipoles WHERE step < len(cores))),
+    ends AS (SELECT image, kept, left_, len(kept) AS nc, len(left_) AS nd FROM dipoles WHERE step = len(cores)),
+    classes AS (SELECT e.image, CASE WHEN NOT enough THEN 'undetermined' WHEN nc >= 2 OR nc = 1 AND nd >= 2 THEN 'whorl' WHEN nc = 1 AND nd = 1 THEN CASE WHEN left_[1].c < kept[1].c THEN 'left_loop' ELSE 'right_loop' END
+        WHEN coalesce(nc, 0) = 0 AND coalesce(nd, 0) = 0 THEN 'arch' ELSE 'undetermined' END AS pattern, CAST(coalesce(nc, 0) AS INTEGER) AS cores, CAST(coalesce(nd, 0) AS INTEGER) AS deltas FROM enough e LEFT JOIN ends USING (image))"""
+
+
+@query(f"{CLASSES} SELECT image, pattern, cores, deltas FROM classes")
 def singular_class(spark, sf_dir):
     return fields.classes(blocks(spark, sf_dir))
 
 
-@query()
+@query(f"{CLASSES} SELECT pattern, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM classes GROUP BY 1")
 def singular_class_frequency(spark, sf_dir):
     found = fields.classes(blocks(spark, sf_dir)).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     return found.select("pattern", "n", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6).alias("percent"))
