@@ -358,7 +358,7 @@ def _slices(docs: DataFrame, recurring: DataFrame, tokens: Tokens, tasks: int, b
                 yield from gathered.flush()
         yield from gathered.flush()
 
-    return docs.repartition(2 * tasks, "key").join(recurring.hint("merge"), "key").select("doc", "text", "mark", "names").mapInArrow(cut, SLICES)
+    return docs.repartition(tasks, "key").join(recurring.hint("merge"), "key").select("doc", "text", "mark", "names").mapInArrow(cut, SLICES)
 
 
 #: Verifier: distinct slices with the least and the greatest doc of each -> the least doc of each window, all slices'
@@ -454,8 +454,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def spread(docs: DataFrame) -> tuple[int, int]:
-    """How many tasks and how many buckets share the work, by the bytes that docs is read from (texts are about twice that).
-    Steps that deal out whole texts take twice as many tasks."""
+    """How many tasks and how many buckets share the work, by the bytes that docs is read from (texts are about twice that)."""
     tasks = partitions_for(2 * file_bytes(docs))
     return tasks, 4 * tasks
 
@@ -481,7 +480,7 @@ def removable(docs: DataFrame, tokens: Tokens, verify: Verifier, crowd: int = SL
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs (from keyed()) with starts and ends of the spans of each, null where there are none."""
     tasks, _ = spread(docs)
-    return docs.repartition(2 * tasks, "doc", "mark").join(spans.hint("merge"), ["doc", "mark"], "left").select("doc_id", "text", "starts", "ends")
+    return docs.repartition(tasks, "doc", "mark").join(spans.hint("merge"), ["doc", "mark"], "left").select("doc_id", "text", "starts", "ends")
 
 
 def runs_of(starts: list[int] | None, ends: list[int] | None) -> list[tuple[int, int]]:
