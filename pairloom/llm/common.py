@@ -17,8 +17,8 @@ from pyspark.sql.types import StructType
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of one Arrow batch. Texts can be long, and a batch is held in memory whole.
-BATCH_ROWS = 500
-BATCH_BYTES = 8 << 20
+BATCH_ROWS = 250
+BATCH_BYTES = 4 << 20
 
 #: What a task of a shuffle is to read, about.
 PARTITION_BYTES = 16 << 20
