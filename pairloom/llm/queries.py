@@ -11,7 +11,9 @@ from pairloom.llm import quality, toxicity
 from pairloom.llm.common import held_out, table
 from pairloom.llm.exact_dedup import exact_groups
 from pairloom.llm.gif import media, media_digests
+from pairloom.llm.html_text import extract
 from pairloom.llm.mixing import mixed_sizes
+from pairloom.llm.negatives import hard_negatives
 from pairloom.llm.packing import pack
 from pairloom.llm.phrases import phrase_dedup
 from pairloom.llm.simhash import near_duplicates
@@ -63,6 +65,15 @@ def op10_phrase_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 50 == 0, positives=5, negatives=3)
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -74,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_phrase_automata_dedup": op10_phrase_automata_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_html_extraction": op12_html_extraction,
 }
 
 SQL: dict[str, str] = {
@@ -108,4 +121,20 @@ SQL: dict[str, str] = {
                sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
         FROM d LEFT JOIN g ON g.doc_id = d.doc_id
     """,
+    "op11_hard_negatives": """
+        WITH e AS (
+            SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s
+            FROM e AS a JOIN e AS b ON a.id % 50 = 0 AND a.id <> b.id
+        ),
+        p AS (SELECT a, b AS positive_id, s AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+        SELECT p.a AS anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.b AS negative_id, positive_score, s.s AS negative_score
+        FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * positive_score <= 100 * s.s AND 100 * s.s <= 95 * positive_score
+        WINDOW w AS (PARTITION BY p.a, positive_id ORDER BY s.s DESC, s.b)
+        QUALIFY row_number() OVER w <= 3
+    """,
 }
