@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def gaussian_mi(rho: Column, limit: float = 1 - 1e-8) -> Column:
-    """Mutual information in nats of two normal variables with this correlation."""
+    """Mutual information in nats of two normal variables with this correlation; null where there is none."""
     r = F.least(F.lit(limit), F.greatest(F.lit(-limit), rho))
-    return -0.5 * F.ln(1 - r * r)
+    return F.when(rho.isNotNull(), -0.5 * F.ln(1 - r * r))
 
 
 def axial_wrap(d: Column) -> Column:

@@ -81,8 +81,9 @@ def position_pairs(df: DataFrame, by: list[str], value: str = "z") -> DataFrame:
 
 
 def correlations(df: DataFrame, by: list[str], value: str = "z") -> DataFrame:
-    """by, pa, pb, n, rho."""
-    return position_pairs(df, by, value).groupBy(*by, "pa", "pb").agg(F.count(F.lit(1)).alias("n"), F.corr("za", "zb").alias("rho"))
+    """by, pa, pb, n, rho; null where all values of a position are equal."""
+    rho = F.try_divide(F.covar_pop("za", "zb"), F.stddev_pop("za") * F.stddev_pop("zb"))
+    return position_pairs(df, by, value).groupBy(*by, "pa", "pb").agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
 
 
 def information(rhos: DataFrame) -> DataFrame:

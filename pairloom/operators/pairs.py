@@ -106,9 +106,18 @@ def _classes(tile: dict, classes: PairClass) -> np.ndarray:
     return classes.block(a, b)
 
 
-def class_histogram(index: DataFrame, scorers: list[Scorer], classes: PairClass, features: str = "q", tile_rows: int = TILE_ROWS) -> DataFrame:
-    """pair_class, a column for each scorer, n: how many unordered pairs have these scores. Tiles count their own pairs."""
-    blocks = _blocks(index, features, tile_rows, classes.attributes)
+def _tiles(index: DataFrame, against: DataFrame | None, features: str, tile_rows: int, attributes: tuple[str, ...]) -> DataFrame:
+    """Tiles of all unordered pairs of an index, or of all its pairs with the items of another one."""
+    blocks = _blocks(index, features, tile_rows, attributes)
+    return _meet(blocks, blocks, True) if against is None else _meet(blocks, _blocks(against, features, tile_rows, attributes), False)
+
+
+def class_histogram(index: DataFrame, scorers: list[Scorer], classes: PairClass, features: str = "q", tile_rows: int = TILE_ROWS, against: DataFrame | None = None) -> DataFrame:
+    """pair_class, a column for each scorer, n: how many unordered pairs have these scores. Tiles count their own pairs.
+
+    against: other items, each of which makes a pair with each item of the index; the index then makes none within itself.
+    """
+    tiles = _tiles(index, against, features, tile_rows, classes.attributes)
     names = [s.name for s in scorers]
 
     def work(tile, ids, ids2, keep, scores) -> pa.RecordBatch:
@@ -123,15 +132,15 @@ def class_histogram(index: DataFrame, scorers: list[Scorer], classes: PairClass,
         return pa.RecordBatch.from_arrays([pa.array(np.array(classes.names)[found[:, 0]], pa.string()), *(pa.array(c) for c in found[:, 1:].T), pa.array(counts)], ["pair_class", *names, "n"])
 
     schema = "pair_class string, " + ", ".join(f"`{n}` long" for n in names) + ", n long"
-    return _per_tile(_meet(blocks, blocks, True), scorers, True, work, schema).groupBy("pair_class", *names).agg(F.sum("n").alias("n"))
+    return _per_tile(tiles, scorers, against is None, work, schema).groupBy("pair_class", *names).agg(F.sum("n").alias("n"))
 
 
-def best_pairs(index: DataFrame, scorers: list[Scorer], k: int, classes: PairClass, wanted: str, features: str = "q", tile_rows: int = TILE_ROWS) -> DataFrame:
+def best_pairs(index: DataFrame, scorers: list[Scorer], k: int, classes: PairClass, wanted: str, features: str = "q", tile_rows: int = TILE_ROWS, against: DataFrame | None = None) -> DataFrame:
     """i, j and all scores of the pairs of the wanted class that are among the k best of their tile by any of the scorers.
 
-    The k best of all by any scorer are among them; ties go to the lesser i, then j.
+    The k best of all by any scorer are among them; ties go to the lesser i, then j. against: as in class_histogram; i is of the index.
     """
-    blocks = _blocks(index, features, tile_rows, classes.attributes)
+    tiles = _tiles(index, against, features, tile_rows, classes.attributes)
     names, code = [s.name for s in scorers], classes.names.index(wanted)
 
     def work(tile, ids, ids2, keep, scores) -> pa.RecordBatch:
@@ -140,7 +149,7 @@ def best_pairs(index: DataFrame, scorers: list[Scorer], k: int, classes: PairCla
         at = np.unique(np.concatenate([_best(s, ids[i], ids2[j], k) for s in own]))
         return pa.RecordBatch.from_arrays([pa.array(ids[i[at]]), pa.array(ids2[j[at]]), *(pa.array(s[at]) for s in own)], ["i", "j", *names])
 
-    return _per_tile(_meet(blocks, blocks, True), scorers, True, work, "i long, j long, " + ", ".join(f"`{n}` long" for n in names))
+    return _per_tile(tiles, scorers, against is None, work, "i long, j long, " + ", ".join(f"`{n}` long" for n in names))
 
 
 def _best(score: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> np.ndarray:

@@ -20,7 +20,11 @@ def quantised(values) -> "F.Column":
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """idx, finger_id, source, key, person, hand, finger, q."""
-    df = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.col("label").cast("long").alias("finger_id"), (F.col("vec_id") % 4).alias("source"), quantised(F.col("embedding")).alias("q"))
+    return as_impressions(read(spark, sf_dir, "embeddings"))
+
+
+def as_impressions(embeddings: DataFrame) -> DataFrame:
+    df = embeddings.select(F.col("vec_id").alias("idx"), F.col("label").cast("long").alias("finger_id"), (F.col("vec_id") % 4).alias("source"), quantised(F.col("embedding")).alias("q"))
     place = F.col("idx") % 10
     return df.withColumns({"key": F.concat_ws("/", "source", "finger_id"), "person": F.floor(F.col("idx") / 10), "hand": F.floor(place / 5), "finger": place % 5})
 

@@ -9,14 +9,19 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that goes when the driver's JVM ends: below spark.checkpoint.dir, or where a local session names none, a folder of its own."""
+def lasting(spark: SparkSession) -> str:
+    """A new folder that stays: below spark.checkpoint.dir, or where a local session names none, a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="pairloom-")
-    path = f"{root.rstrip('/')}/pairloom/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/pairloom/{uuid.uuid4().hex}"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that goes when the driver's JVM ends."""
+    path = lasting(spark)
     file_system, where = _open(spark, path)
     file_system.deleteOnExit(where)
     return path

@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+import jobs.queries  # noqa: F401
 from pairloom.plans import catalog
 
 #: Determinants of 10 x 10 matrices need more people than the smallest tables have.

@@ -24,7 +24,7 @@ def test_every_sql_has_a_query():
 
 def test_without_the_subpackage(tmp_path):
     """The entry point imports and offers all other queries where the subpackage and its pipeline are deleted."""
-    for name in ("pairloom", "__spark_entry__.py"):
+    for name in ("pairloom", "jobs", "__spark_entry__.py"):
         source = os.path.join(ROOT, name)
         (shutil.copytree if os.path.isdir(source) else shutil.copy)(source, tmp_path / name)
     shutil.rmtree(tmp_path / "pairloom" / "llm", ignore_errors=True)
@@ -45,13 +45,15 @@ def test_where_a_module_is_missing(tmp_path):
     (tmp_path / "pairloom" / "llm").mkdir()
     (tmp_path / "pairloom" / "llm" / "queries.py").write_text("import xxhash")
     shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
+    shutil.copytree(os.path.join(ROOT, "jobs"), tmp_path / "jobs")
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert said.returncode == 0, said.stderr
     assert int(said.stdout) == len(catalog.QUERIES)
 
 
 def test_nothing_else_imports_the_subpackage():
-    for folder, _, names in os.walk(os.path.join(ROOT, "pairloom")):
+    places = [x for top in ("pairloom", "jobs") for x in os.walk(os.path.join(ROOT, top))]
+    for folder, _, names in places:
         if os.path.basename(folder) not in ("llm", "__pycache__"):
             for n in names:
                 if n.endswith(".py"):
