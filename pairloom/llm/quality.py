@@ -9,7 +9,7 @@ vote with their labels, weighted by similarity.
 
 Defined cases: null counts as empty; a text without terms gets the sample's mean label; similarities
 are rounded to 2^-20, and ties are broken by the sample's order; repeated rows get equal scores, in
-whatever batch they come, because products are always made for blocks of the same size; without any labels all
+whatever batch and on whatever processor, because projections and cosines are exact sums of whole numbers; without any labels all
 scores are 0.5; an empty table gives an empty result. Labels, ids and other columns are no inputs
 of a score.
 """
@@ -29,11 +29,13 @@ from pairloom.llm.common import map_texts, training_sample
 
 #: Documents of one product, and what a similarity of 1 is rounded to.
 BLOCK, ONE = 256, 1 << 20
+#: Counts, axes and unit vectors are whole numbers of this unit. Rows are shorter than 10 and axes have length 1, so no sum of
+#: products, in whatever order, passes 2^53, and products in float64 are exact.
+UNIT = 1 << 24
 
 
-def _whole_block(rows: np.ndarray) -> np.ndarray:
-    """rows, filled up with zeros to BLOCK: the order of a product's sums hangs on its size."""
-    return rows if len(rows) == BLOCK else np.concatenate([rows, np.zeros((BLOCK - len(rows), rows.shape[1]), rows.dtype)])
+def _fixed(x: np.ndarray) -> np.ndarray:
+    return np.rint(x.astype(np.float64) * UNIT)
 
 
 def _shape(word: str) -> str:
@@ -98,11 +100,13 @@ class Model:
     k: int
 
     def project(self, rows: np.ndarray) -> np.ndarray:
-        """Unit vectors of rows of term counts."""
-        out = np.empty((len(rows), self.axes.shape[1]), np.float32)
+        """Unit vectors, in UNIT, of rows of term counts; the axes are in UNIT."""
+        out = np.empty((len(rows), self.axes.shape[1]))
         for at in range(0, len(rows), BLOCK):
-            v = _whole_block(rows[at : at + BLOCK] * self.weights) @ self.axes
-            out[at : at + BLOCK] = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12))[: len(rows) - at]
+            v = np.rint(_fixed(rows[at : at + BLOCK] * self.weights) @ self.axes / UNIT)
+            whole = v.astype(np.int64)
+            length = np.sqrt((whole * whole).sum(1).astype(np.float64))
+            out[at : at + BLOCK] = np.rint(v / np.maximum(length, 1.0)[:, None] * UNIT)
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -113,14 +117,19 @@ class Model:
         vectors = self.project(_terms(self.terms).matrix(texts))
         out, k, place = np.empty(len(texts)), min(self.k, n), np.arange(n)
         for at in range(0, len(texts), BLOCK):
-            cosines = np.rint((_whole_block(vectors[at : at + BLOCK]) @ self.vectors.T).astype(np.float64) * ONE).astype(np.int64)[: len(texts) - at]
+            cosines = np.rint(vectors[at : at + BLOCK] @ self.vectors.T / (UNIT * UNIT // ONE)).astype(np.int64)
             rank = cosines * n - place  # no two are equal
             near = np.argpartition(-rank, k - 1, axis=1)[:, :k]
             near = np.take_along_axis(near, np.argsort(-np.take_along_axis(rank, near, 1), axis=1), 1)
-            weight = (np.maximum(np.take_along_axis(cosines, near, 1), 0) / ONE) ** 8
-            total = weight.sum(1)
-            vote = (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-300)
-            out[at : at + BLOCK] = np.where(total > 0, vote, mean)
+            # The eighth power and the sums step by step: a library's may differ from processor to processor.
+            weight = np.maximum(np.take_along_axis(cosines, near, 1), 0) / ONE
+            for _ in range(3):
+                weight = weight * weight
+            total, voted = np.zeros(len(near)), np.zeros(len(near))
+            for j in range(k):
+                total = total + weight[:, j]
+                voted = voted + weight[:, j] * self.labels[near[:, j]]
+            out[at : at + BLOCK] = np.where(total > 0, voted / np.maximum(total, 1e-300), mean)
         return np.clip(out, 0, 1)
 
 
@@ -149,8 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         x[i, r["at"]] = r["value"]
     y = np.array([r["label"] for r in rows], np.float64)
     weights = np.log((1 + len(rows)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    axes = _svd(x * weights, dims) if len(rows) else np.zeros((terms, 1), np.float32)
-    model = Model(terms, weights, axes, np.zeros((0, axes.shape[1]), np.float32), y, k)
+    axes = _fixed(_svd(x * weights, dims)) if len(rows) else np.zeros((terms, 1))
+    model = Model(terms, weights, axes, np.zeros((0, axes.shape[1])), y, k)
     model.vectors = model.project(x)
     return model
 

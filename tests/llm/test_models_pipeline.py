@@ -1,6 +1,9 @@
 """Held-out accuracy of the classifiers, and the pipeline against plain versions of its stages."""
 
 import os
+import pickle
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -122,6 +125,32 @@ def test_scores_do_not_depend_on_the_batch(spark, sf_dir):
     assert (model.scores(texts[3:] + texts[:3]) == np.roll(whole, -3)).all()
 
 
+SCORED = """
+import pickle, sys
+model, texts = pickle.load(open(sys.argv[1], "rb"))
+scores = model.scores(texts)
+assert all(model.scores([t])[0] == s for t, s in zip(texts[:300], scores))
+assert (model.scores(texts[5:] + texts[:5])[:-5] == scores[5:]).all()
+sys.stdout.write(scores.tobytes().hex())
+"""
+
+
+def test_scores_do_not_depend_on_the_processor(spark, sf_dir, tmp_path):
+    """Kernels of several processors, whose sums have other orders, give the same bits."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    with open(tmp_path / "model", "wb") as f:
+        pickle.dump((model, [r.text or "" for r in docs.collect()]), f)
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    found = set()
+    for kernel in ("Haswell", "Nehalem", "Prescott", ""):
+        env = {**os.environ, "PYTHONPATH": root} | ({"OPENBLAS_CORETYPE": kernel} if kernel else {})
+        said = subprocess.run([sys.executable, "-c", SCORED, str(tmp_path / "model")], capture_output=True, text=True, env=env)
+        assert said.returncode == 0, said.stderr
+        found.add(said.stdout)
+    assert len(found) == 1
+
+
 def test_shapes_are_whole():
     assert quality._shape("a1" * 20) == "x0" * 20 and quality._shape("ABcd--") == "Xx-"
 
