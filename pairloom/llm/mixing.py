@@ -190,9 +190,12 @@ def mix(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     mix_order, which are replaced. Sorting a shard by mix_order shuffles it.
     """
     docs = docs.drop("mix_shard", "mix_order")
-    rows = _planned(docs.withColumn("__place", _place(seed)), *plan(staged(_units(docs, seed), "units"), seed=seed, **options), "source")
+    # In one struct, so that none of their names can meet one used here.
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)))
+    docs_alone = docs.select("doc_id", "source", "text", row.alias("__row"))
+    rows = _planned(docs_alone.withColumn("__place", _place(seed)), *plan(staged(_units(docs, seed), "units"), seed=seed, **options), "source")
     drawn = rows.withColumn("__d", F.explode("__draws"))
-    return drawn.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("__d.shard").alias("mix_shard"), F.xxhash64(F.lit(seed + 1), "doc_id", F.col("__d.lap")).alias("mix_order"))
+    return drawn.select(*(F.col(f"__row.c{k}").alias(c) for k, c in enumerate(docs.columns)), F.col("__d.shard").alias("mix_shard"), F.xxhash64(F.lit(seed + 1), "doc_id", F.col("__d.lap")).alias("mix_order"))
 
 
 def shuffled(mixed: DataFrame, shards: int = 16, tasks: int | None = None) -> DataFrame:

@@ -269,5 +269,8 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose score is below the threshold, with all columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = append_columns(docs, lambda texts: [shared.value.score(texts)[0]], "__toxicity double")
-    return scored.where(F.col("__toxicity") < threshold).drop("__toxicity")
+    name = "__toxicity"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    scored = append_columns(docs, lambda texts: [shared.value.score(texts)[0]], f"{name} double")
+    return scored.where(F.col(name) < threshold).drop(name)

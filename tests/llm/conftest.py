@@ -5,6 +5,7 @@ import pytest
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
 CLASHES = ["fp", "size", "place", "block", "draws", "sha", "salt", "row", "kept", "bucket", "names", "spans", "score", "media", "frames", "label", "u", "v", "mark", "doc", "target", "component_id", "keep_id"]
+CLASHES += ["__place", "__draws", "__s", "__d", "__b", "__row", "__block", "__blocks", "__target", "__source_size", "__toxicity", "_id", "c0"]
 
 
 @pytest.fixture(scope="session")
