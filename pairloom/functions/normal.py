@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,3 +36,15 @@ def normal_quantile_sql(u: str) -> str:
 def normal_quantile(column: str) -> Column:
     """Normal quantile of a column of values in (0, 1)."""
     return F.expr(normal_quantile_sql(f"`{column}`"))
+
+
+def normal_quantile_of(u: np.ndarray) -> np.ndarray:
+    """Normal quantiles of an array of values in (0, 1), by the same polynomials."""
+    value = lambda coefficients, x: np.polynomial.polynomial.polyval(x, [float(c) for c in coefficients])
+    q = np.asarray(u, float) - 0.5
+    r = 0.180625 - q * q
+    far = np.sqrt(-np.log(np.where(q < 0, u, 1 - u)))
+    middle = value(MIDDLE_C, far - 1.6) / value(MIDDLE_D, far - 1.6)
+    tail = value(TAIL_E, far - 5) / value(TAIL_F, far - 5)
+    outer = np.where(q < 0, -1.0, 1.0) * np.where(far <= 5, middle, tail)
+    return np.where(np.abs(q) <= 0.425, q * value(CENTRE_A, r) / value(CENTRE_B, r), outer)

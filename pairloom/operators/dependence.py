@@ -6,8 +6,10 @@ from one shuffle by person, in which each person's few positions meet, and combi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,13 +165,6 @@ def reliability(df: DataFrame, value: str = "value") -> DataFrame:
     return information(rho).groupBy("c1", "c2").agg(F.max("n").alias("n"), F.avg("mi").alias("r"))
 
 
-def _matrix(pdf: pd.DataFrame) -> np.ndarray:
-    k = int(max(pdf["pa"].max(), pdf["pb"].max())) + 1
-    r = np.eye(k)
-    r[pdf["pa"], pdf["pb"]] = r[pdf["pb"], pdf["pa"]] = pdf["rho"]
-    return r
-
-
 def log_determinant(r: np.ndarray) -> float:
     """Of a correlation matrix, its eigenvalues not below LEAST_EIGENVALUE."""
     if not len(r):
@@ -191,17 +186,66 @@ def o_information(r: np.ndarray) -> float:
     return 0.5 * (k - 2) * log_determinant(r) - 0.5 * without
 
 
-def matrix_information(rhos: DataFrame, by: list[str]) -> DataFrame:
-    """by, k, tc, oinfo, logdet, inverse (rows of the inverse matrix, or of its pseudo-inverse with fewer people than positions) of each group's correlation matrix, at most 45 rows."""
-    kinds = dict(rhos.dtypes)
+#: A stack whose least eigenvalues are above this needs no floor, and its minors need none either.
+WELL_CONDITIONED = 1e-6
+
+
+def stacked_information(r: np.ndarray) -> tuple[np.ndarray, ...]:
+    """tc, oinfo, logdet and inverse of a stack of correlation matrices of one size.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = _matrix(pdf)
-        row = {b: [pdf[b].iloc[0]] for b in by}
-        return pd.DataFrame(row | {"k": [len(r)], "tc": [total_correlation(r)], "oinfo": [o_information(r)], "logdet": [log_determinant(r)], "inverse": [np.linalg.pinv(r, hermitian=True).tolist()]})
+    The minors come from the inverse's diagonal, as their determinants are cofactors. Where a matrix is nearly singular the floor of
+    the eigenvalues counts, and each of its minors is looked at for itself.
+    """
+    n, k = len(r), r.shape[1]
+    values = np.linalg.eigvalsh(r)
+    logdet = np.log(np.maximum(values, LEAST_EIGENVALUE)).sum(1)
+    good = values[:, 0] > WELL_CONDITIONED
+    inverse, minors = np.empty_like(r), np.empty(n)
+    if good.any():
+        inverse[good] = np.linalg.inv(r[good])
+        minors[good] = k * logdet[good] + np.log(np.diagonal(inverse[good], axis1=1, axis2=2)).sum(1)
+    if not good.all():
+        inverse[~good] = np.linalg.pinv(r[~good], hermitian=True)
+        minors[~good] = [sum(log_determinant(np.delete(np.delete(m, j, 0), j, 1)) for j in range(k)) for m in r[~good]]
+    tc = np.maximum(0.0, -0.5 * logdet) if k > 1 else np.zeros(n)
+    oinfo = 0.5 * (k - 2) * logdet - 0.5 * minors if k > 2 else np.zeros(n)
+    return tc, oinfo, logdet, inverse
+
+
+def matrix_information(rhos: DataFrame, by: list[str]) -> DataFrame:
+    """by, k, tc, oinfo, logdet, inverse (rows of the inverse matrix, or of its pseudo-inverse with fewer people than positions) of each group's correlation matrix.
 
+    A matrix is one row of at most 45 numbers; a task takes many rows as a stack.
+    """
+    kinds = dict(rhos.dtypes)
+    rows = rhos.groupBy(*by).agg(F.collect_list(F.struct(F.col("pa").cast("int").alias("pa"), F.col("pb").cast("int").alias("pb"), F.col("rho").cast("double").alias("rho"))).alias("cells"))
     schema = ", ".join([*(f"`{b}` {kinds[b]}" for b in by), "k int, tc double, oinfo double, logdet double, inverse array<array<double>>"])
-    return rhos.groupBy(*by).applyInPandas(one, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column("cells")
+            cell, row = column.flatten(), np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+            a, b, rho = (cell.field(f).to_numpy(zero_copy_only=False) for f in ("pa", "pb", "rho"))
+            sizes = np.zeros(len(column), int)
+            np.maximum.at(sizes, row, np.maximum(a, b) + 1)
+            found: list = [None] * len(column)
+            for k in np.unique(sizes):
+                at = np.flatnonzero(sizes == k)
+                place = np.full(len(column), -1)
+                place[at] = np.arange(len(at))
+                own = place[row] >= 0
+                r = np.tile(np.eye(k), (len(at), 1, 1))
+                i = place[row[own]]
+                r[i, a[own], b[own]] = r[i, b[own], a[own]] = np.nan_to_num(rho[own])
+                for j, *values in zip(at, *stacked_information(r)):
+                    found[j] = [int(k), *map(float, values[:3]), values[3].tolist()]
+            columns = list(zip(*found))
+            kinds_of = (pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), *(pa.array(c, t) for c, t in zip(columns, kinds_of))], names=[*by, "k", "tc", "oinfo", "logdet", "inverse"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def pointwise_total_correlation(df: DataFrame, by: list[str], value: str = "z") -> DataFrame:

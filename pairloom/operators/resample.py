@@ -2,7 +2,8 @@
 
 Randomness is the order of md5(seed:iteration:...): the same on every run, cluster and SQL engine. An
 iteration is a key of the data, so all iterations run side by side and every statistic of the
-dependence module applies to them with the iteration among its `by` columns.
+dependence module applies to them with the iteration among its `by` columns. Nulls and bootstraps whose
+groups fit into a task are made by `kernels`, range by range; larger ones by shuffles of rows, with equal results.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.columns import hash_number, hash_order
-from pairloom.operators import dependence
+from pairloom.operators import dependence, kernels
+from pairloom.sources.files import cached
+from pairloom.sources.scratch import scratch
 
 
 def iterations(df: DataFrame, n: int, name: str = "iter") -> DataFrame:
@@ -24,19 +27,30 @@ def shuffled_positions(df: DataFrame, by: list[str], seed: str) -> DataFrame:
     return df.withColumn("person", F.row_number().over(Window.partitionBy(*by, "position").orderBy(order, "person")))
 
 
-def permutation_null(df: DataFrame, n: int, seed: str = "null", by: tuple[str, ...] = (), value: str = "value") -> DataFrame:
-    """by, iter, s under independent permutations. Normal scores are taken once: permuting does not change ranks."""
+def _scored(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, person, position, z, written once. Permuting does not change ranks, so normal scores are taken before it."""
     scored = dependence.copula(df, [*by, "position"], value).select(*by, "person", "position", "z")
-    dealt = shuffled_positions(iterations(scored, n), [*by, "iter"], seed)
-    return dependence.class_means(dependence.information(dependence.correlations(dealt, [*by, "iter"])), [*by, "iter"])
+    return cached(df.sparkSession, scratch(df.sparkSession), lambda: scored)
+
+
+def null_correlations(df: DataFrame, n: int, seed: str, by: list[str], value: str) -> DataFrame:
+    """by, iter, pa, pb, n, rho under n independent permutations of people at every position."""
+    scored = _scored(df, by, value)
+    if kernels.fits(scored, by):
+        return kernels.permuted_correlations(scored, by, n, seed)
+    key = [*by, "iter"]
+    return dependence.correlations(shuffled_positions(iterations(scored, n), key, seed), key)
+
+
+def permutation_null(df: DataFrame, n: int, seed: str = "null", by: tuple[str, ...] = (), value: str = "value") -> DataFrame:
+    """by, iter, s and what else class_means has, under independent permutations."""
+    return dependence.class_means(dependence.information(null_correlations(df, n, seed, [*by], value)), [*by, "iter"])
 
 
 def information_null(df: DataFrame, n: int, seed: str = "null", value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
-    """by, iter, tc, oinfo under independent permutations; each iteration's matrix is one small group."""
-    scored = dependence.copula(df, [*by, "position"], value).select(*by, "person", "position", "z")
+    """by, iter, tc, oinfo under independent permutations."""
     key = [*by, "iter"]
-    dealt = shuffled_positions(iterations(scored, n), key, seed)
-    return dependence.matrix_information(dependence.correlations(dealt, key), key).select(*key, "tc", "oinfo")
+    return dependence.matrix_information(null_correlations(df, n, seed, [*by], value), key).select(*key, "tc", "oinfo")
 
 
 def pointwise_agreement(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
@@ -98,32 +112,43 @@ def draws(people: DataFrame, n: int, seed: str) -> DataFrame:
     return picks.join(numbered, "k").select("iter", "draw", "person")
 
 
+def _people(df: DataFrame, value: str) -> DataFrame:
+    """person, capture, position and value, written once; rows without a value have no rank and go."""
+    return cached(df.sparkSession, scratch(df.sparkSession), lambda: df.where(F.col(value).isNotNull()).select("person", "capture", "position", value))
+
+
 def bootstrap_between(df: DataFrame, c1: str, c2: str, n: int, seed: str = "boot", value: str = "value") -> DataFrame:
     """iter, auto, crossed, ratio of S over bootstrap draws of people; a person drawn twice counts twice, in ranks too."""
     two = df.where(F.col("capture").isin(c1, c2))
     both = two.groupBy("person").agg(F.countDistinct("capture").alias("k")).where("k = 2").select("person")
-    drawn = draws(both, n, seed).join(two, "person").drop("person").withColumnRenamed("draw", "person")
-    hand = F.floor(F.col("position") / 5)
-    pairs = F.array(*(F.struct(F.lit(a).alias("c1"), F.lit(b).alias("c2")) for a in (c1, c2) for b in (c1, c2)))
-    rows = drawn.withColumn("p", F.explode(pairs)).where(F.col("capture") == F.when(hand == 0, F.col("p.c1")).otherwise(F.col("p.c2")))
-    s = dependence.s_statistic(rows.select("iter", "p.c1", "p.c2", "person", "position", value), ["iter", "c1", "c2"], value)
+    two = _people(two.join(both, "person", "left_semi"), value)
+    s = kernels.bootstrapped(two, n, seed, value) if kernels.fits(two, []) else _drawn_between(two, n, seed, value)
     auto, crossed = F.avg(F.when(F.col("c1") == F.col("c2"), F.col("s"))), F.avg(F.when(F.col("c1") != F.col("c2"), F.col("s")))
     return s.groupBy("iter").agg(auto.alias("auto"), crossed.alias("crossed"), (crossed / auto).alias("ratio"))
 
 
+def _drawn_between(df: DataFrame, n: int, seed: str, value: str) -> DataFrame:
+    """iter, c1, c2, n, s of draws, a row for each time that a person is drawn."""
+    drawn = draws(df.select("person").distinct(), n, seed).join(df, "person").drop("person").withColumnRenamed("draw", "person")
+    return dependence.s_between(drawn, value, by=("iter",))
+
+
 def capture_null(df: DataFrame, n: int, captures: list[str] | None = None, seed: str = "captures", value: str = "value", middle=F.median) -> DataFrame:
     """iter, crossed, auto, ratio when every capture's people are dealt anew at every position, once per iteration for all its pairs."""
     df = df.where(F.col("capture").isin(captures)) if captures else df
-    scored = dependence.copula(df, ["capture", "position"], value).select("capture", "person", "position", "z")
-    dealt = shuffled_positions(iterations(scored, n), ["iter", "capture"], seed)
-    return dependence.crossed_and_auto(dependence.s_between(dealt, "z", by=("iter",)), ("iter",), middle)
+    scored = _scored(df, ["capture"], value)
+    if kernels.fits(scored, []):
+        pairs = kernels.permuted_captures(scored, n, seed)
+    else:
+        pairs = dependence.s_between(shuffled_positions(iterations(scored, n), ["iter", "capture"], seed), "z", by=("iter",))
+    return dependence.crossed_and_auto(pairs, ("iter",), middle)
 
 
 def joint_bootstrap(df: DataFrame, n: int, seed: str = "joint", value: str = "value", middle=F.median) -> DataFrame:
     """iter, crossed, auto, ratio: one draw of people with replacement serves all captures and their pairs."""
-    people = df.select("person").distinct()
-    drawn = draws(people, n, seed).join(df, "person").drop("person").withColumnRenamed("draw", "person")
-    return dependence.crossed_and_auto(dependence.s_between(drawn, value, by=("iter",)), ("iter",), middle)
+    rows = _people(df, value)
+    pairs = kernels.bootstrapped(rows, n, seed, value) if kernels.fits(rows, []) else _drawn_between(rows, n, seed, value)
+    return dependence.crossed_and_auto(pairs, ("iter",), middle)
 
 
 def sensitivity(df: DataFrame, without: DataFrame, statistic, key: str = "person") -> DataFrame:
