@@ -35,7 +35,11 @@ def _scored(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def null_correlations(df: DataFrame, n: int, seed: str, by: list[str], value: str) -> DataFrame:
     """by, iter, pa, pb, n, rho under n independent permutations of people at every position."""
-    scored = _scored(df, by, value)
+    return dealt_correlations(_scored(df, by, value), n, seed, by)
+
+
+def dealt_correlations(scored: DataFrame, n: int, seed: str, by: list[str]) -> DataFrame:
+    """null_correlations of a table that has z, which is read more than once."""
     if kernels.fits(scored, by):
         return kernels.permuted_correlations(scored, by, n, seed)
     key = [*by, "iter"]
@@ -61,6 +65,18 @@ def pointwise_agreement(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     return spearman(first.join(second, [*by, "person"]), by, "ta", "tb")
 
 
+def agreement_null(first: DataFrame, second: DataFrame, n: int, by: list[str], seeds: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """by, iter, n, rho of two copula tables: as they are (iter -1), and with people of each dealt anew at every position."""
+    both = [cached(z.sparkSession, scratch(z.sparkSession), lambda z=z: z.select(*by, F.col("person").cast("long").alias("person"), "position", "z")) for z in (first, second)]
+    key, seen = [*by, "iter"], [z.withColumn("iter", F.lit(-1)) for z in both]
+    observed = pointwise_agreement(*seen, key).select(*key, "n", "rho")
+    if all(kernels.fits(z, by) and kernels.whole(z, by) for z in both):
+        dealt = kernels.permuted_agreement(*both, by, n, seeds)
+    else:
+        dealt = pointwise_agreement(*(shuffled_positions(iterations(z, n), key, s) for z, s in zip(both, seeds)), key)
+    return observed.unionByName(dealt.select(*key, "n", "rho"))
+
+
 def empirical_p(null: DataFrame, observed: DataFrame, by: list[str], statistic: str, two_sided: bool = False) -> DataFrame:
     """by, observed, n, p: (null values at least as great + 1) / (n + 1)."""
     size = (lambda c: F.abs(c)) if two_sided else (lambda c: c)
@@ -82,18 +98,18 @@ def five_tests(df: DataFrame, first: str, second: str, n: int, by: tuple[str, ..
     information and difference of either variable (total correlation; homologous pairs less all others) and agreement, the
     rank correlation of their pointwise total correlations.
     """
-    key, rows, points = [*by, "iter"], None, []
+    key, rows, tables = [*by, "iter"], None, []
     for name, value, seed in (("first", first, seeds[0]), ("second", second, seeds[1])):
-        z = dependence.copula(df, [*by, "position"], value).select(*by, F.col("person").cast("long").alias("person"), "position", "z")
-        dealt = shuffled_positions(iterations(z, n), key, seed).withColumn("person", F.col("person").cast("long"))
-        both = z.withColumn("iter", F.lit(-1)).unionByName(dealt)
-        rhos = dependence.correlations(both, key)
+        z = _scored(df, [*by], value)
+        tables.append(z)
+        seen = dependence.correlations(z.withColumn("iter", F.lit(-1)), key)
+        columns = [*key, "pa", "pb", "rho"]
+        rhos = seen.select(columns).unionByName(dealt_correlations(z, n, seed, [*by]).select(columns))
         found = [dependence.matrix_information(rhos, key).select(*key, F.lit(f"information_{name}").alias("test"), F.col("tc").alias("x"))]
         found.append(dependence.class_means(dependence.information(rhos), key).select(*key, F.lit(f"difference_{name}").alias("test"), F.col("delta_mi").alias("x")))
-        points.append(both)
         for f in found:
             rows = f if rows is None else rows.unionByName(f)
-    rows = rows.unionByName(pointwise_agreement(*points, key).select(*key, F.lit("agreement").alias("test"), F.col("rho").alias("x")))
+    rows = rows.unionByName(agreement_null(*tables, n, [*by], seeds).select(*key, F.lit("agreement").alias("test"), F.col("rho").alias("x")))
     seen = rows.where("iter < 0").select(*by, "test", "x")
     return empirical_p(rows.where("iter >= 0"), seen, [*by, "test"], "x")
 

@@ -314,12 +314,8 @@ TWO_VARIABLES = _two_sql()
 def pointwise_agreement(spark, sf_dir):
     """Rank agreement between the value's and the quality's pointwise total correlation, observed and permuted."""
     df = whole(spark, sf_dir)
-    by = ["capture", "iter"]
-    tables = [dependence.copula(df, ["capture", "position"], v).select("capture", "person", "position", "z") for v in ("value", "quality")]
-    seen = [t.withColumn("iter", F.lit(-1)) for t in tables]
-    dealt = [resample.shuffled_positions(resample.iterations(t, ITER), by, s) for t, s in zip(tables, ("a", "b"))]
-    both = [o.unionByName(d.select(o.columns)) for o, d in zip(seen, (d.withColumn("person", F.col("person").cast("long")) for d in dealt))]
-    return resample.pointwise_agreement(*both, by).select("capture", "iter", "n", F.round("rho", 9).alias("rho"))
+    tables = [dependence.copula(df, ["capture", "position"], v) for v in ("value", "quality")]
+    return resample.agreement_null(*tables, ITER, ["capture"]).select("capture", "iter", "n", F.round("rho", 9).alias("rho"))
 
 
 @query(f"""WITH {OBS}, z AS {z_sql('whole', 'capture, position')}, o AS (SELECT capture, homologous - cross_ AS s FROM {means_sql('z', ['capture'])}),
