@@ -15,44 +15,57 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.columns import gaussian_mi
 from pairloom.functions.normal import normal_quantile
+from pairloom.sources.files import cached
+from pairloom.sources.scratch import scratch
 
 POSITIONS = 10
 #: Least eigenvalue of a correlation matrix whose determinant is taken.
 LEAST_EIGENVALUE = 1e-8
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str, name: str = "rank", buckets: int | None = None) -> DataFrame:
+#: Buckets that values are ranked in, and what the sketch that cuts them may be off by, as a share of a group.
+BUCKETS, SKETCH = 64, 1000
+
+
+def average_ranks(df: DataFrame, by: list[str], value: str, name: str = "rank", buckets: int = BUCKETS) -> DataFrame:
     """df with the mean rank (from 1) of value among the rows of its group, and the size of the group as name_n.
 
-    buckets: groups are cut by value into so many ranges, ranked each for itself and offset by what
-    is below, so that a group of any size is no single task's work. Without it a group is one window.
+    Groups are cut by value into so many ranges, each with about as many different values, ranked each for itself and offset by
+    what is below, so that a group of any size and any distribution is no single task's work. A missing value has no rank.
     """
-    if not buckets:
-        w = Window.partitionBy(*by)
-        tied = (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
-        return df.withColumns({name: F.rank().over(w.orderBy(value)) + tied, f"{name}_n": F.count(F.lit(1)).over(w)})
     ranks = _counted(df, by, value, buckets).select(*by, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name), F.col("_all").alias(f"{name}_n"))
     return df.join(ranks, [*by, value])
 
 
+def bucketed(counts: DataFrame, by: list[str], value: str, buckets: int) -> DataFrame:
+    """counts with _b, the range of its group that a value is in. Splitters come from a mergeable quantile sketch of the different values."""
+    if buckets <= 1:
+        return counts.withColumn("_b", F.lit(0))
+    shares = F.array(*(F.lit(k / buckets) for k in range(1, buckets)))
+    cuts = counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, shares, max(SKETCH, 10 * buckets))).alias("_cuts"))
+    return counts.join(F.broadcast(cuts), by).withColumn("_b", F.size(F.filter("_cuts", lambda c: F.col(value) > c))).drop("_cuts")
+
+
 def _counted(df: DataFrame, by: list[str], value: str, buckets: int) -> DataFrame:
     """by, value, _n, _below, _all: how often each value occurs in its group, how many rows are below it, and the group's size.
 
-    Groups are cut by value into buckets; only sums of buckets meet in one task.
+    Copies of a value are counted before they meet, and only sums of buckets meet in one task.
     """
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    span = counts.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("_n").alias("_all"))
-    place = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")) * buckets), F.lit(buckets - 1))).otherwise(0)
-    counts = counts.join(span, by).withColumn("_b", place)
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_s")).select(*by, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
-    inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.join(offsets, [*by, "_b"]).select(*by, value, "_n", (F.col("_off") + inside).alias("_below"), "_all")
-
-
-def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], name: str = "cuts", buckets: int = 64) -> DataFrame:
+    # A group is named by its columns, or all rows are one.
+    key = by or ["_g"]
+    counts = (df if by else df.withColumn("_g", F.lit(0))).where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = bucketed(counts, key, value, buckets)
+    group = Window.partitionBy(*key)
+    sums = counts.groupBy(*key, "_b").agg(F.sum("_n").alias("_s"))
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*key, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"), F.sum("_s").over(group).alias("_all"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*key, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.join(sums, [*key, "_b"]).select(*by, value, "_n", (F.col("_off") + inside).alias("_below"), "_all")
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], name: str = "cuts", buckets: int = BUCKETS) -> DataFrame:
     """by, name: the interpolated percentiles of value at the shares, in order. No group's values meet in one task."""
-    counts = _counted(df.where(F.col(value).isNotNull()), by, value, buckets)
+    counts = _counted(df, by, value, buckets)
     asked = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p")) for k, p in enumerate(shares))))
     rows = counts.withColumn("_q", asked).withColumn("_at", (F.col("_all") - 1) * F.col("_q.p"))
     low, high = F.floor("_at"), F.ceil("_at")
@@ -63,13 +76,12 @@ def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], n
     return found.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", cut.alias("v")))), lambda x: x["v"]).alias(name))
 
 
-def numbered(df: DataFrame, key: str, name: str, buckets: int = 64) -> DataFrame:
+def numbered(df: DataFrame, key: str, name: str, buckets: int = BUCKETS) -> DataFrame:
     """df with its place from 0 in the order of a number that no two rows share."""
-    one = df.withColumn("_g", F.lit(0))
-    return one.join(_counted(one, ["_g"], key, buckets).select(key, F.col("_below").alias(name)), key).drop("_g")
+    return df.join(_counted(df, [], key, buckets).select(key, F.col("_below").alias(name)), key)
 
 
-def copula(df: DataFrame, by: list[str], value: str = "value", buckets: int | None = None) -> DataFrame:
+def copula(df: DataFrame, by: list[str], value: str = "value", buckets: int = BUCKETS) -> DataFrame:
     """df with z, the normal score of value within its group."""
     ranked = average_ranks(df, by, value, "_r", buckets).withColumn("_u", F.col("_r") / (F.col("_r_n") + 1))
     return ranked.withColumn("z", normal_quantile("_u")).drop("_r", "_r_n", "_u")
@@ -141,7 +153,9 @@ def across(df: DataFrame, ordered: bool = True, by: tuple[str, ...] = ()) -> Dat
 
 def s_between(df: DataFrame, value: str = "value", least: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
     """by, c1, c2, n, s of complete rows; null where fewer than `least` people have both captures."""
-    rows, key = across(df, by=by), [*by, "c1", "c2"]
+    key = [*by, "c1", "c2"]
+    # Ranks and rows both read what the joins made, so it is written once.
+    rows = cached(df.sparkSession, scratch(df.sparkSession), lambda: across(df, by=by))
     n = rows.groupBy(*key).agg(F.countDistinct("person").alias("n"))
     return s_statistic(rows, key, value).join(n, key).select(*key, "n", F.when(F.col("n") >= least, F.col("s")).alias("s"))
 
@@ -157,11 +171,11 @@ def reliability(df: DataFrame, value: str = "value") -> DataFrame:
     """c1 < c2, n, r: the mean over positions of the information between the same position in two captures."""
     a = df.select("person", "position", F.col("capture").alias("c1"), F.col(value).alias("va"))
     b = df.select("person", "position", F.col("capture").alias("c2"), F.col(value).alias("vb"))
-    both = a.join(b, ["person", "position"]).where("c1 < c2")
     key = ["c1", "c2", "position"]
-    both = copula(both, key, "va").withColumnRenamed("z", "za")
-    both = copula(both, key, "vb").withColumnRenamed("z", "zb")
-    rho = both.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.corr("za", "zb").alias("rho"))
+    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("va").alias("v")), F.struct(F.lit(1).alias("side"), F.col("vb").alias("v"))))
+    both = cached(df.sparkSession, scratch(df.sparkSession), lambda: a.join(b, ["person", "position"]).where("c1 < c2").select(*key, "person", side.alias("x")).select(*key, "person", "x.*"))
+    scored = copula(both, [*key, "side"], "v").groupBy(*key, "person").agg(*(F.max(F.when(F.col("side") == k, F.col("z"))).alias(f"z{k}") for k in (0, 1)))
+    rho = scored.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.corr("z0", "z1").alias("rho"))
     return information(rho).groupBy("c1", "c2").agg(F.max("n").alias("n"), F.avg("mi").alias("r"))
 
 

@@ -72,7 +72,7 @@ RANK = "rank() OVER (PARTITION BY capture, position ORDER BY area) + (count(*) O
 
 @query(f"WITH {OBS} SELECT capture, person, position, {RANK} AS rank FROM whole")
 def avg_ranks(spark, sf_dir):
-    return dependence.average_ranks(whole(spark, sf_dir), BY, "area", "rank", buckets=16).select(*KEY, "rank")
+    return dependence.average_ranks(whole(spark, sf_dir), BY, "area", "rank").select(*KEY, "rank")
 
 
 Z = f"{OBS}, z AS {z_sql('whole', 'capture, position')}"
@@ -80,7 +80,7 @@ Z = f"{OBS}, z AS {z_sql('whole', 'capture, position')}"
 
 @query(f"WITH {Z} SELECT capture, person, position, round(z, 9) AS z FROM z")
 def copula(spark, sf_dir):
-    return dependence.copula(whole(spark, sf_dir), BY, buckets=16).select(*KEY, F.round("z", 9).alias("z"))
+    return dependence.copula(whole(spark, sf_dir), BY).select(*KEY, F.round("z", 9).alias("z"))
 
 
 @query(f"WITH {Z} SELECT capture, pa, pb, round(rho, 9) AS rho, round({MI}, 9) AS mi FROM {rho_sql('z', ['capture'])}")

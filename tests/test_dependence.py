@@ -63,7 +63,24 @@ def test_pair_information(spark):
     assert dependence.o_information(np.eye(2)) == 0.0
 
 
-@pytest.mark.parametrize("buckets", [None, 1, 7, 64])
+@pytest.mark.parametrize("tail", ["one outlier", "powers", "copies"])
+def test_buckets_are_even(spark, tail):
+    """Whatever the distribution, no range has more than twice the mean of the different values."""
+    n = 20_000
+    x = {"one outlier": np.append(np.arange(n - 1.0), 1e15), "powers": 1.001 ** np.arange(n), "copies": np.append(np.arange(n / 2), np.zeros(n // 2))}[tail]
+    counts = spark.createDataFrame(pd.DataFrame({"g": "a", "v": x})).groupBy("g", "v").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = [r["count"] for r in dependence.bucketed(counts, ["g"], "v", 64).groupBy("_b").count().collect()]
+    assert sum(sizes) == len(np.unique(x)) and max(sizes) < 2 * len(np.unique(x)) / 64
+    ranks = dependence.average_ranks(spark.createDataFrame(pd.DataFrame({"g": "a", "v": x})), ["g"], "v").toPandas().sort_values("v")
+    assert np.allclose(ranks["rank"], pd.Series(np.sort(x)).rank())
+
+
+def test_no_rank_without_a_value(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 2.0), ("b", None)], "g string, v double")
+    assert sorted((r.g, r.v, r["rank"]) for r in dependence.average_ranks(df, ["g"], "v").collect()) == [("a", 1.0, 1.0), ("a", 2.0, 2.0)]
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 64])
 def test_ranks_with_ties(spark, buckets):
     values = [5.0, 1.0, 1.0, 3.0, 5.0, 5.0, -2.0]
     df = spark.createDataFrame([("a", v) for v in values] + [("b", 4.0)], "g string, v double")
