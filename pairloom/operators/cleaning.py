@@ -22,10 +22,9 @@ def without_captures(df: DataFrame, captures: list[str], column: str = "capture"
     return df.where(~F.col(column).isin(captures)) if captures else df
 
 
-def natural_pairs(edges: DataFrame, synthetic: str = "DB4", source: str = "source", item: str = "finger_id") -> DataFrame:
-    """Pairs of different items neither of which comes from a synthetic source."""
-    kept = [~F.col(f"{source}_{end}").contains(synthetic) for end in ("i", "j")]
-    return edges.where(kept[0] & kept[1] & (F.col(f"{item}_i") != F.col(f"{item}_j")))
+def natural_items(index: DataFrame, synthetic: str = "DB4", source: str = "source") -> DataFrame:
+    """Items that do not come from a synthetic source; left out before any pair is made."""
+    return index.where(~F.col(source).contains(synthetic))
 
 
 def indicator(column: str, value) -> Column:

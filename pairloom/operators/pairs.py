@@ -103,7 +103,7 @@ def rectangle(probes: DataFrame, gallery: DataFrame, scorers: list[Scorer], feat
 
 def _classes(tile: dict, classes: PairClass) -> np.ndarray:
     a, b = ({c: np.asarray(tile[f"a_{c}{two}"].to_numpy(zero_copy_only=False)) for c in classes.attributes} for two in ("", "2"))
-    return classes.block(a, b)
+    return np.broadcast_to(classes.block(a, b), (len(tile["ids"]), len(tile["ids2"])))
 
 
 def _tiles(index: DataFrame, against: DataFrame | None, features: str, tile_rows: int, attributes: tuple[str, ...]) -> DataFrame:
@@ -197,21 +197,32 @@ THREE_WAY = PairClass(("source", "finger_id"), ("impostor", "artefact", "genuine
 SAME_PERSON = PairClass(("person",), ("different", "same"), lambda: F.when(F.col("person_i") == F.col("person_j"), "same").otherwise("different"), lambda a, b: _equal(a, b, "person").astype(int))
 
 
-def body_classes() -> Column:
-    """The overlapping classes of a pair by person, hand and finger."""
-    same, homologous = F.col("person_i") == F.col("person_j"), (F.col("finger_i") == F.col("finger_j")) & (F.col("hand_i") != F.col("hand_j"))
-    named = [(~same, "different_bodies"), (same, "same_body"), (same & homologous, "same_body_homologous"), (same & ~homologous, "same_body_other")]
-    return F.filter(F.array(*(F.when(c, n) for c, n in named)), lambda x: x.isNotNull())
+EVERY = PairClass((), ("every",), lambda: F.lit("every"), lambda a, b: np.zeros((1, 1), int))
 
 
-def unordered(a: str, b: str) -> tuple[Column, Column]:
-    return F.least(a, b), F.greatest(a, b)
+def apart(classes: PairClass, attribute: str) -> PairClass:
+    """The same classes, and each once more as excluded_NAME for pairs an end of which has the (boolean) attribute."""
+    size, held = len(classes.names), lambda v: np.asarray(v).astype(bool)
+    column = lambda: F.concat(F.when(F.col(f"{attribute}_i") | F.col(f"{attribute}_j"), "excluded_").otherwise(""), classes.column())
+    block = lambda a, b: classes.block(a, b) + size * (held(a[attribute])[:, None] | held(b[attribute])[None, :])
+    return PairClass((*classes.attributes, attribute), (*classes.names, *(f"excluded_{n}" for n in classes.names)), column, block)
+
+
+def _bodies(a: dict, b: dict) -> np.ndarray:
+    return _equal(a, b, "person") * (1 + (_equal(a, b, "finger") & ~_equal(a, b, "hand")))
 
 
-def of_sources(edges: DataFrame, a, b, column: str = "source") -> DataFrame:
-    """Pairs between sources a and b, either way."""
-    low, high = unordered(f"{column}_i", f"{column}_j")
-    return edges.where((low == min(a, b)) & (high == max(a, b)))
+#: Pairs by person, and of one person by finger and hand.
+BODIES = PairClass(
+    ("person", "hand", "finger"),
+    ("different_bodies", "same_body_other", "same_body_homologous"),
+    lambda: F.when(F.col("person_i") != F.col("person_j"), "different_bodies").when((F.col("finger_i") == F.col("finger_j")) & (F.col("hand_i") != F.col("hand_j")), "same_body_homologous").otherwise("same_body_other"),
+    _bodies,
+)
+
+
+def unordered(a: str, b: str) -> tuple[Column, Column]:
+    return F.least(a, b), F.greatest(a, b)
 
 
 def symmetrised(directed: DataFrame, score: str = "score") -> DataFrame:
@@ -220,23 +231,97 @@ def symmetrised(directed: DataFrame, score: str = "score") -> DataFrame:
     return directed.where("i <> j").groupBy(low.alias("i"), high.alias("j")).agg(F.max(score).alias(score))
 
 
-def within(edges: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """Pairs both ends of which have their key (key_i, key_j) in items."""
-    for end in ("i", "j"):
-        edges = edges.join(items.select(F.col(key).alias(f"{key}_{end}")).distinct(), f"{key}_{end}", "left_semi")
-    return edges
-
-
 def item_blocks(edges: DataFrame, key: str = "key") -> DataFrame:
     """edges with key_a < key_b, the ordered keys of both ends; pairs within one key are dropped."""
     low, high = unordered(f"{key}_i", f"{key}_j")
     return edges.withColumns({"key_a": low, "key_b": high}).where("key_a <> key_b")
 
 
-def scored_pairs(items_a: DataFrame, items_b: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """All pairs of two named sets, of at most so many items each, with their scores, null where there is none."""
-    if max(items_a.count(), items_b.count()) > most:
-        raise ValueError(f"more than {most} items on one side; score them with rectangle()")
-    pairs = items_a.select(F.col("idx").alias("a")).join(items_b.select(F.col("idx").alias("b")), F.lit(True))
-    pairs = pairs.select(*(c.alias(n) for c, n in zip(unordered("a", "b"), ("i", "j"))))
-    return pairs.join(edges, ["i", "j"], "left")
+def named_pairs(items_a: DataFrame, items_b: DataFrame, scorers: list[Scorer], least: dict[str, int], features: str = "q") -> DataFrame:
+    """All pairs of two named sets as i < j with their scores, null where one is below its least. Only these sets are scored."""
+    found = rectangle(items_a, items_b, scorers, features)
+    ends = [c.alias(n) for c, n in zip(unordered("i", "j"), ("i", "j"))]
+    known = F.lit(True)
+    for name, score in least.items():
+        known = known & (F.col(name) >= score)
+    return found.select(*ends, *(F.when(known, F.col(s.name)).alias(s.name) for s in scorers))
+
+
+def listed_pairs(listed: DataFrame, index: DataFrame, scorers: list[Scorer], features: str = "q", tile_rows: int = TILE_ROWS) -> DataFrame:
+    """listed (i, j and whatever else) with the scores of its pairs, however often a pair is listed.
+
+    Features come once to each tile that has a listed pair; no other tile is made.
+    """
+    own = [c for c in listed.columns if c not in ("i", "j")]
+    block = lambda c: F.floor(F.col(c) / tile_rows).cast("int")
+    wanted = listed.select(block("i").alias("p"), block("j").alias("q"), F.struct("i", "j").alias("ij")).distinct()
+    wanted = wanted.groupBy("p", "q").agg(F.sort_array(F.collect_list("ij")).alias("wanted"))
+    sides = [_blocks(index, features, tile_rows).select(F.col("block").alias(at), *(F.col(c).alias(c + two) for c in ("ids", "x"))) for at, two in (("p", ""), ("q", "2"))]
+    tiles = wanted.join(sides[0], "p").join(sides[1], "q").select(F.col("wanted.i").alias("wi"), F.col("wanted.j").alias("wj"), "ids", "x", "ids2", "x2")
+
+    def work(tile, ids, ids2, keep, scores) -> pa.RecordBatch:
+        i, j = (np.asarray(tile[c]) for c in ("wi", "wj"))
+        rows, columns = ({v: k for k, v in enumerate(x.tolist())} for x in (ids, ids2))
+        known = np.array([a in rows and b in columns for a, b in zip(i.tolist(), j.tolist())], bool)
+        i, j = i[known], j[known]
+        at = [rows[a] for a in i.tolist()], [columns[b] for b in j.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *(pa.array(s[at]) for s in scores)], ["i", "j", *(s.name for s in scorers)])
+
+    scored = _per_tile(tiles, scorers, False, work, "i long, j long, " + ", ".join(f"`{s.name}` long" for s in scorers))
+    return listed.join(scored, ["i", "j"]).select("i", "j", *own, *(s.name for s in scorers))
+
+
+def per_probe(index: DataFrame, scorer: Scorer, features: str = "q", tile_rows: int = TILE_ROWS) -> DataFrame:
+    """i, n, low, high, best: of each item's scores with all others their number, least and greatest, and the least item with the greatest.
+
+    The scorer is symmetric; a tile serves the items of both its blocks, and gives one row for each.
+    """
+    name = scorer.name
+
+    def work(tile, ids, ids2, keep, scores) -> pa.RecordBatch:
+        # Where a block meets itself in one order, one turn has all of its pairs.
+        both = keep | keep.T if np.array_equal(ids, ids2) else keep
+        turns = [(ids, ids2, both, scores[0])] + ([] if both is not keep else [(ids2, ids, keep.T, scores[0].T)])
+        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+        for own, others, kept, s in turns:
+            order = np.argsort(others, kind="stable")
+            kept, s, others = kept[:, order], s[:, order], others[order]
+            some = kept.any(1)
+            kept, s = kept[some], s[some]
+            if len(s):
+                high = np.where(kept, s, np.iinfo(np.int64).min)
+                at = high.argmax(1)
+                for column, x in zip(out, (own[some], kept.sum(1), np.where(kept, s, np.iinfo(np.int64).max).min(1), high.max(1), others[at])):
+                    column.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], ["i", "n", "low", "high", "best"])
+
+    blocks = _blocks(index, features, tile_rows)
+    rows = _per_tile(_meet(blocks, blocks, True), [scorer], True, work, "i long, n long, low long, high long, best long")
+    best = F.max(F.struct("high", -F.col("best"))).alias("m")
+    return rows.groupBy("i").agg(F.sum("n").alias("n"), F.min("low").alias("low"), best).select("i", "n", "low", F.col("m.high").alias("high"), (-F.col("m.col2")).alias("best"))
+
+
+def best_of_samples(index: DataFrame, scorer: Scorer, key: str, places: str, sizes: list[int], features: str = "q", tile_rows: int = TILE_ROWS) -> DataFrame:
+    """k, rep, top: the greatest score of two items of different keys, both of which are among the first k of a sample.
+
+    places: of an item, the place from 1 of its key in each sample, 0 where it is in none.
+    """
+    def work(tile, ids, ids2, keep, scores) -> pa.RecordBatch:
+        a, b = (np.array(tile[f"a_{places}{two}"].to_pylist()) for two in ("", "2"))
+        keys = [np.asarray(tile[f"a_{key}{two}"].to_numpy(zero_copy_only=False)) for two in ("", "2")]
+        keep = keep & (keys[0][:, None] != keys[1][None, :])
+        rows = []
+        for rep in range(a.shape[1] if a.ndim == 2 else 0):
+            x, y = np.flatnonzero(a[:, rep]), np.flatnonzero(b[:, rep])
+            if len(x) and len(y):
+                last = np.maximum(a[x, rep][:, None], b[y, rep][None, :])
+                own, s = keep[np.ix_(x, y)], scores[0][np.ix_(x, y)]
+                for k in sizes:
+                    hit = own & (last <= k)
+                    if hit.any():
+                        rows.append((k, rep, int(s[hit].max())))
+        columns = list(zip(*rows)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64()))], ["k", "rep", "top"])
+
+    blocks = _blocks(index, features, tile_rows, (key, places))
+    return _per_tile(_meet(blocks, blocks, True), [scorer], True, work, "k int, rep int, top long").groupBy("k", "rep").agg(F.max("top").alias("top"))

@@ -184,22 +184,31 @@ def reading(half: float = 0.5) -> Column:
     return F.when(F.col("low") > half, "body").when(F.col("high") < half, "capture").otherwise("inconclusive")
 
 
-def relabelled(pairs: DataFrame, edges: DataFrame, items: DataFrame, n: int, seed: str, score: str) -> DataFrame:
-    """iter, total of score over the pairs (i, j) after the items are relabelled at random."""
+def relabelled(listed: DataFrame, items: DataFrame, n: int, seed: str) -> DataFrame:
+    """iter, i, j: the pairs (i, j) after the items are relabelled at random, n times."""
     order = Window.partitionBy("iter").orderBy(hash_order(F.lit(seed), "iter", "idx"), "idx")
     named = dependence.numbered(items.select("idx"), "idx", "place").withColumn("place", F.col("place") + 1)
     dealt = iterations(named, n).withColumn("to", F.row_number().over(order))
     mapping = dealt.join(named.select(F.col("place").alias("to"), F.col("idx").alias("new")), "to").select("iter", "idx", "new")
-    moved = pairs.join(mapping.select("iter", F.col("idx").alias("i"), F.col("new").alias("a")), "i").join(mapping.select("iter", F.col("idx").alias("j"), F.col("new").alias("b")), ["iter", "j"])
-    moved = moved.select("iter", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
-    return moved.join(edges.select("i", "j", score), ["i", "j"]).groupBy("iter").agg(F.sum(score).alias("total"))
+    moved = listed.join(mapping.select("iter", F.col("idx").alias("i"), F.col("new").alias("a")), "i").join(mapping.select("iter", F.col("idx").alias("j"), F.col("new").alias("b")), ["iter", "j"])
+    return moved.select("iter", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
 
 
-def label_null(same: DataFrame, edges: DataFrame, items: DataFrame, n: int, seed: str = "label", score: str = "score") -> DataFrame:
-    """iter, diff: mean of the relabelled same pairs less the mean of all others, from the grand total and the same pairs only."""
-    grand = edges.agg(F.sum(score).alias("all"), F.count(F.lit(1)).alias("pairs"))
+def label_null(index: DataFrame, scorer, key: str, n: int, seed: str = "label") -> DataFrame:
+    """iter, diff: mean score of the relabelled pairs of one key less the mean of all others.
+
+    The grand total comes from the tiles' histograms; of the pairs only those of one key are listed, relabelled and scored.
+    """
+    from pairloom.operators.pairs import EVERY, class_histogram, listed_pairs
+
+    spark = index.sparkSession
+    score = F.col(scorer.name)
+    grand = class_histogram(index, [scorer], EVERY).agg(F.sum(score * F.col("n")).alias("all"), F.sum("n").alias("pairs"))
+    ends = [index.select(key, F.col("idx").alias(end)) for end in ("i", "j")]
+    same = cached(spark, scratch(spark), lambda: ends[0].join(ends[1], key).where("i < j").select("i", "j"))
     k = same.count()
-    sums = relabelled(same.select("i", "j"), edges, items, n, seed, score).crossJoin(F.broadcast(grand))
+    moved = cached(spark, scratch(spark), lambda: relabelled(same, index, n, seed))
+    sums = listed_pairs(moved, index, [scorer]).groupBy("iter").agg(F.sum(score).alias("total")).crossJoin(F.broadcast(grand))
     return sums.select("iter", (F.col("total") / k - (F.col("all") - F.col("total")) / (F.col("pairs") - k)).alias("diff"))
 
 

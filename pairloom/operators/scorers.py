@@ -75,3 +75,12 @@ def external(pairs: DataFrame, score: Callable[[pd.Series, pd.Series], list[int]
             yield pdf.assign(score=got)
 
     return pairs.drop("score").mapInPandas(run, schema)
+
+
+def mirrored(scorer: Scorer) -> Scorer:
+    """The greater score of both directions, which is symmetric: a tile makes both."""
+    return Scorer(
+        scorer.name,
+        lambda a, b: F.greatest(scorer.column(a, b), scorer.column(b, a)),
+        scorer.block and (lambda a, b: np.maximum(scorer.block(a, b), scorer.block(b, a).T)),
+    )

@@ -162,27 +162,36 @@ def mann_whitney_p(hist: DataFrame, first: Column, score: str = "score") -> Data
     return both.select(F.col("u").cast("double").alias("u"), "n1", "n2", "ties").mapInPandas(run, "u double, p_greater double, p_two double")
 
 
-def cohens_d(rows: DataFrame, first: Column, value: str) -> DataFrame:
-    """One row: difference of means over the pooled sample deviation."""
-    m1, m2, v1, v2, n1, n2 = (f(F.when(c, F.col(value))) for f in (F.avg, F.var_samp, F.count) for c in (first, ~first))
-    return rows.agg(n1.alias("n1"), n2.alias("n2"), ((m1 - m2) / F.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))).alias("d"))
-
-
-def growth_of_maximum(edges: DataFrame, people: DataFrame, sizes: list[int], repeats: int, order, score: str = "score") -> DataFrame:
-    """(k, reps, mean_top, std_top): the greatest score among k people, over random samples; edges have person_i and person_j.
-
-    order(rep, person): the random key. A size that takes everybody has one sample.
+def cohens_d(hist: DataFrame, first: Column, value: str, weight: str = "n") -> DataFrame:
+    """One row: sizes of the group `first` and the rest, and the difference of their means over the pooled sample deviation, from a histogram."""
+    w, x, parts = F.col(weight), F.col(value).cast("decimal(38,0)"), []
+    for k, own in ((1, first), (2, ~first)):
+        of = lambda c, own=own: F.sum(F.when(own, c).otherwise(0))
+        parts += [of(w).alias(f"n{k}"), of(w * x).alias(f"s{k}"), of(w * x * x).alias(f"q{k}")]
+    d = lambda c: F.col(c).cast("double")
+    spread = lambda k: d(f"q{k}") - d(f"s{k}") * d(f"s{k}") / d(f"n{k}")
+    pooled = F.sqrt((spread(1) + spread(2)) / (F.col("n1") + F.col("n2") - 2))
+    return hist.agg(*parts).select("n1", "n2", ((d("s1") / d("n1") - d("s2") / d("n2")) / pooled).alias("d"))
+
+
+def growth_of_maximum(index: DataFrame, scorer, sizes: list[int], repeats: int, order, key: str = "person") -> DataFrame:
+    """(k, reps, mean_top, std_top): the greatest score of items of different people among k people, over random samples.
+
+    order(rep, person): the random key. A size that takes everybody has one sample. Tiles keep only their greatest score for each sample.
     """
-    everybody, spark = people.count(), edges.sparkSession
-    # Only the best pair of two people can be the greatest.
-    best = edges.where("person_i <> person_j").groupBy(F.least("person_i", "person_j").alias("a"), F.greatest("person_i", "person_j").alias("b")).agg(F.max(score).alias(score))
-    tops = best.agg(F.lit(everybody).cast("int").alias("k"), F.lit(0).alias("rep"), F.max(score).alias("top"))
+    from pairloom.operators.pairs import best_of_samples
+
+    people = index.select(key).distinct()
+    everybody = people.count()
     smaller = [k for k in sizes if k < everybody]
+    whole = best_of_samples(index.withColumn("_places", F.array(F.lit(1))), scorer, key, "_places", [1])
+    tops = whole.select(F.lit(everybody).cast("int").alias("k"), "rep", "top")
     if smaller:
         # A sample's people are the first by a random order; Spark limits them in each task before they meet.
         dealt = people.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        dealt = dealt.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(order(F.col("rep"), F.col("person")), "person"))).where(F.col("place") <= max(smaller))
-        chosen = dealt.join(F.broadcast(spark.createDataFrame([(k,) for k in smaller], "k int")), F.col("place") <= F.col("k")).select("k", "rep", "person")
-        both = best.join(chosen.withColumnRenamed("person", "a"), "a").join(chosen.withColumnRenamed("person", "b"), ["k", "rep", "b"])
-        tops = tops.unionByName(both.groupBy("k", "rep").agg(F.max(score).alias("top")))
+        dealt = dealt.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(order(F.col("rep"), F.col(key)), key))).where(F.col("place") <= max(smaller))
+        held = dealt.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("rep", "place"))).alias("_m"))
+        places = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda r: F.coalesce(F.try_element_at("_m", r), F.lit(0)))
+        # Only items of people in a sample make pairs.
+        tops = tops.unionByName(best_of_samples(index.join(held, key).withColumn("_places", places), scorer, key, "_places", smaller))
     return tops.groupBy("k").agg(F.count(F.lit(1)).alias("reps"), F.avg("top").alias("mean_top"), F.stddev_pop("top").alias("std_top"))

@@ -461,11 +461,8 @@ def _label_sql() -> str:
 
 @query(_label_sql())
 def label_perm_null(spark, sf_dir):
-    from pairloom.operators import pairs
     from pairloom.operators.scorers import similarity
     from pairloom.sources.analogues import impressions
 
-    index = impressions(spark, sf_dir)
-    edges = pairs.all_pairs(index, [similarity], attributes=("person",))
-    null = resample.label_null(edges.where("person_i = person_j"), edges, index, LABEL_ITER, score="similarity")
+    null = resample.label_null(impressions(spark, sf_dir), similarity, "person", LABEL_ITER)
     return null.select("iter", F.round("diff", 9).alias("diff"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.functions.columns import hash_order
+from pairloom.functions.columns import fold, hash_order
 from pairloom.operators import pairs, tails
-from pairloom.operators.scorers import closeness, one_sided, similarity
+from pairloom.operators.item_pairs import item_pairs
+from pairloom.operators.scorers import closeness, mirrored, one_sided, similarity
 from pairloom.plans.catalog import query
 from pairloom.sources.analogues import impressions, read
 from pairloom.sources.files import cached
@@ -35,10 +36,6 @@ def edges(spark, sf_dir, scorers=(similarity, closeness), columns=("source", "fi
     return pairs.all_pairs(impressions(spark, sf_dir), list(scorers), attributes=tuple(columns))
 
 
-def classed(spark, sf_dir, scorers=(similarity, closeness)) -> DataFrame:
-    return edges(spark, sf_dir, scorers).withColumn("pair_class", pairs.three_way_class())
-
-
 def counted(spark, sf_dir, scorers=(similarity,), classes=pairs.THREE_WAY) -> DataFrame:
     """Histogram of the scores by class, made in the tiles."""
     return pairs.class_histogram(impressions(spark, sf_dir), list(scorers), classes)
@@ -72,26 +69,26 @@ def pair_class3_counts(spark, sf_dir):
 
 @query(f"WITH {CLASSED} SELECT count(*) AS n, CAST(count_if(similarity >= 70) AS BIGINT) AS similar, CAST(count_if(closeness >= 35) AS BIGINT) AS close FROM p WHERE pair_class = 'artefact' AND least(source_i, source_j) = 0 AND greatest(source_i, source_j) = 1")
 def source_pair_artefacts(spark, sf_dir):
-    e = pairs.of_sources(classed(spark, sf_dir).where("pair_class = 'artefact'"), 0, 1)
-    return e.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("similarity >= 70")).alias("similar"), F.count_if(F.expr("closeness >= 35")).alias("close"))
+    index = impressions(spark, sf_dir)
+    # Only the two sources make pairs, each item of one with each of the other.
+    both = pairs.class_histogram(index.where("source = 0"), [similarity, closeness], pairs.THREE_WAY, against=index.where("source = 1")).where("pair_class = 'artefact'")
+    reached = lambda c: F.coalesce(F.sum(F.when(F.expr(c), F.col("n"))), F.lit(0))
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), reached("similarity >= 70").alias("similar"), reached("closeness >= 35").alias("close"))
 
 
 RECTANGLE = f"{IDX}, r AS (SELECT a.idx AS i, b.idx AS j, a.finger_id AS own, b.finger_id AS other, {S1} AS similarity FROM idx a JOIN idx b ON a.idx <> b.idx)"
 
 
-def _rectangle(spark, sf_dir):
-    index = impressions(spark, sf_dir)
-    return pairs.rectangle(index, index, [similarity], attributes=("finger_id",)).where("i <> j")
-
-
 @query(f"WITH {RECTANGLE} SELECT i, count(*) AS n, min(similarity) AS low, max(similarity) AS high FROM r GROUP BY 1")
 def probe_gallery(spark, sf_dir):
-    return _rectangle(spark, sf_dir).groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("low"), F.max("similarity").alias("high"))
+    return pairs.per_probe(impressions(spark, sf_dir), similarity).select("i", "n", "low", "high")
 
 
 @query(f"WITH {RECTANGLE}, b AS (SELECT i, own, arg_max(other, similarity * 1000000 - j) AS found FROM r GROUP BY 1, 2) SELECT count(*) AS probes, avg(CASE WHEN own = found THEN 1.0 ELSE 0.0 END) AS rate FROM b")
 def rank1_identification(spark, sf_dir):
-    best = _rectangle(spark, sf_dir).groupBy("i").agg(F.first("finger_id_i").alias("own"), F.max_by("finger_id_j", F.struct("similarity", -F.col("j"))).alias("found"))
+    index = impressions(spark, sf_dir)
+    named = [index.select(F.col("idx").alias(at), F.col("finger_id").alias(name)) for at, name in (("i", "own"), ("best", "found"))]
+    best = pairs.per_probe(index, similarity).select("i", "best").join(named[0], "i").join(named[1], "best")
     return best.agg(F.count(F.lit(1)).alias("probes"), F.avg((F.col("own") == F.col("found")).cast("double")).alias("rate"))
 
 
@@ -99,9 +96,8 @@ def rank1_identification(spark, sf_dir):
     s AS (SELECT least(i, j) AS i, greatest(i, j) AS j, max(score) AS score FROM d WHERE i <> j GROUP BY 1, 2)
     SELECT score, count(*) AS n FROM s GROUP BY 1""")
 def directed_symmetrise(spark, sf_dir):
-    index = impressions(spark, sf_dir)
-    directed = pairs.rectangle(index, index, [one_sided]).withColumnRenamed("one_sided", "score")
-    return tails.histogram(pairs.symmetrised(directed), [])
+    hist = pairs.class_histogram(impressions(spark, sf_dir), [mirrored(one_sided)], pairs.EVERY)
+    return hist.select(F.col("one_sided").alias("score"), "n")
 
 
 PERCENT_LIST = ", ".join(str(float(p)) for p in tails.PERCENTS)
@@ -186,15 +182,9 @@ FINGERS = f"""{BOTH}, f AS (SELECT least(key_i, key_j) AS key_a, greatest(key_i,
 
 
 def _finger_blocks(spark, sf_dir):
-    e = pairs.item_blocks(edges(spark, sf_dir, columns=("key", "finger_id")))
-    kind = F.when(F.col("finger_id_i") == F.col("finger_id_j"), "artefact").otherwise("impostor").alias("pair_class")
-    return e.groupBy("key_a", "key_b", kind).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.median("similarity").alias("median_a"),
-        F.median("closeness").alias("median_b"),
-        F.round(F.avg((F.col("similarity") >= 70).cast("double")), 9).alias("share_a"),
-        F.round(F.avg((F.col("closeness") >= 35).cast("double")), 9).alias("share_b"),
-    )
+    blocks = item_pairs(impressions(spark, sf_dir), [similarity, closeness], pairs.THREE_WAY, {"similarity": 70, "closeness": 35})
+    share = lambda c: F.round(F.col(f"reached_{c}") / F.col("n"), 9)
+    return blocks.select("key_a", "key_b", "pair_class", "n", F.col("median_similarity").alias("median_a"), F.col("median_closeness").alias("median_b"), share("similarity").alias("share_a"), share("closeness").alias("share_b"))
 
 
 @query(f"WITH {FINGERS} SELECT * FROM f")
@@ -219,29 +209,28 @@ def finger_pair_rank_sum(spark, sf_dir):
 @query(f"""WITH {BOTH}, c AS (SELECT least(key_i, key_j) AS key_a, greatest(key_i, key_j) AS key_b, i, j, similarity * 54 + closeness * 59 AS both_scores FROM e WHERE key_i <> key_j)
     SELECT key_a, key_b, i, j, both_scores FROM c QUALIFY row_number() OVER (PARTITION BY key_a, key_b ORDER BY both_scores DESC, i DESC, j DESC) = 1""")
 def finger_pair_peak(spark, sf_dir):
-    e = pairs.item_blocks(edges(spark, sf_dir, columns=("key",))).withColumn("both_scores", F.col("similarity") * 54 + F.col("closeness") * 59)
-    best = e.groupBy("key_a", "key_b").agg(F.max(F.struct("both_scores", "i", "j")).alias("m"))
-    return best.select("key_a", "key_b", "m.i", "m.j", "m.both_scores")
+    best = item_pairs(impressions(spark, sf_dir), [similarity, closeness], pairs.EVERY, {}, {"similarity": 54, "closeness": 59})
+    return best.select("key_a", "key_b", "peak.i", "peak.j", F.col("peak.sum").alias("both_scores"))
 
 
 @query(f"""WITH {BOTH} SELECT a.idx AS i, b.idx AS j, e.similarity, e.closeness FROM idx a JOIN idx b ON a.key = '0/1' AND b.key = '1/1'
     LEFT JOIN (SELECT * FROM e WHERE similarity >= 60) e ON e.i = least(a.idx, b.idx) AND e.j = greatest(a.idx, b.idx)""".replace("a.idx AS i, b.idx AS j", "least(a.idx, b.idx) AS i, greatest(a.idx, b.idx) AS j"))
 def named_finger_pairs(spark, sf_dir):
     index = impressions(spark, sf_dir)
-    known = pairs.all_pairs(index, [similarity, closeness]).where("similarity >= 60")
-    return pairs.scored_pairs(index.where("key = '0/1'"), index.where("key = '1/1'"), known)
+    return pairs.named_pairs(index.where("key = '0/1'"), index.where("key = '1/1'"), [similarity, closeness], {"similarity": 60})
 
 
 BODIES = f"""{BOTH}, bc AS (SELECT similarity, person_i = person_j AS same, finger_i = finger_j AND hand_i <> hand_j AS homologous FROM e),
     g AS (SELECT 'different_bodies' AS body_class, similarity FROM bc WHERE NOT same UNION ALL SELECT 'same_body', similarity FROM bc WHERE same
     UNION ALL SELECT 'same_body_homologous', similarity FROM bc WHERE same AND homologous UNION ALL SELECT 'same_body_other', similarity FROM bc WHERE same AND NOT homologous)"""
-BODY = ("person", "hand", "finger")
+#: Of the disjoint classes, those that they are part of.
+PARTS = {"different_bodies": ["different_bodies"], "same_body_other": ["same_body", "same_body_other"], "same_body_homologous": ["same_body", "same_body_homologous"]}
 
 
 @query(f"WITH {BODIES} SELECT body_class, count(*) AS n, round(avg(similarity), 6) AS mean, round(stddev_pop(similarity), 6) AS std, round(median(similarity), 6) AS p50, max(similarity) AS top FROM g GROUP BY 1")
 def body_class_distribution(spark, sf_dir):
-    e = edges(spark, sf_dir, [similarity], BODY).withColumn("body_class", F.explode(pairs.body_classes()))
-    s = tails.summary(e, ["body_class"], "similarity", ())
+    classes = fold(F.col("pair_class"), *((k, v) for k, v in PARTS.items()))
+    s = tails.summary(counted(spark, sf_dir, classes=pairs.BODIES).withColumn("body_class", F.explode(classes)), ["body_class"], "similarity", (), weight="n")
     return s.select("body_class", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round("p50", 6).alias("p50"), "top")
 
 
@@ -256,8 +245,8 @@ def mann_whitney_auc(spark, sf_dir):
 @query(f"""WITH {BODIES} SELECT CAST(count_if(same) AS BIGINT) AS n1, CAST(count_if(NOT same) AS BIGINT) AS n2, round((avg(similarity) FILTER (same) - avg(similarity) FILTER (NOT same)) /
     sqrt(((count_if(same) - 1) * var_samp(similarity) FILTER (same) + (count_if(NOT same) - 1) * var_samp(similarity) FILTER (NOT same)) / (count(*) - 2)), 6) AS d FROM bc""")
 def cohens_d(spark, sf_dir):
-    e = edges(spark, sf_dir, [similarity], ("person",))
-    return tails.cohens_d(e, F.col("person_i") == F.col("person_j"), "similarity").select("n1", "n2", F.round("d", 6).alias("d"))
+    hist = counted(spark, sf_dir, classes=pairs.SAME_PERSON)
+    return tails.cohens_d(hist, F.col("pair_class") == "same", "similarity").select("n1", "n2", F.round("d", 6).alias("d"))
 
 
 @query(f"""WITH {ONE}, people AS (SELECT DISTINCT person FROM idx), total AS (SELECT count(*) AS n FROM people),
@@ -268,8 +257,7 @@ def cohens_d(spark, sf_dir):
     tops AS (SELECT x.k, x.rep, max(score) AS top FROM best JOIN chosen x ON x.person = a JOIN chosen y ON y.person = b AND x.k = y.k AND x.rep = y.rep GROUP BY 1, 2)
     SELECT CAST(k AS INTEGER) AS k, count(*) AS reps, round(avg(top), 6) AS mean_top, round(stddev_pop(top), 6) AS std_top FROM tops GROUP BY 1""")
 def growth_of_maximum(spark, sf_dir):
-    people = impressions(spark, sf_dir).select("person").distinct()
-    g = tails.growth_of_maximum(edges(spark, sf_dir, [similarity], ("person",)), people, [5, 10, 20, 40], 10, lambda rep, person: hash_order(F.lit("growth"), rep, person), "similarity")
+    g = tails.growth_of_maximum(impressions(spark, sf_dir), similarity, [5, 10, 20, 40], 10, lambda rep, person: hash_order(F.lit("growth"), rep, person))
     return g.select("k", "reps", F.round("mean_top", 6).alias("mean_top"), F.round("std_top", 6).alias("std_top"))
 
 

@@ -318,12 +318,17 @@ BODIES_KEPT = f"""WITH {BOTH}, bc AS (SELECT similarity, closeness, person_i = p
         WHERE s.state = 'all' OR NOT out_) GROUP BY 1, 2""")
 def before_after_exclusion(spark, sf_dir):
     """The excluded persons' list is missing, so the one in the program counts."""
-    e = edges(spark, sf_dir, columns=("person",)).select("person_i", "person_j", "similarity", "closeness")
     excluded = files.read_excluded(spark, f"{scratch(spark)}/none.json", [3, 7])
-    kept = files.without_persons(e, excluded, ("person_i", "person_j"))
-    both = e.withColumn("state", F.lit("all")).unionByName(kept.withColumn("state", F.lit("kept")))
-    long = both.unpivot(["state", "person_i", "person_j"], ["similarity", "closeness"], "scorer", "score")
-    return long.groupBy("state", "scorer").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("person_i = person_j")).alias("same_body"), F.count_if(F.expr("score >= 35")).alias("n_ge_35"))
+    index = impressions(spark, sf_dir)
+    gone = excluded.select(F.col(excluded.columns[0]).cast("long").alias("person")).distinct().withColumn("gone", F.lit(True))
+    index = index.join(gone, "person", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    # Pairs of excluded people are a class of the one pass; what is kept is the rest.
+    classes = pairs.apart(pairs.SAME_PERSON, "gone")
+    hist = pairs.class_histogram(index, [similarity, closeness], classes)
+    states = F.when(F.col("pair_class").startswith("excluded"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("kept")))
+    long = hist.withColumn("state", F.explode(states)).unpivot(["state", "pair_class", "n"], ["similarity", "closeness"], "scorer", "score")
+    some = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return long.groupBy("state", "scorer").agg(F.sum("n").alias("n"), some(F.col("pair_class").endswith("same")).alias("same_body"), some(F.col("score") >= 35).alias("n_ge_35"))
 
 
 @query("SELECT n_nationkey AS k, CAST(i + 1 AS INTEGER) AS n, round(n_nationkey + i / 2.0, 6) AS ax, round(i * 3.5, 6) AS ay, CAST(i AS DOUBLE) AS bx, round(n_nationkey / 4.0, 6) AS b_y FROM nation, (SELECT unnest(range(3)) AS i)")
@@ -461,8 +466,9 @@ def cleaned_observations(spark, sf_dir):
 
 @query(f"WITH {ONE} SELECT count(*) AS n, CAST(sum(similarity) AS BIGINT) AS total FROM e WHERE source_i <> 3 AND source_j <> 3 AND finger_id_i <> finger_id_j")
 def natural_impostors(spark, sf_dir):
-    e = edges(spark, sf_dir, [similarity]).withColumns({f"source_{x}": F.concat(F.lit("FVC_DB"), F.col(f"source_{x}") + 1) for x in "ij"})
-    return cleaning.natural_pairs(e).agg(F.count(F.lit(1)).alias("n"), F.sum("similarity").alias("total"))
+    named = impressions(spark, sf_dir).withColumn("source", F.concat(F.lit("FVC_DB"), F.col("source") + 1))
+    hist = pairs.class_histogram(cleaning.natural_items(named), [similarity], pairs.THREE_WAY).where("pair_class = 'impostor'")
+    return hist.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.col("similarity") * F.col("n")).alias("total"))
 
 
 @query("SELECT event_type AS status, count(*) AS n, CAST(count_if(value < 5) AS BIGINT) AS few, CAST(count_if(user_id % 2 = 0) AS BIGINT) AS even FROM events GROUP BY 1")
@@ -522,7 +528,9 @@ def above_threshold(spark, sf_dir):
     WHERE person_i IN (SELECT person FROM c) AND person_j IN (SELECT person FROM c)""")
 def pairs_within(spark, sf_dir):
     people = impressions(spark, sf_dir).where("person % 3 <> 0").select("person")
-    return pairs.within(edges(spark, sf_dir, [similarity], ("person",)), people, "person").agg(F.count(F.lit(1)).alias("n"), F.sum("similarity").alias("total"))
+    # Who is not among the people makes no pairs.
+    index = impressions(spark, sf_dir).join(people.distinct(), "person", "left_semi")
+    return pairs.class_histogram(index, [similarity], pairs.EVERY).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.col("similarity") * F.col("n")).alias("total"))
 
 
 RANK_SUM = f"""{ONE}, s AS (SELECT similarity, person_i = person_j AS same FROM e), h AS (SELECT similarity, count(*) AS n, count_if(same) AS n1 FROM s GROUP BY 1),

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import fields, pairs, tails
-from pairloom.operators.scorers import closeness, external, one_sided, similarity
+from pairloom.operators.item_pairs import item_pairs
+from pairloom.operators.scorers import Scorer, closeness, external, mirrored, one_sided, similarity
 
 
 @pytest.fixture(scope="module")
@@ -76,7 +77,7 @@ def test_one_pass_over_the_pairs(spark, sf_dir):
     """No query scores the pairs more than once."""
     from pairloom.plans import catalog
 
-    for name in ("allvsall_hist", "spearman_scorers", "mann_whitney_auc", "top_impostors", "percentile_disc_by_class"):
+    for name in ("allvsall_hist", "spearman_scorers", "mann_whitney_auc", "top_impostors", "percentile_disc_by_class", "directed_symmetrise", "cohens_d", "body_class_distribution", "probe_gallery", "rank1_identification"):
         df = catalog.QUERIES[name].build(spark, sf_dir)
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
@@ -160,7 +161,97 @@ def test_clusters_and_dipoles():
 
 
 def test_growth_takes_everybody_once(spark):
-    edges = spark.createDataFrame([(1, 2, 10), (1, 3, 20), (2, 3, 30)], "person_i long, person_j long, score int")
-    people = spark.createDataFrame([(1,), (2,), (3,)], "person long")
-    got = {r.k: r for r in tails.growth_of_maximum(edges, people, [2, 9], 4, lambda rep, p: F.md5(F.concat_ws(":", rep, p))).collect()}
-    assert set(got) == {2, 3} and got[3].reps == 1 and got[3].mean_top == 30 and got[2].reps == 4
+    """Scores of numbers are their products, so the greatest of a sample is that of its two greatest people."""
+    product = Scorer("product", lambda a, b: (a[0] * b[0]).cast("long"), lambda a, b: a @ b.T)
+    rows = [(k, k // 2, [float(3 + k // 2)]) for k in range(12)]
+    index = spark.createDataFrame(rows, "idx long, person long, q array<double>")
+    order = lambda rep, p: F.md5(F.concat_ws(":", rep, p))
+    got = {r.k: r for r in tails.growth_of_maximum(index, product, [2, 4, 9], 5, order).collect()}
+    people = [r.person for r in index.select("person").distinct().collect()]
+    assert set(got) == {2, 4, 6} and got[6].reps == 1 and got[6].mean_top == 8 * 7 and got[6].std_top == 0
+    import hashlib
+
+    for k in (2, 4):
+        tops = []
+        for rep in range(5):
+            first = sorted(people, key=lambda p: hashlib.md5(f"{rep}:{p}".encode()).hexdigest())[:k]
+            a, b = sorted(3 + p for p in first)[-2:]
+            tops.append(a * b)
+        assert got[k].reps == 5 and got[k].mean_top == pytest.approx(np.mean(tops)) and got[k].std_top == pytest.approx(np.std(tops))
+
+
+@pytest.mark.parametrize("tile", [7, 40, 1000])
+def test_probes_and_both_directions(index, tile):
+    m = brute(index, similarity)
+    got = pairs.per_probe(index, similarity, tile_rows=tile).toPandas().sort_values("i")
+    np.fill_diagonal(m, -1000)
+    assert got.i.tolist() == list(range(96)) and (got.n == 95).all() and (got.high == m.max(1)).all() and (got.best == m.argmax(1)).all()
+    np.fill_diagonal(m, 1000)
+    assert (got.low == m.min(1)).all()
+    d = brute(index, one_sided)
+    both = np.maximum(d, d.T)[np.triu_indices(96, 1)]
+    hist = pairs.class_histogram(index, [mirrored(one_sided)], pairs.EVERY, tile_rows=tile).collect()
+    assert {r.one_sided: r.n for r in hist} == dict(zip(*np.unique(both, return_counts=True)))
+    assert pairs.per_probe(index.limit(0), similarity).count() == 0
+
+
+@pytest.mark.parametrize(("tile", "item"), [(7, 1000), (30, 1000), (1000, 1000), (20, 3)])
+def test_whole_items_and_pieces(index, tile, item):
+    """Items of one and of 30 rows, whole or cut into pieces: the same medians, counts and peaks."""
+    index = index.withColumn("key", F.when(F.col("idx") < 30, "hot").when(F.col("idx") == 95, "one").otherwise(F.col("key")))
+    pdf = index.toPandas().sort_values("idx")
+    m = {s.name: brute(index, s) for s in (similarity, closeness)}
+    i, j = np.triu_indices(96, 1)
+    key = pdf.key.to_numpy()
+    e = pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j]), "c": np.where(pdf.finger_id.to_numpy()[i] == pdf.finger_id.to_numpy()[j], np.where(pdf.source.to_numpy()[i] == pdf.source.to_numpy()[j], "genuine", "artefact"), "impostor"), "i": i, "j": j})
+    for n, x in m.items():
+        e[n] = x[i, j].astype(int)
+    e["sum"] = e.similarity * 2 + e.closeness
+    e = e[e.a != e.b]
+    got = item_pairs(index, [similarity, closeness], pairs.THREE_WAY, {"similarity": 60}, {"similarity": 2, "closeness": 1}, tile_rows=tile, item_rows=item).collect()
+    want = {k: g for k, g in e.groupby(["a", "b", "c"])}
+    assert {(r.key_a, r.key_b, r.pair_class) for r in got} == set(want) and len(got) == len(want)
+    for r in got:
+        g = want[r.key_a, r.key_b, r.pair_class]
+        top = g.sort_values(["sum", "i", "j"]).iloc[-1]
+        assert (r.n, r.median_similarity, r.median_closeness, r.reached_similarity) == (len(g), g.similarity.median(), g.closeness.median(), (g.similarity >= 60).sum())
+        assert (r.peak["sum"], r.peak.i, r.peak.j) == (top["sum"], top.i, top.j)
+
+
+def test_listed_and_named_pairs(spark, index):
+    m = brute(index, similarity)
+    rng = np.random.default_rng(5)
+    rows = [(int(k % 3), int(min(a, b)), int(max(a, b))) for k, (a, b) in enumerate(rng.integers(0, 96, (200, 2)).tolist()) if a != b]
+    rows += rows[:5] + [(9, 3, 5000)]
+    listed = spark.createDataFrame(rows, "tag int, i long, j long")
+    got = sorted((r.tag, r.i, r.j, r.similarity) for r in pairs.listed_pairs(listed, index, [similarity], tile_rows=16).collect())
+    assert got == sorted((t, i, j, int(m[i, j])) for t, i, j in rows if j < 96)
+    two = pairs.named_pairs(index.where("key = '3/2'"), index.where("key = '0/1'"), [similarity], {"similarity": 60}).collect()
+    assert len(two) == 64 and all(r.i < r.j and r.similarity == (int(m[r.i, r.j]) if m[r.i, r.j] >= 60 else None) for r in two)
+
+
+def test_classes_apart_and_against(index):
+    """Excluded ends make classes of their own; pairs against another index and within it make the whole."""
+    held = index.withColumn("gone", F.col("idx") % 10 == 0)
+    whole = {(r.pair_class, r.similarity): r.n for r in pairs.class_histogram(index, [similarity], pairs.THREE_WAY).collect()}
+    split: dict = {}
+    for r in pairs.class_histogram(held, [similarity], pairs.apart(pairs.THREE_WAY, "gone")).collect():
+        k = (r.pair_class.removeprefix("excluded_"), r.similarity)
+        split[k] = split.get(k, 0) + r.n
+    assert split == whole
+    low, high = index.where("idx < 40"), index.where("idx >= 40")
+    parts: dict = {}
+    for h in (pairs.class_histogram(low, [similarity], pairs.THREE_WAY), pairs.class_histogram(high, [similarity], pairs.THREE_WAY), pairs.class_histogram(low, [similarity], pairs.THREE_WAY, tile_rows=16, against=high)):
+        for r in h.collect():
+            parts[r.pair_class, r.similarity] = parts.get((r.pair_class, r.similarity), 0) + r.n
+    assert parts == whole
+
+
+def test_cohens_d(spark):
+    rng = np.random.default_rng(6)
+    x, g = rng.integers(0, 50, 400), rng.integers(0, 2, 400)
+    hist = spark.createDataFrame(pd.DataFrame({"x": x, "g": g})).groupBy("x", "g").agg(F.count(F.lit(1)).alias("n"))
+    a, b = x[g == 1], x[g == 0]
+    d = (a.mean() - b.mean()) / np.sqrt(((len(a) - 1) * a.var(ddof=1) + (len(b) - 1) * b.var(ddof=1)) / 398)
+    got = tails.cohens_d(hist, F.col("g") == 1, "x").first()
+    assert (got.n1, got.n2) == (len(a), len(b)) and got.d == pytest.approx(d)
