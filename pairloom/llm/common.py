@@ -93,10 +93,18 @@ def discard(*tables: DataFrame) -> None:
 
 
 def file_bytes(df: DataFrame) -> int:
-    """Bytes of the tables that df is made from, by Spark's statistics; a table without any counts as one partition's."""
+    """Bytes of the tables that df is made from, by Spark's statistics.
+
+    Where a table has none (rows of a connector, a view over one, a stream's batch), one aggregate counts the bytes of df's texts;
+    half of them stand for the file, as packed texts are about half as long.
+    """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
-    return sum(x if x < 1 << 60 else PARTITION_BYTES for x in sizes)
+    if all(x < 1 << 60 for x in sizes):
+        return sum(sizes)
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    each = sum(texts, F.lit(8 * len(df.columns))).cast("long")
+    return (df.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0] + 1) // 2
 
 
 def partitions_for(size: int) -> int:

@@ -3,7 +3,7 @@
 A phrase is GRAM words; a document offers, for every window of WINDOW words, the phrase of least hash
 in it, which is one for about 18 words.
 
-1. Confirm. Documents are dealt to shards of up to SHARD_ROWS rows. A shard sends its phrases, each
+1. Confirm. Documents are dealt to shards of up to SHARD_ROWS short texts; a long text is a shard of its own. A shard sends its phrases, each
    once, to the buckets of their names, where phrases meet by content. Those that occur in more than
    one document are confirmed and told to every shard that has sent them.
 2. Compile. A shard's confirmed phrases become Aho-Corasick automata (pyahocorasick) of at most
@@ -35,6 +35,8 @@ from pairloom.llm.repeats import CROWDED, GRAM, SEVERAL, SLICE_BYTES, SLICES, SL
 
 #: Rows of a shard of documents, at most, and phrases of one automaton.
 SHARD_ROWS, SHARD_PHRASES = 1024, 20_000
+#: Bytes from which a document is a shard of its own, so that a shard's texts come to SHARD_ROWS times as many at most, or to one text.
+LONG_TEXT = 1 << 15
 #: No phrase begins here.
 NOWHERE = np.uint64((1 << 64) - 1)
 #: Values that the first and second letter of a word's code can have.
@@ -120,19 +122,24 @@ def _confirmed(docs: DataFrame, tasks: int, buckets: int, crowd: int) -> DataFra
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, offer = None, Offer()
 
-        def told():
+        def told(shard: int | None, offer: Offer) -> Iterator[pa.RecordBatch]:
             out = list(offer.blocks(buckets))
             for at in range(0, len(out), 500):
                 bucket, block = zip(*out[at : at + 500])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array([now] * len(bucket), pa.int64()), pa.array(block, pa.binary())], ["bucket", "shard", "block"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array([shard] * len(bucket), pa.int64()), pa.array(block, pa.binary())], ["bucket", "shard", "block"])
 
         for batch in batches:
             for shard, key, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "text"))):
+                if shard < 0:
+                    alone = Offer()
+                    alone.add(key, text)
+                    yield from told(shard, alone)
+                    continue
                 if shard != now:
-                    yield from told()
+                    yield from told(now, offer)
                     now, offer = shard, Offer()
                 offer.add(key, text)
-        yield from told()
+        yield from told(now, offer)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (shards, blocks) in _groups(batches, ["shard", "block"]):
@@ -265,12 +272,18 @@ def first_owners(pieces: list[bytes], low: np.ndarray, high: np.ndarray) -> tupl
     return first[of], lengths
 
 
+def sharded(docs: DataFrame) -> DataFrame:
+    """docs with shard: up to SHARD_ROWS short texts that lie side by side, or one long text."""
+    place = F.monotonically_increasing_id()
+    alone = F.octet_length("text") >= LONG_TEXT
+    return docs.withColumn("_place", place).withColumn("shard", F.when(alone, -1 - F.col("_place")).otherwise(F.floor(F.col("_place") / SHARD_ROWS))).drop("_place")
+
+
 def removed_word_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = SLICES_OF_NAME) -> DataFrame:
     """doc_id, text, starts, ends: of every document the runs of words to remove; null where there are none."""
     small_batches(docs.sparkSession)
     tasks, buckets = spread(docs)
-    shard = F.floor(F.monotonically_increasing_id() / SHARD_ROWS).alias("shard")
-    rows = staged(keyed(docs, id_col, text_col).select("*", shard), "sharded")
+    rows = staged(sharded(keyed(docs, id_col, text_col)), "sharded")
     confirmed = staged(_confirmed(rows, tasks, buckets, crowd), "confirmed")
     slices = staged(_located(rows, confirmed, tasks, buckets), "slices")
     discard(confirmed)

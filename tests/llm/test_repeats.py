@@ -2,8 +2,13 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairloom.llm import phrases, repeats, suffix_array
+from pairloom.llm.common import PARTITION_BYTES, file_bytes
+from pairloom.llm.phrases import phrase_dedup
+from pairloom.llm.repeats import keyed, spread
+from pairloom.llm.suffix_array import suffix_dedup
 
 
 def removed_by_hand(rows, tokens):
@@ -61,6 +66,30 @@ def test_long_texts(make_docs, odd):
     assert rows[7].n_removed == rows[7].n_words == 60_000 and rows[6].n_removed == 0
 
 
+def test_long_texts_are_shards_of_their_own(make_docs, prose, monkeypatch):
+    """Texts on either side of the length share passages with each other."""
+    plain = sorted(map(tuple, phrase_dedup(make_docs(prose)).collect()))
+    monkeypatch.setattr(phrases, "LONG_TEXT", 700)
+    rows = phrases.sharded(keyed(make_docs(prose))).collect()
+    assert {r.shard < 0 for r in rows if len(r.text.encode()) >= 700} == {True} and {r.shard < 0 for r in rows if len(r.text.encode()) < 700} == {False}
+    assert len({r.shard for r in rows if r.shard < 0}) == sum(len(t.encode()) >= 700 for _, t in prose)
+    assert sorted(map(tuple, phrase_dedup(make_docs(prose)).collect())) == plain
+
+
+def test_a_source_without_statistics(spark, make_docs, prose):
+    """Rows that no file tells the size of are counted, so work is spread by their bytes."""
+    docs = make_docs(prose)
+    bare = spark.createDataFrame(docs.rdd.repartition(2), docs.schema)
+    leaves = bare._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert int(str(leaves.apply(0).stats().sizeInBytes())) >= 1 << 60
+    size = sum(len(t.encode()) for _, t in prose)
+    assert size / 2 <= file_bytes(bare) <= size
+    wide = bare.withColumn("text", F.repeat("text", 400)).repartition(2)
+    assert spread(wide)[0] >= size * 400 // PARTITION_BYTES > 1
+    for dedup in (suffix_dedup, phrase_dedup):
+        assert sorted(map(tuple, dedup(bare).collect())) == sorted(map(tuple, dedup(docs).collect()))
+
+
 def test_tasks_do_not_matter(make_docs, prose):
     rows = [tuple(r) for r in suffix_array.suffix_dedup(make_docs(prose)).collect()]
     wide = [tuple(r) for r in suffix_array.suffix_dedup(make_docs(prose).repartition(9)).collect()]
