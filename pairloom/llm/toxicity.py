@@ -8,8 +8,9 @@ turns the marginals of a document (their greatest values and how many are expect
 a score. The number of labelled documents (`sample`) is the only bound.
 
 A chain is a segment of up to `SEGMENT` tokens of one document; every token of a text is in one.
-One task trains, as the sample is bounded; the model has a fixed size (hashed features) and is
-broadcast.
+Segments are dealt out in blocks of bounded size, whatever the length of a text. In each round of training
+tasks sum the gradients of their blocks, as whole numbers, so the model does not hang on how rows are dealt
+out; the sum and the model have a fixed size (hashed features) and go to the driver and to the tasks.
 
 Defined cases: null counts as empty; a text without tokens gets the score of a document without any
 toxic evidence; repeated rows get equal results; without labels of both kinds all scores are 0; an
@@ -18,10 +19,9 @@ empty table gives an empty result. Labels, ids and other columns are no inputs o
 
 from __future__ import annotations
 
-import pickle
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import append_columns, map_texts, texts_of, training_sample
+from pairloom.llm.common import append_columns, discard, map_texts, staged, texts_of, training_sample
 
 SEGMENT = 64
 FEATURES = 1 << 16
@@ -91,46 +91,61 @@ class Crf:
         odds = ahead * back
         return np.where(mask, odds / (1 + odds), 0), ahead, back
 
-    def expected(self, emission, mask) -> tuple[np.ndarray, np.ndarray]:
-        """Marginals of state 1 and expected transition counts."""
+    def expected(self, emission, mask, unit: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals of state 1 and expected transition counts; unit: each of both as a whole number of it."""
         p, ahead, back = self.marginals(emission, mask)
         e, a = np.exp(np.clip(emission, -30, 30)), np.exp(self.trans)
         x = e[1:] * back[1:]
         w = np.stack([np.full_like(x, a[0, 0]), a[0, 1] * x, a[1, 0] * ahead[:-1], a[1, 1] * ahead[:-1] * x])
         w = w / w.sum(0) * mask[1:]
+        if unit:
+            p, w = np.rint(p * unit), np.rint(w * unit)
         return p, w.sum((1, 2)).reshape(2, 2)
 
 
-def train_crf(features: np.ndarray, ids: np.ndarray, labels: np.ndarray, lengths: np.ndarray, rounds: int = 60, ridge: float = 1e-4, block: int = 2048) -> Crf:
-    """Maximum likelihood by Adam over all segments.
+#: Tokens of a block of training segments, about; a longer text is in several. What a token adds to a gradient is a whole
+#: number of this unit, so that sums hang on no order and no dealing out.
+BLOCK_TOKENS, UNIT = 1 << 16, 1 << 32
 
-    features: of every word, (word, feature). ids, labels: word and state of every token, for documents
-    of these lengths laid end to end.
-    """
+
+@dataclass
+class Block:
+    """Training tokens: features of every word, word and state of every token, and tokens of every piece of a text, end to end."""
+
+    features: np.ndarray
+    ids: np.ndarray
+    labels: np.ndarray
+    lengths: np.ndarray
+
+    def gradient(self, model: Crf, side: int = 2048) -> np.ndarray:
+        """What the tokens add to the gradient of the weights and, last, of the four transitions, in UNIT. side: segments of one grid."""
+        begins, sizes = _segments(self.lengths)
+        emission = model.weights[self.features].sum(1)[self.ids]
+        error, moves = -self.labels.astype(float) * UNIT, np.zeros((2, 2))
+        order = np.argsort(sizes, kind="stable")
+        for at in range(0, len(order), side):  # segments of about equal length side by side
+            own = order[at : at + side]
+            mask = np.arange(sizes[own[-1]])[:, None] < sizes[own]
+            token = np.where(mask, begins[own] + np.arange(len(mask))[:, None], 0)
+            p, some = model.expected(emission[token], mask, UNIT)
+            error[token[mask]] += p[mask]
+            moves += some
+        same = np.ones(max(0, len(self.ids) - 1), bool)
+        same[begins[1:] - 1] = False
+        seen = np.bincount((2 * self.labels[:-1].astype(int) + self.labels[1:])[same], minlength=4).reshape(2, 2)
+        by_word = np.bincount(self.ids, error, len(self.features))
+        by_feature = np.bincount(self.features.ravel(), np.repeat(by_word, PER_WORD), FEATURES)
+        return np.concatenate([by_feature, (moves - seen * UNIT).ravel()]).astype(np.int64)
+
+
+def train_crf(gradient: Callable[[Crf], np.ndarray], used: np.ndarray, tokens: int, rounds: int = 60, ridge: float = 1e-4) -> Crf:
+    """Maximum likelihood by Adam. gradient: the sum over all blocks; used: the features that occur."""
     model = Crf(np.zeros(FEATURES), np.zeros((2, 2)))
     model.weights[word_features("")[0]] = -3.0
-    begins, sizes = _segments(lengths)
-    order = np.argsort(sizes, kind="stable")
-    grids = []  # segments of about equal length side by side
-    for at in range(0, len(order), block):
-        own = order[at : at + block]
-        mask = np.arange(sizes[own[-1]])[:, None] < sizes[own]
-        grids.append((np.where(mask, begins[own] + np.arange(len(mask))[:, None], 0).astype(np.int32), mask))
-    seen, same = np.zeros(4), np.ones(max(0, len(ids) - 1), bool)
-    same[begins[1:] - 1] = False
-    seen = np.bincount((2 * labels[:-1] + labels[1:])[same], minlength=4).reshape(2, 2)
-    used, columns = np.unique(features, return_inverse=True)
-    columns, n = columns.reshape(features.shape), max(1, len(ids))
     m, v = np.zeros(len(used) + 4), np.zeros(len(used) + 4)
     for t in range(1, rounds + 1):
-        emission = model.weights[used][columns].sum(1)[ids]
-        error, moves = -labels.astype(float), np.zeros((2, 2))
-        for token, mask in grids:
-            p, some = model.expected(emission[token], mask)
-            error[token[mask]] += p[mask]
-            moves += some
-        by_word = np.bincount(ids, error, len(features))
-        grad = np.concatenate([np.bincount(columns.ravel(), np.repeat(by_word, columns.shape[1]), len(used)), (moves - seen).ravel()]) / n
+        whole = gradient(model) / UNIT / max(1, tokens)
+        grad = np.concatenate([whole[used], whole[-4:]])
         grad[: len(used)] += ridge * model.weights[used] / len(used)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
@@ -198,38 +213,70 @@ def _presence(texts: list[str]) -> list[np.ndarray]:
     return [np.unique(np.array(make(t.split()) or [[0]]).ravel()) for t in texts]
 
 
-def labelled_tokens(texts: list[str], toxic: list[int], suspect: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(features of every different word, word of every token, its label, tokens of every text): all tokens of all texts.
+def labelled_blocks(texts: Iterator[tuple[str, int]], suspect: np.ndarray) -> Iterator[Block]:
+    """All tokens of all texts (text, whether it is toxic), in blocks.
 
-    A token of a toxic text is toxic if one of its features is suspect.
+    A token of a toxic text is toxic if one of its features is suspect. A text is cut only between segments.
     """
     number: dict[str, int] = {}
-    ids = [np.array([number.setdefault(w, len(number)) for w in t.split()], np.int32) for t in texts]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    features = np.array([word_features(w) for w in number], np.int32).reshape(-1, PER_WORD)
-    ids = np.concatenate([np.zeros(0, np.int32), *ids])
-    labels = suspect[features].any(1)[ids] & np.repeat(np.array(toxic) == 1, lengths)
-    return features, ids, labels.astype(np.int8), lengths
-
-
-def learn(texts: list[str], toxic: list[int], suspect: np.ndarray) -> Model:
-    model = Model(train_crf(*labelled_tokens(texts, toxic, suspect)), np.zeros(4))
-    x = []
-    for at in range(0, len(texts), 200):
-        _, ends, p = model.tags(texts[at : at + 200])
-        x += [Model.evidence(p[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-    x, t = np.array(x), np.array(toxic)
-    for _ in range(30):  # Newton steps of a ridge logistic regression
-        p = 1 / (1 + np.exp(-np.clip(x @ model.blend, -30, 30)))
+    ids, labels, lengths, held = [], [], [], 0
+    room = BLOCK_TOKENS // SEGMENT * SEGMENT
+
+    def block() -> Block:
+        features = np.array([word_features(w) for w in number], np.int32).reshape(-1, PER_WORD)
+        own, toxic = np.concatenate(ids), np.repeat(np.array(labels) == 1, lengths)
+        return Block(features, own, (suspect[features].any(1)[own] & toxic).astype(np.int8), np.array(lengths))
+
+    for text, toxic in texts:
+        words = text.split()
+        for at in range(0, len(words), room):
+            piece = words[at : at + room]
+            ids.append(np.array([number.setdefault(w, len(number)) for w in piece], np.int32))
+            labels.append(toxic)
+            lengths.append(len(piece))
+            held += len(piece)
+            if held >= BLOCK_TOKENS:
+                yield block()
+                number = {}
+                ids, labels, lengths, held = [], [], [], 0
+    if held:
+        yield block()
+
+
+def _blend(rows: list[tuple[list[float], int]]) -> np.ndarray:
+    """Newton steps of a ridge logistic regression of labels on evidence."""
+    x, t, blend = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.zeros(4)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ blend, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4)
-        model.blend = model.blend - np.linalg.solve(h, x.T @ (p - t) + 0.1 * model.blend)
-    return model
+        blend = blend - np.linalg.solve(h, x.T @ (p - t) + 0.1 * blend)
+    return blend
+
+
+def _summed(blocks: DataFrame, model: Crf) -> np.ndarray:
+    """The gradient of all blocks: each task gives what is not zero of its own, and Spark adds them up."""
+    shared = blocks.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FEATURES + 4, np.int64)
+        for batch in batches:
+            for features, ids, labels, lengths in zip(*(batch.column(c).to_pylist() for c in ("features", "ids", "labels", "lengths"))):
+                total += Block(np.frombuffer(features, np.int32).reshape(-1, PER_WORD), np.frombuffer(ids, np.int32), np.frombuffer(labels, np.int8), np.frombuffer(lengths, np.int64)).gradient(shared.value)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["f", "g"])
+
+    found = blocks.mapInArrow(run, "f int, g long").groupBy("f").agg(F.sum("g").alias("g")).toArrow()
+    out = np.zeros(FEATURES + 4)
+    out[found["f"].to_numpy()] = found["g"].to_numpy()
+    shared.unpersist()
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 6000, odds: float = 2.5, support: int = 4) -> Model:
     """Learn from at most `sample` labelled documents, whole ones.
 
-    To the driver come, for each feature, how many toxic and other documents have it, and the model.
+    To the driver come, for each feature, how many toxic and other documents have it, the gradients of the rounds, and four
+    numbers for each document of the sample.
     """
     none = Model(None, np.zeros(4))
     picked = training_sample(docs, labels, label, sample)
@@ -246,13 +293,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     if not suspect.any():
         return none
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(b.column("doc_id").to_pylist(), texts_of(b), b.column("label").to_pylist())]
-        rows.sort()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn([r[1] for r in rows], [r[2] for r in rows], suspect))], pa.binary())], ["model"])
-
-    (row,) = picked.select("doc_id", "text", "label").coalesce(1).mapInArrow(train, "model binary").collect()
-    return pickle.loads(bytes(row["model"]))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((t, y) for b in batches for t, y in zip(texts_of(b), b.column("label").to_pylist()))
+        for b in labelled_blocks(rows, suspect):
+            columns = [pa.array([x.tobytes()], pa.binary()) for x in (b.features, b.ids.astype(np.int32), b.labels, b.lengths.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(b.ids)])], ["features", "ids", "labels", "lengths", "tokens"])
+
+    spark = docs.sparkSession
+    made = staged(picked.select("text", "label").mapInArrow(cut, "features binary, ids binary, labels binary, lengths binary, tokens long"), "blocks")
+    # All rounds read the blocks, which tasks keep; a lost one is read again from the table.
+    blocks = made.repartition(2 * spark.sparkContext.defaultParallelism).persist()
+    try:
+        tokens = blocks.agg(F.sum("tokens")).first()[0]
+        model = Model(train_crf(lambda crf: _summed(blocks, crf), np.flatnonzero(counts.sum(0)), tokens), np.zeros(4))
+    finally:
+        blocks.unpersist()
+    discard(made)
+    shared = spark.sparkContext.broadcast(model)
+
+    def weigh(texts: list[str], y: list[int]) -> list:
+        _, ends, p = shared.value.tags(texts)
+        return [y, [Model.evidence(p[a:b]) for a, b in zip(ends[:-1], ends[1:])]]
+
+    rows = map_texts(picked, weigh, "doc_id long, y int, x array<double>", also=("label",)).select("x", "y").collect()
+    model.blend = _blend(sorted((r["x"], r["y"]) for r in rows))
+    return model
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:

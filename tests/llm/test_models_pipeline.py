@@ -155,20 +155,27 @@ def test_shapes_are_whole():
     assert quality._shape("a1" * 20) == "x0" * 20 and quality._shape("ABcd--") == "Xx-"
 
 
-def test_every_segment_trains():
-    """A document of twenty toxic segments trains with all of them, and with its clean ones."""
+def test_every_segment_trains(monkeypatch):
+    """A document of twenty toxic segments trains with all of them, and with its clean ones, in however many blocks."""
     bad = [f"vile{k}" for k in range(20)]
     long = " ".join(" ".join(["calm"] * (toxicity.SEGMENT - 1) + [b]) for b in bad) + " calm" * 3 * toxicity.SEGMENT
     suspect = np.zeros(toxicity.FEATURES, bool)
     suspect[[toxicity.word_features(b)[1] for b in bad]] = True
-    features, ids, y, lengths = toxicity.labelled_tokens([long, "", bad[0], bad[0]], [1, 0, 0, 1], suspect)
-    assert lengths.tolist() == [23 * toxicity.SEGMENT, 0, 1, 1] and y.sum() == 21 and y[-2:].tolist() == [0, 1]
-    assert (np.flatnonzero(y[:-2]) // toxicity.SEGMENT).tolist() == list(range(20))
-    begins, sizes = toxicity._segments(lengths)
-    assert sizes.sum() == lengths.sum() and len(begins) == 25 and sizes.max() == toxicity.SEGMENT
+    texts = [(long, 1), ("", 0), (bad[0], 0), (bad[0], 1)]
+    (whole,) = toxicity.labelled_blocks(iter(texts), suspect)
+    assert whole.lengths.tolist() == [23 * toxicity.SEGMENT, 1, 1] and whole.labels.sum() == 21 and whole.labels[-2:].tolist() == [0, 1]
+    assert (np.flatnonzero(whole.labels[:-2]) // toxicity.SEGMENT).tolist() == list(range(20))
+    begins, sizes = toxicity._segments(whole.lengths)
+    assert sizes.sum() == whole.lengths.sum() and len(begins) == 25 and sizes.max() == toxicity.SEGMENT
     covered = np.concatenate([np.arange(a, a + n) for a, n in zip(begins, sizes)])
-    assert covered.tolist() == list(range(lengths.sum()))
+    assert covered.tolist() == list(range(whole.lengths.sum()))
     assert toxicity._segments(np.array([130, 0, 64]))[1].tolist() == [64, 64, 2, 64]
+    monkeypatch.setattr(toxicity, "BLOCK_TOKENS", 3 * toxicity.SEGMENT + 5)
+    parts = list(toxicity.labelled_blocks(iter(texts), suspect))
+    assert len(parts) == 5 and sum(len(b.ids) for b in parts) == len(whole.ids) and max(len(b.ids) for b in parts) < 2 * toxicity.BLOCK_TOKENS
+    crf = toxicity.Crf(np.random.default_rng(0).standard_normal(toxicity.FEATURES), np.array([[0.1, 0.2], [0.3, -0.4]]))
+    assert np.abs(whole.gradient(crf) - sum(b.gradient(crf) for b in parts)).max() <= 2
+    assert list(toxicity.labelled_blocks(iter([]), suspect)) == []
 
 
 def test_training_against_the_whole_likelihood():
@@ -176,14 +183,23 @@ def test_training_against_the_whole_likelihood():
     rng = np.random.default_rng(3)
     features = np.array([toxicity.word_features(w) for w in ("aa", "bb", "cc", "dd")], np.int32)
     lengths = np.array([5, 70, 1, 130])
-    ids = rng.integers(0, 4, lengths.sum())
-    y = (ids == 2).astype(np.int64)
-    a, b = (toxicity.train_crf(features, ids, y, lengths, rounds=5, block=n) for n in (1, 1000))
+    ids = rng.integers(0, 4, lengths.sum()).astype(np.int32)
+    block = toxicity.Block(features, ids, (ids == 2).astype(np.int8), lengths)
+    a, b = (toxicity.train_crf(lambda crf, n=n: block.gradient(crf, n), np.unique(features), len(ids), rounds=5) for n in (1, 1000))
     assert np.allclose(a.weights, b.weights) and np.allclose(a.trans, b.trans)
     scores = a.weights[features].sum(1)
     assert scores[2] == scores.max()
 
 
+def test_training_does_not_depend_on_partitions(spark, sf_dir):
+    """Long sampled texts too: the same weights, however documents are dealt out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    long = docs.where("doc_id % 9 = 0").select("doc_id", F.repeat(F.concat("text", F.lit(" ")), 60).alias("text"))
+    docs = docs.where("doc_id % 9 <> 0").unionByName(long)
+    models = [toxicity.fit(docs.repartition(n), table(spark, sf_dir, "labels")) for n in (1, 7)]
+    assert np.abs(models[0].crf.weights - models[1].crf.weights).max() < 1e-9 and np.abs(models[0].blend - models[1].blend).max() < 1e-9
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     kinds, names = docs.dtypes, [n for n, _ in corpus_pipeline.STAGES]
