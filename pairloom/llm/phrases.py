@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import discard, small_batches, staged
-from pairloom.llm.repeats import CROWDED, GRAM, SEVERAL, SLICE_BYTES, SLICES, SLICES_OF_NAME, WINDOW, Gathered, _groups, _parts, _sliding_min, grams, judged, keyed, runs_of, spread, with_spans, word_tokens
+from pairloom.llm.repeats import CROWDED, GRAM, SEVERAL, SLICE_BYTES, SLICES, SLICES_OF_NAME, WINDOW, Gathered, _groups, _parts, _sliding_min, dealt, grams, judged, keyed, numbered_by_task, runs_of, spread, with_spans, word_tokens
 
 #: Rows of a shard of documents, at most, and phrases of one automaton.
 SHARD_ROWS, SHARD_PHRASES = 1024, 20_000
@@ -164,7 +164,7 @@ def _confirmed(docs: DataFrame, tasks: int, buckets: int, crowd: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(block, pa.binary())], ["shard", "block"])
 
     sent = docs.select("shard", "key", "text").mapInArrow(send, "bucket long, shard long, block binary")
-    return sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(confirm, "shard long, block binary")
+    return dealt(sent, tasks, F.col("bucket")).mapInArrow(confirm, "shard long, block binary")
 
 
 class Automata:
@@ -253,8 +253,10 @@ def _located(docs: DataFrame, confirmed: DataFrame, tasks: int, buckets: int) ->
     none = lambda kind: F.lit(None).cast(kind)
     told = confirmed.select("shard", F.lit(0).alias("kind"), "block", none("long").alias("doc"), none("long").alias("mark"), none("string").alias("text"))
     texts = docs.select("shard", F.lit(1).alias("kind"), none("binary").alias("block"), "doc", "mark", "text")
-    both = told.unionByName(texts).repartition(tasks, "shard").sortWithinPartitions("shard", "kind")
-    return both.drop("kind").mapInArrow(stream, SLICES)
+    # Shards of short texts are numbered within the partitions they come from, long texts lie anywhere.
+    number = F.when(F.col("shard") < 0, F.xxhash64("shard")).otherwise(numbered_by_task(F.col("shard"), 33 - SHARD_ROWS.bit_length() + 1))
+    both = dealt(told.unionByName(texts).withColumn("bucket", F.col("shard")), tasks, number, "kind")
+    return both.drop("kind", "bucket").mapInArrow(stream, SLICES)
 
 
 def first_owners(pieces: list[bytes], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

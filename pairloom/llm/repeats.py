@@ -33,7 +33,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import discard, file_bytes, partitions_for, small_batches, staged
@@ -148,6 +148,16 @@ def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return names.view("<i8").ravel(), np.repeat(ids, counts)
 
 
+def dealt(df: DataFrame, tasks: int, number: Column, *then: str) -> DataFrame:
+    """df by bucket and `then`, bucket k in task `number` modulo tasks: numbers in a row make tasks even, as hashes of few buckets would not."""
+    return df.repartitionById(tasks, F.pmod(number, F.lit(tasks)).cast("int")).sortWithinPartitions("bucket", *then)
+
+
+def numbered_by_task(column: Column, bits: int) -> Column:
+    """Numbers in a row of what a task numbers in the lower bits, tasks' numbers apart by more than any common divisor."""
+    return F.shiftright(column, bits) * 7919 + column.bitwiseAND((1 << bits) - 1)
+
+
 def _recurring(docs: DataFrame, tokens: Tokens, tasks: int, buckets: int, crowd: int) -> DataFrame:
     """key, names: of each document the names that another document has as well (packed longs), crowded ones marked.
 
@@ -230,12 +240,9 @@ def _recurring(docs: DataFrame, tokens: Tokens, tasks: int, buckets: int, crowd:
             for at in range(0, len(parts), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in parts[at : at + 5000]], pa.int64()), pa.array([x[1] for x in parts[at : at + 5000]], pa.binary())], ["key", "names"])
 
-    def by_bucket(df: DataFrame) -> DataFrame:
-        return df.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-
     sent = docs.select("key", "text").mapInArrow(send, "bucket long, flush long, asked binary, slices binary, told binary")
-    answers = by_bucket(sent).mapInArrow(answer, "bucket long, told binary")  # bucket: now the flush that has asked
-    told = by_bucket(answers).mapInArrow(gather, "key long, names binary")
+    answers = dealt(sent, tasks, F.col("bucket")).mapInArrow(answer, "bucket long, told binary")  # bucket: now the flush that has asked
+    told = dealt(answers, tasks, numbered_by_task(F.col("bucket"), 24)).mapInArrow(gather, "key long, names binary")
     return told.groupBy("key").agg(F.collect_list("names").alias("names"))
 
 
@@ -408,7 +415,7 @@ def _verdicts(slices: DataFrame, verify: Verifier, tasks: int) -> DataFrame:
             lists = [pa.ListArray.from_arrays(offsets, pa.array(c, t)) for c, t in zip(columns, [pa.int32(), pa.int32(), pa.int32(), pa.int64()])]
             yield pa.RecordBatch.from_arrays([pa.array(of_flush[cuts]), *lists], ["flush", "no", "a", "b", "first"])
 
-    rows = slices.select("bucket", "flush", "slices").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    rows = dealt(slices.select("bucket", "flush", "slices"), tasks, F.col("bucket"))
     return rows.mapInArrow(judge, "flush long, no array<int>, a array<int>, b array<int>, first array<long>")
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import append_columns, discard, map_texts, staged, texts_of, training_sample
+from pairloom.llm.common import append_columns, discard, map_texts, no_shuffle_files_left, staged, texts_of, training_sample
 
 SEGMENT = 64
 FEATURES = 1 << 16
@@ -265,7 +265,8 @@ def _summed(blocks: DataFrame, model: Crf) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["f", "g"])
 
-    found = blocks.mapInArrow(run, "f int, g long").groupBy("f").agg(F.sum("g").alias("g")).toArrow()
+    with no_shuffle_files_left(blocks.sparkSession):
+        found = blocks.mapInArrow(run, "f int, g long").groupBy("f").agg(F.sum("g").alias("g")).toArrow()
     out = np.zeros(FEATURES + 4)
     out[found["f"].to_numpy()] = found["g"].to_numpy()
     shared.unpersist()
@@ -302,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     spark = docs.sparkSession
     made = staged(picked.select("text", "label").mapInArrow(cut, "features binary, ids binary, labels binary, lengths binary, tokens long"), "blocks")
     # All rounds read the blocks, which tasks keep; a lost one is read again from the table.
-    blocks = made.repartition(2 * spark.sparkContext.defaultParallelism).persist()
+    blocks = made.repartition(spark.sparkContext.defaultParallelism).persist()
     try:
         tokens = blocks.agg(F.sum("tokens")).first()[0]
         model = Model(train_crf(lambda crf: _summed(blocks, crf), np.flatnonzero(counts.sum(0)), tokens), np.zeros(4))
