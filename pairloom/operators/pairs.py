@@ -21,6 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.scorers import Scorer
+from pairloom.sources.files import cached
+from pairloom.sources.ordered import numbered
+from pairloom.sources.scratch import scratch
 
 TILE_ROWS = 256
 
@@ -77,10 +80,12 @@ def _per_tile(tiles: DataFrame, scorers: list[Scorer], triangle: bool, work, sch
     return tiles.mapInArrow(run, schema)
 
 
-def _tile_scores(tiles: DataFrame, scorers: list[Scorer], triangle: bool, attributes: tuple[str, ...], kinds: dict[str, str]) -> DataFrame:
+def _tile_scores(tiles: DataFrame, scorers: list[Scorer], triangle: bool, attributes: tuple[str, ...], kinds: dict[str, str], least: dict[str, int] | None = None) -> DataFrame:
     names = ["i", "j", *(s.name for s in scorers), *(f"{c}_{end}" for c in attributes for end in "ij")]
 
     def work(tile, ids, ids2, keep, scores) -> pa.RecordBatch:
+        for s, x in zip(scorers, scores):
+            keep = keep & (x >= (least or {}).get(s.name, np.iinfo(np.int64).min))
         i, j = np.nonzero(keep)
         ends = [tile[f"a_{c}{two}"].take(pa.array(at)) for c in attributes for two, at in (("", i), ("2", j))]
         return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids2[j]), *(pa.array(s[keep]) for s in scores), *ends], names)
@@ -89,10 +94,13 @@ def _tile_scores(tiles: DataFrame, scorers: list[Scorer], triangle: bool, attrib
     return _per_tile(tiles, scorers, triangle, work, ", ".join(schema))
 
 
-def all_pairs(index: DataFrame, scorers: list[Scorer], features: str = "q", tile_rows: int = TILE_ROWS, attributes: tuple[str, ...] = ()) -> DataFrame:
-    """Every unordered pair once: i < j, a column for each (symmetric) scorer, and name_i and name_j of the attributes."""
+def all_pairs(index: DataFrame, scorers: list[Scorer], features: str = "q", tile_rows: int = TILE_ROWS, attributes: tuple[str, ...] = (), least: dict[str, int] | None = None) -> DataFrame:
+    """Every unordered pair once: i < j, a column for each (symmetric) scorer, and name_i and name_j of the attributes.
+
+    least: scores below these keep a pair in its tile.
+    """
     blocks = _blocks(index, features, tile_rows, attributes)
-    return _tile_scores(_meet(blocks, blocks, True), scorers, True, attributes, dict(index.dtypes))
+    return _tile_scores(_meet(blocks, blocks, True), scorers, True, attributes, dict(index.dtypes), least)
 
 
 def rectangle(probes: DataFrame, gallery: DataFrame, scorers: list[Scorer], features: str = "q", tile_rows: int = TILE_ROWS, attributes: tuple[str, ...] = ()) -> DataFrame:
@@ -135,12 +143,8 @@ def class_histogram(index: DataFrame, scorers: list[Scorer], classes: PairClass,
     return _per_tile(tiles, scorers, against is None, work, schema).groupBy("pair_class", *names).agg(F.sum("n").alias("n"))
 
 
-def best_pairs(index: DataFrame, scorers: list[Scorer], k: int, classes: PairClass, wanted: str, features: str = "q", tile_rows: int = TILE_ROWS, against: DataFrame | None = None) -> DataFrame:
-    """i, j and all scores of the pairs of the wanted class that are among the k best of their tile by any of the scorers.
-
-    The k best of all by any scorer are among them; ties go to the lesser i, then j. against: as in class_histogram; i is of the index.
-    """
-    tiles = _tiles(index, against, features, tile_rows, classes.attributes)
+def _best_of_tiles(tiles: DataFrame, scorers: list[Scorer], k: int, classes: PairClass, wanted: str, triangle: bool) -> DataFrame:
+    """i, j and all scores of the pairs of the wanted class that are among the k best of their tile by any of the scorers."""
     names, code = [s.name for s in scorers], classes.names.index(wanted)
 
     def work(tile, ids, ids2, keep, scores) -> pa.RecordBatch:
@@ -149,7 +153,71 @@ def best_pairs(index: DataFrame, scorers: list[Scorer], k: int, classes: PairCla
         at = np.unique(np.concatenate([_best(s, ids[i], ids2[j], k) for s in own]))
         return pa.RecordBatch.from_arrays([pa.array(ids[i[at]]), pa.array(ids2[j[at]]), *(pa.array(s[at]) for s in own)], ["i", "j", *names])
 
-    return _per_tile(tiles, scorers, against is None, work, "i long, j long, " + ", ".join(f"`{n}` long" for n in names))
+    return _per_tile(tiles, scorers, triangle, work, "i long, j long, " + ", ".join(f"`{n}` long" for n in names))
+
+
+def best_pairs(index: DataFrame, scorers: list[Scorer], k: int, classes: PairClass, wanted: str, features: str = "q", tile_rows: int = TILE_ROWS, against: DataFrame | None = None) -> DataFrame:
+    """i, j and all scores of the pairs of the wanted class that are among the k best of their tile by any of the scorers.
+
+    The k best of all by any scorer are among them; ties go to the lesser i, then j. against: as in class_histogram; i is of the index.
+    """
+    return _best_of_tiles(_tiles(index, against, features, tile_rows, classes.attributes), scorers, k, classes, wanted, against is None)
+
+
+def promising_tiles(blocks: DataFrame, scorers: list[Scorer], least: list[float]) -> DataFrame:
+    """p <= q, of the pairs of blocks that can hold a score of at least `least` by one of the scorers.
+
+    Of a block only the least and the greatest value of each feature come together with those of others.
+    """
+
+    def envelope(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x = np.asarray(batch.column("x")[k].values).reshape(len(batch.column("ids")[k].values), -1)
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(k, 1), pa.array([x.min(0).tolist()]), pa.array([x.max(0).tolist()])], ["block", "low", "high"])
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                low, high, low2, high2 = (np.array(batch.column(c).to_pylist(), float) for c in ("low", "high", "low2", "high2"))
+                keep = np.zeros(batch.num_rows, bool)
+                for s, t in zip(scorers, least):
+                    keep |= (s.bound(low, high, low2, high2) >= t) if s.bound else True
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("at", "at2")], ["p", "q"])
+
+    small = blocks.select("block", "ids", "x").mapInArrow(envelope, "block int, low array<double>, high array<double>").withColumn("at", F.col("block"))
+    return _meet(small, small, True).mapInArrow(reach, "p int, q int")
+
+
+def best_pairs_pruned(index: DataFrame, scorers: list[Scorer], k: int, classes: PairClass, wanted: str, features: str = "q", tile_rows: int = TILE_ROWS, order: Column | None = None) -> DataFrame:
+    """As best_pairs, but only tiles that can hold one of the k best are made.
+
+    Blocks within themselves come first; the k-th score found there is one that the k best of all reach. order: by which
+    items are put into blocks, so that items alike lie together; their idx otherwise. What is returned does not hang on it.
+    """
+    spark = index.sparkSession
+    if order is not None:
+        placed = numbered(index, [order, F.col("idx")], "_place")
+        index = placed.select(*(c for c in index.columns if c != "idx"), F.col("idx").alias("_idx"), F.col("_place").alias("idx"))
+    carried = (*classes.attributes, *(("_idx",) if order is not None else ()))
+    blocks = cached(spark, scratch(spark), lambda: _blocks(index, features, tile_rows, carried))
+    other = blocks.select(F.col("block").alias("q"), *(F.col(c).alias(f"{c}2") for c in blocks.columns if c != "block"))
+    own = blocks.withColumnRenamed("block", "p")
+    within = _best_of_tiles(own.join(other.withColumnRenamed("q", "p"), "p").drop("p"), scorers, k, classes, wanted, True)
+    least = [_kth(within, s.name, k) for s in scorers]
+    tiles = promising_tiles(blocks, scorers, least).join(own, "p").join(other, "q").drop("p", "q")
+    found = _best_of_tiles(tiles, scorers, k, classes, wanted, True)
+    if order is None:
+        return found
+    names = [index.select(F.col("idx").alias(end), F.col("_idx").alias(f"_{end}")) for end in "ij"]
+    both = found.join(names[0], "i").join(names[1], "j")
+    return both.select(F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), *(s.name for s in scorers))
+
+
+def _kth(found: DataFrame, score: str, k: int) -> float:
+    """The k-th best score, or one that all reach where there are fewer."""
+    top = found.select(score).orderBy(F.desc(score)).limit(k).agg(F.min(score), F.count(F.lit(1))).first()
+    return float(top[0]) if top[1] == k else float("-inf")
 
 
 def _best(score: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> np.ndarray:

@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 class Scorer:
     """column: of the features of i and j. block: of two matrices, rows are items; whole-number scores.
 
-    A scorer that is not symmetric has to see both directions of a pair.
+    A scorer that is not symmetric has to see both directions of a pair. bound: of the least and greatest features (low, high) of
+    two groups of items, no less than any score between them; the greater, the less a tile can be left out.
     """
 
     name: str
     column: Callable[[Column, Column], Column]
     block: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
     symmetric: bool = True
+    bound: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -43,9 +45,19 @@ def _l1_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _greatest_dot(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.ndarray) -> np.ndarray:
+    products = np.maximum(np.maximum(low_a * low_b, low_a * high_b), np.maximum(high_a * low_b, high_a * high_b))
+    return np.floor(products.sum(-1) / 10000.0) + 60
+
+
+def _greatest_closeness(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.ndarray) -> np.ndarray:
+    gaps = np.maximum(np.maximum(low_a - high_b, low_b - high_a), 0)
+    return np.floor((12000 - gaps.sum(-1)) / 100.0)
+
+
 #: Whole-number features make every sum exact, whatever its order.
-similarity = Scorer("similarity", lambda a, b: (F.floor(_dot(a, b) / 10000.0) + 60).cast("long"), lambda a, b: np.floor(a @ b.T / 10000.0) + 60)
-closeness = Scorer("closeness", lambda a, b: F.floor((12000 - _l1(a, b)) / 100.0).cast("long"), lambda a, b: np.floor((12000 - _l1_block(a, b)) / 100.0))
+similarity = Scorer("similarity", lambda a, b: (F.floor(_dot(a, b) / 10000.0) + 60).cast("long"), lambda a, b: np.floor(a @ b.T / 10000.0) + 60, bound=_greatest_dot)
+closeness = Scorer("closeness", lambda a, b: F.floor((12000 - _l1(a, b)) / 100.0).cast("long"), lambda a, b: np.floor((12000 - _l1_block(a, b)) / 100.0), bound=_greatest_closeness)
 
 
 def _half(a: Column, first: bool) -> Column:

@@ -87,11 +87,6 @@ def either(a: DataFrame, b: DataFrame, rank_a: str, rank_b: str) -> DataFrame:
     return both.withColumn("best", F.least(rank_a, rank_b))
 
 
-def at_least(edges: DataFrame, threshold, score: str = "score", ties=("i", "j")) -> DataFrame:
-    """All pairs that score at least the threshold, best first."""
-    return edges.where(F.col(score) >= threshold).orderBy(F.col(score).desc(), *ties)
-
-
 def binned(hist: DataFrame, by: list[str], score: str, low: float, high: float, bins: int) -> DataFrame:
     """by, bin, n: a histogram in bins of equal width from low to high; what lies beyond is in the bins at the ends."""
     place = F.floor((F.col(score) - low) / ((high - low) / bins))

@@ -10,6 +10,7 @@ import json
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +20,10 @@ from pairloom.operators import cleaning, fields, pairs, resample, tails
 from pairloom.operators.scorers import closeness, external, one_sided, similarity
 from pairloom.plans.catalog import query
 from pairloom.plans.dependence_queries import ITER, OBS, TWO_VARIABLES, means_sql, null_sql, whole, z_sql
-from pairloom.plans.pair_queries import BOTH, CLASSED, IDX, ONE, TWO_WAY, best, counted, edges
+from pairloom.plans.pair_queries import BOTH, CLASSED, IDX, ONE, TWO_WAY, best, counted
 from pairloom.sources import files, images, indexes
 from pairloom.sources.analogues import impressions, read
+from pairloom.sources.ordered import read_lines, write_sorted
 from pairloom.sources.scratch import put, scratch
 
 HAND = "CASE WHEN {} % 2 = 0 THEN 'Left' ELSE 'Right' END"
@@ -53,7 +55,7 @@ def _index_rows(spark, sf_dir):
 @query(f"WITH {INDEX_SQL} SELECT idx, '/root/img/' || vec_id AS path, source || '/' || finger_id AS key FROM n")
 def index_scan(spark, sf_dir):
     path = scratch(spark)
-    indexes.write_index(_index_rows(spark, sf_dir), path, indexes.index_order())
+    write_sorted(_index_rows(spark, sf_dir), path, indexes.index_order())
     return indexes.read_index(spark, path).select("idx", F.concat(F.lit("/root/"), "path").alias("path"), F.concat_ws("/", "source", "finger_id").alias("key"))
 
 
@@ -61,9 +63,9 @@ def index_scan(spark, sf_dir):
 def index_sorted(spark, sf_dir):
     """The order of the written file itself."""
     path = scratch(spark)
-    indexes.write_index(_index_rows(spark, sf_dir), path, indexes.index_order())
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).where("at > 0 AND line <> ''")
-    return lines.select((F.col("at") - 1).cast("long").alias("idx"), F.split("line", ",")[0].alias("path"))
+    write_sorted(_index_rows(spark, sf_dir), path, indexes.index_order())
+    lines = read_lines(spark, path, "path,source,finger_id,impression")
+    return lines.select(F.col("place").alias("idx"), F.split("line", ",")[0].alias("path"))
 
 
 SUBJECT_SQL = f"""s AS (SELECT vec_id // 10 AS person, vec_id // 10 || '__' || CASE WHEN vec_id // 10 % 2 = 0 THEN 'M' ELSE 'F' END || '_' || {HAND.format('(vec_id % 10 // 5)')} || '_' || {FINGER.format('vec_id')} || '_finger' AS path FROM embeddings)"""
@@ -75,7 +77,7 @@ def _subject_file(spark, sf_dir) -> str:
     sex, hand, finger = F.when(F.col("person") % 2 == 0, "M").otherwise("F"), F.when(F.col("hand") == 0, "Left").otherwise("Right"), F.element_at(names, F.col("finger").cast("int") + 1)
     stem = F.format_string("%d__%s_%s_%s_finger", F.col("person").cast("long"), sex, hand, finger)
     path = scratch(spark)
-    indexes.write_index(df.select(stem.alias("path"), F.lit("").alias("image"), F.col("person").cast("string"), sex.alias("sex"), hand.alias("hand"), finger.alias("finger"), F.lit(12).alias("minutiae")), path, [F.col("person").cast("int"), F.col("path")])
+    write_sorted(df.select(stem.alias("path"), F.lit("").alias("image"), F.col("person").cast("string"), sex.alias("sex"), hand.alias("hand"), finger.alias("finger"), F.lit(12).alias("minutiae")), path, [F.col("person").cast("int"), F.col("path")])
     return path
 
 
@@ -220,6 +222,38 @@ def grey_contrast(spark, sf_dir):
     return out.select("image", "pixels", F.round("mean", 6).alias("mean"), F.round("contrast", 6).alias("contrast"))
 
 
+def _kernel_sql(name: str, size: int, to: int, reach: int) -> str:
+    """A table name (o, p, w): how much old pixel p counts in new pixel o."""
+    wide = max(size / to, 1.0)
+    d = f"abs((p + 0.5 - (o + 0.5) * {size / to}) / {wide})"
+    cubic = f"CASE WHEN {d} < 1 THEN (1.5 * {d} - 2.5) * {d} * {d} + 1 WHEN {d} < 2 THEN ((-0.5 * {d} + 2.5) * {d} - 4) * {d} + 2 ELSE 0 END"
+    sinc = lambda x: f"CASE WHEN {x} = 0 THEN 1 ELSE sin(pi() * {x}) / (pi() * {x}) END"
+    shape = cubic if reach == 2 else f"CASE WHEN {d} < 3 THEN ({sinc(d)}) * ({sinc(f'({d} / 3)')}) ELSE 0 END"
+    return f"{name} AS MATERIALIZED (SELECT o, p, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, p, CAST({shape} AS DOUBLE) AS w FROM (SELECT unnest(range({to})) AS o), (SELECT unnest(range({size})) AS p)))"
+
+
+def _resized_sql(kernel: str, to: int) -> str:
+    return f"""SELECT image, '{kernel}' AS kernel, CAST(sum(grey) AS BIGINT) AS total, md5(string_agg(CAST(grey AS VARCHAR), ',' ORDER BY y, x)) AS digest FROM
+        (SELECT image, v.o AS y, h.o AS x, CAST(least(255, greatest(0, floor(sum(v.w * h.w * grey) + 0.5))) AS INTEGER) AS grey FROM g JOIN {kernel} v ON v.p = g.at // 8 JOIN {kernel} h ON h.p = g.at % 8 GROUP BY 1, 2, 3) GROUP BY 1"""
+
+
+#: Kernel, side of the new image, and how far the kernel reaches.
+SIZES = {"bicubic": (16, 2), "lanczos": (5, 3)}
+
+
+@query(f"""WITH g AS MATERIALIZED (SELECT vec_id AS image, unnest(range(64)) AS at, unnest(list_transform(embedding, lambda x: abs(CAST(floor(CAST(x AS DOUBLE) * 1000 + 0.5) AS BIGINT)) % 256)) AS grey FROM embeddings),
+    {', '.join(_kernel_sql(k, 8, to, reach) for k, (to, reach) in SIZES.items())} {' UNION ALL '.join(_resized_sql(k, to) for k, (to, _) in SIZES.items())}""")
+def resized_images(spark, sf_dir):
+    """Bitmaps of 8 x 8 pixels, twice as large by the bicubic kernel and smaller by Lanczos's."""
+    grey = F.transform("q", lambda x: F.abs(x) % 256)
+    bitmaps, out = images.as_bitmaps(impressions(spark, sf_dir).select(F.col("idx").alias("image"), grey.alias("pixels")), 8), None
+    for kernel, (to, _) in SIZES.items():
+        rows = images.resized(bitmaps, to, to, kernel).withColumn("kernel", F.lit(kernel))
+        out = rows if out is None else out.unionByName(rows)
+    total = F.aggregate("pixels", F.lit(0).cast("long"), lambda s, x: s + x)
+    return out.select("image", "kernel", total.alias("total"), F.md5(F.array_join(F.col("pixels").cast("array<string>"), ",")).alias("digest"))
+
+
 # Documents, logs and lists
 
 @query("WITH g AS (SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place FROM nation) SELECT '' || n_nationkey AS tag, n_name AS name FROM nation JOIN g USING (n_nationkey) WHERE place = 1")
@@ -378,11 +412,11 @@ def float_matrix_file(spark, sf_dir):
 def top_impostor_file(spark, sf_dir):
     """The best impostors as a sorted file; place is a row's line in it."""
     path = scratch(spark)
-    e = best(spark, sf_dir, 100, [similarity]).withColumnRenamed("similarity", "score")
-    files.write_rows(tails.top(e, 100), path, [F.col("score").desc(), "i", "j"])
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("place", "line")).where("place > 0 AND line <> ''")
+    e = pairs.best_pairs_pruned(impressions(spark, sf_dir), [similarity], 100, pairs.THREE_WAY, "impostor").withColumnRenamed("similarity", "score")
+    write_sorted(tails.top(e, 100), path, [F.col("score").desc(), "i", "j"])
+    lines = read_lines(spark, path, "i,j,score", first=1)
     part = F.split("line", ",")
-    return lines.select(*(part[k].cast("long").alias(c) for k, c in enumerate(("i", "j", "score"))), F.col("place").cast("long").alias("place"))
+    return lines.select(*(part[k].cast("long").alias(c) for k, c in enumerate(("i", "j", "score"))), "place")
 
 
 @query("SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, (SELECT count(*) FROM documents) AS everything FROM documents GROUP BY 1")
@@ -399,8 +433,7 @@ def feature_file(spark, sf_dir):
     df = read(spark, sf_dir, "supplier").withColumn("x", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal") / 7))
     path = scratch(spark)
     files.write_features(df, path, ["s_nationkey", "s_suppkey"], ["s_suppkey", "x", "s_nationkey"])
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("place", "line")).where("place > 0 AND line <> ''")
-    return lines.select("line", F.col("place").cast("long").alias("place"))
+    return read_lines(spark, path, "s_suppkey,x,s_nationkey", first=1)
 
 
 @query(f"WITH {ONE}, b AS (SELECT {TWO_WAY} AS pair_class, similarity FROM e) SELECT pair_class, CAST(least(greatest(floor((similarity - 20) / 10.0), 0), 7) AS INTEGER) AS bin, count(*) AS n FROM b GROUP BY 1, 2")
@@ -412,15 +445,24 @@ def binned_scores(spark, sf_dir):
 
 @query("SELECT c_custkey, length(c_name) AS size FROM customer")
 def resumed_work(spark, sf_dir):
-    """Half of the chunks are done, one of them is broken off; going on makes the whole."""
+    """Two of four files are done and the third is broken off; going on makes the whole."""
     from pairloom.sources.scratch import remove
 
-    path, tasks = scratch(spark), read(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    run = lambda df: df.select("c_custkey", F.length("c_name").alias("size"))
-    files.resumed(tasks, path, "c_custkey", run, 4)
-    remove(spark, f"{path}/chunk=1/_SUCCESS")
-    remove(spark, f"{path}/chunk=3")
-    return files.resumed(tasks, path, "c_custkey", run, 4).select("c_custkey", "size")
+    tasks, out, marks = (f"{scratch(spark)}/{name}" for name in ("tasks", "out", "marks"))
+    read(spark, sf_dir, "customer").select("c_custkey", "c_name").repartition(4).write.parquet(tasks)
+    sizes, seen = lambda rows: rows.select("c_custkey", F.length("c_name").alias("size")), []
+
+    def breaks_off(rows):
+        seen.append(rows)
+        if len(seen) == 3:
+            raise RuntimeError("broken off")
+        return sizes(rows)
+
+    try:
+        files.resumed(spark, tasks, out, marks, breaks_off)
+    except StreamingQueryException:
+        pass
+    return files.resumed(spark, tasks, out, marks, sizes).select("c_custkey", "size")
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 1")
@@ -518,10 +560,20 @@ def either_extreme(spark, sf_dir):
 @query(f"WITH {ONE} SELECT i, j, similarity AS score, row_number() OVER (ORDER BY similarity DESC, i, j) AS place FROM e WHERE similarity >= 75")
 def above_threshold(spark, sf_dir):
     path = scratch(spark)
-    e = edges(spark, sf_dir, [similarity], ()).select("i", "j", F.col("similarity").alias("score"))
-    files.write_rows(tails.at_least(e, 75), path, [F.col("score").desc(), "i", "j"])
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("place", "line")).where("place > 0 AND line <> ''")
-    return lines.select(*(F.split("line", ",")[k].cast("long").alias(c) for k, c in enumerate(("i", "j", "score"))), F.col("place").cast("long").alias("place"))
+    found = pairs.all_pairs(impressions(spark, sf_dir), [similarity], least={"similarity": 75})
+    write_sorted(found.select("i", "j", F.col("similarity").alias("score")), path, [F.col("score").desc(), "i", "j"])
+    part = F.split("line", ",")
+    return read_lines(spark, path, "i,j,score", first=1).select(*(part[k].cast("long").alias(c) for k, c in enumerate(("i", "j", "score"))), "place")
+
+
+@query(f"WITH {ONE}, h AS (SELECT similarity AS score, count(*) AS n FROM e WHERE {TWO_WAY} = 'impostor' GROUP BY 1) SELECT s.score, coalesce(n, 0) AS count, s.score AS place FROM (SELECT unnest(range(0, (SELECT max(score) + 1 FROM h))) AS score) s LEFT JOIN h ON h.score = s.score")
+def histogram_file(spark, sf_dir):
+    """The histogram of impostors as files in order, read back with each line's place."""
+    path = scratch(spark)
+    hist = counted(spark, sf_dir, classes=pairs.TWO_WAY).where("pair_class = 'impostor'")
+    files.write_histogram(hist.select(F.col("similarity").alias("score"), "n"), path)
+    part = F.split("line", ",")
+    return read_lines(spark, path, "score,count").select(part[0].cast("long").alias("score"), part[1].cast("long").alias("count"), "place")
 
 
 @query(f"""WITH {ONE}, c AS (SELECT DISTINCT person FROM idx WHERE person % 3 <> 0) SELECT count(*) AS n, CAST(sum(similarity) AS BIGINT) AS total FROM e

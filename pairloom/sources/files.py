@@ -214,20 +214,19 @@ def cached(spark: SparkSession, path: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def resumed(tasks: DataFrame, path: str, key: str, run, chunks: int = 8) -> DataFrame:
-    """run(tasks) by chunks of keys, each a finished table below path or done now; a chunk that was broken off is done anew.
+def resumed(spark: SparkSession, tasks: str, out: str, marks: str, run, files_per_batch: int = 1) -> DataFrame:
+    """run(rows) of every file of tasks, a few files at a time; what was broken off goes on where it was.
 
-    run keeps the key. What is done is known by the marks that Spark's commit leaves, so no state file can be corrupt.
+    Which files are done is kept by a stream's checkpoint in marks, and a batch that is done anew replaces its own partition, so
+    each row of tasks is in the result once, wherever a run ended. New files of tasks are done by the next run.
     """
-    from pairloom.sources.scratch import exists
 
-    spark = tasks.sparkSession
-    chunk = F.pmod(F.xxhash64(key), F.lit(chunks))
-    paths = [f"{path}/chunk={k}" for k in range(chunks)]
-    for k, p in enumerate(paths):
-        if not exists(spark, f"{p}/_SUCCESS"):
-            run(tasks.where(chunk == k)).write.mode("overwrite").parquet(p)
-    return spark.read.option("basePath", path).parquet(*paths)
+    def commit(rows: DataFrame, number: int) -> None:
+        run(rows).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+
+    stream = spark.readStream.schema(spark.read.parquet(tasks).schema).option("maxFilesPerTrigger", files_per_batch).parquet(tasks)
+    stream.writeStream.foreachBatch(commit).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
 
 
 def with_metadata(df: DataFrame, people: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -237,11 +236,11 @@ def with_metadata(df: DataFrame, people: DataFrame, key: str, columns: list[str]
 
 
 def write_histogram(hist: DataFrame, path: str, score: str = "score") -> None:
-    """One CSV file: score, count, zeros filled in."""
+    """Sorted CSV files: score, count, zeros filled in."""
     from pairloom.operators.tails import zero_filled
+    from pairloom.sources.ordered import write_sorted
 
-    filled = zero_filled(hist, score).select(F.col(score).alias("score"), F.col("n").alias("count"))
-    filled.orderBy("score").coalesce(1).write.csv(path, header=True, mode="overwrite")
+    write_sorted(zero_filled(hist, score).select(F.col(score).alias("score"), F.col("n").alias("count")), path, ["score"])
 
 
 def document(**parts: DataFrame) -> DataFrame:
@@ -257,15 +256,12 @@ def write_document(path: str, **parts: DataFrame) -> None:
     document(**parts).coalesce(1).write.text(path)
 
 
-def write_rows(df: DataFrame, path: str, order: list) -> None:
-    """One sorted CSV file with a header."""
-    df.orderBy(*order).coalesce(1).write.csv(path, header=True, mode="overwrite")
-
-
 def write_features(df: DataFrame, path: str, order: list, columns: list[str] | None = None) -> None:
-    """One sorted CSV file; doubles with six places, missing values as empty text."""
+    """Sorted CSV files; doubles with six places, missing values as empty text."""
     kinds = dict(df.dtypes)
     columns = columns or df.columns
-    shown = df.orderBy(*order).select(*(F.format_string("%.6f", c).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns))
-    shown = shown.select(*(F.when(F.col(c) != "null", F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns))
-    shown.coalesce(1).write.csv(path, header=True, mode="overwrite", nullValue="", emptyValue="")
+    # Sorted by the values as they are, not as they are shown.
+    shown = [F.when(F.col(c).isNotNull(), F.format_string("%.6f", c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns]
+    keys = [(F.col(c) if isinstance(c, str) else c).alias(f"_o{k}") for k, c in enumerate(order)]
+    rows = df.select(*keys, F.struct(*shown).alias("_row")).orderBy(*(f"_o{k}" for k in range(len(keys))))
+    rows.select("_row.*").write.csv(path, header=True, mode="overwrite", nullValue="", emptyValue="")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import io
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 
 #: Weights of red, green and blue in a grey level.
 GREY = np.array([0.299, 0.587, 0.114])
@@ -96,3 +99,23 @@ def at_resolution(grey: np.ndarray, dpi: float, wanted: float = 500.0, tolerance
 def pixels_of_blocks(mask: np.ndarray, shape: tuple[int, int], size: int = 8) -> np.ndarray:
     """Which pixels lie in the blocks of a mask, cut to the image."""
     return mask.repeat(size, 0).repeat(size, 1)[: shape[0], : shape[1]]
+
+
+def resized(found: DataFrame, width: int, height: int, kernel: str) -> DataFrame:
+    """image, pixels (grey levels row by row) of images (image, bytes) in another size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"image": pdf["image"], "pixels": [resampled(grey_image(b), width, height, kernel).ravel().tolist() for b in pdf["bytes"]]})
+
+    return found.select("image", "bytes").mapInPandas(run, f"image {dict(found.dtypes)['image']}, pixels array<int>")
+
+
+def as_bitmaps(found: DataFrame, side: int) -> DataFrame:
+    """image, bytes: square bitmaps of images (image, pixels)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"image": pdf["image"], "bytes": [to_bitmap(np.asarray(p, np.uint8).reshape(-1, side)) for p in pdf["pixels"]]})
+
+    return found.select("image", "pixels").mapInPandas(run, f"image {dict(found.dtypes)['image']}, bytes binary")

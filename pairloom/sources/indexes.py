@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairloom.sources.ordered import numbered
+
 INDEX = "path string, source string, finger_id string, impression string"
 SUBJECTS = "path string, image string, person string, sex string, hand string, finger string, minutiae int"
 #: Order of hands and fingers in every wide table.
@@ -37,11 +39,6 @@ def read_first(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     return read_csv(spark, paths[-1], schema)
 
 
-def numbered(index: DataFrame, order: list[Column]) -> DataFrame:
-    """index with idx from 0 in the given order. The order of an index is its identity, so it is small enough to sort once."""
-    return index.withColumn("idx", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
-
-
 def number_first(column: str) -> list[Column]:
     """Order by the number that a text is, texts that are none last and by their letters."""
     as_number = F.expr(f"try_cast(`{column}` AS bigint)")
@@ -63,11 +60,6 @@ def read_subjects(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     return numbered(df, [F.col("person"), F.col("path")])
 
 
-def write_index(index: DataFrame, path: str, order: list[Column]) -> None:
-    """One sorted CSV file with a header."""
-    index.orderBy(*order).coalesce(1).write.csv(path, header=True, mode="overwrite")
-
-
 def hand_order(column: str = "hand") -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, HANDS)), F.col(column)) - 1, F.lit(0)).cast("int")
 

@@ -218,6 +218,35 @@ def test_whole_items_and_pieces(index, tile, item):
         assert (r.peak["sum"], r.peak.i, r.peak.j) == (top["sum"], top.i, top.j)
 
 
+@pytest.mark.parametrize("ordered", [False, True])
+def test_tiles_left_out(spark, ordered):
+    """On clustered features at least half of the tiles are not made, and the best pairs are the same."""
+    rng = np.random.default_rng(7)
+    n, groups = 400, 10
+    # With an order, clusters lie all over the index.
+    group = np.arange(n) % groups if ordered else np.arange(n) // (n // groups)
+    x = rng.integers(-300, 300, (groups, 64))[group] + rng.integers(-20, 20, (n, 64))
+    pdf = pd.DataFrame({"idx": np.arange(n), "source": 0, "finger_id": np.arange(n) % 7, "group": group, "q": x.tolist()})
+    index = spark.createDataFrame(pdf)
+    made = spark.sparkContext.accumulator(0)
+    whole = Scorer("similarity", similarity.column, lambda a, b: (made.add(1), similarity.block(a, b))[1], bound=similarity.bound)
+    for scorers in ([whole], [closeness], [whole, closeness]):
+        want = pairs.best_pairs(index, [similarity if s is whole else s for s in scorers], 100, pairs.THREE_WAY, "impostor", tile_rows=20)
+        before = made.value
+        got = pairs.best_pairs_pruned(index, scorers, 100, pairs.THREE_WAY, "impostor", tile_rows=20, order=F.col("group") if ordered else None)
+        rows = got.collect()
+        for s in scorers:
+            best = lambda d: sorted(((-r[s.name], r.i, r.j) for r in d))[:100]
+            assert best(rows) == best(want.collect())
+        if scorers == [whole]:
+            # The diagonal's 20 tiles are made twice.
+            assert 0 < made.value - before - 20 <= 20 * 21 // 2 / 2
+    tight = Scorer("similarity", similarity.column, similarity.block)
+    assert len(pairs.best_pairs_pruned(index, [tight], 5, pairs.THREE_WAY, "impostor", tile_rows=50).collect()) > 0
+    few = pairs.best_pairs_pruned(index.where("idx < 3"), [similarity], 100, pairs.THREE_WAY, "impostor")
+    assert len(few.collect()) == 3 and pairs.best_pairs_pruned(index.limit(0), [similarity], 5, pairs.THREE_WAY, "impostor").count() == 0
+
+
 def test_listed_and_named_pairs(spark, index):
     m = brute(index, similarity)
     rng = np.random.default_rng(5)

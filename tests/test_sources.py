@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.plans import catalog
-from pairloom.sources import files, images, indexes
+from pairloom.sources import files, images, indexes, ordered
 from pairloom.streaming import verdicts as stream
 
 
@@ -211,16 +211,93 @@ def test_groups_verdicts_and_errata(spark, tmp_path):
     assert {(r.a, r.b): r.verdict for r in spark.table("last_verdicts").collect()} == last
 
 
+def in_order(folder, header):
+    """Lines of sorted files, each of which begins with the header."""
+    out = []
+    for part in sorted(folder.glob("part-*.csv")):
+        head, *lines = part.read_text().splitlines()
+        assert head == header
+        out += lines
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 8])
+def test_order_without_one_task(spark, tmp_path, ranges):
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 300, 500).tolist() + [None] * 3
+    df = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k int, n int").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        got = ordered.numbered(df, [F.col("k").desc_nulls_last(), "n"], first=1).collect()
+        want = sorted(((k, n) for n, k in enumerate(keys)), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+        assert [(r.k, r.n) for r in sorted(got, key=lambda r: r.idx)] == want and sorted(r.idx for r in got) == list(range(1, 504))
+        ordered.write_sorted(df.select("n", "k"), str(tmp_path / "s"), ["n"])
+        lines = ordered.read_lines(spark, str(tmp_path / "s"), "n,k").collect()
+        assert [int(r.line.split(",")[0]) for r in sorted(lines, key=lambda r: r.place)] == list(range(503)) == sorted(r.place for r in lines)
+        assert len(in_order(tmp_path / "s", "n,k")) == 503
+        assert ordered.numbered(df.limit(0), ["k"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("late", [False, True])
+@pytest.mark.parametrize("at", [0, 1, 2, 3])
+def test_resumed_at_any_file(spark, tmp_path, at, late):
+    """Broken off before or after a file's rows are written, a run goes on, and each row is done once."""
+    tasks, out, marks = (str(tmp_path / n) for n in ("tasks", "out", "marks"))
+    for k in range(4):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.mode("append").parquet(tasks)
+    work, calls = lambda rows: rows.withColumn("x", F.col("id") * 2), []
+
+    def breaks(rows):
+        calls.append(1)
+        if len(calls) == at + 1:
+            if late:
+                work(rows).withColumn("batch", F.lit(at)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+            raise OSError("gone")
+        return work(rows)
+
+    with pytest.raises(Exception, match="gone"):
+        files.resumed(spark, tasks, out, marks, breaks)
+    done = files.resumed(spark, tasks, out, marks, work)
+    assert sorted((r.id, r.x) for r in done.collect()) == [(i, 2 * i) for i in range(40)]
+    spark.range(40, 45).coalesce(1).write.mode("append").parquet(tasks)
+    seen = []
+    more = files.resumed(spark, tasks, out, marks, lambda rows: seen.append(rows.count()) or work(rows))
+    assert seen == [5] and more.count() == 45
+
+
+@pytest.mark.parametrize("kernel", ["bicubic", "lanczos"])
+@pytest.mark.parametrize("to", [5, 9, 14])
+def test_resized_against_a_loop(spark, kernel, to):
+    grey = np.random.default_rng(3).integers(0, 256, (9, 9))
+    shape, reach = images.KERNELS[kernel]
+    wide = max(9 / to, 1.0)
+    want = np.zeros((to, to))
+    for y in range(to):
+        for x in range(to):
+            total = weight = 0.0
+            for v in range(9):
+                for u in range(9):
+                    a, b = ((p + 0.5 - (o + 0.5) * 9 / to) / wide for p, o in ((v, y), (u, x)))
+                    if abs(a) < reach and abs(b) < reach:
+                        w = float(shape(np.array(a)) * shape(np.array(b)))
+                        total, weight = total + w * grey[v, u], weight + w
+            want[y, x] = min(255, max(0, total / weight))
+    rows = spark.createDataFrame([(1, grey.ravel().tolist())], "image int, pixels array<int>")
+    got = images.resized(images.as_bitmaps(rows, 9), to, to, kernel).first()
+    assert got.image == 1 and np.abs(np.array(got.pixels).reshape(to, to) - want).max() <= 1
+
+
 def test_sinks(spark, tmp_path):
     hist = spark.createDataFrame([(0, 2), (3, 1)], "score long, n long")
     files.write_histogram(hist, str(tmp_path / "h"))
-    (part,) = (tmp_path / "h").glob("part-*.csv")
-    assert part.read_text().split() == ["score,count", "0,2", "1,0", "2,0", "3,1"]
+    assert in_order(tmp_path / "h", "score,count") == ["0,2", "1,0", "2,0", "3,1"]
     doc = json.loads(files.document(hist=hist, one=hist.limit(1)).first().json)
     assert doc["hist"] == [{"score": 0, "n": 2}, {"score": 3, "n": 1}] and len(doc["one"]) == 1
     df = spark.createDataFrame([(2, 0.5), (1, None)], "k int, x double")
     files.write_features(df, str(tmp_path / "f"), ["k"])
-    (part,) = (tmp_path / "f").glob("part-*.csv")
-    assert part.read_text().split() == ["k,x", "1,", "2,0.500000"]
+    assert in_order(tmp_path / "f", "k,x") == ["1,", "2,0.500000"]
     people = spark.createDataFrame([(2, "F")], "k int, sex string")
     assert [(r.k, r.sex) for r in files.with_metadata(df, people, "k", ["sex"]).orderBy("k").collect()] == [(1, ""), (2, "F")]
