@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import staged
+from pairloom.llm.common import discard, staged
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -25,20 +25,23 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+    return ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(vertex, root) of every vertex of an edge; root is the least vertex of its component.
 
     edges: columns u, v of one orderable type. Loops, repeats and either direction are allowed;
     edges with a null end are no edges. An empty table gives an empty result. Each round is a table
-    in the shared folder, so lineage does not grow with the rounds.
+    in the shared folder, so lineage does not grow with the rounds, and the one before it goes. Rounds end
+    once all edges are stars.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = staged(edges, "edges")
-    before = None
-    while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
-        before = now
-        edges = staged(_star(_star(edges, True), False), "edges")
+    while not _are_stars(edges):
+        before, edges = edges, staged(_star(_star(edges, True), False), "edges")
+        discard(before)
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct())

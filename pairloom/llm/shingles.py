@@ -259,9 +259,11 @@ def near_keep(docs: DataFrame, similarity: float = 0.8, words_of_shingle: int =
     found = components(links(sets, similarity, **options)).select(F.col("vertex").alias("v"), "root")
     rows = sets.select("doc_id", "t", "v").join(found, "v", "left").select("doc_id", "t", F.coalesce("root", "v").alias("root"))
     rows = staged(rows, "rows")
+    discard(sets)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("t").alias("t"))
     first = rows.groupBy("root").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("root", "first")
     gone = rows.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t"))))
     gone = staged(gone.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct(), "gone")
+    discard(rows)
     same = docs[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__t"])
     return docs.join(gone, same, "left_anti")
