@@ -6,6 +6,7 @@ path, or an external program behind `external`.
 
 from __future__ import annotations
 
+import subprocess
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -89,6 +90,19 @@ def external(pairs: DataFrame, score: Callable[[pd.Series, pd.Series], list[int]
     return pairs.drop("score").mapInPandas(run, schema)
 
 
+def program(command: list[str], seconds: float = 3600) -> Callable[[pd.Series, pd.Series], list[str]]:
+    """For `external`: a program that is given a line with both paths, parted by a tab, for each pair, and writes a line with the score of each.
+
+    It runs once for a batch, where the batch is; an exit other than 0 or one that takes longer fails the task.
+    """
+
+    def score(a: pd.Series, b: pd.Series) -> list[str]:
+        lines = "".join(f"{x}\t{y}\n" for x, y in zip(a, b))
+        return subprocess.run(command, input=lines, capture_output=True, text=True, check=True, timeout=seconds).stdout.splitlines()
+
+    return score
+
+
 def mirrored(scorer: Scorer) -> Scorer:
     """The greater score of both directions, which is symmetric: a tile makes both."""
     return Scorer(

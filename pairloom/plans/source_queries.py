@@ -7,6 +7,7 @@ library's own readers. Where a format has one file for each item, the items are
 from __future__ import annotations
 
 import json
+import sys
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.columns import axial_wrap
 from pairloom.functions.intervals import clopper_pearson
 from pairloom.operators import cleaning, fields, pairs, resample, tails
-from pairloom.operators.scorers import closeness, external, one_sided, similarity
+from pairloom.operators.scorers import closeness, external, one_sided, program, similarity
 from pairloom.plans.catalog import query
 from pairloom.plans.dependence_queries import ITER, OBS, TWO_VARIABLES, means_sql, null_sql, whole, z_sql
 from pairloom.plans.pair_queries import BOTH, CLASSED, IDX, ONE, TWO_WAY, best, counted
@@ -25,6 +26,7 @@ from pairloom.sources import files, images, indexes
 from pairloom.sources.analogues import impressions, read
 from pairloom.sources.ordered import read_lines, write_sorted
 from pairloom.sources.scratch import put, scratch
+from pairloom.streaming import verdicts as stream
 
 HAND = "CASE WHEN {} % 2 = 0 THEN 'Left' ELSE 'Right' END"
 FINGER = "list_extract(['thumb', 'index', 'middle', 'ring', 'little'], CAST({} % 5 AS INTEGER) + 1)"
@@ -234,7 +236,7 @@ def _kernel_sql(name: str, size: int, to: int, reach: int) -> str:
 
 def _resized_sql(kernel: str, to: int) -> str:
     return f"""SELECT image, '{kernel}' AS kernel, CAST(sum(grey) AS BIGINT) AS total, md5(string_agg(CAST(grey AS VARCHAR), ',' ORDER BY y, x)) AS digest FROM
-        (SELECT image, v.o AS y, h.o AS x, CAST(least(255, greatest(0, floor(sum(v.w * h.w * grey) + 0.5))) AS INTEGER) AS grey FROM g JOIN {kernel} v ON v.p = g.at // 8 JOIN {kernel} h ON h.p = g.at % 8 GROUP BY 1, 2, 3) GROUP BY 1"""
+        (SELECT image, v.o AS y, h.o AS x, CAST(least(255, greatest(0, floor(round(sum(v.w * h.w * grey), 6) + 0.5))) AS INTEGER) AS grey FROM g JOIN {kernel} v ON v.p = g.at // 8 JOIN {kernel} h ON h.p = g.at % 8 GROUP BY 1, 2, 3) GROUP BY 1"""
 
 
 #: Kernel, side of the new image, and how far the kernel reaches.
@@ -280,14 +282,26 @@ def anti_duplicates(spark, sf_dir):
     return kept.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _log(spark, sf_dir, verdict) -> str:
-    turns = read(spark, sf_dir, "conversations")
+def _log(spark, sf_dir, verdict, path: str | None = None, part: str = "true") -> str:
+    """A log of the turns of conversations, or more lines of one that is there."""
+    turns = read(spark, sf_dir, "conversations").where(part)
     stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss")
-    path = scratch(spark)
-    turns.select(F.concat(F.lit("img/"), "conv_id", F.lit("__M_x")).alias("na"), F.concat(F.lit("img/"), F.col("conv_id") + 1, F.lit("__F_"), "role").alias("nb"), F.lit("").alias("rot"), verdict.alias("veredito"), stamp.alias("gravado_em")).write.json(path)
+    path = path or scratch(spark)
+    rows = turns.select(F.concat(F.lit("img/"), "conv_id", F.lit("__M_x")).alias("na"), F.concat(F.lit("img/"), F.col("conv_id") + 1, F.lit("__F_"), "role").alias("nb"), F.lit("").alias("rot"), verdict.alias("veredito"), stamp.alias("gravado_em"))
+    rows.write.mode("append").json(path)
     return path
 
 
+@query("SELECT 'img/' || conv_id || '__M_x' AS a, 'img/' || (conv_id + 1) || '__F_' || role AS b, 'v' || turn % 3 AS verdict FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) = 1")
+def streamed_verdicts(spark, sf_dir):
+    """The log grows between two runs of the stream; the last verdicts are those of all lines."""
+    verdict, out, marks = F.concat(F.lit("v"), F.col("turn") % 3), scratch(spark), scratch(spark)
+    log = _log(spark, sf_dir, verdict, part="turn % 2 = 0")
+    stream.keep_last(stream.verdict_stream(spark, log), out, marks)
+    _log(spark, sf_dir, verdict, log, "turn % 2 = 1")
+    return stream.keep_last(stream.verdict_stream(spark, log), out, marks).select("a", "b", "verdict")
+
+
 @query("SELECT 'img/' || conv_id || '__M_x' AS a, 'img/' || (conv_id + 1) || '__F_' || role AS b, 'v' || turn % 3 AS verdict FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) = 1")
 def latest_verdict(spark, sf_dir):
     log = files.read_verdicts(spark, _log(spark, sf_dir, F.concat(F.lit("v"), F.col("turn") % 3)))
@@ -367,13 +381,11 @@ def before_after_exclusion(spark, sf_dir):
 
 @query("SELECT n_nationkey AS k, CAST(i + 1 AS INTEGER) AS n, round(n_nationkey + i / 2.0, 6) AS ax, round(i * 3.5, 6) AS ay, CAST(i AS DOUBLE) AS bx, round(n_nationkey / 4.0, 6) AS b_y FROM nation, (SELECT unnest(range(3)) AS i)")
 def marked_points(spark, sf_dir):
-    root, out = scratch(spark), None
+    root = scratch(spark)
     for k, _ in nations(spark, sf_dir):
         put(spark, f"{root}/{k}.json", json.dumps({"a": [[k + i / 2, i * 3.5] for i in range(3)], "b": [[i, k / 4] for i in range(3)]}).encode())
-    for k, _ in nations(spark, sf_dir):
-        rows = files.read_points(spark, f"{root}/{k}.json").withColumn("k", F.lit(k))
-        out = rows if out is None else out.unionByName(rows)
-    return out.select("k", "n", F.round("ax", 6).alias("ax"), F.round("ay", 6).alias("ay"), "bx", F.round("by", 6).alias("b_y"))
+    points = files.read_points(spark, root)
+    return points.select(F.col("name").cast("int").alias("k"), "n", F.round("ax", 6).alias("ax"), F.round("ay", 6).alias("ay"), "bx", F.round("by", 6).alias("b_y"))
 
 
 @query("SELECT c_name AS a, 'n' || c_nationkey AS b, CASE WHEN f = 1 AND c_custkey % 3 = 0 THEN c_mktsegment ELSE '' END AS label, CAST(f AS INTEGER) AS file FROM customer, (SELECT unnest([1, 2]) AS f)")
@@ -487,12 +499,16 @@ def template_cache(spark, sf_dir):
     return out
 
 
-@query("SELECT a.n_name AS path_a, b.n_name AS path_b, CAST(abs(length(a.n_name) - length(b.n_name)) AS BIGINT) AS score FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+#: A program that scores pairs of paths by how much their lengths differ.
+LENGTHS = "import sys\nfor line in sys.stdin:\n    a, b = line.rstrip('\\n').split('\\t')\n    print(abs(len(a) - len(b)))"
+
+
+@query("SELECT a.s_name AS path_a, b.p_name AS path_b, CAST(abs(length(a.s_name) - length(b.p_name)) AS BIGINT) AS score FROM supplier a JOIN part b ON b.p_partkey = a.s_suppkey")
 def external_scores(spark, sf_dir):
-    """Pairs scored by a program behind the interface for external ones."""
-    a, b = (read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias(f"k{x}"), F.col("n_name").alias(f"path_{x}")) for x in "ab")
-    listed = a.join(b, F.col("ka") < F.col("kb")).select("path_a", "path_b")
-    return external(listed, lambda x, y: [f"{abs(len(p) - len(q))}" for p, q in zip(x, y)] + [" "])
+    """Pairs scored by a program of its own that runs where a batch of them is."""
+    a = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("path_a"))
+    b = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("path_b"))
+    return external(a.join(b, "k").select("path_a", "path_b"), program([sys.executable, "-c", LENGTHS]))
 
 
 # Cleaning, subsets and tallies

@@ -192,11 +192,12 @@ def read_excluded(spark: SparkSession, path: str, otherwise: list[int]) -> DataF
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """(n, ax, ay, bx, by): marked correspondences of a JSON document {"a": [[x, y], ...], "b": [...]}, numbered from 1."""
+    """(name, n, ax, ay, bx, by): marked correspondences of JSON documents {"a": [[x, y], ...], "b": [...]}, numbered from 1; name: the file's stem."""
     point = "array<array<double>>"
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", f"a {point}, b {point}").alias("d"))
-    both = doc.select(F.posexplode(F.arrays_zip("d.a", "d.b")).alias("k", "p"))
-    return both.select((F.col("k") + 1).alias("n"), *(F.col("p")[side][k].alias(f"{side}{axis}") for side in "ab" for k, axis in enumerate("xy")))
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("name")
+    doc = spark.read.text(path, wholetext=True).select(name, F.from_json("value", f"a {point}, b {point}").alias("d"))
+    both = doc.select("name", F.posexplode(F.arrays_zip("d.a", "d.b")).alias("k", "p"))
+    return both.select("name", (F.col("k") + 1).alias("n"), *(F.col("p")[side][k].alias(f"{side}{axis}") for side in "ab" for k, axis in enumerate("xy")))
 
 
 def read_pairs(spark: SparkSession, path: str, label: str = "rotulo") -> DataFrame:

@@ -1,33 +1,38 @@
-"""The verdict log as a stream: an extra, the batch readers do the same over finished files.
+"""The verdict log as a stream: new files of lines are taken once, and the last verdict of every pair is kept.
 
-New lines are read as they come, and a table keeps the last verdict of every pair.
+A batch combines its own lines and replaces its own partition, so a run that breaks off is done anew with the same result. What a
+batch holds and what a pair takes does not grow with the log's history: of a pair each batch leaves one row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from pairloom.sources.files import VERDICTS, verdicts
+from pairloom.sources.files import VERDICTS, latest, verdicts
 
 
-def verdict_stream(spark: SparkSession, folder: str, late: str = "1 hour") -> DataFrame:
-    """Verdicts of JSON-lines files that appear in folder; lines later than `late` behind the newest are dropped."""
-    return verdicts(spark.readStream.schema(VERDICTS).json(folder)).withWatermark("at", late)
+def verdict_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Verdicts of JSON-lines files that appear in folder."""
+    return verdicts(spark.readStream.schema(VERDICTS).option("maxFilesPerTrigger", files_per_batch).json(folder))
 
 
-def last_verdicts(stream: DataFrame) -> DataFrame:
-    """a, b and the last label, verdict and time; a streaming aggregate with one state row for each pair."""
-    last = stream.groupBy("a", "b").agg(F.max(F.struct("at", "label", "verdict")).alias("x"))
-    return last.select("a", "b", "x.label", "x.verdict", "x.at")
+def keep_last(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Take what is new; a, b and the last label, verdict and time of all that was ever taken. Of equal times the greater label, then verdict, counts."""
 
+    def step(rows: DataFrame, number: int) -> None:
+        last = latest(rows).withColumn("batch", F.lit(number))
+        last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
 
-def counts_by_window(stream: DataFrame, width: str = "10 minutes") -> DataFrame:
-    """Verdicts of each kind in windows of event time, final once the watermark has passed."""
-    return stream.groupBy(F.window("at", width), "verdict").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "verdict", "n")
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    return latest(spark.read.schema("a string, b string, at timestamp, label string, verdict string, batch int").parquet(out).drop("batch"))
 
 
-def run_once(result: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Process what is there and stop; the next call goes on from the checkpoint."""
-    return result.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def counts_by_window(stream: DataFrame, out: str, checkpoint: str, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """start, verdict, n in windows of event time. A window is written once the newest line is `late` past its end; then it has no state
+    any more, and lines that come for it are dropped."""
+    counts = stream.withWatermark("at", late).groupBy(F.window("at", width), "verdict").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.select(F.col("window.start").alias("start"), "verdict", "n")
+    rows.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(rows.schema).parquet(out)

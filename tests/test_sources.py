@@ -206,9 +206,32 @@ def test_groups_verdicts_and_errata(spark, tmp_path):
     assert files.checked(files.read_verdicts(spark, log).where("verdict = 'y'"), 1, "y").count() == 1
     last = {(r.a, r.b): r.verdict for r in files.latest(files.read_verdicts(spark, log)).collect()}
     assert last == {("p", "q"): "y", ("p", "s"): "z"}
-    q = stream.run_once(stream.last_verdicts(stream.verdict_stream(spark, str(tmp_path / "log"))), "last_verdicts", str(tmp_path / "cp"))
-    q.awaitTermination(60)
-    assert {(r.a, r.b): r.verdict for r in spark.table("last_verdicts").collect()} == last
+    out, marks = str(tmp_path / "last"), str(tmp_path / "cp")
+    kept = lambda: {(r.a, r.b): r.verdict for r in stream.keep_last(stream.verdict_stream(spark, str(tmp_path / "log"), 1), out, marks).collect()}
+    assert kept() == last == kept()
+
+
+def test_growing_log_as_a_stream(spark, tmp_path):
+    """Two runs over a log that grows, one of whose lines comes late; windows are written when they are over."""
+    log = tmp_path / "log"
+    log.mkdir()
+    line = lambda a, v, minute: json.dumps({"na": a, "nb": "b", "rot": "", "veredito": v, "gravado_em": f"2024-05-01T{minute // 60:02d}:{minute % 60:02d}:00"})
+    (log / "1.json").write_text("\n".join([line("p", "x", 0), line("p", "y", 5), line("q", "x", 7)]) + "\n")
+    folders = [str(tmp_path / n) for n in ("last", "cp1", "windows", "cp2")]
+
+    def run():
+        kept = stream.keep_last(stream.verdict_stream(spark, str(log)), *folders[:2]).collect()
+        windows = stream.counts_by_window(stream.verdict_stream(spark, str(log)), *folders[2:]).collect()
+        return {r.a: r.verdict for r in kept}, sorted((r.start.minute, r.verdict, r.n) for r in windows)
+
+    assert run() == ({"p": "y", "q": "x"}, [])
+    # Earlier than what is known of p, and far later of r.
+    (log / "2.json").write_text("\n".join([line("p", "z", 3), line("r", "w", 300)]) + "\n")
+    found = run()
+    assert found[0] == {"p": "y", "q": "x", "r": "w"}
+    (log / "3.json").write_text(line("q", "v", 301) + "\n")
+    found = run()
+    assert found == ({"p": "y", "q": "v", "r": "w"}, [(0, "x", 2), (0, "y", 1), (0, "z", 1)]) and run() == found
 
 
 def in_order(folder, header):
