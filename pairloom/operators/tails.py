@@ -111,7 +111,10 @@ def mean_ranks(hist: DataFrame, by: list[str], score: str, name: str) -> DataFra
 
 
 def spearman(rows: DataFrame, by: list[str], a: str, b: str, weight: str | None = None) -> DataFrame:
-    """by, n, rho: rank correlation of two columns with ties at mean ranks, from their joint histogram. weight: how often rows count."""
+    """by, n, rho: rank correlation of two columns with ties at mean ranks, from their joint histogram. weight: how often rows count.
+
+    As in SQL, rho is not a number where one of the columns has a single value.
+    """
     joint = rows.groupBy(*by, a, b).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     for c, name in ((a, "ra"), (b, "rb")):
         # Over the joint histogram, which is small, so that the rows are made once.
@@ -120,7 +123,8 @@ def spearman(rows: DataFrame, by: list[str], a: str, b: str, weight: str | None
     n, mean_a, mean_b = F.sum("n"), F.sum(F.col("n") * F.col("ra")) / F.sum("n"), F.sum(F.col("n") * F.col("rb")) / F.sum("n")
     cov = F.sum(F.col("n") * F.col("ra") * F.col("rb")) / n - mean_a * mean_b
     var_a, var_b = (F.sum(F.col("n") * F.col(r) * F.col(r)) / n - m * m for r, m in (("ra", mean_a), ("rb", mean_b)))
-    return joint.groupBy(*by).agg(n.alias("n"), (cov / F.sqrt(var_a * var_b)).alias("rho"))
+    varied = (F.min("ra") < F.max("ra")) & (F.min("rb") < F.max("rb"))
+    return joint.groupBy(*by).agg(n.alias("n"), F.when(varied, F.try_divide(cov, F.sqrt(var_a * var_b))).otherwise(F.lit(float("nan"))).alias("rho"))
 
 
 def mann_whitney(hist: DataFrame, first: Column, score: str = "score") -> DataFrame:
