@@ -19,7 +19,9 @@ result), then goes by hash.
 Large groups of near copies would make all their pairs. So each set is also checked against one
 pivot for each of a few least hashes, and where a hash has many sets still apart, in further turns
 against others; sets that these links or those of SimHash connect need no pairs
-among themselves.
+among themselves. Pivots of the further turns are sets most of whose shingles others have as well, which lie
+in the middle of their group, and only pairs that share half of their least hashes are checked; what
+pivots miss, the completion finds.
 
 Defined cases: null and wordless texts have the empty set and are alike; fewer than five words make
 one shingle; equal sets are one vertex throughout. Shingles are told apart by 64-bit hashes, and
@@ -49,6 +51,8 @@ BITS = 1024
 TOLD = 500_000
 #: Clusters below this size may as well make their pairs.
 CLUSTER = 32
+#: Of the least hashes of a set and of its pivot so many have to be equal; of 16 about 13 are at a similarity of 0.8.
+SHARED = 8
 
 
 def shingle_set(text: str, words_of_shingle: int = 5) -> np.ndarray:
@@ -97,39 +101,59 @@ def _least_common(sizes, similarity: float):
     return sizes * (similarity / (1 + similarity)) - 1e-6
 
 
+def _last_bytes(first: int):
+    """The last bytes of eight of a set's least hashes as one number."""
+    return sum((F.shiftleft(F.col("least")[first + k].bitwiseAND(255), 8 * k) for k in range(1, 8)), F.col("least")[first].bitwiseAND(255))
+
+
+def _differ(a: str, b: str):
+    """In how many of its eight bytes two numbers differ."""
+    x = F.col(a).bitwiseXOR(F.col(b))
+    for k in (4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+    return F.bit_count(x.bitwiseAND(0x0101010101010101))
+
+
 def _pivot_pairs(at: DataFrame, turn: int) -> DataFrame:
     """(u, v), u < v: each set with a pivot among those of other clusters c that share one of its least hashes m.
 
-    at: k, m, v, c. The pivots of a group of near copies are different sets for each k and turn.
+    at: k, m, v, c, x and y (last bytes of all least hashes), score. The pivots of a group of near copies are different sets
+    for each k and turn, those with a high score sooner; a set and its pivot share SHARED least hashes.
     """
-    order = F.struct(F.xxhash64("v", "k", F.lit(turn)).alias("h"), F.col("v"), F.col("c"))
+    h = F.xxhash64("v", "k", F.lit(turn))
+    middle = F.col("score") * (F.lit(1000) - F.pmod(h, F.lit(100 * max(turn - 1, 0) + 1)))
+    order = F.struct((-middle).alias("o"), h.alias("h"), F.col("v"), F.col("c"), F.col("x"), F.col("y"))
     pivots = at.groupBy("k", "m").agg(F.min(order).alias("a"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    both = at.join(pivots.select("k", "m", F.col("a.v").alias("p"), F.col("a.c").alias("d")), ["k", "m"]).where("c <> d")
+    pivots = pivots.select("k", "m", F.col("a.v").alias("p"), F.col("a.c").alias("d"), F.col("a.x").alias("px"), F.col("a.y").alias("py"))
+    both = at.join(pivots, ["k", "m"]).where((F.col("c") != F.col("d")) & (_differ("x", "px") + _differ("y", "py") <= len(FACTORS) - SHARED))
     return both.select(F.least("p", "v").alias("u"), F.greatest("p", "v").alias("v")).distinct()
 
 
-def _stars(sets: DataFrame, similarity: float, bits: int, turns: int = 4, first: int = 4) -> tuple[DataFrame, DataFrame]:
+def _stars(sets: DataFrame, similarity: float, bits: int, common: tuple[np.ndarray, np.ndarray], turns: int = 4, first: int = 4) -> tuple[DataFrame, DataFrame]:
     """Links found by SimHash and by pivots, and the large clusters that they make, (v, c).
 
     The first turn takes the pivots of the `first` factors. After it only cells of many sets, in which there are several
-    clusters, get other pivots, of all factors.
+    clusters, get other pivots, of all factors; a set scores by its share of common shingles.
     """
-    at = staged(sets.select("v", F.posexplode("least").alias("k", "m")).distinct(), "least")
-    near = _simhash_pairs(sets, bits).unionByName(_pivot_pairs(at.where(F.col("k") < first).withColumn("c", F.col("v")), 0)).distinct()
+    at = sets.select("v", _last_bytes(0).alias("x"), _last_bytes(8).alias("y"), F.posexplode("least").alias("k", "m"))
+    at = staged(at.distinct(), "least")
+    near = _simhash_pairs(sets, bits).unionByName(_pivot_pairs(at.where(F.col("k") < first).select("*", F.col("v").alias("c"), F.lit(0).cast("long").alias("score")), 0)).distinct()
     stars = _alike(staged(near, "pivots"), sets, similarity)
     crowded = at.groupBy("k", "m").count().where(F.col("count") >= CLUSTER).select("k", "m")
-    crowded = staged(at.join(crowded, ["k", "m"], "left_semi"), "crowded")
+    scores = sets.select("v", "n", "shingles").mapInArrow(_common_share(common[0]), "v long, score long").distinct()
+    scored = staged(at.join(crowded, ["k", "m"], "left_semi").join(scores, "v"), "scored")
+    discard(at)
     for turn in range(1, turns + 1):
         known = components(stars).withColumnRenamed("vertex", "v")
         large = known.groupBy("root").count().where(F.col("count") >= CLUSTER).select("root")
         clusters = staged(known.join(large, "root", "left_semi").select("v", F.col("root").alias("c")).distinct(), "clusters")
         if turn == turns:
             break
-        near = staged(_pivot_pairs(crowded.join(clusters, "v", "left").withColumn("c", F.coalesce("c", "v")), turn), "pivots")
+        near = staged(_pivot_pairs(scored.join(clusters, "v", "left").withColumn("c", F.coalesce("c", "v")), turn), "pivots")
         if near.isEmpty():
             break
         stars = stars.unionByName(_alike(near, sets, similarity))
-    discard(at, crowded)
+    discard(scored)
     return stars, clusters
 
 
@@ -155,6 +179,23 @@ def _common_shingles(sets: DataFrame, share: int, most: int) -> tuple[np.ndarray
     return x[order], c[order]
 
 
+def _common_share(hot: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """v, score: how many thousandths of the shingles of a set are common ones."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("shingles")
+            values, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            known = np.zeros(len(values) + 1, np.int64)
+            if len(hot):
+                known[1:] = np.cumsum(hot[np.minimum(np.searchsorted(hot, values), len(hot) - 1)] == values)
+            score = 1000 * (known[offsets[1:]] - known[offsets[:-1]]) // np.maximum(1, np.diff(offsets))
+            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(score, pa.int64())], ["v", "score"])
+
+    return run
+
+
 def _first_shingles(common: tuple[np.ndarray, np.ndarray], similarity: float):
     hot, often = common
 
@@ -230,8 +271,8 @@ def links(sets: DataFrame, similarity: float = 0.8, cell: int = 20_000, share: i
 
     bits: in which SimHash fingerprints may differ.
     """
-    stars, clusters = _stars(sets, similarity, bits)
     common = _common_shingles(sets, share, most)
+    stars, clusters = _stars(sets, similarity, bits, common)
     told = F.broadcast(clusters) if clusters.count() <= TOLD else clusters
     own = sets.select("v", "n", "shingles").join(told, "v", "left").withColumn("c", F.coalesce("c", "v"))
     first = own.mapInArrow(_first_shingles(common, similarity), "shingle long, v long, n int, place int, c long")

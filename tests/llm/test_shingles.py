@@ -78,3 +78,26 @@ def test_rows_without_an_id(make_docs):
     got = [(r.doc_id, r.text) for r in shingles.near_keep(docs).collect()]
     assert sorted(i or 0 for i, _ in got) == [0, 1, 2] and (1, b) in got and (2, "a text of its own") in got
     assert shingles.near_keep(docs.limit(0)).count() == 0
+
+
+def test_a_large_group_makes_few_pairs(make_docs, monkeypatch):
+    """Copies that are alike only by the text that all were made from: pivots find that text, so no pairs of all with all are checked."""
+    rng, n, checked = random.Random(8), 300, []
+    base = [f"w{k}" for k in range(146)]
+    out = [base]
+    for k in range(n):
+        w = list(base)
+        for part, at in enumerate(rng.sample(range(5, 140, 5), 3)):
+            w[at] = f"x{k}.{part}"
+        out.append(w)
+    alike = shingles._alike
+
+    def counted(pairs, *rest):
+        checked.append(pairs.count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(shingles, "_alike", counted)
+    rows = [(k, " ".join(w)) for k, w in enumerate(out)]
+    kept = shingles.near_keep(make_docs(rows)).select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == kept_by_hand(rows) == [0]
+    assert sum(checked) < 16 * n, checked
