@@ -206,7 +206,8 @@ def class_histogram(index: DataFrame, scorers: list[Scorer], classes: PairClass,
     names = [s.name for s in scorers]
 
     def work(tile, ids, ids2, keep, scores) -> pa.RecordBatch:
-        found, counts = _counts([c[keep] for c in (_classes(tile, classes), *scores)])
+        whole = keep.all()
+        found, counts = _counts([c.reshape(-1) if whole else c[keep] for c in (_classes(tile, classes), *scores)])
         return pa.RecordBatch.from_arrays([pa.array(np.array(classes.names)[found[0]], pa.string()), *map(pa.array, found[1:]), pa.array(counts)], ["pair_class", *names, "n"])
 
     schema = "pair_class string, " + ", ".join(f"`{n}` long" for n in names) + ", n long"
@@ -227,7 +228,9 @@ def _counts(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         return list(found.T), counts
     codes = columns[0] - low[0]
     for c, x, n in zip(columns[1:], low[1:], span[1:]):
-        codes = codes * n + (c - x)
+        codes *= n
+        codes += c
+        codes -= x
     if cells <= 4 * len(codes) + 1024:
         counts = np.bincount(codes)
         codes = np.flatnonzero(counts)

@@ -44,10 +44,12 @@ def _l1_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if not len(a) or not len(b):
         return np.zeros((len(a), len(b)))
     low = np.minimum(a.min(0), b.min(0))
-    reach = (np.maximum(a.max(0), b.max(0)) - low).sum()
+    span = np.maximum(a.max(0), b.max(0)) - low
+    reach = span.sum()
     if reach >= 2**31 or (a != np.floor(a)).any() or (b != np.floor(b)).any():
         return np.array([np.abs(b - row).sum(1) for row in a])
-    kind = np.int16 if reach < 2**15 else np.int32
+    # Sums of 16 bits may run over the sign, and are read without one.
+    kind, read = (np.int16, np.uint16) if reach < 2**16 and span.max(initial=0) < 2**15 else (np.int32, np.int32)
     x, y = (np.ascontiguousarray((v - low).astype(kind).T) for v in (a, b))
     out = np.empty((len(a), len(b)))
     greater = np.empty((min(128, len(a)), len(b)), kind)
@@ -58,8 +60,26 @@ def _l1_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             t[:] = u[:, None]
             np.maximum(t, v, out=t)
             total += t
-        out[k : k + 128] = total
-    return 2 * out - (a - low).sum(1)[:, None] - (b - low).sum(1)
+        out[k : k + 128] = total.view(read)
+    out *= 2
+    out -= (a - low).sum(1)[:, None]
+    out -= (b - low).sum(1)
+    return out
+
+
+def _similarity_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = a @ b.T
+    out /= 10000.0
+    np.floor(out, out=out)
+    out += 60
+    return out
+
+
+def _closeness_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = _l1_block(a, b)
+    np.subtract(12000, out, out=out)
+    out /= 100.0
+    return np.floor(out, out=out)
 
 
 def _greatest_dot(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.ndarray) -> np.ndarray:
@@ -73,8 +93,8 @@ def _greatest_closeness(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray
 
 
 #: Whole-number features make every sum exact, whatever its order.
-similarity = Scorer("similarity", lambda a, b: (F.floor(_dot(a, b) / 10000.0) + 60).cast("long"), lambda a, b: np.floor(a @ b.T / 10000.0) + 60, bound=_greatest_dot)
-closeness = Scorer("closeness", lambda a, b: F.floor((12000 - _l1(a, b)) / 100.0).cast("long"), lambda a, b: np.floor((12000 - _l1_block(a, b)) / 100.0), bound=_greatest_closeness)
+similarity = Scorer("similarity", lambda a, b: (F.floor(_dot(a, b) / 10000.0) + 60).cast("long"), _similarity_block, bound=_greatest_dot)
+closeness = Scorer("closeness", lambda a, b: F.floor((12000 - _l1(a, b)) / 100.0).cast("long"), _closeness_block, bound=_greatest_closeness)
 
 
 def _half(a: Column, first: bool) -> Column:

@@ -76,3 +76,16 @@ def test_correlation_of_a_single_value_is_not_a_number(spark, duck):
     rows = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 2.0), ("b", 2.0, 3.0)], "g string, x double, y double")
     got = {r.g: r.rho for r in tails.spearman(rows, ["g"], "x", "y").collect()}
     assert np.isnan(got["a"]) and np.isnan(duck.sql("SELECT corr(a, b) FROM (VALUES (1, 1), (1, 2)) t(a, b)").fetchall()[0][0]) and abs(got["b"] - 1) < 1e-12
+
+
+@pytest.mark.parametrize("top", [3, 511, 1023, 1024, 33_000, 70_000])
+def test_sums_of_few_bits_are_exact(top):
+    """Sums of 64 features whose maxima add up to less, just less and more than 16 bits hold."""
+    rng = np.random.default_rng(top)
+    a, b = (rng.integers(0, top + 1, (n, 64)).astype(float) - top // 2 for n in (130, 70))
+    a[0], b[0], a[1], b[1] = top - top // 2, top - top // 2, -(top // 2), top - top // 2
+    before = a.copy(), b.copy()
+    apart = np.abs(a[:, None] - b[None]).sum(2)
+    assert np.array_equal(closeness.block(a, b), np.floor((12000 - apart) / 100.0))
+    assert np.array_equal(similarity.block(a, b), np.floor(a @ b.T / 10000.0) + 60)
+    assert np.array_equal(a, before[0]) and np.array_equal(b, before[1])
