@@ -324,3 +324,24 @@ def test_sinks(spark, tmp_path):
     assert in_order(tmp_path / "f", "k,x") == ["1,", "2,0.500000"]
     people = spark.createDataFrame([(2, "F")], "k int, sex string")
     assert [(r.k, r.sex) for r in files.with_metadata(df, people, "k", ["sex"]).orderBy("k").collect()] == [(1, ""), (2, "F")]
+
+
+def test_matrix_cells_travel_packed_and_once(spark, tmp_path, monkeypatch):
+    """A symmetric matrix in many ranges and tasks, rows without cells, and what its one shuffle moves."""
+    monkeypatch.setattr(files, "RANGE_BYTES", 4 * 300 * 7)
+    n = 300
+    edges = spark.range(n * n).select((F.col("id") / n).cast("long").alias("i"), (F.col("id") % n).alias("j")).where("i < j AND i % 50 <> 3 AND j % 50 <> 3").withColumn("score", F.col("i") * 7 + F.col("j"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def moved():
+        stages = store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = moved()
+    files.write_matrix(edges, str(tmp_path / "m.i32"), n, symmetric=True)
+    assert 0 < moved() - before < 6 * n * n
+    got, want = np.fromfile(tmp_path / "m.i32", "<i4").reshape(n, n), np.full((n, n), -1)
+    i, j = np.triu_indices(n, 1)
+    known = (i % 50 != 3) & (j % 50 != 3)
+    want[i[known], j[known]] = want[j[known], i[known]] = (i * 7 + j)[known]
+    assert np.array_equal(got, want)
