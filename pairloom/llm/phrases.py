@@ -245,7 +245,7 @@ def _located(docs: DataFrame, confirmed: DataFrame, tasks: int, buckets: int) ->
                     if len(first):
                         name = least[first]
                         rows.append((doc, mark, *gathered.runs(doc, (name & np.uint64(CROWDED - 1)).view(np.int64), first, last, np.isin(name, crowded), lambda a, b: b" ".join(words[a:b]), buckets)))
-            yield from gathered.found(rows)
+            yield from gathered.found(rows, buckets)
             if gathered.size >= SLICE_BYTES:
                 yield from gathered.flush()
         yield from gathered.flush()
@@ -287,9 +287,9 @@ def removed_word_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tasks, buckets = spread(docs)
     rows = staged(sharded(keyed(docs, id_col, text_col)), "sharded")
     confirmed = staged(_confirmed(rows, tasks, buckets, crowd), "confirmed")
-    slices = staged(_located(rows, confirmed, tasks, buckets), "slices")
+    spans = judged(_located(rows, confirmed, tasks, buckets), first_owners, tasks)
     discard(confirmed)
-    return with_spans(rows, judged(slices, first_owners, tasks))
+    return with_spans(rows, spans)
 
 
 def phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

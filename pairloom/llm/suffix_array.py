@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pairloom.llm.repeats import WINDOW, byte_tokens, keyed, removable, runs_of, with_spans
+from pairloom.llm.repeats import WINDOW, byte_tokens, keyed, removable, runs_of, squeezed, unsqueezed, with_spans
 
 #: Whole words of eight bytes that hold a window, and one byte more.
 DEPTH = 8 * (WINDOW // 8 + 1)
@@ -162,9 +162,9 @@ def first_owners(slices: list[bytes], low: np.ndarray, high: np.ndarray) -> tupl
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, starts, ends: of every document the runs of bytes to remove; null where there are none."""
+    """doc_id, text (squeezed), starts, ends: of every document the runs of bytes to remove; null where there are none."""
     rows = keyed(docs, id_col, text_col)
-    return with_spans(rows, removable(rows, byte_tokens, first_owners))
+    return with_spans(squeezed(rows), removable(rows, byte_tokens, first_owners))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,7 +174,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             rows = []
             for doc, text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "starts", "ends"))):
-                raw, runs = text.encode("utf-8", "replace"), runs_of(starts, ends)
+                raw, runs = unsqueezed(text), runs_of(starts, ends)
                 kept, at = hashlib.sha256(), 0
                 for a, b in runs:
                     kept.update(raw[at:a])

@@ -194,3 +194,24 @@ def keyed_shards(docs):
     from pyspark.sql import functions as F
 
     return repeats.keyed(docs.coalesce(1)).withColumn("shard", F.lit(0).cast("long"))
+
+
+def test_slices_are_no_table_and_texts_travel_compressed(make_docs, prose, monkeypatch):
+    """Slices went to disk as a table and as a shuffle, and texts travelled as they are."""
+    written, cut = [], []
+    staged, verdicts = repeats.staged, repeats._verdicts
+    monkeypatch.setattr(repeats, "staged", lambda df, name, *more: written.append(name) or staged(df, name, *more))
+    monkeypatch.setattr(repeats, "_verdicts", lambda slices, *more: cut.append(slices) or verdicts(slices, *more))
+    rows = suffix_array.removed_spans(make_docs(prose))
+    assert written == ["recurring", "spans"] and len(cut) == 1
+    assert dict(rows.dtypes)["text"] == "binary"
+    assert {r.doc_id: repeats.unsqueezed(r.text).decode() for r in rows.collect()} == {i: t or "" for i, t in prose}
+
+
+def test_packed_slices_and_numbers():
+    nos, low, high = np.array([0, 3, 4]), np.array([-(1 << 63), 5, 7]), np.array([(1 << 63) - 1, 5, 9])
+    got = repeats._unpack_slices(repeats._pack_slices(nos, low, high, [b"a", b"", b"bcd"]))
+    assert [x.tolist() for x in got[:3]] == [nos.tolist(), low.tolist(), high.tolist()] and got[3] == [b"a", b"", b"bcd"]
+    for columns in ([[5, 1, -(1 << 63)], [(1 << 63) - 1, 0, -2]], [[], []]):
+        assert [x.tolist() for x in repeats._unpack_numbers(repeats._pack_numbers(*map(np.array, columns)), 2)] == columns
+    assert repeats._names(repeats._short(np.array([1, repeats.CROWDED + 2]))).tolist() == [1, repeats.CROWDED + 2]
