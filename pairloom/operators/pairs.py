@@ -32,6 +32,8 @@ TILE_ROWS, MOST_BLOCKS = 256, 32
 PART_ROWS = 512
 #: Rows that a tile's fold gathers before it merges them.
 GATHERED = 200_000
+#: Features that are columns at most.
+MOST_COLUMNS = 256
 
 
 @dataclass(frozen=True)
@@ -354,13 +356,29 @@ def _best(score: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> np.ndarray
     return at[np.lexsort((j[at], i[at], -score[at]))[:k]]
 
 
+def _width(index: DataFrame, features: str) -> int | None:
+    """How many features every item has, where it is one number, none is null and they are few enough to be columns."""
+    known = F.size(features) if not index.schema[features].dataType.containsNull else F.when(F.exists(features, lambda x: x.isNull()), -1).otherwise(F.size(features))
+    low, high = index.agg(F.min(F.coalesce(known, F.lit(-1))), F.max(F.coalesce(known, F.lit(-1)))).first()
+    return low if low is not None and 0 < low == high <= MOST_COLUMNS else None
+
+
 def all_pairs_native(index: DataFrame, scorers: list[Scorer], features: str = "q", tile_rows: int = 64) -> DataFrame:
-    """all_pairs without Python, for scorers that have only a Column."""
+    """all_pairs without Python, for scorers that have only a Column.
+
+    Where all of them have terms and items have features of one number, features are columns, and scores are compiled; functions of
+    arrays are interpreted, element by element.
+    """
     first, size, last = _extent(index, tile_rows)
-    rows = index.select("idx", F.col(features).alias("x"), F.floor((F.col("idx") - first) / size).cast("int").alias("block"))
-    a = rows.select(F.col("idx").alias("i"), F.col("x").alias("xa"), F.col("block").alias("p"), F.explode(F.sequence(F.col("block"), F.lit(last))).alias("q"))
-    b = rows.select(F.col("idx").alias("j"), F.col("x").alias("xb"), F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("p"))
+    width = _width(index, features) if all(s.terms for s in scorers) else None
+    held = (lambda end: [F.col(features)[k].alias(f"{end}{k}") for k in range(width)]) if width else (lambda end: [F.col(features).alias(end)])
+    block = F.floor((F.col("idx") - first) / size).cast("int")
+    a = index.select(F.col("idx").alias("i"), *held("xa"), block.alias("p")).select("*", F.explode(F.sequence(F.col("p"), F.lit(last))).alias("q"))
+    b = index.select(F.col("idx").alias("j"), *held("xb"), block.alias("q")).select("*", F.explode(F.sequence(F.lit(0), F.col("q"))).alias("p"))
     pairs = a.join(b.hint("merge"), ["p", "q"]).where("i < j")
+    if width:
+        ends = [[F.col(f"{end}{k}") for k in range(width)] for end in ("xa", "xb")]
+        return pairs.select("i", "j", *(s.terms(*ends).alias(s.name) for s in scorers))
     return pairs.select("i", "j", *(s.column(F.col("xa"), F.col("xb")).alias(s.name) for s in scorers))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import subprocess
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,8 @@ class Scorer:
     """column: of the features of i and j. block: of two matrices, rows are items; whole-number scores.
 
     A scorer that is not symmetric has to see both directions of a pair. bound: of the least and greatest features (low, high) of
-    two groups of items, no less than any score between them; the greater, the less a tile can be left out.
+    two groups of items, no less than any score between them; the greater, the less a tile can be left out. terms: as column, of
+    lists that have a Column for each feature.
     """
 
     name: str
@@ -29,6 +31,7 @@ class Scorer:
     block: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
     symmetric: bool = True
     bound: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None
+    terms: Callable[[list[Column], list[Column]], Column] | None = None
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -39,6 +42,10 @@ def _l1(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
+def _sum(terms: list[Column]) -> Column:
+    return reduce(lambda s, x: s + x, terms, F.lit(0).cast("long"))
+
+
 def _l1_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """|x - y| is 2 max(x, y) - x - y: sums of maxima, feature by feature, of numbers as small as hold them."""
     if not len(a) or not len(b):
@@ -93,8 +100,8 @@ def _greatest_closeness(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray
 
 
 #: Whole-number features make every sum exact, whatever its order.
-similarity = Scorer("similarity", lambda a, b: (F.floor(_dot(a, b) / 10000.0) + 60).cast("long"), _similarity_block, bound=_greatest_dot)
-closeness = Scorer("closeness", lambda a, b: F.floor((12000 - _l1(a, b)) / 100.0).cast("long"), _closeness_block, bound=_greatest_closeness)
+similarity = Scorer("similarity", lambda a, b: (F.floor(_dot(a, b) / 10000.0) + 60).cast("long"), _similarity_block, bound=_greatest_dot, terms=lambda a, b: (F.floor(_sum([x * y for x, y in zip(a, b)]) / 10000.0) + 60).cast("long"))
+closeness = Scorer("closeness", lambda a, b: F.floor((12000 - _l1(a, b)) / 100.0).cast("long"), _closeness_block, bound=_greatest_closeness, terms=lambda a, b: F.floor((12000 - _sum([F.abs(x - y) for x, y in zip(a, b)])) / 100.0).cast("long"))
 
 
 def _half(a: Column, first: bool) -> Column:

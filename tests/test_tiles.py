@@ -89,3 +89,17 @@ def test_sums_of_few_bits_are_exact(top):
     assert np.array_equal(closeness.block(a, b), np.floor((12000 - apart) / 100.0))
     assert np.array_equal(similarity.block(a, b), np.floor(a @ b.T / 10000.0) + 60)
     assert np.array_equal(a, before[0]) and np.array_equal(b, before[1])
+
+
+def test_native_scores_are_compiled_over_columns(spark, items):
+    """Functions of arrays were interpreted for every pair."""
+    own = items[1].where("idx < 60")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    known = lambda df: sorted(map(tuple, df.collect()))
+    native = pairs.all_pairs_native(own, [similarity, closeness], tile_rows=16)
+    assert "lambdafunction" not in plan(native)
+    assert known(native) == known(pairs.all_pairs(own, [similarity, closeness], tile_rows=16).select("i", "j", "similarity", "closeness"))
+    odd = spark.createDataFrame([(0, [1, 2]), (1, [3]), (2, [4, None]), (3, [200, 5000])], "idx long, q array<long>")
+    assert "lambdafunction" in plan(pairs.all_pairs_native(odd, [similarity]))
+    assert {(r.i, r.j): r.similarity for r in pairs.all_pairs_native(odd, [similarity]).collect()} == {(0, 1): None, (0, 2): None, (0, 3): 61, (1, 2): None, (1, 3): None, (2, 3): None}
+    assert pairs.all_pairs_native(odd.where("idx > 9"), [similarity]).count() == 0
