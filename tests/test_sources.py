@@ -264,6 +264,22 @@ def test_order_without_one_task(spark, tmp_path, ranges):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path, compression):
+    """Files cut into many parts, many of them in a task: places are right, and no line is shuffled or written again."""
+    where, before = str(tmp_path / "s"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    ordered.write_sorted(spark.range(5000).select("id", F.lit(1).alias("k")).repartition(3), where, ["id"], compression=compression)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = ordered.read_lines(spark, where, "id,k", first=1)
+        assert sorted((r.place, r.line) for r in lines.collect()) == [(k + 1, f"{k},1") for k in range(5000)]
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Exchange" in x and "rangepartitioning" in x] and "Scan text" in plan and "Scan parquet" not in plan
+        assert ordered.read_lines(spark, where, "0,1").count() == 5000 - 1 + len(list((tmp_path / "s").glob("part-*")))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @pytest.mark.parametrize("late", [False, True])
 @pytest.mark.parametrize("at", [0, 1, 2, 3])
 def test_resumed_at_any_file(spark, tmp_path, at, late):
