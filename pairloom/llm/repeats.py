@@ -30,6 +30,7 @@ of buckets and of tasks follows the bytes of the input, so what one of them hold
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,8 @@ SLICES_OF_NAME = 2_000
 _rng = np.random.default_rng(11)
 BYTE_HASHES = _rng.integers(0, 1 << 63, 256, np.uint64)
 BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+#: What the first half of a piece is multiplied by as pieces double in length, and the shifts of the mixing.
+POWERS, SHIFTS = [np.uint64(pow(BASE, 1 << k, 1 << 64)) for k in range(GRAM.bit_length() - 1)], (np.uint64(31), np.uint64(29))
 
 #: Splits a text into tokens: their hashes, and cut(first, end) giving the bytes of those tokens.
 Tokens = Callable[[str], tuple[np.ndarray, Callable[[int, int], bytes]]]
@@ -79,6 +82,14 @@ def word_tokens(text: str):
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words)), lambda a, b: b" ".join(words[a:b])
 
 
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it, the first one too; x is not empty. (np.append costs more than all of this.)"""
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     have = 1
     while have < n:
@@ -91,11 +102,14 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 def grams(hashes: np.ndarray) -> np.ndarray:
     """Hash of the GRAM tokens from each place on, for at least GRAM tokens."""
     h, have = hashes, 1
-    while have < GRAM:
-        h = h[:-have] * np.uint64(pow(BASE, have, 1 << 64)) + h[have:]
-        have *= 2
-    h = (h ^ (h >> np.uint64(31))) * MIX
-    return h ^ (h >> np.uint64(29))
+    for power in POWERS:
+        longer = h[:-have] * power
+        longer += h[have:]
+        h, have = longer, 2 * have
+    h ^= h >> SHIFTS[0]
+    h *= MIX
+    h ^= h >> SHIFTS[1]
+    return h
 
 
 def name_runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,8 +118,10 @@ def name_runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         return (np.zeros(0, np.int64),) * 4
     pieces = grams(hashes)
     least = _sliding_min(pieces, WINDOW - GRAM + 1)
-    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    last = np.append(first[1:], len(least)) - 1
+    first = _begins(least)
+    last = np.empty_like(first)
+    last[:-1] = first[1:] - 1
+    last[-1] = len(least) - 1
     ends = (pieces[first] * MIX ^ pieces[last + WINDOW - GRAM]).view(np.int64)
     return (least[first] & np.uint64(CROWDED - 1)).view(np.int64), first, last, ends
 
@@ -267,13 +283,19 @@ def _parts(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 SLICES = "kind int, flush long, bucket long, block binary, doc long, mark long"
 
 
-def _pack_slices(nos: np.ndarray, low: np.ndarray, high: np.ndarray, texts: list[bytes]) -> bytes:
-    """Number of slices, their (rising) numbers as steps, least docs, how much greater the greatest are, lengths, and the slices end to end; compressed."""
+@lru_cache(maxsize=None)
+def _compressor(level: int):
+    """One for each level and process, as making one costs as much as compressing a document's numbers."""
     from zstandard import ZstdCompressor
 
+    return ZstdCompressor(level=level)
+
+
+def _pack_slices(nos: np.ndarray, low: np.ndarray, high: np.ndarray, texts: list[bytes]) -> bytes:
+    """Number of slices, their (rising) numbers as steps, least docs, how much greater the greatest are, lengths, and the slices end to end; compressed."""
     lengths = np.fromiter(map(len, texts), "<i4", len(texts))
     parts = [np.int64(len(texts)).tobytes(), np.diff(nos, prepend=0).astype("<i4").tobytes(), low.astype("<i8").tobytes(), (high - low).astype("<i8").tobytes(), lengths.tobytes(), *texts]
-    return ZstdCompressor(level=3).compress(b"".join(parts))
+    return _compressor(3).compress(b"".join(parts))
 
 
 def _unpack_slices(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -288,9 +310,12 @@ def _unpack_slices(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, li
 
 def _pack_numbers(*columns: np.ndarray) -> bytes:
     """Columns of whole numbers of one length, each as its steps; compressed."""
-    from zstandard import ZstdCompressor
-
-    return ZstdCompressor(level=3).compress(b"".join(np.diff(np.asarray(c, np.int64), prepend=np.int64(0)).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns))
+    parts = []
+    for c in columns:
+        steps = np.array(c, "<i8")
+        steps[1:] -= steps[:-1].copy()
+        parts.append(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
+    return _compressor(1).compress(b"".join(parts))
 
 
 def _unpack_numbers(block: bytes, columns: int) -> list[np.ndarray]:
@@ -304,9 +329,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
     """docs with texts as compressed bytes, in which they travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from zstandard import ZstdCompressor
-
-        compress = ZstdCompressor(level=3).compress
+        compress = _compressor(3).compress
         for batch in batches:
             texts = pa.array([compress(t.encode("utf-8", "replace")) for t in batch.column("text").to_pylist()], pa.binary())
             yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
@@ -330,19 +353,6 @@ class Gathered:
         self.high: list[int] = []
         self.to: list[int] = []
 
-    def add(self, doc: int, bucket: int, piece: bytes) -> int:
-        if (n := self.number.get(piece)) is None:
-            n = self.number[piece] = len(self.low)
-            self.low.append(doc)
-            self.high.append(doc)
-            self.to.append(bucket)
-            self.size += len(piece) + 200
-        elif doc < self.low[n]:
-            self.low[n] = doc
-        elif doc > self.high[n]:
-            self.high[n] = doc
-        return n
-
     def rows(self, n: int, **columns) -> pa.RecordBatch:
         kinds = [("kind", pa.int32()), ("flush", pa.int64()), ("bucket", pa.int64()), ("block", pa.binary()), ("doc", pa.int64()), ("mark", pa.int64())]
         columns["flush"] = np.full(n, self.flush_id)
@@ -368,10 +378,21 @@ class Gathered:
             begin = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             each = np.repeat(alone, n)
             to, last, first = np.where(each, -1, np.repeat(to, n)), np.where(each, begin, np.repeat(last, n)), begin
-        nos = []
+        nos, number, low, high, where, size = [], self.number, self.low, self.high, self.to, 0
         for bucket, a, b in zip(to.tolist(), first.tolist(), (last + WINDOW).tolist()):
             s = piece(a, b)
-            nos.append(self.add(doc, bucket if bucket >= 0 else xxh3_64_intdigest(s) % buckets, s))
+            if (n := number.get(s)) is None:
+                n = number[s] = len(low)
+                low.append(doc)
+                high.append(doc)
+                where.append(bucket if bucket >= 0 else xxh3_64_intdigest(s) % buckets)
+                size += len(s) + 200
+            elif doc < low[n]:
+                low[n] = doc
+            elif doc > high[n]:
+                high[n] = doc
+            nos.append(n)
+        self.size += size
         return first, nos
 
     def found(self, rows: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -398,11 +419,12 @@ def _slices(docs: DataFrame, recurring: DataFrame, tokens: Tokens, tasks: int, b
                 names, first, last, _ = name_runs(hashes)
                 wanted = _names(b"".join(known))
                 marks = wanted >= CROWDED
-                crowded, wanted = wanted[marks] - CROWDED, np.sort(wanted - marks * CROWDED)
+                crowded = wanted[marks] - CROWDED if marks.any() else None
+                wanted = np.sort(wanted & (CROWDED - 1))
                 keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, names), len(wanted) - 1)] == names)
                 if len(keep):
                     names = names[keep]
-                    rows.append((doc, mark, *gathered.runs(doc, names, first[keep], last[keep], np.isin(names, crowded), piece, buckets)))
+                    rows.append((doc, mark, *gathered.runs(doc, names, first[keep], last[keep], np.zeros(len(keep), bool) if crowded is None else np.isin(names, crowded), piece, buckets)))
             yield from gathered.found(rows, buckets)
             if gathered.size >= SLICE_BYTES:
                 yield from gathered.flush()

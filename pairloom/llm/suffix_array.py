@@ -52,7 +52,7 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
 
 def _sort_directly(places: np.ndarray, words: np.ndarray) -> np.ndarray:
     key = _at(words, places)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     places, key = places[order], key[order]
     group = np.cumsum(np.append(True, key[1:] != key[:-1])) if len(places) else places
     for depth in range(8, DEPTH, 8):
@@ -130,8 +130,10 @@ def common_prefixes(order: np.ndarray, words: np.ndarray) -> np.ndarray:
         differ = _at(words, order[live] + depth) ^ _at(words, order[live - 1] + depth)
         apart = differ != 0
         rest = differ[apart]
+        same = np.zeros(len(rest), np.int8)
         for byte in range(1, 8):
-            out[live[apart]] += (rest >> np.uint64(64 - 8 * byte)) == 0
+            same += rest < np.uint64(1 << 64 - 8 * byte)
+        out[live[apart]] += same
         live = live[~apart]
         out[live] += 8
     return out

@@ -215,3 +215,26 @@ def test_packed_slices_and_numbers():
     for columns in ([[5, 1, -(1 << 63)], [(1 << 63) - 1, 0, -2]], [[], []]):
         assert [x.tolist() for x in repeats._unpack_numbers(repeats._pack_numbers(*map(np.array, columns)), 2)] == columns
     assert repeats._names(repeats._short(np.array([1, repeats.CROWDED + 2]))).tolist() == [1, repeats.CROWDED + 2]
+
+
+def test_one_compressor_for_many_documents(monkeypatch):
+    """Making a compressor costs as much as packing the numbers of a document, so a process makes one for each level."""
+    import zstandard
+
+    made, real = [], zstandard.ZstdCompressor
+    monkeypatch.setattr(zstandard, "ZstdCompressor", lambda **how: made.append(how) or real(**how))
+    rng = np.random.default_rng(5)
+    for n in range(60):
+        columns = [rng.integers(-5, 1 << 40, n) for _ in range(2)]
+        assert [x.tolist() for x in repeats._unpack_numbers(repeats._pack_numbers(*columns), 2)] == [c.tolist() for c in columns]
+    assert len(made) <= 1
+
+
+def test_gathered_numbers_and_extremes():
+    """A slice that several documents have keeps its number and takes their least and greatest, in whatever order they come."""
+    gathered, text = repeats.Gathered(0), bytes(range(120))
+    at, last = np.array([0, 10]), np.array([9, 20])
+    for doc in (5, 9, 2):
+        first, nos = gathered.runs(doc, np.array([7, 8]), at, last, np.zeros(2, bool), lambda a, b: text[a:b], 4)
+        assert nos == [0, 1] and first.tolist() == [0, 10]
+    assert gathered.low == [2, 2] and gathered.high == [9, 9] and gathered.to == [3, 0] and gathered.size == 59 + 60 + 400
