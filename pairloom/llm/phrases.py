@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import discard, small_batches, staged
-from pairloom.llm.repeats import CROWDED, GRAM, SEVERAL, SLICE_BYTES, SLICES, SLICES_OF_NAME, WINDOW, Gathered, _groups, _parts, _sliding_min, dealt, grams, judged, keyed, numbered_by_task, runs_of, spread, with_spans, word_tokens
+from pairloom.llm.repeats import CROWDED, GRAM, SEVERAL, SLICE_BYTES, SLICES, SLICES_OF_NAME, WINDOW, Gathered, _begins, _groups, _parts, _sliding_min, dealt, grams, judged, keyed, numbered_by_task, runs_of, spread, with_spans, word_tokens
 
 #: Rows of a shard of documents, at most, and phrases of one automaton.
 SHARD_ROWS, SHARD_PHRASES = 1024, 20_000
@@ -49,7 +49,7 @@ def offered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return (np.zeros(0, np.uint64),) * 3
     pieces, width = grams(hashes), WINDOW - GRAM + 1
     least = _sliding_min(pieces, width)
-    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    first = _begins(least)
     last = np.append(first[1:], len(least)) - 1
     place = first + pieces[first[:, None] + np.arange(width)].argmin(1)
     return least[first], place, pieces[first] * np.uint64(BASE + 1) ^ pieces[last + WINDOW - GRAM]
@@ -238,13 +238,13 @@ def _located(docs: DataFrame, confirmed: DataFrame, tasks: int, buckets: int) ->
                     least = np.full(len(words) - GRAM + 1, NOWHERE)
                     least[at] = hashes[which]
                     least = _sliding_min(least, WINDOW - GRAM + 1)
-                    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+                    first = _begins(least)
                     last = np.append(first[1:], len(least)) - 1
                     held = least[first] != NOWHERE
                     first, last = first[held], last[held]
                     if len(first):
                         name = least[first]
-                        rows.append((doc, mark, *gathered.runs(doc, (name & np.uint64(CROWDED - 1)).view(np.int64), first, last, np.isin(name, crowded), lambda a, b: b" ".join(words[a:b]), buckets)))
+                        rows.append((doc, mark, *gathered.runs(doc, (name & np.uint64(CROWDED - 1)).view(np.int64), first, last, np.isin(name, crowded) if len(crowded) else np.zeros(len(name), bool), lambda a, b: b" ".join(words[a:b]), buckets)))
             yield from gathered.found(rows, buckets)
             if gathered.size >= SLICE_BYTES:
                 yield from gathered.flush()

@@ -238,3 +238,22 @@ def test_gathered_numbers_and_extremes():
         first, nos = gathered.runs(doc, np.array([7, 8]), at, last, np.zeros(2, bool), lambda a, b: text[a:b], 4)
         assert nos == [0, 1] and first.tolist() == [0, 10]
     assert gathered.low == [2, 2] and gathered.high == [9, 9] and gathered.to == [3, 0] and gathered.size == 59 + 60 + 400
+
+
+def test_words_without_a_table_of_words():
+    """Words, joined by one space, and hashes that tell them apart and are equal for equal words, wherever they stand."""
+    rng = np.random.default_rng(8)
+    letters = ["a", "b", "\x01", "\xe9", "\u3000", "\x85", "\x1c"]
+    words = sorted({"".join(rng.choice(letters, rng.integers(1, n))) for n in (2, 4, 9, 10, 18, 66, 70, 300) for _ in range(60)})
+    seen = {}
+    for gap in (" ", "\n\n", "\t \x0b\x0c\r"):
+        order = rng.permutation(len(words))
+        text = gap.join(["", *(words[k] for k in order), ""])
+        hashes, cut = repeats.word_tokens(text)
+        own = text.encode().split()
+        assert len(hashes) == len(own) == len(words) and hashes.dtype == np.uint64
+        assert [cut(k, k + 5) for k in range(0, 300, 7)] == [b" ".join(own[k : k + 5]) for k in range(0, 300, 7)]
+        for w, h in zip(own, hashes.tolist()):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(words) and not hasattr(repeats, "_WORDS")
+    assert [len(repeats.word_tokens(t)[0]) for t in ("", " \n", "x", " x")] == [0, 0, 1, 1]
