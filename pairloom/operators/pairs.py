@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ PART_ROWS = 512
 GATHERED = 200_000
 #: Features that are columns at most.
 MOST_COLUMNS = 256
+#: Columns of a join that Spark compiles (spark.sql.codegen.maxFields).
+COMPILED_COLUMNS = 100
 
 
 @dataclass(frozen=True)
@@ -356,28 +359,64 @@ def _best(score: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> np.ndarray
     return at[np.lexsort((j[at], i[at], -score[at]))[:k]]
 
 
-def _width(index: DataFrame, features: str) -> int | None:
-    """How many features every item has, where it is one number, none is null and they are few enough to be columns."""
-    known = F.size(features) if not index.schema[features].dataType.containsNull else F.when(F.exists(features, lambda x: x.isNull()), -1).otherwise(F.size(features))
-    low, high = index.agg(F.min(F.coalesce(known, F.lit(-1))), F.max(F.coalesce(known, F.lit(-1)))).first()
-    return low if low is not None and 0 < low == high <= MOST_COLUMNS else None
+def _width(index: DataFrame, features: str) -> tuple[int | None, int | None]:
+    """How many features every item has, where it is one number, none is null and they are few enough to be columns.
+
+    And, where all are whole numbers, of how many bits (16 or 32) these are at most.
+    """
+    element = index.schema[features].dataType
+    known = F.size(features) if not element.containsNull else F.when(F.exists(features, lambda x: x.isNull()), -1).otherwise(F.size(features))
+    low, high, least, most = index.agg(F.min(F.coalesce(known, F.lit(-1))), F.max(F.coalesce(known, F.lit(-1))), F.min(F.array_min(features)), F.max(F.array_max(features))).first()
+    if low is None or not 0 < low == high <= MOST_COLUMNS:
+        return None, None
+    fits = [bits for bits in (16, 32) if -(1 << bits - 1) <= least and most < 1 << bits - 1] if element.elementType.simpleString() in ("tinyint", "smallint", "int", "bigint") else []
+    return low, fits[0] if fits else None
+
+
+def _packed_words(features: str, width: int, bits: int, name: str) -> list[Column]:
+    """Features as columns of 64 bits with several each, none of which may be null."""
+    each, mask = 64 // bits, F.lit((1 << bits) - 1).cast("long")
+    at = lambda k: F.shiftleft(F.coalesce(F.col(features)[k].cast("long"), F.lit(0).cast("long")).bitwiseAND(mask), bits * (k % each))
+    return [reduce(Column.bitwiseOR, [at(k) for k in range(w, min(w + each, width))]).alias(f"{name}{w // each}") for w in range(0, width, each)]
+
+
+def _unpacked(width: int, bits: int, name: str) -> list[Column]:
+    """The features again. Sums of products of 16 bits are exact as doubles, which take less code than whole numbers that are watched for overflow."""
+    each = 64 // bits
+    found = []
+    for k in range(width):
+        word, left = F.col(f"{name}{k // each}"), 64 - bits * (k % each + 1)
+        found.append(F.shiftright(F.shiftleft(word, left) if left else word, 64 - bits))
+    return [f.cast("double") for f in found] if bits == 16 else found
 
 
 def all_pairs_native(index: DataFrame, scorers: list[Scorer], features: str = "q", tile_rows: int = 64) -> DataFrame:
     """all_pairs without Python, for scorers that have only a Column.
 
     Where all of them have terms and items have features of one number, features are columns, and scores are compiled; functions of
-    arrays are interpreted, element by element.
+    arrays are interpreted, element by element. Whole numbers travel several to a column, as Spark compiles no join of more than
+    COMPILED_COLUMNS, whose columns are then copied for every pair.
     """
     first, size, last = _extent(index, tile_rows)
-    width = _width(index, features) if all(s.terms for s in scorers) else None
-    held = (lambda end: [F.col(features)[k].alias(f"{end}{k}") for k in range(width)]) if width else (lambda end: [F.col(features).alias(end)])
+    width, bits = _width(index, features) if all(s.terms for s in scorers) else (None, None)
+    words = -(-width * bits // 64) if bits else 0
+    # One side as it is, where there is place, so that less is unpacked for every pair.
+    plain = bool(bits) and width + words + 6 <= COMPILED_COLUMNS
+    kind = "double" if bits == 16 else "long"
+
+    def held(end: str) -> list[Column]:
+        if bits and not (plain and end == "xa"):
+            return _packed_words(features, width, bits, end)
+        if plain:
+            return [F.coalesce(F.col(features)[k].cast(kind), F.lit(0).cast(kind)).alias(f"{end}{k}") for k in range(width)]
+        return [F.col(features)[k].alias(f"{end}{k}") for k in range(width)] if width else [F.col(features).alias(end)]
+
     block = F.floor((F.col("idx") - first) / size).cast("int")
     a = index.select(F.col("idx").alias("i"), *held("xa"), block.alias("p")).select("*", F.explode(F.sequence(F.col("p"), F.lit(last))).alias("q"))
     b = index.select(F.col("idx").alias("j"), *held("xb"), block.alias("q")).select("*", F.explode(F.sequence(F.lit(0), F.col("q"))).alias("p"))
     pairs = a.join(b.hint("merge"), ["p", "q"]).where("i < j")
     if width:
-        ends = [[F.col(f"{end}{k}") for k in range(width)] for end in ("xa", "xb")]
+        ends = [_unpacked(width, bits, end) if bits and not (plain and end == "xa") else [F.col(f"{end}{k}") for k in range(width)] for end in ("xa", "xb")]
         return pairs.select("i", "j", *(s.terms(*ends).alias(s.name) for s in scorers))
     return pairs.select("i", "j", *(s.column(F.col("xa"), F.col("xb")).alias(s.name) for s in scorers))
 

@@ -103,3 +103,24 @@ def test_native_scores_are_compiled_over_columns(spark, items):
     assert "lambdafunction" in plan(pairs.all_pairs_native(odd, [similarity]))
     assert {(r.i, r.j): r.similarity for r in pairs.all_pairs_native(odd, [similarity]).collect()} == {(0, 1): None, (0, 2): None, (0, 3): 61, (1, 2): None, (1, 3): None, (2, 3): None}
     assert pairs.all_pairs_native(odd.where("idx > 9"), [similarity]).count() == 0
+
+
+@pytest.mark.parametrize("top, wide", [(3000, 64), (-32768, 5), (70000, 64), (2**40, 6)])
+def test_a_pairs_code_is_short_enough_for_the_jvm(spark, top, wide):
+    """A join of more columns is not compiled by Spark, and a method of more than 8 000 bytes not by the JVM."""
+    rng = np.random.default_rng(1)
+    rows = [(k, [int(x) for x in rng.integers(-min(abs(top), 30000), 30000, wide)] if k else [top, *[1] * (wide - 1)]) for k in range(9)]
+    index = spark.createDataFrame(rows, "idx long, q array<long>")
+    native = pairs.all_pairs_native(index, [similarity, closeness], tile_rows=3)
+    x = dict(rows)
+    want = {(i, j): (sum(a * b for a, b in zip(x[i], x[j])) // 10000 + 60, (12000 - sum(abs(a - b) for a, b in zip(x[i], x[j]))) // 100) for i in x for j in x if i < j}
+    assert {(r.i, r.j): (r.similarity, r.closeness) for r in native.collect()} == want
+    if abs(top) < 2**15 and wide == 64:
+        one = pairs.all_pairs_native(index, [similarity], tile_rows=3).agg(F.sum("similarity"))
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            stages = one._jdf.queryExecution().debug().codegenToSeq()
+            joins = [s for s in (stages.apply(k) for k in range(stages.size())) if "SortMergeJoin" in s._1()]
+            assert any("SortMergeJoin" in s._1().split("Sort [")[0] and s._3().maxMethodCodeSize() < 8000 for s in joins)
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
