@@ -33,6 +33,8 @@ TILE_ROWS, MOST_BLOCKS = 256, 32
 PART_ROWS = 512
 #: Rows that a tile's fold gathers before it merges them.
 GATHERED = 200_000
+#: Listed pairs that are scored at once, and numbers that their lists are gathered by.
+LISTED_ROWS, LISTED_TOGETHER = 20_000, 8
 #: Features that are columns at most.
 MOST_COLUMNS = 256
 #: Columns of a join that Spark compiles (spark.sql.codegen.maxFields).
@@ -111,16 +113,19 @@ def _parts(tile: dict, triangle: bool, rows: int | None) -> Iterator[dict]:
                 yield {**rest, **a, **b}
 
 
-def _per_tile(tiles: DataFrame, scorers: list[Scorer], triangle: bool, work, schema: str, rows: int | None = PART_ROWS, fold=None) -> DataFrame:
+def _per_tile(tiles: DataFrame, scorers: list[Scorer], triangle: bool, work, schema: str, rows: int | None = PART_ROWS, fold=None, can=None) -> DataFrame:
     """work(tile, ids, ids2, keep, scores) -> record batch, for every part of every tile. tile: a dict of its columns as Arrow arrays.
 
     rows: of either side of a part; None leaves tiles whole. fold: of what work gives for the parts of one tile, record batches of the tile.
+    can: whether a part's features can make what is wanted; others are left out.
     """
 
     def scored(tile: dict) -> Iterator[pa.RecordBatch]:
         for part in _parts(tile, triangle, rows):
             ids, x, ids2, x2 = (np.asarray(part[c]) for c in ("ids", "x", "ids2", "x2"))
             x, x2 = x.reshape(len(ids), -1), x2.reshape(len(ids2), -1)
+            if can and not can(x, x2):
+                continue
             keep = ids[:, None] < ids2[None, :] if triangle else np.ones((len(ids), len(ids2)), bool)
             yield work(part, ids, ids2, keep, [s.block(x, x2).astype(np.int64) for s in scorers])
 
@@ -245,8 +250,11 @@ def _counts(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [c + x for c, x in zip(np.unravel_index(codes, span), low)], counts
 
 
-def _best_of_tiles(tiles: DataFrame, scorers: list[Scorer], k: int, classes: PairClass, wanted: str, triangle: bool) -> DataFrame:
-    """i, j and all scores of the pairs of the wanted class that are among the k best of their tile by any of the scorers."""
+def _best_of_tiles(tiles: DataFrame, scorers: list[Scorer], k: int, classes: PairClass, wanted: str, triangle: bool, reached: list[float] | None = None) -> DataFrame:
+    """i, j and all scores of the pairs of the wanted class that are among the k best of their tile by any of the scorers.
+
+    reached: for each scorer, a score that the k best of all reach; parts that cannot hold it are not scored.
+    """
     names, code = [s.name for s in scorers], classes.names.index(wanted)
     #: The k-th score of what a tile has gathered; what is below it is no longer among its best.
     least: dict[str, int] = {}
@@ -284,7 +292,11 @@ def _best_of_tiles(tiles: DataFrame, scorers: list[Scorer], k: int, classes: Pai
         if held:
             yield merge(held)
 
-    return _per_tile(tiles, scorers, triangle, work, "i long, j long, " + ", ".join(f"`{n}` long" for n in names), fold=fold)
+    def can(x: np.ndarray, x2: np.ndarray) -> bool:
+        ends = (x.min(0), x.max(0), x2.min(0), x2.max(0))
+        return any(s.bound is None or s.bound(*ends) >= t for s, t in zip(scorers, reached))
+
+    return _per_tile(tiles, scorers, triangle, work, "i long, j long, " + ", ".join(f"`{n}` long" for n in names), fold=fold, can=can if reached else None)
 
 
 def best_pairs(index: DataFrame, scorers: list[Scorer], k: int, classes: PairClass, wanted: str, features: str = "q", tile_rows: int = TILE_ROWS, against: DataFrame | None = None) -> DataFrame:
@@ -321,7 +333,7 @@ def promising_tiles(blocks: DataFrame, scorers: list[Scorer], least: list[float]
 
 
 def best_pairs_pruned(index: DataFrame, scorers: list[Scorer], k: int, classes: PairClass, wanted: str, features: str = "q", tile_rows: int = TILE_ROWS, order: Column | None = None) -> DataFrame:
-    """As best_pairs, but only tiles that can hold one of the k best are made.
+    """As best_pairs, but only tiles, and parts of tiles, that can hold one of the k best are made.
 
     Blocks within themselves come first; the k-th score found there is one that the k best of all reach. order: by which
     items are put into blocks, so that items alike lie together; their idx otherwise. What is returned does not hang on it.
@@ -331,13 +343,16 @@ def best_pairs_pruned(index: DataFrame, scorers: list[Scorer], k: int, classes:
         placed = numbered(index, [order, F.col("idx")], "_place")
         index = placed.select(*(c for c in index.columns if c != "idx"), F.col("idx").alias("_idx"), F.col("_place").alias("idx"))
     carried = (*classes.attributes, *(("_idx",) if order is not None else ()))
-    blocks = cached(spark, scratch(spark), lambda: _blocks(index, features, tile_rows, carried))
+    # No more blocks than other tiles have, so that an item goes to at most MOST_BLOCKS and one more; within a tile its parts are left out.
+    blocks = cached(spark, scratch(spark), lambda: _even_blocks(index, features, tile_rows, carried))
     other = blocks.select(F.col("block").alias("q"), *(F.col(c).alias(f"{c}2") for c in blocks.columns if c != "block"))
     own = blocks.withColumnRenamed("block", "p")
-    within = _best_of_tiles(own.join(other.withColumnRenamed("q", "p"), "p").drop("p"), scorers, k, classes, wanted, True)
+    within = _best_of_tiles(own.join(other.withColumnRenamed("q", "p").hint("merge"), "p").drop("p"), scorers, k, classes, wanted, True)
     least = [_kth(within, s.name, k) for s in scorers]
-    tiles = promising_tiles(blocks, scorers, least).join(own, "p").join(other, "q").drop("p", "q")
-    found = _best_of_tiles(tiles, scorers, k, classes, wanted, True)
+    wanted_tiles = F.broadcast(cached(spark, scratch(spark), lambda: promising_tiles(blocks, scorers, least)))
+    # Both sides go to their tile by its key, or a broadcast would leave all tiles to the task that has named them.
+    tiles = own.join(wanted_tiles, "p").join(other.join(wanted_tiles, "q").hint("merge"), ["p", "q"]).drop("p", "q")
+    found = _best_of_tiles(tiles, scorers, k, classes, wanted, True, least)
     if order is None:
         return found
     names = [index.select(F.col("idx").alias(end), F.col("_idx").alias(f"_{end}")) for end in "ij"]
@@ -521,6 +536,43 @@ def listed_pairs(listed: DataFrame, index: DataFrame, scorers: list[Scorer], fea
     return listed.join(scored, ["i", "j"]).select("i", "j", *own, *(s.name for s in scorers))
 
 
+def listed_totals(listed: DataFrame, index: DataFrame, scorer: Scorer, by: str, features: str = "q", tile_rows: int = TILE_ROWS) -> DataFrame:
+    """by (a whole number), total: the sum of the scores of the listed pairs (i, j), however often a pair is listed.
+
+    There are no more blocks than other tiles have, so features move at most so often, however the list is spread; a tile gives its own
+    sums, and a listed pair moves once, to its tile. A pair that has no items counts for nothing.
+    """
+    first, rows, last = _extent(index, tile_rows)
+    place = lambda c: F.floor((F.col(c) - first) / rows).cast("int")
+    # A tile's list comes in rows of its own, by ranges of `by`, so that no row has to hold a long list.
+    wanted = listed.select(place("i").alias("p"), place("j").alias("q"), F.floor(F.col(by) / LISTED_TOGETHER).cast("int").alias("part"), F.struct(F.col(by).cast("int").alias("k"), (F.col("i") - first - rows * place("i")).cast("int").alias("i"), (F.col("j") - first - rows * place("j")).cast("int").alias("j")).alias("w"))
+    wanted = wanted.groupBy("p", "q", "part").agg(F.collect_list("w").alias("w")).groupBy("p", "q").agg(F.collect_list("w").alias("w")).select("p", "q", F.flatten("w").alias("w")).select("p", "q", *(F.col(f"w.{c}").alias(f"w{c}") for c in "kij"))
+    sides = [_blocks(index, features, rows, first=first).select(F.col("block").alias(at), *(F.col(c).alias(c + two) for c in ("ids", "x"))) for at, two in (("p", ""), ("q", "2"))]
+    tiles = wanted.join(sides[0].hint("merge"), "p").join(sides[1].hint("merge"), "q").select("p", "q", "wk", "wi", "wj", "ids", "x", "ids2", "x2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                tile = {c: batch.column(c)[at].as_py() if c in ("p", "q") else np.asarray(batch.column(c)[at].values) for c in batch.schema.names}
+                x, places = [], []
+                for block, two in (("p", ""), ("q", "2")):
+                    ids = tile[f"ids{two}"]
+                    x.append(tile[f"x{two}"].reshape(len(ids), -1))
+                    places.append(np.full(rows, -1))
+                    places[-1][ids - first - rows * tile[block]] = np.arange(len(ids))
+                k, i, j = tile["wk"], places[0][tile["wi"]], places[1][tile["wj"]]
+                known = (i >= 0) & (j >= 0)
+                k, i, j = k[known], i[known], j[known]
+                kinds, code = np.unique(k, return_inverse=True)
+                totals = np.zeros(len(kinds), np.int64)
+                for a in range(0, len(k), LISTED_ROWS):
+                    own = slice(a, a + LISTED_ROWS)
+                    np.add.at(totals, code[own], scorer.rows(x[0][i[own]], x[1][j[own]]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(totals)], [by, "total"])
+
+    return tiles.mapInArrow(run, f"`{by}` int, total long").groupBy(by).agg(F.sum("total").alias("total"))
+
+
 def per_probe(index: DataFrame, scorer: Scorer, features: str = "q", tile_rows: int = TILE_ROWS) -> DataFrame:
     """i, n, low, high, best: of each item's scores with all others their number, least and greatest, and the least item with the greatest.
 

@@ -197,9 +197,9 @@ def relabelled(listed: DataFrame, items: DataFrame, n: int, seed: str) -> DataFr
 def label_null(index: DataFrame, scorer, key: str, n: int, seed: str = "label") -> DataFrame:
     """iter, diff: mean score of the relabelled pairs of one key less the mean of all others.
 
-    The grand total comes from the tiles' histograms; of the pairs only those of one key are listed, relabelled and scored.
+    The grand total comes from the tiles' histograms; of the pairs only those of one key are listed, relabelled and summed in their tiles.
     """
-    from pairloom.operators.pairs import EVERY, class_histogram, listed_pairs
+    from pairloom.operators.pairs import EVERY, class_histogram, listed_totals
 
     spark = index.sparkSession
     score = F.col(scorer.name)
@@ -207,8 +207,7 @@ def label_null(index: DataFrame, scorer, key: str, n: int, seed: str = "label")
     ends = [index.select(key, F.col("idx").alias(end)) for end in ("i", "j")]
     same = cached(spark, scratch(spark), lambda: ends[0].join(ends[1], key).where("i < j").select("i", "j"))
     k = same.count()
-    moved = cached(spark, scratch(spark), lambda: relabelled(same, index, n, seed))
-    sums = listed_pairs(moved, index, [scorer]).groupBy("iter").agg(F.sum(score).alias("total")).crossJoin(F.broadcast(grand))
+    sums = listed_totals(relabelled(same, index, n, seed), index, scorer, "iter").crossJoin(F.broadcast(grand))
     return sums.select("iter", (F.col("total") / k - (F.col("all") - F.col("total")) / (F.col("pairs") - k)).alias("diff"))
 
 

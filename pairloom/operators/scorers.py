@@ -23,7 +23,7 @@ class Scorer:
 
     A scorer that is not symmetric has to see both directions of a pair. bound: of the least and greatest features (low, high) of
     two groups of items, no less than any score between them; the greater, the less a tile can be left out. terms: as column, of
-    lists that have a Column for each feature.
+    lists that have a Column for each feature. aligned: of two matrices of as many rows, the score of each row of one with that of the other.
     """
 
     name: str
@@ -32,6 +32,10 @@ class Scorer:
     symmetric: bool = True
     bound: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None
     terms: Callable[[list[Column], list[Column]], Column] | None = None
+    aligned: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+
+    def rows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.aligned(a, b) if self.aligned else np.array([self.block(x[None], y[None])[0, 0] for x, y in zip(a, b)])
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -100,7 +104,7 @@ def _greatest_closeness(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray
 
 
 #: Whole-number features make every sum exact, whatever its order.
-similarity = Scorer("similarity", lambda a, b: (F.floor(_dot(a, b) / 10000.0) + 60).cast("long"), _similarity_block, bound=_greatest_dot, terms=lambda a, b: (F.floor(_sum([x * y for x, y in zip(a, b)]) / 10000.0) + 60).cast("long"))
+similarity = Scorer("similarity", lambda a, b: (F.floor(_dot(a, b) / 10000.0) + 60).cast("long"), _similarity_block, bound=_greatest_dot, aligned=lambda a, b: np.floor(np.einsum("ij,ij->i", a, b) / 10000.0) + 60, terms=lambda a, b: (F.floor(_sum([x * y for x, y in zip(a, b)]) / 10000.0) + 60).cast("long"))
 closeness = Scorer("closeness", lambda a, b: F.floor((12000 - _l1(a, b)) / 100.0).cast("long"), _closeness_block, bound=_greatest_closeness, terms=lambda a, b: F.floor((12000 - _sum([F.abs(x - y) for x, y in zip(a, b)])) / 100.0).cast("long"))
 
 

@@ -124,3 +124,30 @@ def test_a_pairs_code_is_short_enough_for_the_jvm(spark, top, wide):
             assert any("SortMergeJoin" in s._1().split("Sort [")[0] and s._3().maxMethodCodeSize() < 8000 for s in joins)
         finally:
             spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_listed_pairs_are_summed_in_few_tiles(spark, items, monkeypatch):
+    """Lists that name pairs of all blocks made a tile of every two small blocks."""
+    index = items[1]
+    x = {r.idx: list(r.q) for r in index.select("idx", "q").collect()}
+    rng, names = np.random.default_rng(2), sorted(x)
+    listed = [(int(k), *map(int, rng.choice(names, 2))) for k in rng.integers(0, 20, 400)] + [(3, names[0], names[1])] * 2 + [(4, names[0], 10**6)]
+    seen, real = [], pairs._blocks
+    monkeypatch.setattr(pairs, "_blocks", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    got = pairs.listed_totals(spark.createDataFrame(listed, "iter int, i long, j long"), index, similarity, "iter", tile_rows=1)
+    want: dict = {}
+    for k, i, j in listed:
+        if j in x:
+            want[k] = want.get(k, 0) + sum(a * b for a, b in zip(x[i], x[j])) // 10000 + 60
+    assert {r.iter: r.total for r in got.collect()} == want
+    assert seen and all(b.count() <= pairs.MOST_BLOCKS for b in seen)
+
+
+def test_pruned_tiles_are_few(spark, items, monkeypatch):
+    """Blocks of a fixed size made items move as often as there are blocks."""
+    index, seen, real = items[1], [], pairs.promising_tiles
+    monkeypatch.setattr(pairs, "promising_tiles", lambda blocks, *a: seen.append(blocks.count()) or real(blocks, *a))
+    found = [sorted(map(tuple, tails.top(build(), 10).select("i", "j").collect())) for build in (
+        lambda: pairs.best_pairs_pruned(index, [similarity], 10, pairs.EVERY, "every", tile_rows=1).withColumnRenamed("similarity", "score"),
+        lambda: pairs.best_pairs(index, [similarity], 10, pairs.EVERY, "every").withColumnRenamed("similarity", "score"))]
+    assert found[0] == found[1] and seen and seen[0] <= pairs.MOST_BLOCKS
